@@ -76,18 +76,15 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("proprietary", ("reserved",)),
 ]
 
-_OTHER = re.compile(r"[^a-z0-9]+")
+_OTHER = re.compile(r"[^A-Za-z0-9]+")
 #: A sentence ends at . ; : ! ? before white space or the end, or at a line that ends a block.
 _END = re.compile(r"[.;:!?]+(?=\s|$)|\n\s*\n|\n(?=\s*(?:[-*#/]|\d+[.)]))")
+_LINE = re.compile(r"\n")
 
 
 def normalise(sentence: str) -> str:
     """Lower case (A-Z), every run of anything but a-z and 0-9 as one space, trimmed."""
-    lower = sentence.translate(_LOWER)
-    return _OTHER.sub(" ", lower).strip()
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
+    return _OTHER.sub(" ", sentence).strip().lower()
 
 
 class Recogniser:
@@ -108,23 +105,30 @@ class Recogniser:
             self.rules.setdefault(chain[0], []).append((licence, rule, chain))
         self.gap = gap
         # Words of the rarest kind: a text without any of them holds no known sentence.
-        firsts = sorted({max(k.split(), key=len) for k in self.known})
+        firsts = sorted({max(k.split(), key=len) for k in self.known if len(k) > 8})
+        firsts += [k for k in self.known if len(k) <= 8]
         self.hint = re.compile("|".join(map(re.escape, firsts)))
 
     def __call__(self, text: str) -> list[tuple[str, str, int, int]]:
         """(licence, rule, start, end) in characters, in text order, without overlaps."""
-        if not self.hint.search(text.translate(_LOWER)):
+        if not self.hint.search(text.lower()):
             return []
         found: list[tuple[int, int, int, list[str]]] = []  # sentence number, span, identifiers
         at = n = 0
         for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-            raw = text[at:end]
-            key = normalise(raw)
-            if key:
-                if key in self.known:
-                    lead = len(raw) - len(raw.lstrip())
-                    found.append((n, at + lead, at + len(raw.rstrip()), self.known[key]))
-                n += 1
+            parts = [(at, end)]
+            if "\n" in text[at:end].strip() and normalise(text[at:end]) not in self.known:
+                # Not a wrapped known sentence: its lines may be notices of their own.
+                marks = [at, *(m.end() for m in _LINE.finditer(text, at, end)), end]
+                parts = list(zip(marks[:-1], marks[1:]))
+            for start, stop in parts:
+                raw = text[start:stop]
+                key = normalise(raw)
+                if key:
+                    if key in self.known:
+                        lead = len(raw) - len(raw.lstrip())
+                        found.append((n, start + lead, start + len(raw.rstrip()), self.known[key]))
+                    n += 1
             at = end
         out, i = [], 0
         while i < len(found):
