@@ -70,12 +70,15 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         first = end
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and the index of each row's first word (with an end mark)."""
+def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the index of each row's first word (with an end mark).
+
+    ``separators`` marks the bytes between words; white space by default.
+    """
     if not len(data):
         zero = np.zeros(0, np.int64)
         return zero, zero, np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~separators[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(data), bool)
@@ -109,3 +112,28 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, size):
         out = mix(out) * _BASE + words[k : len(words) - size + 1 + k]
     return mix(out + np.uint64(size))
+
+
+#: White space, control characters and ASCII punctuation.
+NOT_LETTERS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_SHAPE = np.array([ord("A") if 65 <= b < 91 else ord("a") if 97 <= b < 123 or b >= 128 else ord("0") if 48 <= b < 58 else b for b in range(256)], np.uint8)
+
+
+def heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the words with over ``size`` code points, and where their first ``size`` end."""
+    lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), np.full(size + 1, len(data)))
+    cut = lead[np.minimum(np.searchsorted(lead[: len(lead) - size - 1], starts) + size, len(lead) - 1)]
+    longer = np.flatnonzero(cut < ends)
+    return longer, cut[longer]
+
+
+def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words' shapes: runs of capitals, other letters and digits as one mark each."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    kind = _SHAPE[data]
+    keep = np.ones(len(data), bool)
+    keep[1:] = kind[1:] != kind[:-1]
+    keep[starts] = True
+    total = np.concatenate([[0], np.cumsum(keep)])
+    return hashes(kind[keep], total[starts], total[ends])
