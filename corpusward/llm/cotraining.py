@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import free_name, stored
 from .words import chunks, hashes, heads, mix, shapes, spans
 
 #: Hashed columns of the text view and of the metadata view's names.
@@ -231,39 +231,34 @@ def _stack(parts: list[Rows]) -> Rows:
     )
 
 
-def classify_quality(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str | None = "source",
-    lang_col: str | None = "lang",
-    chars_col: str | None = "n_chars",
-    label_col: str = "quality",
-    train_on=None,
-    labelled: int = 3000,
-    pool: int = 3000,
-    rounds: int = 3,
-    threshold: float = 0.5,
-) -> DataFrame:
-    """(id_col, text_score, meta_score, score, kept) for every row of ``docs``.
+class _Columns:
+    """The columns of ``docs`` that the views read, under names of their own."""
 
-    Scores are chances of label 1.  At most ``labelled`` labelled rows (and texts of the
-    same number of ids without a label, ``pool``) are learnt from, chosen by a hash of the
-    id; ``train_on`` is a column condition on ``labels`` that limits them.  Null texts
-    count as empty and null metadata as a name of its own.  Without labels of both classes
-    every score is the share of label 1 (0.5 without any).  Repeated rows are scored each;
-    of repeated labels the larger counts; null ids are scored but not learnt from.  Other
-    columns are ignored.
-    """
-    none = F.lit(None)
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-        (F.col(source_col) if source_col else none).cast("string").alias("source"),
-        (F.col(lang_col) if lang_col else none).cast("string").alias("lang"),
-        (F.col(chars_col) if chars_col else none).cast("double").alias("stated"),
-    )
-    id_type = docs.schema[id_col].dataType.simpleString()
+    def __init__(self, docs: DataFrame, id_col, text_col, source_col, lang_col, chars_col):
+        none = F.lit(None)
+        self.used = [
+            F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
+            (F.col(source_col) if source_col else none).cast("string").alias("source"),
+            (F.col(lang_col) if lang_col else none).cast("string").alias("lang"),
+            (F.col(chars_col) if chars_col else none).cast("double").alias("stated"),
+        ]
+        self.id_type = docs.schema[id_col].dataType.simpleString()
+
+
+def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Rows]]:
+    col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    stated = col["stated"].to_numpy(zero_copy_only=False).astype(float)
+    yield from views(col["text"], col["source"].to_pylist(), col["lang"].to_pylist(), stated)
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
+    lang_col: str | None = "lang", chars_col: str | None = "n_chars", label_col: str = "quality", train_on=None,
+    labelled: int = 3000, pool: int = 3000, rounds: int = 3,
+) -> Views:
+    """The co-trained views of bounded samples of ``docs``; see :func:`classify_quality`."""
+    columns = _Columns(docs, id_col, text_col, source_col, lang_col, chars_col)
+    rows = docs.select(*columns.used)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), (F.lit(True) if train_on is None else train_on).alias("use"))
     known = known.where(F.col("use") & F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y"))
     ids = rows.select("id").where(F.col("id").isNotNull()).distinct()
@@ -271,14 +266,9 @@ def classify_quality(
     other = ids.join(labels.select(F.col(id_col).alias("id")), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(pool)
     chosen = stored(own.unionByName(other.withColumn("y", F.lit(None).cast("int"))), "chosen")  # bounded: it may be broadcast
 
-    def unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Rows]]:
-        col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        stated = col["stated"].to_numpy(zero_copy_only=False).astype(float)
-        yield from views(col["text"], col["source"].to_pylist(), col["lang"].to_pylist(), stated)
-
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, part in unpack(batch):
+            for first, end, part in _unpack(batch):
                 at = pa.array(part.start.astype(np.int32))
                 width = part.meta.shape[1]
                 meta_at = pa.array(np.arange(0, len(part) * width + 1, width, dtype=np.int32))
@@ -293,7 +283,7 @@ def classify_quality(
                 )
 
     sample = rows.join(F.broadcast(chosen), "id").select("id", "text", "source", "lang", "stated", "y")
-    sample = stored(sample.mapInArrow(extract, f"id {id_type}, y int, column array<int>, value array<float>, meta array<float>"), "views")
+    sample = stored(sample.mapInArrow(extract, f"id {columns.id_type}, y int, column array<int>, value array<float>, meta array<float>"), "views")
     frame = sample.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").toPandas()
     parts = [
         Rows(np.array([0, len(c)]), np.asarray(c, np.int64), np.asarray(v, float), np.asarray(m, float)[None, :])
@@ -301,15 +291,57 @@ def classify_quality(
     ]
     has = frame["y"].notna().to_numpy()
     every = _stack(parts)
-    model = co_train(every.take(np.flatnonzero(has)), frame["y"][has].to_numpy(float), every.take(np.flatnonzero(~has)), rounds)
+    return co_train(every.take(np.flatnonzero(has)), frame["y"][has].to_numpy(float), every.take(np.flatnonzero(~has)), rounds)
+
+
+def classify_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
+    lang_col: str | None = "lang", chars_col: str | None = "n_chars", label_col: str = "quality", train_on=None,
+    labelled: int = 3000, pool: int = 3000, rounds: int = 3, threshold: float = 0.5,
+) -> DataFrame:
+    """(id_col, text_score, meta_score, score, kept) for every row of ``docs``.
+
+    Scores are chances of label 1.  At most ``labelled`` labelled rows and the texts of at
+    most ``pool`` ids without a label are learnt from, chosen by a hash of the id;
+    ``train_on`` is a column condition on ``labels`` that limits them.  Null texts count as
+    empty and null metadata as a name of its own.  Without labels of both classes every
+    score is the share of label 1 (0.5 without any).  Repeated rows are scored each; of
+    repeated labels the larger counts; null ids are scored but not learnt from.  Other
+    columns are ignored.
+    """
+    model = fit(docs, labels, id_col, text_col, source_col, lang_col, chars_col, label_col, train_on, labelled, pool, rounds)
+    columns = _Columns(docs, id_col, text_col, source_col, lang_col, chars_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, part in unpack(batch):
+            for first, end, part in _unpack(batch):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), *map(pa.array, model.score(part))],
                     names=["id", "text_score", "meta_score", "score"],
                 )
 
-    out = rows.mapInArrow(score, f"id {id_type}, text_score double, meta_score double, score double")
+    out = docs.select(*columns.used).mapInArrow(score, f"id {columns.id_type}, text_score double, meta_score double, score double")
     return out.select(F.col("id").alias(id_col), "text_score", "meta_score", "score", (F.col("score") >= threshold).alias("kept"))
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
+    lang_col: str | None = "lang", chars_col: str | None = "n_chars", threshold: float = 0.5, **options,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`classify_quality` keeps, all columns; texts are not shuffled."""
+    model = fit(docs, labels, id_col, text_col, source_col, lang_col, chars_col, **options)
+    columns = _Columns(docs, id_col, text_col, source_col, lang_col, chars_col)
+    view = F.struct(*columns.used)
+    name, row = free_name(docs, "view"), free_name(docs, "row")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = pa.RecordBatch.from_struct_array(batch.column(1))
+            good = np.zeros(batch.num_rows, bool)
+            for first, end, part in _unpack(seen):
+                good[first:end] = model.score(part)[2] >= threshold
+            yield batch.select([0]).filter(pa.array(good))
+
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), view.alias(name))
+    kept = both.mapInArrow(keep, both.select(row).schema)
+    return kept.select(*[F.col(f"{row}.`{c}`") for c in docs.columns])
