@@ -10,8 +10,9 @@ one at 0.85 with less than 1e-5 (simulated).  All candidates are verified on the
 full shingle sets.
 
 Work is kept linear in hot groups: texts with equal sets collapse to one class
-first; each class is then verified against one leader of its buckets, and only
-members of buckets that still span several components are compared further.
+first; each class is then verified against one leader of its buckets, then against the
+leaders of other components.  Members of buckets that still span several components are
+compared through a prefix filter on their full sets, which is exact.
 """
 
 from __future__ import annotations
@@ -105,6 +106,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, inter: int, union: int) -> Data
     return both.where(fits).where(common * union >= (na + nb - common) * inter).select("a", "b")
 
 
+def _ordered(x: str, y: str):
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """``buckets`` with the component that each class has by ``links``; a class without links is its own."""
+    label = stored(components(links), "labels").withColumnRenamed("node", "rep")
+    return buckets.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _prefix_pairs(loose: DataFrame, sets: DataFrame, inter: int, union: int) -> DataFrame:
+    """Pairs (a, b) of ``loose`` (id, component) that may link across components; none that does is missing.
+
+    Two sets of similarity t or more share one of the ``n - ceil(t n) + 1`` first shingles
+    of each, in any common order.  Rarest first, the shingles that only one text has fill
+    most of a prefix, so texts that merely share a passage or an origin rarely meet; and no
+    set can share more than its ``r`` shingles that some other text has.
+    """
+    tokens = sets.join(loose, "id").select("id", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("t"))
+    often = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    shared = tokens.join(often.where("df > 1"), "t")  # the others come first in every prefix
+    texts = shared.groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("all"))
+    texts = texts.withColumn("r", F.size("all").cast("long")).where(F.col("r") * union >= F.col("n") * inter)
+    keep = F.col("r") - F.ceil(F.col("n") * inter / F.lit(union)) + 1
+    prefix = texts.select("id", "component", "n", "r", F.explode(F.slice("all", F.lit(1), keep.cast("int"))).alias("x"))
+    prefix = stored(prefix.select("id", "component", "n", "r", "x.t"), "prefixes")
+    across = prefix.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    prefix = prefix.join(across.select("t"), "t")
+    left = prefix.select("t", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("r").alias("ra"))
+    right = prefix.select("t", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    fits = F.least("na", "nb") * union >= F.greatest("na", "nb") * inter
+    fits &= F.least("ra", "rb") * (inter + union) >= (F.col("na") + F.col("nb")) * inter
+    met = left.join(right, "t").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
+    return met.select("a", "b").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -139,37 +176,39 @@ def near_duplicates(
         "rep",
         F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("left")[i], F.col("right")[j]) for k, (i, j) in enumerate(table)])).alias("key"),
     )
-    shared = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"))
-    shared = shared.where(F.col("lead") != F.col("last")).select("key", "lead")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = stored(keys.join(shared, "key"), "buckets")  # rows of keys that several classes share
+    # The leader of a bucket is the class that meets most others in all of its buckets: the
+    # text that a group's copies were made from is closer to each of them than they are.
+    weight = buckets.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("met"))
+    lead = buckets.join(weight, "rep").groupBy("key").agg(F.max_by("rep", "met").alias("lead"))
+    buckets = stored(buckets.join(lead, "key").select("key", "rep", "lead"), "buckets")
 
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    sets = stored(_shingle_sets(ids.join(wanted, "id"), ngram), "sets")
-
-    # First each class against one leader; then against the leaders of other components;
-    # then all members of buckets that still span components.
-    tried = stored(buckets.where("rep != lead").groupBy("rep").agg(F.min("lead").alias("a")).select("a", F.col("rep").alias("b")), "pairs")
+    sets = stored(_shingle_sets(ids.join(weight.select(F.col("rep").alias("id")), "id"), ngram), "sets")
+
+    # First each class against the leader it meets most often; then, twice, in each bucket the
+    # members outside the largest component against one member of it, drawn anew for each
+    # bucket; then whatever still shares a bucket across components, by prefix filter.
+    meets = buckets.where("rep != lead").groupBy("lead", "rep").agg(F.count("*").alias("n"))
+    first = meets.groupBy("rep").agg(F.max_by("lead", "n").alias("lead"))
+    tried = stored(first.select(*_ordered("lead", "rep")), "pairs")
     links = stored(_verified(tried, sets, inter, union), "links")
-    for every_member in (False, True):
-        label = stored(components(links), "labels")
-        member = buckets.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-        if every_member:
-            mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            open_ = member.join(mixed.where("low != high").select("key"), "key")
-            left = open_.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-            right = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            more = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-        else:
-            head = label.select(F.col("node").alias("lead"), F.col("component").alias("ca"))
-            more = member.join(head, "lead", "left").withColumn("ca", F.coalesce("ca", "lead"))
-            more = more.where(F.col("ca") != F.col("component")).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-        more = more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        more = stored(more, "pairs")
-        found = stored(_verified(more, sets, inter, union), "links")
-        tried, links = tried.unionByName(more), links.unionByName(found)
+    member = _labelled(buckets, links)
+    for turn in range(2):
+        size = member.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
+        chance = F.pmod(F.xxhash64("key", "rep", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        member = member.join(size, "component").withColumn("order", F.col("size") + chance)
+        head = member.groupBy("key").agg(F.max_by("rep", "order").alias("lead"), F.max_by("component", "order").alias("ca"))
+        other = member.drop("lead").join(head, "key").where("ca != component").select(*_ordered("lead", "rep")).distinct()
+        other = stored(other.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(stored(_verified(other, sets, inter, union), "links"))
+        tried = tried.unionByName(other)
+        member = _labelled(buckets, links)
+    spread = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    loose = stored(member.join(spread.select("key"), "key").select(F.col("rep").alias("id"), "component").distinct(), "loose")
+    rest = stored(_prefix_pairs(loose, sets, inter, union), "pairs")
+    links = links.unionByName(stored(_verified(rest, sets, inter, union), "links"))
     label = components(links)
     drop(sets)
 
