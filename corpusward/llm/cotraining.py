@@ -162,20 +162,35 @@ class Views:
             return (np.full(len(rows), self.share),) * 3
         t, m = self.logits(rows)
         (a, b), (c, d) = self.calibrated["text"], self.calibrated["meta"]
-        t, m = a * t + b, c * m + d
+        t, m = np.clip(a * t + b, -20, 20), np.clip(c * m + d, -20, 20)
         both = self.joint[0] * t + self.joint[1] * m + self.joint[2]
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (t, m, both))
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights of the columns of ``x`` and a shift; a weak prior keeps them near 1 / columns and 0."""
-    design = np.column_stack([x, np.ones(len(x))])
+    """Logistic weights of the columns of ``x`` and a shift; a prior keeps them near 1 / columns and 0.
+
+    Newton steps are halved until the penalised likelihood falls, and weights stay positive.
+    """
+    design = np.column_stack([np.clip(x, -20, 20), np.ones(len(x))])
     mean = np.append(np.full(x.shape[1], 1 / x.shape[1]), 0.0)
+    sign = 2 * y - 1
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, -sign * (design @ w)).sum() + 0.5 * ((w - mean) ** 2).sum())
+
     coef = mean.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ coef, -30, 30)))
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 0.5 * np.eye(len(coef))
-        coef = coef - np.linalg.solve(hess, design.T @ (p - y) + 0.5 * (coef - mean))
+        grad = design.T @ (p - y) + (coef - mean)
+        hess = (design * (p * (1 - p))[:, None]).T @ design + np.eye(len(coef))
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-4 and loss(coef - size * step) > loss(coef):
+            size /= 2
+        coef = coef - size * step
+        if size * np.abs(step).max() < 1e-6:
+            break
+    coef[:-1] = np.maximum(coef[:-1], 1e-3)
     return coef
 
 
@@ -269,24 +284,22 @@ def fit(
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, part in _unpack(batch):
-                at = pa.array(part.start.astype(np.int32))
-                width = part.meta.shape[1]
-                meta_at = pa.array(np.arange(0, len(part) * width + 1, width, dtype=np.int32))
+                cut = list(zip(part.start[:-1], part.start[1:]))
+                column, value = part.column.astype(np.int32), part.value.astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, end - first), batch.column(batch.schema.get_field_index("y")).slice(first, end - first),
-                        pa.ListArray.from_arrays(at, pa.array(part.column.astype(np.int32))),
-                        pa.ListArray.from_arrays(at, pa.array(part.value.astype(np.float32))),
-                        pa.ListArray.from_arrays(meta_at, pa.array(part.meta.astype(np.float32).ravel())),
+                        pa.array([column[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([value[a:b].tobytes() for a, b in cut], pa.binary()),
+                        pa.array([m.tobytes() for m in part.meta.astype(np.float32)], pa.binary()),
                     ],
                     names=["id", "y", "column", "value", "meta"],
                 )
 
     sample = rows.join(F.broadcast(chosen), "id").select("id", "text", "source", "lang", "stated", "y")
-    sample = stored(sample.mapInArrow(extract, f"id {columns.id_type}, y int, column array<int>, value array<float>, meta array<float>"), "views")
+    sample = stored(sample.mapInArrow(extract, f"id {columns.id_type}, y int, column binary, value binary, meta binary"), "views")
     frame = sample.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").toPandas()
     parts = [
-        Rows(np.array([0, len(c)]), np.asarray(c, np.int64), np.asarray(v, float), np.asarray(m, float)[None, :])
+        Rows(np.array([0, len(c) // 4]), np.frombuffer(c, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float), np.frombuffer(m, np.float32).astype(float)[None, :])
         for c, v, m in zip(frame["column"], frame["value"], frame["meta"])
     ]
     has = frame["y"].notna().to_numpy()
@@ -297,7 +310,7 @@ def fit(
 def classify_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
     lang_col: str | None = "lang", chars_col: str | None = "n_chars", label_col: str = "quality", train_on=None,
-    labelled: int = 3000, pool: int = 3000, rounds: int = 3, threshold: float = 0.5,
+    labelled: int = 3000, pool: int = 3000, rounds: int = 3, threshold: float = 0.3,
 ) -> DataFrame:
     """(id_col, text_score, meta_score, score, kept) for every row of ``docs``.
 
@@ -326,7 +339,7 @@ def classify_quality(
 
 def keep_good(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
-    lang_col: str | None = "lang", chars_col: str | None = "n_chars", threshold: float = 0.5, **options,
+    lang_col: str | None = "lang", chars_col: str | None = "n_chars", threshold: float = 0.3, **options,
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`classify_quality` keeps, all columns; texts are not shuffled."""
     model = fit(docs, labels, id_col, text_col, source_col, lang_col, chars_col, **options)

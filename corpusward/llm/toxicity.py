@@ -106,15 +106,28 @@ class BlockMaxIndex:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> np.ndarray:
-    """(slope, shift) of a one-feature logistic fit by Newton steps with a weak prior."""
+    """(slope, shift) of a one-feature logistic fit; a weak prior keeps them near 1 and 0.
+
+    Newton steps are halved until the penalised likelihood falls; the slope stays positive.
+    """
     design = np.stack([x, np.ones_like(x)], axis=1)
-    coef = np.zeros(2)
+    sign, mean = 2 * y - 1, np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        return float((weight * np.logaddexp(0, -sign * (design @ w))).sum() + 0.5 * ((w - mean) ** 2).sum())
+
+    coef = mean.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ coef, -30, 30)))
-        grad = design.T @ (weight * (p - y)) + 1e-2 * coef
-        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-        coef = coef - np.linalg.solve(hess, grad)
-    return coef
+        grad = design.T @ (weight * (p - y)) + (coef - mean)
+        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + np.eye(2)
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-4 and loss(coef - size * step) > loss(coef):
+            size /= 2
+        coef = coef - size * step
+        if size * np.abs(step).max() < 1e-6:
+            break
+    return np.array([max(coef[0], 1e-2), coef[1]])
 
 
 class Scorer:
