@@ -23,7 +23,7 @@ def keyed_pairs(rules: DataFrame, corpus: DataFrame) -> DataFrame:
     small = rules.select("rule_id", "include_re", "exclude_re", "execution_digest")
     files = with_digest(corpus).select("path", "file_digest", "n_bytes")
     pairs = files.join(_small(small), in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
-    return pairs.select(result_key().alias("result_key"), "rule_id", "path", "n_bytes")
+    return pairs.select(result_key().alias("result_key"), "rule_id", "path", "file_digest", "n_bytes")
 
 
 def valid_store(store: DataFrame, rules: DataFrame) -> DataFrame:
@@ -46,7 +46,8 @@ def check_incremental(rules: DataFrame, corpus: DataFrame, store: DataFrame, fai
     have = kept.select("result_key").distinct().withColumn("_hit", F.lit(True))
     pairs = pairs.join(have, "result_key", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
     missing = pairs.where("not _hit").drop("_hit")
-    todo = missing.join(corpus.select("path", "text"), "path").join(_small(rules.select("rule_id", "code", "regex")), "rule_id")
+    texts = with_digest(corpus).select("path", "file_digest", "text")  # a path may have several versions
+    todo = missing.join(texts, ["path", "file_digest"]).join(_small(rules.select("rule_id", "code", "regex")), "rule_id")
     found = spans(todo.where(F.rlike("text", "regex")), F.col("regex"), ["result_key", "rule_id", "path", "code", "n_bytes"]).drop("ord", "text")
     fresh = missing.select("result_key", "rule_id", "path", "n_bytes").join(found.drop("rule_id", "path", "n_bytes"), "result_key", "left")
     fresh = fresh.select("result_key", "rule_id", "path", "code", "start_byte", "end_byte", "n_bytes")
