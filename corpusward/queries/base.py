@@ -30,12 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-DOC_PATH = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+def doc_path():
+    return F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as (path, text)."""
-    return to_corpus(table(spark, sf_dir, "documents"), DOC_PATH, F.col("text")).select("path", "text")
+    return to_corpus(table(spark, sf_dir, "documents"), doc_path(), F.col("text")).select("path", "text")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

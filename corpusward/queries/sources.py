@@ -11,7 +11,7 @@ from corpusward.sources import corpus as source
 from corpusward.sources import rules as rule_tables
 from corpusward.sources import selection
 
-from .base import CORPUS_SQL, DOC_PATH, RULES_SQL, SCOPE_SQL, corpus, query, rule_rows, rules, table
+from .base import CORPUS_SQL, RULES_SQL, SCOPE_SQL, corpus, doc_path, query, rule_rows, rules, table
 
 _EXCLUDES = [("src1/**", "first"), ("src1?/en/*", "second"), ("**/1*.txt", "third")]
 _IGNORE = [("**/*0.txt", False), ("src0/**", True), ("src0/en/*", False)]
@@ -32,7 +32,7 @@ def _content(spark, sf_dir):
     """documents as bytes, some with a NUL or with a broken encoding put in by their ids."""
     text, k = F.col("text").cast("binary"), F.col("doc_id") % 11
     content = F.when(k == 1, F.concat(F.lit(b"\x00"), text)).when(k == 2, F.concat(text, F.lit(b"\xff"))).when(k == 3, F.concat(text, F.lit(b"\x00"))).otherwise(text)
-    return table(spark, sf_dir, "documents").select(DOC_PATH.alias("path"), content.alias("content"))
+    return table(spark, sf_dir, "documents").select(doc_path().alias("path"), content.alias("content"))
 
 
 @query(f"""WITH {CORPUS_SQL}, c AS (SELECT path, text, doc_id % 11 AS k, strlen(text) + CASE WHEN doc_id % 11 IN (1, 2, 3) THEN 1 ELSE 0 END AS n FROM corpus)
@@ -51,7 +51,7 @@ def a4_apply_exclusions(spark, sf_dir):
 
 @query(f"""WITH {CORPUS_SQL} SELECT path, (CASE WHEN path LIKE 'src0/en/%' THEN TRUE WHEN path LIKE 'src0/%' THEN FALSE WHEN path LIKE '%0.txt' THEN TRUE ELSE FALSE END) AND doc_id % 7 <> 0 AS is_ignored FROM corpus""")
 def a5_apply_ignore(spark, sf_dir):
-    tracked = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(DOC_PATH.alias("path"))
+    tracked = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(doc_path().alias("path"))
     return selection.apply_ignore(corpus(spark, sf_dir).select("path"), _IGNORE, tracked)
 
 
@@ -64,7 +64,7 @@ def a6_select_paths(spark, sf_dir):
 SELECT path FROM h WHERE path NOT LIKE '.%' AND path NOT LIKE '%/.%'""")
 def a7_hidden_filter(spark, sf_dir):
     k = F.col("doc_id") % 5
-    path = F.when(k == 0, F.replace(DOC_PATH, F.lit("/en/"), F.lit("/.en/"))).when(k == 1, F.concat(F.lit("."), DOC_PATH)).otherwise(DOC_PATH)
+    path = F.when(k == 0, F.replace(doc_path(), F.lit("/en/"), F.lit("/.en/"))).when(k == 1, F.concat(F.lit("."), doc_path())).otherwise(doc_path())
     return selection.hidden_filter(table(spark, sf_dir, "documents").select(path.alias("path")))
 
 
@@ -72,8 +72,8 @@ def _old(spark, sf_dir):
     """An earlier snapshot: some documents absent, some of other content, some since removed."""
     docs = table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 7
-    kept = docs.where(k != 3).select(DOC_PATH.alias("path"), F.when(k == 1, F.concat("text", F.lit("\nold line"))).otherwise(F.col("text")).alias("text"))
-    gone = docs.where(k == 5).select(F.concat(F.lit("gone/"), DOC_PATH).alias("path"), "text")
+    kept = docs.where(k != 3).select(doc_path().alias("path"), F.when(k == 1, F.concat("text", F.lit("\nold line"))).otherwise(F.col("text")).alias("text"))
+    gone = docs.where(k == 5).select(F.concat(F.lit("gone/"), doc_path()).alias("path"), "text")
     return kept.unionByName(gone)
 
 
