@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import bounds, whole_groups
 from .components import components
 from .tables import drop, stored
 from .words import chunks, hashes, mix, ngrams, spans
@@ -116,30 +117,77 @@ def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
     return buckets.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _prefix_pairs(loose: DataFrame, sets: DataFrame, inter: int, union: int) -> DataFrame:
-    """Pairs (a, b) of ``loose`` (id, component) that may link across components; none that does is missing.
+def _across(loose: DataFrame, sets: DataFrame, inter: int, union: int) -> DataFrame:
+    """(a, own, c): classes, their components, and the components in whose company they may find links.
 
-    Two sets of similarity t or more share one of the ``n - ceil(t n) + 1`` first shingles
-    of each, in any common order.  Rarest first, the shingles that only one text has fill
-    most of a prefix, so texts that merely share a passage or an origin rarely meet; and no
-    set can share more than its ``r`` shingles that some other text has.
+    ``loose`` has (id, component).  Two sets of similarity t or more share one of the
+    ``n - ceil(t n) + 1`` first shingles of each, in any common order.  Rarest first, the
+    shingles that only one text has fill most of a prefix, so texts that merely share a
+    passage or an origin rarely meet; and no set can share more than its ``r`` shingles that
+    some other text has.  All holders of a shingle meet in the company of the largest
+    component among them, so a class is a row for each such component and never for each of
+    its members; a pair that links across components is in one company at least.
     """
-    tokens = sets.join(loose, "id").select("id", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("t"))
+    size = loose.groupBy("component").agg(F.count("*").alias("size"))
+    tokens = sets.join(loose.join(size, "component"), "id").select("id", "component", "size", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("df"))
     shared = tokens.join(often.where("df > 1"), "t")  # the others come first in every prefix
-    texts = shared.groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("all"))
+    texts = shared.groupBy("id", "component", "size", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("all"))
     texts = texts.withColumn("r", F.size("all").cast("long")).where(F.col("r") * union >= F.col("n") * inter)
     keep = F.col("r") - F.ceil(F.col("n") * inter / F.lit(union)) + 1
-    prefix = texts.select("id", "component", "n", "r", F.explode(F.slice("all", F.lit(1), keep.cast("int"))).alias("x"))
-    prefix = stored(prefix.select("id", "component", "n", "r", "x.t"), "prefixes")
-    across = prefix.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    prefix = prefix.join(across.select("t"), "t")
-    left = prefix.select("t", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("r").alias("ra"))
-    right = prefix.select("t", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-    fits = F.least("na", "nb") * union >= F.greatest("na", "nb") * inter
-    fits &= F.least("ra", "rb") * (inter + union) >= (F.col("na") + F.col("nb")) * inter
-    met = left.join(right, "t").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
-    return met.select("a", "b").distinct()
+    prefix = texts.select("id", "component", "size", "n", F.explode(F.slice("all", F.lit(1), keep.cast("int"))).alias("x"))
+    prefix = stored(prefix.select("id", "component", "size", "n", "x.t"), "prefixes")
+    host = prefix.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", "size").alias("c"))
+    met = prefix.join(host.where("low != high").select("t", "c"), "t").where("component != c")
+    return met.select(F.col("id").alias("a"), F.col("component").alias("own"), "c").distinct()
+
+
+def _linked_to(across: DataFrame, loose: DataFrame, sets: DataFrame, inter: int, union: int, block: int = 1024) -> DataFrame:
+    """Links (a, b) between the classes that ask and all of a company, its members and who asks too.
+
+    They meet in cells of at most about ``block`` of each; a cell's sets are intersected
+    together, and of a class's links to one component the first is enough.
+    """
+    asked = across.select("c").distinct()
+    members = loose.select(F.col("id").alias("b"), F.col("component").alias("own"), F.col("component").alias("c")).join(asked, "c")
+    company = members.select("c", "own", "b").unionByName(across.select("c", "own", F.col("a").alias("b")))
+    blocks = across.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("ab")).join(company.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("mb")), "c")
+    cell = F.xxhash64("c", "i", "j").alias("cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ask = across.join(blocks, "c").withColumn("i", F.pmod(F.xxhash64("a"), F.col("ab")).cast("int")).withColumn("j", every("mb"))
+    have = company.join(blocks, "c").withColumn("j", F.pmod(F.xxhash64("b"), F.col("mb")).cast("int")).withColumn("i", every("ab"))
+    rows = ask.select(cell, "c", "i", "j", F.lit(0).alias("side"), "own", F.col("a").alias("id")).unionByName(have.select(cell, "c", "i", "j", F.lit(1).alias("side"), "own", F.col("b").alias("id")))
+    rows = rows.join(sets, "id").select("cell", "c", "i", "j", "side", "own", "id", "shingles").repartition("cell").sortWithinPartitions("cell", "c", "i", "j", "side")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "cell"):
+            plain = {c: table.column(c).to_numpy() for c in ("cell", "c", "i", "j", "side", "own", "id")}
+            lists = table.column("shingles").combine_chunks()
+            at, flat = np.diff(lists.offsets.to_numpy()).cumsum(), lists.flatten().to_numpy()
+            at = np.concatenate([[0], at])
+            a_out, b_out = [], []
+            edge = bounds(*(plain[c] for c in ("cell", "c", "i", "j")))
+            for first, end in zip(edge[:-1], edge[1:]):
+                cut = first + int(np.searchsorted(plain["side"][first:end], 1))
+                if cut in (first, end):
+                    continue
+                size = np.diff(at[cut : end + 1])
+                words, place = np.unique(flat[at[cut] : at[end]], return_inverse=True)
+                start = at[cut:end] - at[cut]
+                for k in range(first, cut):
+                    own = flat[at[k] : at[k + 1]]
+                    spot = np.minimum(np.searchsorted(words, own), len(words) - 1)
+                    mark = np.zeros(len(words), np.int64)
+                    mark[spot[words[spot] == own]] = 1
+                    common = np.add.reduceat(mark[place], start)
+                    linked = (common * union >= (len(own) + size - common) * inter) & (plain["own"][cut:end] != plain["own"][k])
+                    hit = cut + np.flatnonzero(linked)
+                    for h in hit[np.unique(plain["own"][hit], return_index=True)[1]]:
+                        a_out.append(plain["id"][k])
+                        b_out.append(plain["id"][h])
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(
@@ -207,8 +255,8 @@ def near_duplicates(
         member = _labelled(buckets, links)
     spread = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     loose = stored(member.join(spread.select("key"), "key").select(F.col("rep").alias("id"), "component").distinct(), "loose")
-    rest = stored(_prefix_pairs(loose, sets, inter, union), "pairs")
-    links = links.unionByName(stored(_verified(rest, sets, inter, union), "links"))
+    across = stored(_across(loose, sets, inter, union), "across")
+    links = links.unionByName(stored(_linked_to(across, loose, sets, inter, union), "links"))
     label = components(links)
     drop(sets)
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import bounds, whole_groups
 from .components import components
 from .tables import stored
 
@@ -174,27 +175,12 @@ def near_duplicates(
     rows = rows.repartition("cell").sortWithinPartitions("cell", "p", "q", "lo", "hi")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in _ended(batches):
-            if batch is None:
-                ready, rest = rest, None
-            else:
-                table = pa.Table.from_batches([batch])
-                rest = pa.concat_tables([rest, table]) if rest is not None else table
-                cell_ = rest.column("cell").to_numpy()
-                cut = int(np.searchsorted(cell_, cell_[-1]))
-                if not cut:
-                    continue
-                ready, rest = rest.slice(0, cut), rest.slice(cut)
-            if ready is None or not len(ready):
-                continue
-            ready = ready.combine_chunks()
+        for ready in whole_groups(batches, "cell"):
             col = {c: ready.column(c).combine_chunks() for c in ready.column_names}
             plain = {c: col[c].to_numpy() for c in ("cell", "p", "q", "lo", "hi", "rep", "block", "n_copies")}
             piv = col["piv"].flatten().to_numpy().reshape(-1, take)
             unit = _matrix(col["unit"], dim)
-            mark = np.stack([plain[c] for c in ("cell", "p", "q", "lo", "hi")])
-            edge = np.flatnonzero(np.concatenate([[True], (mark[:, 1:] != mark[:, :-1]).any(axis=0), [True]]))
+            edge = bounds(*(plain[c] for c in ("cell", "p", "q", "lo", "hi")))
             out: list[np.ndarray] = []
             for a, b in zip(edge[:-1], edge[1:]):
                 if b - a < 2:
@@ -236,7 +222,3 @@ def near_duplicates(
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
 
-
-def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from (b for b in batches if b.num_rows)
-    yield None
