@@ -264,11 +264,12 @@ def near_duplicates(
         "n", "s1", "s2", "n_copies", F.coalesce("component", "rep").alias("component")
     )
     rows_ = base.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    component = F.coalesce("component", "id")
+    named_row = F.col("id").isNotNull()
+    component = F.when(named_row, F.coalesce("component", "id"))
     return rows_.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
-        F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
+        F.coalesce(F.when(named_row, F.col("n_copies")), F.lit(1).cast("long")).alias("n_copies"),
     )
