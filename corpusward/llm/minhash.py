@@ -273,3 +273,30 @@ def near_duplicates(
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
         F.coalesce(F.when(named_row, F.col("n_copies")), F.lit(1).cast("long")).alias("n_copies"),
     )
+
+
+#: DuckDB: links by joining all shingles, components by reachability.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS sh FROM d
+), k AS (
+  SELECT doc_id, CAST(len(sh) AS BIGINT) AS n, CASE WHEN len(sh) > 0 THEN md5(array_to_string(list_sort(sh), chr(10))) END AS h, sh FROM s
+), c AS (
+  SELECT h, min(doc_id) AS rep, count(*) AS copies, any_value(n) AS n, any_value(sh) AS sh FROM k WHERE n > 0 GROUP BY h
+), t AS (
+  SELECT rep, n, unnest(sh) AS x FROM c
+), l AS (
+  SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(node, seen) AS (
+  SELECT rep, rep FROM c UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.node
+), m AS (
+  SELECT node, min(seen) AS component FROM r GROUP BY node
+)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(m.component, k.doc_id) AS component_id, coalesce(m.component, k.doc_id) = k.doc_id AS kept, coalesce(c.copies, 1) AS n_copies
+FROM k LEFT JOIN c ON k.h = c.h LEFT JOIN m ON m.node = c.rep
+"""

@@ -222,3 +222,23 @@ def near_duplicates(
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
 
+
+
+#: DuckDB: links by comparing all vectors of a label, components by reachability.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), g AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), r(node, seen) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.seen FROM r JOIN l ON l.a = r.node
+), m AS (
+  SELECT node, min(seen) AS component FROM r GROUP BY node
+), c AS (
+  SELECT label, e, count(*) AS copies FROM g GROUP BY label, e
+)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, m.component AS component_id, m.component = v.vec_id AS kept, coalesce(c.copies, 1) AS n_copies
+FROM v JOIN m ON m.node = v.vec_id LEFT JOIN c ON c.label = v.label AND c.e = v.e
+"""

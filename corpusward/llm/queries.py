@@ -58,4 +58,6 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {
+        "op1_chat_formatting": chat.ORACLE, "op3_minhash_near_dedup": minhash.ORACLE, "op4_embedding_near_dedup": pivots.ORACLE, "op7_mixing": mixing.ORACLE,
+    }
