@@ -23,16 +23,12 @@ def whole_file(text: Column) -> list[Column]:
 def _texts(rules: DataFrame, corpus: DataFrame, wanted: list[str]) -> DataFrame:
     """(path, text, wanted) of every text and distinct rule part in some scope.
 
-    The scope is tested on the path in the scan; only texts in scope go on.
+    A part's scopes are tested together on the path, in the scan, so a text is there once
+    for each part that it is wanted for and is never shuffled.
     """
-    shape = rules.select("include_re", "exclude_re", *wanted).distinct()
-    hits = corpus.select("path", "text").join(_small(shape), in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
-    return hits.select("path", "text", *wanted).dropDuplicates(["path", *wanted]) if _overlaps(shape, wanted) else hits.select("path", "text", *wanted)
-
-
-def _overlaps(shape: DataFrame, wanted: list[str]) -> bool:
-    """Whether one wanted part has several scopes, which may both hold a path."""
-    return shape.count() != shape.select(*wanted).distinct().count()
+    shape = rules.groupBy(*wanted).agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes"))
+    wants = F.exists("scopes", lambda s: in_scope(F.col("path"), s["include_re"], s["exclude_re"]))
+    return corpus.select("path", "text").join(_small(shape), wants).select("path", "text", *wanted)
 
 
 def shared_evaluation(rules: DataFrame, corpus: DataFrame, shared: bool = True) -> DataFrame:

@@ -1,8 +1,8 @@
 """Pattern search with exact byte spans.
 
-Matches and the gaps between them are both arrays of one scan; their byte lengths give
-every offset.  The pieces are exploded with their lengths and summed by a window inside a
-document, so a document with many matches costs what its matches cost, not their square.
+Matches and the gaps between them are both arrays of one text; running sums of their byte
+lengths, taken by blocks inside the row, give every offset without a shuffle, and a text
+with many matches costs what its matches cost, not their square.
 """
 
 from __future__ import annotations
@@ -23,24 +23,28 @@ def is_match(df: DataFrame, pattern: str, text_col: str = "text", **flags: bool)
     return df.withColumn("is_match", F.col(text_col).rlike(java_pattern(pattern, **flags)))
 
 
-def match_structs(text: Column, java: Column | str) -> Column:
-    """Array of (ord, start_byte, end_byte, text) of all matches; for patterns that match no empty text.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
-    One running fold carries the offset, so the cost is linear in the number of matches.
-    """
-    java = F.lit(java) if isinstance(java, str) else java
-    found = F.regexp_extract_all(text, java, F.lit(0))
-    gaps = F.transform(F.split(text, java, -1), lambda g: F.octet_length(g))
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<ord:int,start_byte:bigint,end_byte:bigint,text:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        end = begin + F.octet_length(x["m"])
-        one = F.struct(F.size(acc["out"]).alias("ord"), begin.cast("long").alias("start_byte"), end.cast("long").alias("end_byte"), x["m"].alias("text"))
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+def running_sums(sizes: Column, block: int = 64) -> Column:
+    """Running sums of an array of longs, by blocks: a fold of the blocks, and short sums inside them."""
+    zero = F.lit(0).cast("long")
+    add = lambda acc, x: acc + x
+
+    def of(s: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / block).cast("int"))
+        sums = F.transform(starts, lambda b: F.aggregate(F.slice(s, b * block + 1, F.lit(block)), zero, add))
+        first = F.struct(zero.alias("at"), F.array(zero).alias("all"))
+        before = F.aggregate(sums, first, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["all"], acc["at"] + x).alias("all")))["all"]
+
+        def total(p: Column) -> Column:
+            return F.transform(s, lambda _, i: F.get(p, F.floor(i / block).cast("int")) + F.aggregate(F.slice(s, (i - i % block) + 1, i % block + 1), zero, add))
+
+        return _let(before, total)
 
-    return F.aggregate(pairs, start, step)["out"]
+    return F.when(F.size(sizes) > 0, _let(sizes, of))
 
 
 def find_all(df: DataFrame, pattern: str, keys: list[str] = ["path"], text_col: str = "text", groups: bool = False, **flags: bool) -> DataFrame:  # noqa: B006
@@ -61,19 +65,14 @@ def find_all(df: DataFrame, pattern: str, keys: list[str] = ["path"], text_col:
 def spans(df: DataFrame, java: Column, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys, ord, start_byte, end_byte, text) for a Java pattern given by a column.
 
-    The pieces of a document are exploded in order and their offsets come from a running sum
-    that stays inside the document's own rows.
+    Offsets are running sums of the byte lengths of gaps and matches.
     """
     text = F.col(text_col)
     found = F.regexp_extract_all(text, java, F.lit(0))
     gaps = F.transform(F.split(text, java, -1), lambda g: F.octet_length(g).cast("long"))
     rows = df.select(*keys, found.alias("_m"), gaps.alias("_g"))
-    sizes = F.transform("_m", lambda m: F.octet_length(m).cast("long"))
-    ends = F.aggregate(
-        F.zip_with(F.slice("_g", F.lit(1), F.size("_m")), sizes, lambda g, m: g + m),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
-        lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["all"], acc["at"] + x).alias("all")),
-    )["all"]
+    sizes = F.zip_with(F.slice("_g", F.lit(1), F.size("_m")), F.col("_m"), lambda g, m: g + F.octet_length(m))
+    ends = running_sums(sizes)
     rows = rows.where(F.size("_m") > 0).select(*keys, F.posexplode(F.arrays_zip(F.col("_m").alias("m"), ends.alias("e"))).alias("ord", "_x"))
     end = F.col("_x.e")
     return rows.select(*keys, "ord", (end - F.octet_length("_x.m")).alias("start_byte"), end.alias("end_byte"), F.col("_x.m").alias("text"))

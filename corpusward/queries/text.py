@@ -91,11 +91,11 @@ def e3_find_all_groups(spark, sf_dir):
     return found.select("path", "ord", "start_byte", "end_byte", *[F.col("groups")[g].alias(g) for g in ("user", "host", "tld")])
 
 
-@query(f"""WITH {CORPUS_SQL}, o AS ({spans_sql('path', 'corpus', repr('[^.]*[Ll]icen[sc]e[^.]*'))}), r AS (SELECT path || '#' || start_byte AS k, path, start_byte AS base, text FROM o),
+@query(f"""WITH {CORPUS_SQL}, o AS ({spans_sql('path', 'corpus', repr('[Ll]icen[sc]e[^.]*'))}), r AS (SELECT path || '#' || start_byte AS k, path, start_byte AS base, text FROM o),
 i AS ({spans_sql('k', 'r', repr('[A-Z][a-z]+'))})
 SELECT path, base, ord, start_byte + base AS start_byte, end_byte + base AS end_byte, i.text FROM i JOIN r USING (k)""")
 def e4_find_in(spark, sf_dir):
-    outer = patterns.find_all(corpus(spark, sf_dir), "[^.]*[Ll]icen[sc]e[^.]*").withColumn("base", F.col("start_byte"))
+    outer = patterns.find_all(corpus(spark, sf_dir), "[Ll]icen[sc]e[^.]*").withColumn("base", F.col("start_byte"))
     return patterns.find_in(outer, "[A-Z][a-z]+", ["path", "base"])
 
 

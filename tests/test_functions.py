@@ -88,3 +88,10 @@ def test_text_operators(spark):
 def test_overflow_is_an_error(spark):
     with pytest.raises(Exception, match="OVERFLOW"):
         spark.range(1).select(t.checked("+", F.lit(2**63 - 1), F.col("id") + 1)).collect()
+
+
+def test_offsets_of_many_matches(spark):
+    for n in (1, 63, 64, 65, 1000):
+        df = spark.createDataFrame([("p", "é-x" * n)], "path string, text string")
+        got = [(r.start_byte, r.end_byte) for r in patterns.find_all(df, "x").orderBy("ord").collect()]
+        assert got == [(4 * k + 3, 4 * k + 4) for k in range(n)]
