@@ -34,6 +34,8 @@ CLOSES_P = BLOCK_TAGS - {"body", "html"}
 # Names that page authors give to page furniture, and to articles.
 FURNITURE = frozenset("ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot colophon copyright sidebar side aside widget widgets related recommended cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search form share sharing social follow comment comments commentlist reply replies respond responses disqus discussion feedback pagination pager skip toolbar tags complementary contentinfo dialog".split())
 CONTENT = frozenset("article main content post entry story body text".split())
+_STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "footer", "masthead", "navbar", "navigation", "newsletter", "sidebar", "sponsor", "subscri")
+_LAYOUT = frozenset("has with without no layout".split())
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog search".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -117,13 +119,22 @@ def parse(html: str) -> list[Block]:
     return blocks
 
 
+@lru_cache(1 << 14)
+def _names_furniture(names: tuple[str, ...]) -> bool:
+    """Whether an element's names say furniture; a header of a post and a layout with a sidebar do not."""
+    if any(n in _LAYOUT for n in names):
+        return False
+    titled = any(n in CONTENT for n in names)
+    return any((n in FURNITURE or n.startswith(_STEMS)) and not (titled and n == "header") for n in names)
+
+
 def furniture(path: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[int, int, int]:
     """Numbers of furniture elements, of elements named like furniture, and of article elements in a path."""
     tags = hints = inside = 0
     for tag, names in path:
         if tag in FURNITURE_TAGS or (tag == "header" and not inside):
             tags += 1
-        elif tag not in ("body", "html", "article", "main") and any(n in FURNITURE for n in names):
+        elif tag not in ("body", "html", "article", "main") and names and _names_furniture(names):
             hints += 1
         if tag in ("article", "main"):
             inside += 1
@@ -203,6 +214,21 @@ _INVENTED = [
 ]
 
 
+# Elements that an article's blocks may also be in.
+_HOLDERS = [(("ul", ()), ("li", ())), (("ol", ()), ("li", ())), (("blockquote", ()),), (("blockquote", ()), ("p", ())), (("h2", ()),), (("h3", ()),), (("pre", ()),), (("div", ()),), (("figure", ()), ("figcaption", ())), (("table", ()), ("tr", ()), ("td", ())), (("dl", ()), ("dd", ())), (("div", ("entry", "header")), ("h1", ()))]
+
+
+def _otherwise(b: Block, rng: np.random.Generator) -> Block:
+    """A block of an article in another element, sometimes cut to a few words or partly linked."""
+    words = b.text.split(" ")
+    if rng.random() < 0.5:
+        at = int(rng.integers(len(words)))
+        words = words[at : at + int(rng.integers(1, 25))]
+    base = b.path[:-1] if b.path and b.path[-1][0] in ("p", "h1", "h2", "h3", "div") else b.path
+    linked = float(rng.random() * 0.6) if rng.random() < 0.3 else b.linked
+    return Block(base + _HOLDERS[rng.integers(len(_HOLDERS))], " ".join(words), linked)
+
+
 def _with_furniture(blocks: list[Block], labels: list[int], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
     """The page with invented furniture before, inside and after its article."""
     pool = [w for b in blocks for w in b.text.split(" ")] or ["page"]
@@ -228,9 +254,11 @@ def _with_furniture(blocks: list[Block], labels: list[int], rng: np.random.Gener
     for b, y in zip(blocks, labels):
         if swap and y:
             b = Block(tuple(x for part in b.path for x in (holder if part[0] == "article" else (part,))), b.text, b.linked)
+        if y and rng.random() < 0.3:
+            b = _otherwise(b, rng)
         out.append(b)
         marks.append(y)
-        if y and rng.random() < 0.08:
+        if y and rng.random() < 0.14:
             new = invented(not swap)
             out += new
             marks += [0] * len(new)
