@@ -177,18 +177,15 @@ def lines(df: DataFrame, keys: list[str] = ["path"], text_col: str = "text") ->
 
     There is no extra line after a final LF; a last line without LF keeps its CR.
     """
-    text = F.col(text_col)
-    parts = F.split(text, "\n", -1)
-    rows = df.select(*keys, F.size(parts).alias("_n"), F.posexplode(parts).alias("_i", "_raw"), F.lit(None).alias("_"))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("_raw").cast("long") + 1).over(before), F.lit(0))
-    rows = rows.withColumn("start_byte", start)
-    rows = rows.where((F.col("_i") < F.col("_n") - 1) | (F.col("_raw") != ""))
-    inner = F.when(F.col("_i") < F.col("_n") - 1, F.regexp_replace("_raw", "\r\\z", "")).otherwise(F.col("_raw"))
-    rows = rows.withColumn("text", inner)
-    return rows.select(*keys, (F.col("_i") + 1).cast("long").alias("line_no"), "start_byte", (F.col("start_byte") + F.octet_length("text")).alias("end_byte"), "text")
+    rows = df.select(*keys, F.split(F.col(text_col), "\n", -1).alias("_p"))
+    ends = running_sums(F.transform("_p", lambda p: F.octet_length(p).cast("long") + 1))
+    rows = rows.select(*keys, F.size("_p").alias("_n"), F.posexplode(F.arrays_zip(F.col("_p").alias("p"), ends.alias("e"))).alias("_i", "_x"))
+    last, raw = F.col("_i") == F.col("_n") - 1, F.col("_x.p")
+    rows = rows.where(~last | (raw != ""))
+    start = F.col("_x.e") - F.octet_length(raw) - 1
+    inner = F.when(last, raw).otherwise(F.regexp_replace(raw, "\r\\z", ""))
+    rows = rows.select(*keys, (F.col("_i") + 1).cast("long").alias("line_no"), start.alias("start_byte"), inner.alias("text"))
+    return rows.select(*keys, "line_no", "start_byte", (F.col("start_byte") + F.octet_length("text")).alias("end_byte"), "text")
 
 
 __all__ = ["capture_text", "find_all", "find_in", "first_match", "is_match", "java_quote", "lines", "literal_presence", "spans"]
