@@ -172,3 +172,55 @@ def test_line_diff(spark):
     decided = with_digest(old).select("path", F.when(F.col("path") == "q", "sha256:0").otherwise(F.col("file_digest")).alias("file_digest"))
     got = sorted((r.path, r.change, r.text, r.n) for r in ledger.line_diff(old, new, decided).collect() if r.text)
     assert got == [("p", "added", "c", 1), ("p", "removed", "b", 1)]
+
+
+def test_plain_files_are_read_and_classified(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_bytes("é".encode())
+    (tmp_path / "b.bin").write_bytes(b"\x00x")
+    got = {r.path.rsplit("/", 1)[1]: r.status for r in source.classify(source.read_files(spark, str(tmp_path)), 100).collect()}
+    assert got == {"a.txt": "checked", "b.bin": "binary"}
+
+
+def test_decisions_append_and_validate(spark, tmp_path):
+    from corpusward.functions.digest import text_digest
+    from corpusward.operators.detect import detect_each
+    from corpusward.operators.findings import add_identity, with_matched_digest
+
+    docs = corpus(spark, p="xx", q="no")
+    found = with_matched_digest(detect_each(rule(spark, ("r", "hit", "x", "x")), docs), docs).withColumn("kind", F.lit("review"))
+    found = add_identity(found.withColumns({"rule_digest": text_digest(F.lit("r")), "engine_digest": text_digest(F.lit("e"))}))
+    empty = ledger.record_digest(found.where("false").select("*", F.lit(1).alias("revision"), F.lit("").alias("decision"), F.lit("").alias("rationale"), F.lit(None).cast("string").alias("previous"), F.create_map().cast("map<string,string>").alias("watched_files")))
+    requests = found.select("finding_id", F.lit("acceptable").alias("decision"), F.when(F.col("start_byte") == 0, "fine").otherwise(" ").alias("rationale"), "evidence_digest", F.lit(None).cast("string").alias("expected_previous"), F.create_map().cast("map<string,string>").alias("watched_files"))
+    path = str(tmp_path / "ledger")
+    accepted, rejected = ledger.append_decisions(empty, requests, found, with_digest(docs), path)
+    assert [r.reject_reason for r in rejected.collect()] == ["empty_rationale"]
+    stored = spark.read.parquet(path)
+    assert stored.count() == 1 and ledger.validate_ledger(stored).count() == 0
+    again = requests.where("rationale = 'fine'")
+    assert ledger.append_decisions(stored, again, found, with_digest(docs))[1].first().reject_reason == "previous_record_changed"
+    linked = again.drop("expected_previous").join(stored.select("finding_id", F.col("record_digest").alias("expected_previous")), "finding_id")
+    second, none = ledger.append_decisions(stored, linked, found, with_digest(docs))
+    assert none.count() == 0 and second.first().revision == 2
+    broken = stored.withColumn("rationale", F.lit(""))
+    assert {r.problem for r in ledger.validate_ledger(broken).collect()} == {"empty_rationale"}
+
+
+def test_ledger_gaps_and_broken_links(spark):
+    base = dict(decision="acceptable", rule_id="r", code="c", path="p", start_byte=0, end_byte=1, rationale="x", watched_files={})
+    rows = [("f", 1, None, "sha256:" + "a" * 64), ("f", 3, "sha256:" + "b" * 64, "sha256:" + "c" * 64)]
+    schema = "finding_id string, revision int, previous string, record_digest string"
+    df = spark.createDataFrame(rows, schema).withColumns({k: F.create_map().cast("map<string,string>") if k == "watched_files" else F.lit(v) for k, v in base.items()})
+    df = df.withColumns({c: F.lit("sha256:" + "0" * 64) for c in ("matched_digest", "rule_digest", "file_digest", "context_digest", "engine_digest", "evidence_digest")})
+    got = {(r.revision, r.problem) for r in ledger.validate_ledger(df).collect()}
+    assert {(3, "revision_gap"), (3, "broken_link"), (1, "malformed_digest"), (1, "identity_mismatch")} <= got
+
+
+def test_prefixes(spark):
+    from corpusward.operators.findings import resolve_prefix, short_prefix
+
+    ids = spark.createDataFrame([("sha256:" + "ab" * 32,), ("sha256:" + "ab" * 5 + "cd" * 27,), ("sha256:" + "0" * 64,)], "finding_id string")
+    assert short_prefix(ids).first().prefix_length == 11
+    wanted = spark.createDataFrame([("ab" * 5,), ("ab" * 5 + "c",), ("0" * 7,), ("0" * 8,), ("sha256:" + "ab" * 32,), ("ff" * 8,)], "wanted string")
+    got = {r.wanted: r.outcome for r in resolve_prefix(ids, wanted).collect()}
+    assert [got[w.wanted] for w in wanted.collect()] == ["ambiguous", "resolved", "unmatched", "resolved", "resolved", "unmatched"]
