@@ -68,9 +68,10 @@ def _text_view(data, offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         mix(shapes(data, starts, ends) ^ _SALTS["shape"]),
     ]) & np.uint64(TEXT_DIMS - 1)
     pair, count = np.unique(np.concatenate([doc, doc[longer], doc]) * TEXT_DIMS + column.astype(np.int64), return_counts=True)
-    at, column, value = pair // TEXT_DIMS, pair % TEXT_DIMS, 1 + np.log(count)
+    at, column, value = pair // TEXT_DIMS, (pair % TEXT_DIMS).astype(np.int32), 1 + np.log(count)
     norm = np.sqrt(np.bincount(at, value * value, minlength=n))
     value = value / np.maximum(norm, SHORT)[at]  # a text of a few words says little
+    value = value.astype(np.float32)
     return np.searchsorted(at, np.arange(n + 1)), column, value, starts, rows
 
 
@@ -235,14 +236,12 @@ def _joined(a: Rows, b: Rows) -> Rows:
     )
 
 
-def _stack(parts: list[Rows]) -> Rows:
-    out = Rows(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(LAYOUT) + NAME_DIMS)))
-    size = np.cumsum([0] + [int(p.start[-1]) for p in parts])
-    if not parts:
-        return out
+def _packed(frame) -> Rows:
+    """Rows of a frame that holds the views as bytes."""
+    size = np.array([len(c) // 4 for c in frame["column"]], np.int64)
+    meta = np.frombuffer(b"".join(frame["meta"]), np.float32).astype(float).reshape(len(frame), len(LAYOUT) + NAME_DIMS)
     return Rows(
-        np.concatenate([[0], *[p.start[1:] + s for p, s in zip(parts, size)]]), np.concatenate([p.column for p in parts]),
-        np.concatenate([p.value for p in parts]), np.concatenate([p.meta for p in parts]),
+        np.concatenate([[0], np.cumsum(size)]).astype(np.int64), np.frombuffer(b"".join(frame["column"]), np.int32), np.frombuffer(b"".join(frame["value"]), np.float32), meta
     )
 
 
@@ -269,7 +268,7 @@ def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Rows]]:
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
     lang_col: str | None = "lang", chars_col: str | None = "n_chars", label_col: str = "quality", train_on=None,
-    labelled: int = 3000, pool: int = 3000, rounds: int = 3,
+    labelled: int = 2500, pool: int = 2000, rounds: int = 3,
 ) -> Views:
     """The co-trained views of bounded samples of ``docs``; see :func:`classify_quality`."""
     columns = _Columns(docs, id_col, text_col, source_col, lang_col, chars_col)
@@ -298,19 +297,19 @@ def fit(
     sample = rows.join(F.broadcast(chosen), "id").select("id", "text", "source", "lang", "stated", "y")
     sample = stored(sample.mapInArrow(extract, f"id {columns.id_type}, y int, column binary, value binary, meta binary"), "views")
     frame = sample.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").toPandas()
-    parts = [
-        Rows(np.array([0, len(c) // 4]), np.frombuffer(c, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float), np.frombuffer(m, np.float32).astype(float)[None, :])
-        for c, v, m in zip(frame["column"], frame["value"], frame["meta"])
-    ]
     has = frame["y"].notna().to_numpy()
-    every = _stack(parts)
-    return co_train(every.take(np.flatnonzero(has)), frame["y"][has].to_numpy(float), every.take(np.flatnonzero(~has)), rounds)
+    y = frame["y"][has].to_numpy(float)
+    every = _packed(frame)
+    del frame
+    own_rows, pool_rows = every.take(np.flatnonzero(has)), every.take(np.flatnonzero(~has))
+    del every
+    return co_train(own_rows, y, pool_rows, rounds)
 
 
 def classify_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
     lang_col: str | None = "lang", chars_col: str | None = "n_chars", label_col: str = "quality", train_on=None,
-    labelled: int = 3000, pool: int = 3000, rounds: int = 3, threshold: float = 0.3,
+    labelled: int = 2500, pool: int = 2000, rounds: int = 3, threshold: float = 0.3,
 ) -> DataFrame:
     """(id_col, text_score, meta_score, score, kept) for every row of ``docs``.
 
