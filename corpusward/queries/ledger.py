@@ -61,7 +61,8 @@ def h4_result_key(spark, sf_dir):
     return pairs.groupBy("rule_id").agg(F.count("*").alias("n_pairs"), F.count_distinct("result_key").alias("n_keys"))
 
 
-@query("SELECT * FROM (VALUES ('local/token', TRUE, FALSE), ('global/licence', FALSE, FALSE)) t(rule_id, kept_on_other_edit, kept_on_own_deletion)")
+@query(f"""WITH {CORPUS_SQL}, {RULES_SQL} SELECT rule_id, NOT EXISTS (SELECT 1 FROM corpus WHERE path LIKE 'src5/en/%' AND {SCOPE_SQL}) AS kept_on_other_edit,
+  NOT EXISTS (SELECT 1 FROM corpus WHERE (path LIKE 'src0/en/%' OR path LIKE 'src2/%') AND {SCOPE_SQL}) AS kept_on_own_deletion FROM rules WHERE rule_id IN ('local/token', 'global/licence')""")
 def h5_repository_result_key(spark, sf_dir):
     files = with_digest(corpus(spark, sf_dir)).select("path", "file_digest")
     some = _keyed_rules(spark).where(F.col("rule_id").isin("local/token", "global/licence"))

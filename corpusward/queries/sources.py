@@ -110,7 +110,7 @@ def a11_cumulative_quota(spark, sf_dir):
 
 @query(f"""WITH {CORPUS_SQL}, {RULES_SQL}, c AS (SELECT path, (path LIKE 'src9/%') AS is_ignored, CASE WHEN path LIKE 'src8/%' THEN 'excluded' WHEN strlen(text) > 6000 THEN 'gap' ELSE 'checked' END AS status FROM corpus)
 SELECT rule_id, scope_reason, count(*) AS n_paths FROM (SELECT rule_id, CASE WHEN is_ignored THEN 'ignored' WHEN status = 'excluded' THEN 'excluded: old' WHEN status = 'gap' THEN 'gap: oversized'
-  WHEN NOT regexp_matches(path, include_re) THEN 'not_included' WHEN regexp_matches(path, exclude_re) THEN 'excluded_by_rule' WHEN rule_id = 'global/insult' THEN 'missing_required_file' ELSE 'in_scope' END AS scope_reason
+  WHEN NOT regexp_matches(path, include_re) THEN 'not_included' WHEN regexp_matches(path, exclude_re) THEN 'excluded_by_rule' WHEN rule_id = 'global/insult' OR rule_id = 'local/token' AND NOT EXISTS (SELECT 1 FROM corpus WHERE path = 'src0/fr/0.txt') THEN 'missing_required_file' ELSE 'in_scope' END AS scope_reason
   FROM c, rules WHERE mode <> 'disabled') GROUP BY rule_id, scope_reason""")
 def a12_explain_scope(spark, sf_dir):
     files = selection.apply_exclusions(corpus(spark, sf_dir), [("src8/**", "old")])
