@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.operators.scope import scope_patterns
+from corpusward.functions.globs import any_glob_regex
 from corpusward.sources.corpus import to_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,8 +96,19 @@ def rules(spark: SparkSession, enabled: bool = True) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
+def dimension(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
+    """A small table given in the program, as a local relation whose size the optimizer knows."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "strings": pa.list_(pa.string())}
+    parts = list(zip(*rows)) or [[] for _ in columns]
+    return spark.createDataFrame(pa.table({name: pa.array(list(v), kinds[kind]) for (name, kind), v in zip(columns.items(), parts)}))
+
+
 def rule_rows(spark: SparkSession, enabled: bool = True) -> DataFrame:
     """The rule rows in the flat form that templates take, scopes as patterns."""
-    flat = [(r[0], r[1], r[2], r[3], r[4], r[5], r[9], r[10], r[11]) for r in RULES if not enabled or r[2] != "disabled"]
-    rows = spark.createDataFrame(flat, "rule_id string, code string, mode string, severity string, intent string, kind string, regex string, needle string, most int")
-    return rows.join(F.broadcast(scope_patterns(rules(spark, enabled))), "rule_id")
+    none = "(?!)"
+    flat = [
+        (r[0], r[1], r[2], r[3], r[4], r[5], r[9], r[10], r[11], any_glob_regex(r[6]) or none, any_glob_regex(r[7]) or none, r[8])
+        for r in RULES if not enabled or r[2] != "disabled"
+    ]
+    names = dict.fromkeys(("rule_id", "code", "mode", "severity", "intent", "kind", "regex", "needle"), "string")
+    return dimension(spark, flat, names | {"most": "int", "include_re": "string", "exclude_re": "string", "require_files": "strings"})

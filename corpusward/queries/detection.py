@@ -155,9 +155,10 @@ def g16_add_snippet(spark, sf_dir):
 
 
 def diagnostics(spark):
-    from .base import RULES
+    from .base import RULES, dimension
 
-    return spark.createDataFrame([(r[0], r[1], r[5], f"{r[1]} found", f"look at {r[1]}") for r in RULES], "rule_id string, code string, kind string, message string, help string")
+    rows = [(r[0], r[1], r[5], f"{r[1]} found", f"look at {r[1]}") for r in RULES]
+    return dimension(spark, rows, dict.fromkeys(("rule_id", "code", "kind", "message", "help"), "string"))
 
 
 @query(f"WITH {MATCHES} SELECT {_RAW}, kind, severity, mode, code || ' found' AS message, 'look at ' || code AS help, mode IN ('enforced', 'advisory') AS blocking FROM found")

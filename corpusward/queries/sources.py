@@ -192,7 +192,7 @@ def c1_glob_match(spark, sf_dir):
 
 @query(f"WITH {CORPUS_SQL}, {RULES_SQL} SELECT rule_id, path FROM corpus, rules WHERE mode <> 'disabled' AND {SCOPE_SQL}")
 def c2_scope_join(spark, sf_dir):
-    return scope.scope_join(rule_rows(spark), corpus(spark, sf_dir))
+    return scope.scope_join(scope.scope_patterns(rules(spark)), corpus(spark, sf_dir))
 
 
 @query(f"WITH {CORPUS_SQL}, {RULES_SQL} SELECT rule_id, CASE rule_id WHEN 'global/insult' THEN EXISTS (SELECT 1 FROM corpus WHERE path = 'missing.txt') WHEN 'local/token' THEN EXISTS (SELECT 1 FROM corpus WHERE path = 'src0/fr/0.txt') ELSE TRUE END AS applicable FROM rules WHERE mode <> 'disabled'")
