@@ -20,15 +20,15 @@ def whole_file(text: Column) -> list[Column]:
     return [F.lit(0).cast("long").alias("start_byte"), F.octet_length(text).cast("long").alias("end_byte")]
 
 
-def _texts(rules: DataFrame, corpus: DataFrame, wanted: list[str]) -> DataFrame:
-    """(path, text, wanted) of every text and distinct rule part in some scope.
+def _texts(rules: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(path, text, regex) of every text and distinct regex that finds something in it, in some scope.
 
-    A part's scopes are tested together on the path, in the scan, so a text is there once
-    for each part that it is wanted for and is never shuffled.
+    A regex's scopes are tested together on the path, and before the text, in the scan; so a
+    text is there once for each regex that it is wanted for and is never shuffled.
     """
-    shape = rules.groupBy(*wanted).agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes"))
+    shape = rules.groupBy("regex").agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes"))
     wants = F.exists("scopes", lambda s: in_scope(F.col("path"), s["include_re"], s["exclude_re"]))
-    return corpus.select("path", "text").join(_small(shape), wants).select("path", "text", *wanted)
+    return corpus.select("path", "text").join(_small(shape), wants & F.rlike("text", "regex")).select("path", "text", "regex")
 
 
 def shared_evaluation(rules: DataFrame, corpus: DataFrame, shared: bool = True) -> DataFrame:
@@ -39,7 +39,7 @@ def shared_evaluation(rules: DataFrame, corpus: DataFrame, shared: bool = True)
     if not shared:
         hits = corpus.select("path", "text").join(_small(rules.select("rule_id", "include_re", "exclude_re", "regex")), in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
         return spans(hits.where(F.rlike("text", "regex")), F.col("regex"), ["rule_id", "path"])
-    found = spans(_texts(rules, corpus, ["regex"]).where(F.rlike("text", "regex")), F.col("regex"), ["path", "regex"])
+    found = spans(_texts(rules, corpus), F.col("regex"), ["path", "regex"])
     uses = _small(rules.select("rule_id", "regex", "include_re", "exclude_re"))
     fanned = found.join(uses, "regex").where(in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
     return fanned.select("rule_id", "path", "ord", "start_byte", "end_byte", "text")
@@ -76,8 +76,7 @@ def detect_presence(rules: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def detect_lines(rules: DataFrame, corpus: DataFrame) -> DataFrame:
     """Lines in which the pattern is found."""
-    held = _texts(rules, corpus, ["regex"]).where(F.rlike("text", "regex"))
-    hits = lines(held, ["path", "regex"]).where(F.rlike("text", "regex"))
+    hits = lines(_texts(rules, corpus), ["path", "regex"]).where(F.rlike("text", "regex"))
     uses = _small(rules.select("rule_id", "code", "regex", "include_re", "exclude_re"))
     return hits.join(uses, "regex").where(in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re"))).select(*RAW)
 

@@ -73,7 +73,7 @@ def spans(df: DataFrame, java: Column, keys: list[str], text_col: str = "text")
     rows = df.select(*keys, found.alias("_m"), gaps.alias("_g"))
     sizes = F.zip_with(F.slice("_g", F.lit(1), F.size("_m")), F.col("_m"), lambda g, m: g + F.octet_length(m))
     ends = running_sums(sizes)
-    rows = rows.where(F.size("_m") > 0).select(*keys, F.posexplode(F.arrays_zip(F.col("_m").alias("m"), ends.alias("e"))).alias("ord", "_x"))
+    rows = rows.select(*keys, F.posexplode(F.arrays_zip(F.col("_m").alias("m"), ends.alias("e"))).alias("ord", "_x"))
     end = F.col("_x.e")
     return rows.select(*keys, "ord", (end - F.octet_length("_x.m")).alias("start_byte"), end.alias("end_byte"), F.col("_x.m").alias("text"))
 
