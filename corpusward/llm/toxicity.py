@@ -179,7 +179,7 @@ def score_toxicity(
     rows that may be learnt from (all by default).  At most ``examples`` rows are examples,
     chosen by a hash of the id.  Null and empty texts, and texts without a word of the
     vocabulary, get the score of no neighbours.  Without labels of both classes every
-    score is the share of label 1 (0.5 without any label).  Repeated rows are scored each;
+    score is within 0.001 of the share of label 1 (0.5 without any label).  Repeated rows are scored each;
     of repeated labels the larger counts; null ids are scored but never examples.  Other
     columns are ignored.
     """
