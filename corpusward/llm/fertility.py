@@ -212,12 +212,22 @@ def base_failed():
     return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
+#: Languages up to which the table of bands is broadcast.
+BROADCAST_LANGUAGES = 1000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table of one row a language, written, and to be broadcast if there are few."""
+    df = stored(df, "languages")
+    return F.broadcast(df) if df.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES else df
+
+
 def learned_bands(figures: DataFrame, width: float, least_width: dict[str, float]) -> DataFrame:
     """(lang, low and high of each figure) over all rows that pass the base rules."""
     sound = figures.where(~base_failed())
     middle = sound.groupBy("lang").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in FIGURES])
-    away = sound.join(middle, "lang").groupBy("lang").agg(
-        *[F.first(f"{c}_mid").alias(f"{c}_mid") for c in FIGURES],
+    away = sound.join(_small(middle), "lang").groupBy("lang").agg(
+        *[F.max(f"{c}_mid").alias(f"{c}_mid") for c in FIGURES],
         *[F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 1000).alias(f"{c}_off") for c in FIGURES],
     )
     half = {c: F.greatest(F.col(f"{c}_off") * width, F.lit(least_width[c])) for c in FIGURES}
@@ -246,7 +256,7 @@ def quality_rules(
     """
     figures = stored(measure(docs, id_col, text_col, lang_col, tokenizers), "figures")
     if bands is None:
-        limits = learned_bands(figures, width, least_width).withColumnRenamed("lang", "band")
+        limits = _small(learned_bands(figures, width, least_width).withColumnRenamed("lang", "band"))
         rows = figures.join(limits, F.col("lang") == F.col("band"), "left")
         low = {c: F.col(f"{c}_low") for c in FIGURES}
         high = {c: F.col(f"{c}_high") for c in FIGURES}
