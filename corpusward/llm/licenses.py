@@ -1,7 +1,8 @@
 """Licence scans by sentence-rule recognition.
 
-A text is cut into sentences; each is normalised (lower case, runs of anything but
-letters and digits as one space) and looked up in a table of known licence sentences.
+A text is cut into lines and sentences; each is normalised without the comment leader of
+its line (lower case, runs of anything but letters and digits as one space), and the
+longest run of lines from each place that joins to a known licence sentence is one.
 The identifiers found, in text order, are matched against ordered rules: a rule is a
 sequence of identifiers that must follow one another with at most ``gap`` unknown
 sentences between neighbours.  Rules are tried by falling length at every place, so a
@@ -53,6 +54,13 @@ SENTENCES: dict[str, str] = {
     "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "reserved": "All rights reserved",
+    "gpl-free-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    "bsd-no-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    "isc-no-liability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    "mpl-copy-2": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "unlicense-grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
 }
 #: (licence, identifiers in order); the more specific rule is the longer one.
 RULES: list[tuple[str, tuple[str, ...]]] = [
@@ -63,23 +71,31 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Apache-2.0", ("apache-header", "apache-copy", "apache-basis", "apache-limits")),
     ("Apache-2.0", ("apache-header",)), ("Apache-2.0", ("apache-notice",)),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-details")), ("GPL-3.0-or-later", ("gpl-free",)),
+    ("GPL-3.0-or-later", ("gpl-free-2", "gpl-hope", "gpl-details")), ("GPL-3.0-or-later", ("gpl-free-2",)),
     ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-details")), ("GPL-2.0-or-later", ("gpl2-free",)),
     ("GPL-3.0", ("gpl3-notice",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-notice",)), ("CC-BY-NC-4.0", ("cc-by-nc-work",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-notice",)), ("CC-BY-SA-4.0", ("cc-by-sa-work",)),
     ("CC-BY-4.0", ("cc-by-notice",)), ("CC-BY-4.0", ("cc-by-work",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-no-liability")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-no-liability")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("ISC", ("isc-grant",)),
-    ("MPL-2.0", ("mpl-notice", "mpl-copy")), ("MPL-2.0", ("mpl-notice",)),
-    ("Unlicense", ("unlicense",)),
+    ("ISC", ("isc-grant", "isc-as-is", "isc-no-liability")), ("ISC", ("isc-grant",)),
+    ("MPL-2.0", ("mpl-notice", "mpl-copy")), ("MPL-2.0", ("mpl-notice", "mpl-copy-2")), ("MPL-2.0", ("mpl-notice",)),
+    ("Unlicense", ("unlicense", "unlicense-grant")), ("Unlicense", ("unlicense",)),
     ("proprietary", ("reserved",)),
 ]
 
 _OTHER = re.compile(r"[^A-Za-z0-9]+")
-#: A sentence ends at . ; : ! ? before white space or the end, or at a line that ends a block.
-_END = re.compile(r"[.;:!?]+(?=\s|$)|\n\s*\n|\n(?=\s*(?:[-*#/]|\d+[.)]))")
-_LINE = re.compile(r"\n")
+#: A sentence ends at . ; : ! ? before white space or the end, or at an empty line.
+_END = re.compile(r"[.;:!?]+(?=\s|$)|\n\s*\n")
+#: Texts are cut at lines too; lines may be joined again.
+_CUT = re.compile(r"[.;:!?]+(?=\s|$)|\n")
+#: What may stand before and after the words of a line: marks of comments, lists, headings and quotes.
+_LEAD = re.compile(r"(?:[^\S\n]|<!--+|[-*#/;%>|!'\"]|\.\\\"|(?:dnl|rem|c)(?=[ \t])|\(?(?:\d{1,2}|[a-z])\)(?=[ \t]))*", re.I)
+_SPACE = re.compile(r"[^\S\n]*")
+_TAIL = " \t\r\n\f\v*#|"
 
 
 def normalise(sentence: str) -> str:
@@ -99,6 +115,8 @@ class Recogniser:
             self.parts[name] = tuple(f"{name}/{i}" for i in range(len(keys)))
             for i, key in enumerate(keys):
                 self.known.setdefault(key, []).append(f"{name}/{i}")
+        words = [k.split() for k in self.known]
+        self.prefixes = {" ".join(w[: i + 1]) for w in words for i in range(len(w))}
         steps = [(licence, "+".join(names), tuple(p for n in names for p in self.parts[n])) for licence, names in rules]
         self.rules: dict[str, list[tuple[str, str, tuple[str, ...]]]] = {}
         for licence, rule, chain in sorted(steps, key=lambda s: (-len(s[2]), s[1])):
@@ -109,26 +127,45 @@ class Recogniser:
         firsts += [k for k in self.known if len(k) <= 8]
         self.hint = re.compile("|".join(map(re.escape, firsts)))
 
+    def _sentences(self, text: str, block: list[tuple[int, int, str]], n: int, found: list[tuple[int, int, int, list[str]]]) -> int:
+        """Add the known sentences among the joined lines of ``block``; the number of the next sentence."""
+        i = 0
+        while i < len(block):
+            key, last = "", -1
+            for j in range(i, len(block)):
+                key = f"{key} {block[j][2]}" if key else block[j][2]
+                if key not in self.prefixes:
+                    break
+                if key in self.known:
+                    last, names = j, self.known[key]
+            if last >= 0:
+                start, end = block[i][0], block[last][1]
+                passage = text[start:end].rstrip(_TAIL).removesuffix("*/").removesuffix("-->").rstrip(_TAIL)
+                found.append((n, start, start + len(passage), names))
+                i = last
+            n += 1
+            i += 1
+        return n
+
     def __call__(self, text: str) -> list[tuple[str, str, int, int]]:
         """(licence, rule, start, end) in characters, in text order, without overlaps."""
         if not self.hint.search(text.lower()):
             return []
         found: list[tuple[int, int, int, list[str]]] = []  # sentence number, span, identifiers
         at = n = 0
-        for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-            parts = [(at, end)]
-            if "\n" in text[at:end].strip() and normalise(text[at:end]) not in self.known:
-                # Not a wrapped known sentence: its lines may be notices of their own.
-                marks = [at, *(m.end() for m in _LINE.finditer(text, at, end)), end]
-                parts = list(zip(marks[:-1], marks[1:]))
-            for start, stop in parts:
-                raw = text[start:stop]
-                key = normalise(raw)
-                if key:
-                    if key in self.known:
-                        lead = len(raw) - len(raw.lstrip())
-                        found.append((n, start + lead, start + len(raw.rstrip()), self.known[key]))
-                    n += 1
+        opens = True  # at the start of a line
+        block: list[tuple[int, int, str]] = []  # span and key of lines that no sentence end or empty line parts
+        while at < len(text):
+            start = (_LEAD if opens else _SPACE).match(text, at).end()
+            mark = _CUT.search(text, start)
+            end = mark.end() if mark else len(text)
+            key = normalise(text[start:end])
+            if key:
+                block.append((start, end, key))
+            opens = mark is not None and mark[0] == "\n"
+            if not key or not opens:
+                n = self._sentences(text, block, n, found)
+                block = []
             at = end
         out, i = [], 0
         while i < len(found):

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -121,6 +122,35 @@ def test_license_steps_must_be_in_order():
     assert not find(f"{s['mit-grant']}\n\n{s['mit-condition']}. Something else. {s['as-is']}.")
 
 
+def commented(lines, lead, open_with="", close_with=""):
+    return "\n".join([*([open_with] if open_with else []), *[f"{lead} {line}".rstrip() for line in lines], *([close_with] if close_with else [])]) + "\n"
+
+
+def wrapped_lines(sentences, width=70, end="."):
+    return [line for k, x in enumerate(sentences) for line in ([""] if k else []) + textwrap.wrap(x if x.endswith(":") else x + end, width)]
+
+
+@pytest.mark.parametrize("lead, open_with, close_with", [(" *", "/*", " */"), ("#", "", ""), ("//", "", ""), ("--", "", ""), ("dnl", "", ""), (";;", "", ""), ("", "", "")])
+def test_license_headers_in_comments(lead, open_with, close_with):
+    s = licenses.SENTENCES
+    find = licenses.Recogniser(s, licenses.RULES, 2)
+    for licence, rule in licenses.RULES:
+        body = wrapped_lines([s[name] for name in rule], 60)
+        text = commented(["Copyright (c) 2020 Some Body", *body, "", "Other words"], lead, open_with, close_with)
+        hits = find(text)
+        assert [h[0] for h in hits] == [licence] and hits[0][1].count("+") == len(rule) - 1, (rule, hits)
+        passage = text[hits[0][2] : hits[0][3]]
+        assert passage[:8] == s[rule[0]][:8] and licenses.normalise(passage).split()[-1] == licenses.normalise(s[rule[-1]]).split()[-1]
+
+
+def test_license_lists_in_comments():
+    s = licenses.SENTENCES
+    body = [s["bsd-grant"], *(f"{k}. {s[n]}" for k, n in enumerate(("bsd-source", "bsd-binary", "bsd-endorse"), 1)), s["bsd-as-is"], s["bsd-no-liability"]]
+    assert [h[0] for h in licenses.Recogniser(s, licenses.RULES, 2)(commented(wrapped_lines(body), " *", "/*", " */"))] == ["BSD-3-Clause"]
+    body = [s["bsd-grant"], f"(1) {s['bsd-source']}", f"b) {s['bsd-binary']}"]
+    assert [h[0] for h in licenses.Recogniser(s, licenses.RULES, 2)(commented(wrapped_lines(body), "#"))] == ["BSD-2-Clause"]
+
+
 # 3 near-duplicates
 
 
