@@ -1,9 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Examples are a bounded sample of the labelled texts, half of each class where there are
-enough.  The vocabulary holds words and four-letter word beginnings whose shares of the
-two classes of examples differ by more than ``least_z`` standard errors; their inverse
-document frequencies count all documents.  The index stores postings by term and block of
+enough.  The vocabulary holds every word and four-letter word beginning of the examples;
+a term weighs more the more standard errors its shares of the two classes of examples
+differ by, and never nothing.  Inverse document frequencies count all documents.  The index stores postings by term and block of
 similar examples, with the largest weight of each term in each block.  For a text, blocks
 are opened in order of the bound that these maxima give, until no block can hold a nearer
 example than those found: the ``neighbours`` nearest are exact.  Their labels vote by
@@ -42,6 +42,21 @@ def _counted(doc: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return pair // n, pair % n, count
 
 
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of a column of lists, one list after another."""
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
+def _telling(row: np.ndarray, rank: np.ndarray, y: np.ndarray, n_terms: int, half_z: float) -> np.ndarray:
+    """A weight over 0 and under 1 of each term, by the standard errors between its shares of the classes of examples."""
+    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
+    a, b = np.bincount(rank, y[row], minlength=n_terms), np.bincount(rank, 1 - y[row], minlength=n_terms)
+    share = (a + b) / max(len(y), 1)
+    z2 = (a / n1 - b / n0) ** 2 / (share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    return (z2 + 0.01 * half_z**2) / (z2 + half_z**2)
+
+
 class Vocabulary:
     """Term hashes in order, with the weight that a term's document frequency gives."""
 
@@ -64,7 +79,7 @@ class Vocabulary:
 class BlockMaxIndex:
     """Inverted lists of unit vectors in blocks, with the largest weight of a term in each block."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 256):
         # Blocks of examples with the same heaviest terms have low bounds for other texts.
         lead = [(-1, -1) if not len(t) else tuple(t[np.argsort(-w, kind="stable")[:2]].tolist()) for t, w in vectors]
         self.order = np.array(sorted(range(len(vectors)), key=lambda i: (lead[i], i)), np.int64)
@@ -74,8 +89,8 @@ class BlockMaxIndex:
         weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
         key = term * self.n_blocks + slot // block
         by = np.lexsort((slot, key))
-        self.slot, self.weight = slot[by], weight[by]
-        self.start = np.searchsorted(key[by], np.arange(n_terms * self.n_blocks + 1))
+        self.slot, self.weight = slot[by].astype(np.int32), weight[by]
+        self.start = np.searchsorted(key[by], np.arange(n_terms * self.n_blocks + 1)).astype(np.int32)
         self.most = np.zeros((n_terms, self.n_blocks))
         np.maximum.at(self.most, (term, slot // block), weight)
 
@@ -167,9 +182,7 @@ def score_toxicity(
     label_col: str = "toxic",
     train_on=None,
     examples: int = 2000,
-    least_z: float = 5.0,
-    least_examples: int = 8,
-    most_terms: int = 4096,
+    half_z: float = 5.0,
     neighbours: int = 15,
     evidence: int = 3,
 ) -> DataFrame:
@@ -177,8 +190,9 @@ def score_toxicity(
 
     ``labels`` has the id and a 0/1 label; ``train_on`` is a column condition on it for the
     rows that may be learnt from (all by default).  At most ``examples`` rows are examples,
-    chosen by a hash of the id.  Null and empty texts, and texts without a word of the
-    vocabulary, get the score of no neighbours.  Without labels of both classes every
+    chosen by a hash of the id.  A term at ``half_z`` standard errors between the classes
+    has half of the weight of a certain one.  Null and empty texts, and texts without a
+    word of any example, get the score of no neighbours.  Without labels of both classes every
     score is within 0.001 of the share of label 1 (0.5 without any label).  Repeated rows are scored each;
     of repeated labels the larger counts; null ids are scored but never examples.  Other
     columns are ignored.
@@ -215,17 +229,11 @@ def score_toxicity(
 
     texts = all_texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "y", "text")
     parsed = stored(texts.mapInArrow(parse, f"id {id_type}, y int, terms array<long>, counts array<long>"), "examples")
-    sizes = parsed.agg(F.sum("y").alias("n1"), F.count("*").alias("n")).first()
-    n1, n0 = int(sizes["n1"] or 0), int(sizes["n"] - (sizes["n1"] or 0))
-    flat = parsed.select("id", "y", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("id", "y", F.col("t.terms").alias("term"), F.col("t.counts").alias("count"))
-    share = (F.col("a") + F.col("b")) / (n0 + n1)
-    z = (F.col("a") / max(n1, 1) - F.col("b") / max(n0, 1)) / F.sqrt(share * (1 - share) * (1 / max(n1, 1) + 1 / max(n0, 1)) + 1e-12)
-    picked = (
-        flat.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-        .where(F.col("a") + F.col("b") >= least_examples).withColumn("z", F.abs(z)).where(F.col("z") >= least_z)
-        .orderBy(F.desc("z"), "term").limit(most_terms).select("term")
-    )
-    terms = np.sort(np.array([r["term"] for r in picked.collect()], np.int64).view(np.uint64))
+    held = parsed.orderBy("id").toArrow()  # at most `examples` rows
+    ids, y = held["id"].to_pylist(), held["y"].to_numpy().astype(float)
+    row = np.repeat(np.arange(len(ids)), [len(t) for t in held["terms"]])
+    terms, rank = np.unique(_flat(held["terms"]).view(np.uint64), return_inverse=True)
+    count = _flat(held["counts"])
     vocabulary = Vocabulary(terms)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,17 +246,14 @@ def score_toxicity(
         yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(np.concatenate([[n], df[rank[1:]]]))], names=["rank", "n"])
 
     tally = all_texts.select("text").mapInArrow(frequencies, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n"))
-    tally = {r["rank"]: r["n"] for r in tally.collect()}  # one row a term of the vocabulary
-    df = np.array([tally.get(i, 0) for i in range(len(terms))], float)
-    vocabulary.idf = np.log((tally.get(-1, 0) + 1) / (df + 1))
-
-    wanted = spark.createDataFrame([(int(t), i) for i, t in enumerate(terms.view(np.int64))], "term long, rank int")
-    vectors: dict = {r["id"]: (r["y"], [], []) for r in parsed.select("id", "y").orderBy("id").collect()}
-    for r in flat.join(F.broadcast(wanted), "term").orderBy("id", "rank").select("id", "rank", "count").collect():
-        vectors[r["id"]][1].append(r["rank"])
-        vectors[r["id"]][2].append(r["count"])
-    units = [(np.array(t, np.int64), vocabulary.weights(np.array(t, np.int64), np.array(c, float))) for _, t, c in vectors.values()]
-    scorer = Scorer(vocabulary, units, np.array([y for y, _, _ in vectors.values()], float), np.array(list(vectors)), prior, neighbours)
+    tally = tally.toArrow()  # one row a term of the vocabulary
+    at, n = tally["rank"].to_numpy(), tally["n"].to_numpy()
+    df = np.zeros(len(terms))
+    df[at[at >= 0]] = n[at >= 0]
+    vocabulary.idf = np.log((n[at < 0].sum() + 1) / (df + 0.5)) * _telling(row, rank, y, len(terms), half_z)
+    cut = np.searchsorted(row, np.arange(len(ids) + 1))
+    units = [(rank[a:b], vocabulary.weights(rank[a:b], count[a:b])) for a, b in zip(cut[:-1], cut[1:])]
+    scorer = Scorer(vocabulary, units, y, np.array(ids), prior, neighbours)
 
     near_type = pa.list_(pa.struct([("id", pa.int64() if id_type == "bigint" else pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
 

@@ -449,6 +449,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in none} == {0.5} and toxicity.score_toxicity(docs.where("false"), labels).count() == 0
 
 
+def test_toxicity_finds_copies_with_rare_insults(spark):
+    rng = random.Random(7)
+    rows = [(k, prose(rng, 40) + (f" insult{k // 2}xq" if k < 60 else "")) for k in range(300)]  # an insult is in two examples at most
+    copies = [(1000 + k, text) for k, text in rows[:60]]
+    marks = [(k, 1, int(k < 60)) for k in range(300)]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(make_docs(spark, rows + copies), make_labels(spark, marks)).collect()}
+    for k in range(60):
+        near = got[1000 + k].evidence
+        assert k in [e.id for e in near if abs(e.cosine - 1) < 1e-9] and got[1000 + k].predicted == 1
+    assert sum(got[k].predicted for k in range(60, 300)) <= 2
+
+
+def test_every_term_of_an_example_weighs():
+    row, rank, y = np.array([0, 1, 2, 3, 0, 1, 2]), np.array([0, 0, 0, 0, 1, 1, 2]), np.array([1.0, 1.0, 0.0, 0.0])
+    telling = toxicity._telling(row, rank, y, 3, 5.0)
+    assert (telling > 0).all() and (telling < 1).all() and telling[1] > telling[2] > telling[0]
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     vectors = []
