@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -29,7 +30,8 @@ from .tables import stored
 # HTML elements by how their text is laid out or used.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = frozenset("script style noscript template iframe svg canvas object math head title select textarea button audio video map".split())
+SKIPPED_TAGS = frozenset("script style noscript template iframe svg canvas object head title select textarea button audio video map".split())
+RAW_TAGS = frozenset("script style iframe title textarea head".split())  # their insides are not markup, or end the head
 CLOSES_P = BLOCK_TAGS - {"body", "html"}
 # Names that page authors give to page furniture, and to articles.
 FURNITURE = frozenset("ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot colophon copyright sidebar side aside widget widgets related recommended cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search form share sharing social follow comment comments commentlist reply replies respond responses disqus discussion feedback pagination pager skip toolbar tags complementary contentinfo dialog".split())
@@ -58,6 +60,34 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+def _skipped_end(html: str, at: int, name: str, parents: set[str]) -> int:
+    """Where an element whose text is skipped ends: at its closing tag, or before the one of an element around it."""
+    depth, inside = 1, Counter()
+    while found := _TOKEN.search(html, at):
+        tag = (found[2] or found[5] or "").lower()
+        closing = (found[1] or found[4]) == "/"
+        closed = (found[3] or found[6] or "").endswith("/")
+        at = found.end()
+        if tag == name:
+            depth += -1 if closing else 0 if closed else 1
+            if not depth:
+                return at
+        elif closing and inside[tag]:
+            inside[tag] -= 1
+        elif closing and tag in parents:
+            return found.start()
+        elif tag in RAW_TAGS and not closing and not closed and tag != "head":
+            end = _raw_end(html, at, tag)
+            at = end.end() if end else len(html)
+        elif tag in BLOCK_TAGS and tag not in VOID_TAGS and not closing:
+            inside[tag] += 1
+    return len(html)
+
+
+def _raw_end(html: str, at: int, name: str) -> re.Match | None:
+    return re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+
+
 def parse(html: str) -> list[Block]:
     """The blocks of a page in order; never fails, whatever the markup."""
     blocks: list[Block] = []
@@ -91,10 +121,15 @@ def parse(html: str) -> list[Block]:
         name = name.lower()
         closing = (found[1] or found[4]) == "/"
         if name in SKIPPED_TAGS and not closing:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-            if name == "head" and end is None:
+            if name == "svg" and (found[3] or found[6] or "").endswith("/"):
                 continue
-            at = end.end() if end else size
+            if name in RAW_TAGS:
+                end = _raw_end(html, at, name)
+                if name == "head" and end is None:
+                    continue
+                at = end.end() if end else size
+            else:
+                at = _skipped_end(html, at, name, {tag for tag, _ in stack})
             if name in BLOCK_TAGS:
                 flush()
         elif name == "a":

@@ -313,6 +313,16 @@ def test_pages_keep_the_article(spark):
     assert pages.extract_text(df.where("false")).count() == 0
 
 
+def test_parse_ends_skipped_elements():
+    text = lambda page: " ".join(b.text for b in pages.parse(page))
+    assert text('<div><p>a <svg class="i"/> b</p><p>c<svg><path d="x"/></svg> d</p></div>') == "a b c d"
+    for tag in ("button", "noscript", "object", "video", "audio", "canvas", "svg", "map", "template", "select"):
+        assert text(f"<main><div>a <{tag}>gone</div><p>b</p><div><{tag}>gone</{tag}>c</div></main>") == "a b c", tag
+        assert text(f"<main><div><{tag}><div>gone</div><{tag}>gone</{tag}> gone</{tag}>a</div></main>") == "a", tag
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == "so x=2 holds"
+    assert text("<div><noscript><script>'</div>'</script>gone</noscript>a</div><script>gone") == "a"
+
+
 def test_parse_decodes_and_joins():
     blocks = pages.parse("<div>a &eacute; b<!-- x > y --><i>c</i><p>d<p title='>'>e</div>f<textarea><p>no</p></textarea>")
     assert [b.text for b in blocks] == ["a é bc", "d", "e", "f"]
