@@ -3,8 +3,9 @@
 Pieces go in order of falling size to the open sequence that they fill best.  Where
 none has room, a new one is opened at the permitted length with the least cost per
 word that can still be filled; in the end each sequence shrinks to the smallest
-permitted length that holds its contents.  The permitted lengths thus compete for
-every sequence, at its opening and at its close.
+permitted length that holds its contents.  While the longest length's worth of words
+is left in a shard, the longest has the least cost and every sequence opens at it; the
+other lengths count for the last sequences of a shard and when sequences shrink.
 
 Pieces are dealt by hash to shards of a bounded number of rows, which are packed
 independently; only ids and sizes are shuffled, never texts.
