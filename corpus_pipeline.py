@@ -51,7 +51,8 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: SQL cannot express the tokeniser, classifier and packing stages; tests hold them against brute force.
+#: SQL cannot express the tokeniser, classifier and packing stages. Tests hold operators one by one against brute
+#: force or held-out accuracy; the rows of run() as a whole are not compared with a brute-force version.
 ORACLE_SQL = None
 
 
