@@ -10,19 +10,21 @@ import pyarrow as pa
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables in which every group of equal ``key`` is complete; batches must be sorted by it."""
-    rest: pa.Table | None = None
+    held: list[pa.RecordBatch] = []  # of one group that may go on
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        rest = pa.concat_tables([rest, table]) if rest is not None else table
-        keys = rest.column(key).to_numpy()
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        if held and held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
         cut = int(np.searchsorted(keys, keys[-1]))
         if cut:
-            yield rest.slice(0, cut).combine_chunks()
-            rest = rest.slice(cut)
-    if rest is not None and len(rest):
-        yield rest.combine_chunks()
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def bounds(*columns: np.ndarray) -> np.ndarray:

@@ -7,14 +7,14 @@ edges are plain equi-joins that adaptive execution can split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .tables import drop, stored
 
 
 def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """One star step over edges (u, v) with u > v."""
+    """One star step over edges (u, v) with u > v; edges may repeat."""
     if larger_only:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
@@ -28,22 +28,27 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select(F.col("centre").alias("u"), F.col("m").alias("v"))
         )
-    return moved.where(F.col("u") > F.col("v")).distinct()
+    return moved.where(F.col("u") > F.col("v"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node with a link.
 
-    Nulls and self-links are ignored; an empty link table gives an empty result.
+    Nulls and self-links are ignored; an empty link table gives an empty result.  ``links``
+    is read twice, so it should be a written table.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges = stored(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v"))).distinct(), "edges")
-    seen = None
+    edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v")))
+    seen, written = None, False
     while True:
-        after = stored(_star(_star(edges, True), False), "edges")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop(edges)
-        edges = after
+        # The mark of the edges (their number and a sum of their hashes) is taken as they are written.
+        watch = Observation()
+        after = _star(_star(edges, True), False).distinct()
+        after = stored(after.observe(watch, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "edges")
+        mark = (watch.get["n"], watch.get["x"])
+        if written:
+            drop(edges)
+        edges, written = after, True
         if mark == seen:
             break
         seen = mark

@@ -9,10 +9,12 @@ pair at exactly the threshold of 0.8 meets in no table with probability 1e-4,
 one at 0.85 with less than 1e-5 (simulated).  All candidates are verified on the
 full shingle sets.
 
-Work is kept linear in hot groups: texts with equal sets collapse to one class
-first; each class is then verified against one leader of its buckets, then against the
-leaders of other components.  Members of buckets that still span several components are
-compared through a prefix filter on their full sets, which is exact.
+Work is kept linear in hot groups: texts with equal sets collapse to one class first, and a
+class is verified against single members of its buckets, never against all of them: first
+the one that it meets most often, then one drawn for each bucket in which it is still apart.
+Members of larger buckets that then still span several components are compared through a
+prefix filter on their full sets, which is exact.  Components are computed once over the
+links of the classes, and once over what the prefix filter adds between components.
 """
 
 from __future__ import annotations
@@ -63,9 +65,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, ngram: int, halves:
             n, s1, s2, keys = [], [], [], []
             for one in _sets(batch.column(1), ngram):
                 n.append(len(one))
-                with np.errstate(over="ignore"):
-                    s1.append(mix(one).sum(dtype=np.uint64))
-                    s2.append(mix(one ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64))
+                for known, new in zip((s1, s2), _identity(one)):
+                    known.append(new)
                 keys.append(_half_keys(one, scale, shift, rows) if len(one) else np.zeros(2 * halves, np.uint64))
             flat = np.concatenate(keys).view(np.int64).reshape(-1, 2, halves) if keys else np.zeros((0, 2, halves), np.int64)
             at = pa.array(np.arange(0, len(n) * halves + 1, halves, dtype=np.int32))
@@ -85,23 +86,35 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, ngram: int, halves:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 
 
+def _identity(one: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    with np.errstate(over="ignore"):
+        return mix(one).sum(dtype=np.uint64), mix(one ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64)
+
+
 def _shingle_sets(docs: DataFrame, ngram: int) -> DataFrame:
+    """(id, n, shingles) of the rows of (id, s1, text) whose set has the identity ``s1``."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(_sets(batch.column(1), ngram))
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            asked = batch.column(1).to_numpy().view(np.uint64)
+            sets = list(_sets(batch.column(2), ngram))
+            own = np.array([_identity(one)[0] == s for one, s in zip(sets, asked)], bool)
+            sets = [one for one, k in zip(sets, own) if k]
+            batch = batch.filter(pa.array(own))
+            size = np.array([len(s) for s in sets], np.int64)
+            at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "n", "shingles"])
 
-    return docs.mapInArrow(work, "id long, shingles array<long>")
+    return docs.mapInArrow(work, "id long, n long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, inter: int, union: int) -> DataFrame:
     """The pairs (a, b) whose full sets have union * |A and B| >= inter * |A or B|."""
-    one = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    one = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    two = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     both = pairs.join(one, "b").join(two, "a")
-    na, nb = F.size("sa").cast("long"), F.size("sb").cast("long")
+    na, nb = F.col("na"), F.col("nb")
     fits = F.least(na, nb) * union >= F.greatest(na, nb) * inter
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     return both.where(fits).where(common * union >= (na + nb - common) * inter).select("a", "b")
@@ -111,81 +124,76 @@ def _ordered(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """``buckets`` with the component that each class has by ``links``; a class without links is its own."""
-    label = stored(components(links), "labels").withColumnRenamed("node", "rep")
-    return buckets.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-
-
-def _across(loose: DataFrame, sets: DataFrame, inter: int, union: int) -> DataFrame:
-    """(a, own, c): classes, their components, and the components in whose company they may find links.
+def _companies(loose: DataFrame, sets: DataFrame, inter: int, union: int) -> DataFrame:
+    """(id, own, n, c): classes, their components, set sizes, and the components in whose company they may find links.
 
     ``loose`` has (id, component).  Two sets of similarity t or more share one of the
     ``n - ceil(t n) + 1`` first shingles of each, in any common order.  Rarest first, the
     shingles that only one text has fill most of a prefix, so texts that merely share a
     passage or an origin rarely meet; and no set can share more than its ``r`` shingles that
-    some other text has.  All holders of a shingle meet in the company of the largest
-    component among them, so a class is a row for each such component and never for each of
-    its members; a pair that links across components is in one company at least.
+    some other text has.  All holders of a shingle meet in the company of the component
+    that most of them are in, so a class is a row for each such component and never for each
+    of its members; a pair that links across components is in one company at least.
     """
-    size = loose.groupBy("component").agg(F.count("*").alias("size"))
-    tokens = sets.join(loose.join(size, "component"), "id").select("id", "component", "size", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("t"))
+    tokens = sets.join(loose, "id").select("id", "component", "n", F.explode("shingles").alias("t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("df"))
     shared = tokens.join(often.where("df > 1"), "t")  # the others come first in every prefix
-    texts = shared.groupBy("id", "component", "size", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("all"))
+    texts = shared.groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("all"))
     texts = texts.withColumn("r", F.size("all").cast("long")).where(F.col("r") * union >= F.col("n") * inter)
     keep = F.col("r") - F.ceil(F.col("n") * inter / F.lit(union)) + 1
-    prefix = texts.select("id", "component", "size", "n", F.explode(F.slice("all", F.lit(1), keep.cast("int"))).alias("x"))
-    prefix = stored(prefix.select("id", "component", "size", "n", "x.t"), "prefixes")
-    host = prefix.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", "size").alias("c"))
-    met = prefix.join(host.where("low != high").select("t", "c"), "t").where("component != c")
-    return met.select(F.col("id").alias("a"), F.col("component").alias("own"), "c").distinct()
+    prefix = texts.select("id", "component", "n", F.explode(F.slice("all", F.lit(1), keep.cast("int"))).alias("x"))
+    prefix = stored(prefix.select("id", "component", "n", "x.t"), "prefixes")
+    of = prefix.groupBy("t", "component").agg(F.count("*").alias("holders"))
+    host = of.groupBy("t").agg(F.count("*").alias("components"), F.max_by("component", "holders").alias("c"))
+    met = prefix.join(host.where("components > 1").select("t", "c"), "t")
+    return met.select("id", F.col("component").alias("own"), "n", "c").distinct()
 
 
-def _linked_to(across: DataFrame, loose: DataFrame, sets: DataFrame, inter: int, union: int, block: int = 1024) -> DataFrame:
-    """Links (a, b) between the classes that ask and all of a company, its members and who asks too.
+def _across(company: DataFrame, sets: DataFrame, inter: int, union: int, budget: int = 1 << 18) -> DataFrame:
+    """Pairs (a, b) of components that a link joins, from the members of companies and who asks there.
 
-    They meet in cells of at most about ``block`` of each; a cell's sets are intersected
-    together, and of a class's links to one component the first is enough.
+    A company's askers are of other components than its own; each is compared with all in
+    the company that share a shingle with it.  They meet in cells whose two sides hold about
+    ``budget`` shingles each (or one longer text), and of a class's links to one component
+    the first is enough.
     """
-    asked = across.select("c").distinct()
-    members = loose.select(F.col("id").alias("b"), F.col("component").alias("own"), F.col("component").alias("c")).join(asked, "c")
-    company = members.select("c", "own", "b").unionByName(across.select("c", "own", F.col("a").alias("b")))
-    blocks = across.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("ab")).join(company.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("mb")), "c")
-    cell = F.xxhash64("c", "i", "j").alias("cell")
+    ask = company.where("own != c")
+    asks = F.coalesce(F.sum(F.when(F.col("own") != F.col("c"), F.col("n"))), F.lit(0))
+    blocks = company.groupBy("c").agg(F.ceil(asks / budget).cast("int").alias("ab"), F.ceil(F.sum("n") / budget).cast("int").alias("mb")).where("ab > 0")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ask = across.join(blocks, "c").withColumn("i", F.pmod(F.xxhash64("a"), F.col("ab")).cast("int")).withColumn("j", every("mb"))
-    have = company.join(blocks, "c").withColumn("j", F.pmod(F.xxhash64("b"), F.col("mb")).cast("int")).withColumn("i", every("ab"))
-    rows = ask.select(cell, "c", "i", "j", F.lit(0).alias("side"), "own", F.col("a").alias("id")).unionByName(have.select(cell, "c", "i", "j", F.lit(1).alias("side"), "own", F.col("b").alias("id")))
-    rows = rows.join(sets, "id").select("cell", "c", "i", "j", "side", "own", "id", "shingles").repartition("cell").sortWithinPartitions("cell", "c", "i", "j", "side")
+    ask = ask.join(blocks, "c").withColumn("i", F.pmod(F.xxhash64("id"), F.col("ab")).cast("int")).withColumn("j", every("mb"))
+    have = company.join(blocks, "c").withColumn("j", F.pmod(F.xxhash64("id"), F.col("mb")).cast("int")).withColumn("i", every("ab"))
+    cell = F.xxhash64("c", "i", "j").alias("cell")
+    side = lambda df, k: df.select(cell, "c", "i", "j", F.lit(k).alias("side"), "own", "id")
+    rows = side(ask, 0).unionByName(side(have, 1))
+    rows = rows.join(sets.select("id", "shingles"), "id").repartition("cell").sortWithinPartitions("cell", "c", "i", "j", "side")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell"):
             plain = {c: table.column(c).to_numpy() for c in ("cell", "c", "i", "j", "side", "own", "id")}
             lists = table.column("shingles").combine_chunks()
-            at, flat = np.diff(lists.offsets.to_numpy()).cumsum(), lists.flatten().to_numpy()
-            at = np.concatenate([[0], at])
-            a_out, b_out = [], []
+            at, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+            found = []
             edge = bounds(*(plain[c] for c in ("cell", "c", "i", "j")))
             for first, end in zip(edge[:-1], edge[1:]):
                 cut = first + int(np.searchsorted(plain["side"][first:end], 1))
                 if cut in (first, end):
                     continue
-                size = np.diff(at[cut : end + 1])
-                words, place = np.unique(flat[at[cut] : at[end]], return_inverse=True)
-                start = at[cut:end] - at[cut]
+                size, own = np.diff(at[cut : end + 1]), plain["own"][cut:end]
+                held = flat[at[cut] : at[end]]
+                order = np.argsort(held, kind="stable")  # an inverted list of the cell: its shingles, and who holds each
+                held, holder = held[order], np.repeat(np.arange(end - cut), size)[order]
                 for k in range(first, cut):
-                    own = flat[at[k] : at[k + 1]]
-                    spot = np.minimum(np.searchsorted(words, own), len(words) - 1)
-                    mark = np.zeros(len(words), np.int64)
-                    mark[spot[words[spot] == own]] = 1
-                    common = np.add.reduceat(mark[place], start)
-                    linked = (common * union >= (len(own) + size - common) * inter) & (plain["own"][cut:end] != plain["own"][k])
-                    hit = cut + np.flatnonzero(linked)
-                    for h in hit[np.unique(plain["own"][hit], return_index=True)[1]]:
-                        a_out.append(plain["id"][k])
-                        b_out.append(plain["id"][h])
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+                    mine = flat[at[k] : at[k + 1]]
+                    low, high = np.searchsorted(held, mine), np.searchsorted(held, mine, side="right")
+                    many = high - low
+                    pick = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+                    common = np.bincount(holder[pick], minlength=end - cut)
+                    linked = (common * union >= (len(mine) + size - common) * inter) & (own != plain["own"][k])
+                    other = np.unique(own[linked])
+                    found.append(np.stack([np.full(len(other), plain["own"][k]), other]))
+            a, b = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return rows.mapInArrow(work, "a long, b long")
 
@@ -209,58 +217,58 @@ def near_duplicates(
     reachable, ``kept`` marks it, ``n_copies`` counts the rows with the same set.
     Null and empty texts have no shingles and stay alone, as do rows with a null id
     (their component is null, kept true).  Repeated rows are each returned, with one
-    component; an id is expected to have one text.  Other columns are ignored.
+    component.  Rows with one id and different texts each follow their own text; two texts
+    whose groups have one smallest id are in one component.  Other columns are ignored.
     """
     base = stored(signatures(docs, id_col, text_col, ngram, halves, rows), "signatures")
     live = base.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = live.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
     classes = stored(classes, "classes")
 
-    reps = live.join(classes.select(F.col("rep").alias("id")).distinct(), "id").select(
-        F.col("id").alias("rep"), "left", "right"
-    )
+    reps = live.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"])
+    reps = reps.dropDuplicates(["id", "n", "s1", "s2"])
     table = [(i, (i + d) % halves) for d in range(diagonals) for i in range(halves)]
     keys = reps.select(
-        "rep",
+        F.col("id").alias("rep"),
         F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("left")[i], F.col("right")[j]) for k, (i, j) in enumerate(table)])).alias("key"),
     )
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = stored(keys.join(shared, "key"), "buckets")  # rows of keys that several classes share
     # The leader of a bucket is the class that meets most others in all of its buckets: the
     # text that a group's copies were made from is closer to each of them than they are.
-    weight = buckets.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("met"))
-    lead = buckets.join(weight, "rep").groupBy("key").agg(F.max_by("rep", "met").alias("lead"))
-    buckets = stored(buckets.join(lead, "key").select("key", "rep", "lead"), "buckets")
+    weight = stored(buckets.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("met")), "met")
+    lead = buckets.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("met", "rep")).alias("lead"))
 
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = stored(_shingle_sets(ids.join(weight.select(F.col("rep").alias("id")), "id"), ngram), "sets")
-
-    # First each class against the leader it meets most often; then, twice, in each bucket the
-    # members outside the largest component against one member of it, drawn anew for each
-    # bucket; then whatever still shares a bucket across components, by prefix filter.
-    meets = buckets.where("rep != lead").groupBy("lead", "rep").agg(F.count("*").alias("n"))
-    first = meets.groupBy("rep").agg(F.max_by("lead", "n").alias("lead"))
-    tried = stored(first.select(*_ordered("lead", "rep")), "pairs")
-    links = stored(_verified(tried, sets, inter, union), "links")
-    member = _labelled(buckets, links)
-    for turn in range(2):
-        size = member.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
-        chance = F.pmod(F.xxhash64("key", "rep", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        member = member.join(size, "component").withColumn("order", F.col("size") + chance)
-        head = member.groupBy("key").agg(F.max_by("rep", "order").alias("lead"), F.max_by("component", "order").alias("ca"))
-        other = member.drop("lead").join(head, "key").where("ca != component").select(*_ordered("lead", "rep")).distinct()
-        other = stored(other.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(stored(_verified(other, sets, inter, union), "links"))
-        tried = tried.unionByName(other)
-        member = _labelled(buckets, links)
-    spread = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    loose = stored(member.join(spread.select("key"), "key").select(F.col("rep").alias("id"), "component").distinct(), "loose")
-    across = stored(_across(loose, sets, inter, union), "across")
-    links = links.unionByName(stored(_linked_to(across, loose, sets, inter, union), "links"))
-    label = components(links)
+    named = classes.join(weight.select("rep"), "rep").select(F.col("rep").alias("id"), "s1")
+    sets = stored(_shingle_sets(ids.join(named, "id").select("id", "s1", "text").distinct(), ngram), "sets")
+
+    # First each class against the leader it meets most often.
+    meets = buckets.join(lead, "key").where("rep != lead").groupBy("lead", "rep").agg(F.count("*").alias("n"))
+    first = meets.groupBy("rep").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
+    near = stored(_verified(first.select(F.col("rep").alias("a"), F.col("lead").alias("b")), sets, inter, union), "links")
+    # Then, in each bucket, the members apart from one that is drawn anew for each bucket, against it.
+    star = near.select("a", "b").dropDuplicates(["a"]).unionByName(near.select(F.col("b").alias("a"), "b").distinct())
+    star = star.groupBy("a").agg(F.max_by("b", F.col("a") != F.col("b")).alias("group"))
+    member = buckets.join(star.withColumnRenamed("a", "rep"), "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+    head = member.groupBy("key").agg(F.max_by(F.struct("rep", "group"), F.xxhash64("key", "rep")).alias("h"))
+    other = member.join(head, "key").where("h.group != group").select("rep", F.col("h.rep").alias("lead")).select(*_ordered("lead", "rep"))
+    more = stored(_verified(other.distinct(), sets, inter, union), "links")
+    label = stored(components(near.unionByName(more)), "labels").withColumnRenamed("node", "id")
+
+    # Then whatever still shares a bucket of three or more across components; in one of two, the pair is known.
+    large = buckets.where("size > 2").withColumnRenamed("rep", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spread = large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    loose = stored(large.join(spread.select("key"), "key").select("id", "component").distinct(), "loose")
+    company = stored(_companies(loose, sets, inter, union), "companies")
+    joined = components(stored(_across(company, sets, inter, union), "links"))
+    last = label.join(joined.select(F.col("node").alias("component"), F.col("component").alias("smallest")), "component", "left")
+    alone = joined.select(F.col("node").alias("id"), F.col("component").alias("smallest"))  # components of one class have no label
+    last = last.select("id", F.coalesce("smallest", "component").alias("smallest")).unionByName(alone)
+    last = stored(last.groupBy("id").agg(F.min("smallest").alias("component")), "components")
     drop(sets)
 
-    named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
+    named = classes.join(last.withColumnRenamed("id", "rep"), "rep", "left").select(
         "n", "s1", "s2", "n_copies", F.coalesce("component", "rep").alias("component")
     )
     rows_ = base.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")

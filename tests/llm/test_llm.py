@@ -211,11 +211,30 @@ def test_near_duplicates_of_repeated_and_no_rows(spark):
     assert minhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_ids_with_several_texts_follow_each_text(spark):
+    docs = make_docs(spark, [(1, "a b c"), (5, "a b c"), (5, "x y z"), (5, "x y z"), (7, "x y z w v u"), (8, "x y z")])
+    got = sorted(tuple(r)[:3] for r in minhash.near_duplicates(docs, ngram=2).collect())
+    assert got == [(1, 2, 1), (5, 2, 1), (5, 2, 5), (5, 2, 5), (7, 5, 7), (8, 2, 5)]
+
+
+def test_one_large_group_of_near_copies_equals_brute_force(spark):
+    rng = random.Random(8)
+    base = [f"b{rng.randrange(300)}" for _ in range(120)]
+    rows = []
+    for k in range(400):  # at 2 to 20 changed words many copies are too far from the original, and some of those are near each other
+        own = list(rows[rng.randrange(len(rows))][1].split(" ")) if rows and rng.random() < 0.3 else list(base)
+        for _ in range(rng.randrange(2, 20)):
+            own[rng.randrange(len(own))] = f"z{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    got = minhash.near_duplicates(make_docs(spark, rows), ngram=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2)
+
+
 def test_cells_find_links_between_askers(spark):
-    sets = spark.createDataFrame([(k, sorted(s)) for k, s in {1: range(10), 2: range(1, 10), 3: range(50, 60), 4: [*range(50, 60), 99], 5: range(200, 210)}.items()], "id long, shingles array<long>")
-    loose = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)], "id long, component long")
-    across = spark.createDataFrame([(2, 2, 1), (3, 3, 1), (4, 4, 1), (5, 5, 1)], "a long, own long, c long")
-    got = {tuple(sorted(r)) for r in minhash._linked_to(across, loose, sets, 80, 100, block=2).collect()}
+    rows = [(k, len(s), sorted(s)) for k, s in {1: range(10), 2: range(1, 10), 3: range(50, 60), 4: [*range(50, 60), 99], 5: range(200, 210)}.items()]
+    sets = spark.createDataFrame(rows, "id long, n long, shingles array<long>")
+    company = spark.createDataFrame([(k, k, n, 1) for k, n, _ in rows], "id long, own long, n long, c long")
+    got = {tuple(sorted(r)) for r in minhash._across(company, sets, 80, 100, budget=20).collect()}
     assert got == {(1, 2), (3, 4)}
 
 
