@@ -6,9 +6,11 @@ in numpy reads the whole page's sequence and says of every block whether it belo
 article, so a block is judged in the context of all others.
 
 The model is trained when the operator runs, on a bounded sample of the pages.  Their
-labels come from marked-up structure (an article element, navigation, footers and so on);
-each sampled page is also learnt with invented page furniture mixed in and with parts of
-its markup hidden, so that the model leans on more than any single cue.
+labels come from what authors' markup says (an article element, navigation, elements named
+like furniture); the model never sees that verdict, only the tags, names, words and layout.
+Each sampled page is also learnt with invented page furniture mixed in, with its names
+scrambled and its telling elements renamed, so that the labels must be found from the text
+and its place in the page, and with parts of the article in elements named like furniture.
 """
 
 from __future__ import annotations
@@ -30,24 +32,30 @@ from .tables import stored
 # HTML elements by how their text is laid out or used.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = frozenset("script style noscript template iframe svg canvas object head title select textarea button audio video map".split())
+SKIPPED_TAGS = frozenset("script style template iframe svg canvas head title select textarea button audio video map".split())
 RAW_TAGS = frozenset("script style iframe title textarea head".split())  # their insides are not markup, or end the head
 CLOSES_P = BLOCK_TAGS - {"body", "html"}
 # Names that page authors give to page furniture, and to articles.
 FURNITURE = frozenset("ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot colophon copyright sidebar side aside widget widgets related recommended cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search form share sharing social follow comment comments commentlist reply replies respond responses disqus discussion feedback pagination pager skip toolbar tags complementary contentinfo dialog".split())
 CONTENT = frozenset("article main content post entry story body text".split())
+#: Names that parts of an article may have as well; there only linked text under them is furniture.
+SOFT = frozenset("side widget widgets alert search form share sharing social follow header headers menu notice notices discussion feedback tags dialog response responses related recommended top".split())
 _STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "footer", "masthead", "navbar", "navigation", "newsletter", "sidebar", "sponsor", "subscri")
 _LAYOUT = frozenset("has with without no layout".split())
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog search".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+# A quote opens a value only after an equals sign; an unquoted value may hold quotes.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_NAME = re.compile(r"[a-z]+")
-
-PATH_DIMS, WORD_DIMS = 48, 32
-#: Figures of a block before its hashed parts.
-FIGURES = 20
-DIMS = FIGURES + PATH_DIMS + WORD_DIMS
+_NAME = re.compile(r"[a-z][a-z0-9]*")
+
+_TAGS = sorted(BLOCK_TAGS)
+_TAG_AT = {t: k for k, t in enumerate(_TAGS)}
+NAME_DIMS, WORD_DIMS = 128, 64
+#: Figures of a block before its tags, hashed names and hashed words.
+FIGURES = 19
+PATH_DIMS = len(_TAGS) + NAME_DIMS
+DIMS = FIGURES + PATH_DIMS + WORD_DIMS + len(_TAGS)
 HIDDEN = 16
 
 
@@ -64,9 +72,9 @@ def _skipped_end(html: str, at: int, name: str, parents: set[str]) -> int:
     """Where an element whose text is skipped ends: at its closing tag, or before the one of an element around it."""
     depth, inside = 1, Counter()
     while found := _TOKEN.search(html, at):
-        tag = (found[2] or found[5] or "").lower()
-        closing = (found[1] or found[4]) == "/"
-        closed = (found[3] or found[6] or "").endswith("/")
+        tag = (found[2] or "").lower()
+        closing = found[1] == "/"
+        closed = (found[3] or "").endswith("/")
         at = found.end()
         if tag == name:
             depth += -1 if closing else 0 if closed else 1
@@ -115,13 +123,13 @@ def parse(html: str) -> list[Block]:
         if not found:
             break
         at = found.end()
-        name = found[2] or found[5]
+        name = found[2]
         if not name:
             continue
         name = name.lower()
-        closing = (found[1] or found[4]) == "/"
+        closing = found[1] == "/"
         if name in SKIPPED_TAGS and not closing:
-            if name == "svg" and (found[3] or found[6] or "").endswith("/"):
+            if name == "svg" and (found[3] or "").endswith("/"):
                 continue
             if name in RAW_TAGS:
                 end = _raw_end(html, at, name)
@@ -147,7 +155,7 @@ def parse(html: str) -> list[Block]:
                     stack.pop()
                 if name in ("li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
                     stack.pop()
-                attrs = found[3] or found[6] or ""
+                attrs = found[3] or ""
                 names = tuple(_NAME.findall(" ".join(x for m in _ATTR.findall(attrs) for x in m).lower())) if "=" in attrs else ()
                 stack.append((name, names))
     flush()
@@ -155,32 +163,30 @@ def parse(html: str) -> list[Block]:
 
 
 @lru_cache(1 << 14)
-def _names_furniture(names: tuple[str, ...]) -> bool:
+def _names_furniture(names: tuple[str, ...], inside: bool, linked: bool) -> bool:
     """Whether an element's names say furniture; a header of a post and a layout with a sidebar do not."""
+    names = tuple(n.rstrip("0123456789") for n in names)
     if any(n in _LAYOUT for n in names):
         return False
     titled = any(n in CONTENT for n in names)
-    return any((n in FURNITURE or n.startswith(_STEMS)) and not (titled and n == "header") for n in names)
-
-
-def furniture(path: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[int, int, int]:
-    """Numbers of furniture elements, of elements named like furniture, and of article elements in a path."""
-    tags = hints = inside = 0
-    for tag, names in path:
-        if tag in FURNITURE_TAGS or (tag == "header" and not inside):
-            tags += 1
-        elif tag not in ("body", "html", "article", "main") and names and _names_furniture(names):
-            hints += 1
-        if tag in ("article", "main"):
-            inside += 1
-    return tags, hints, inside
+    said = [n for n in names if (n in FURNITURE or n.startswith(_STEMS)) and not (titled and n == "header")]
+    return any(n not in SOFT for n in said) or bool(said) and (linked or not inside)
 
 
 def taught(blocks: list[Block]) -> list[int]:
-    """Labels that the markup gives: 1 for blocks of the article."""
-    marked = [furniture(b.path) for b in blocks]
-    has_article = any(m[2] for m in marked)
-    return [int(not m[0] and not m[1] and (m[2] > 0 or not has_article)) for m in marked]
+    """Labels that the markup gives: 1 for blocks of the article.  The model is not shown them, nor how they come."""
+    has_article = any(t in ("article", "main") for b in blocks for t, _ in b.path)
+    out = []
+    for b in blocks:
+        inside = furniture = False
+        for tag, names in b.path:
+            if tag in FURNITURE_TAGS or (tag == "header" and not inside):
+                furniture = True
+            elif tag not in ("body", "html", "article", "main") and names and _names_furniture(names, inside, b.linked > 0.5):
+                furniture = True
+            inside = inside or tag in ("article", "main")
+        out.append(int(not furniture and (inside or not has_article)))
+    return out
 
 
 @lru_cache(1 << 16)
@@ -190,97 +196,114 @@ def _word_bin(word: str) -> int:
 
 @lru_cache(1 << 14)
 def _path_part(path: tuple[tuple[str, tuple[str, ...]], ...]) -> np.ndarray:
-    """The part of a block's vector that its path alone decides: figures 11 to 19 and the hashed path."""
-    out = np.zeros(FIGURES - 11 + PATH_DIMS)
-    tag = path[-1][0] if path else ""
-    tags, hints, inside = furniture(path)
-    out[:3] = min(tags, 2), min(hints, 2), float(inside > 0)
-    out[4] = float(tag in ("p", "blockquote", "pre"))
-    out[5] = float(tag in ("li", "td", "dd", "dt", "th"))
-    out[6] = float(tag[:1] == "h" and tag[1:].isdigit())
-    out[7] = float(any(n in CONTENT for _, names in path for n in names))
-    out[8] = len(path) / 10
-    for depth, (t, names) in enumerate(path[-4:]):
-        for key in (t, *names):
-            out[9 + zlib.crc32(f"{depth == len(path[-4:]) - 1}{key}".encode()) % PATH_DIMS] += 0.5
+    """The part of a block's vector that its path alone decides: the tags around it and hashed names."""
+    out = np.zeros(PATH_DIMS, np.float32)
+    for depth, (tag, names) in enumerate(path):
+        if tag in _TAG_AT:
+            out[_TAG_AT[tag]] = 1.0 if depth == len(path) - 1 else 0.6
+        for name in names:
+            out[len(_TAGS) + zlib.crc32(name.encode("utf-8", "replace")) % NAME_DIMS] += 0.5
     return out
 
 
-def vectors(blocks: list[Block], hidden: np.ndarray | None = None) -> np.ndarray:
-    """A row for each block; ``hidden`` marks blocks whose path the model must do without."""
-    out = np.zeros((len(blocks), DIMS))
+def vectors(blocks: list[Block]) -> np.ndarray:
+    """A row for each block: figures of its text and place, its tag path and names, its words, and how its tags differ from the page's."""
+    out = np.zeros((len(blocks), DIMS), np.float32)
     count = len(blocks)
-    any_article = float(any(t in ("article", "main") for b in blocks for t, _ in b.path))
+    alike = Counter(b.path for b in blocks)
+    linked = sum(b.linked > 0.5 for b in blocks) / max(count, 1)
+    within: Counter = Counter()  # characters of text below an element at the top of the page, and below a block's parent
+    for b in blocks:
+        within[3, b.path[:3]] += len(b.text)
+        within[0, b.path[:-1]] += len(b.text)
+    whole = max(sum(len(b.text) for b in blocks), 1)
     for i, b in enumerate(blocks):
         row = out[i]
         words = b.text.split(" ")
         n = len(words)
-        row[0] = 1.0
-        row[1] = min(n, 400) ** 0.5 / 10
-        row[2] = np.log1p(len(b.text)) / 6
-        row[3] = b.linked
-        row[4] = sum(map(b.text.count, ".!?")) / n
-        row[5] = b.text.count(",") / n
-        row[6] = i / max(count - 1, 1)
-        row[7] = float(b.text[-1:] in ".!?\"”")
-        row[8] = float("©" in b.text or "|" in b.text)
-        row[9] = float(n < 4)
-        row[10] = min(count, 100) / 100
-        row[FIGURES + PATH_DIMS :] = np.bincount(list(map(_word_bin, words)), minlength=WORD_DIMS) / (max(1.0, n**0.5) * 3)
-        if hidden is not None and hidden[i]:
-            continue
-        row[11 : FIGURES + PATH_DIMS] = _path_part(b.path)
-        row[14] = any_article
+        tag = b.path[-1][0] if b.path else ""
+        row[:FIGURES] = (
+            1.0, min(n, 400) ** 0.5 / 10, np.log1p(len(b.text)) / 6, b.linked, min(sum(map(b.text.count, ".!?")) / n, 2.0), min(b.text.count(",") / n, 2.0),
+            i / max(count - 1, 1), b.text[-1:] in ".!?\"”", "©" in b.text or "|" in b.text or "»" in b.text, n < 4, min(count, 100) / 100,
+            tag in ("p", "blockquote", "pre"), tag in ("li", "td", "dd", "dt", "th"), tag[:1] == "h" and tag[1:].isdigit(), len(b.path) / 10,
+            np.log1p(alike[b.path]) / 4, linked, within[3, b.path[:3]] / whole, within[0, b.path[:-1]] / whole,
+        )
+        row[FIGURES : FIGURES + PATH_DIMS] = _path_part(b.path)
+        row[FIGURES + PATH_DIMS : FIGURES + PATH_DIMS + WORD_DIMS] = np.bincount(list(map(_word_bin, words)), minlength=WORD_DIMS) / (max(1.0, n**0.5) * 3)
+    tags = out[:, FIGURES : FIGURES + len(_TAGS)]
+    out[:, DIMS - len(_TAGS) :] = tags - tags.mean(axis=0) if count else 0
     return out
 
 
-# Invented furniture that is mixed into pages while training.
+# Invented furniture that is mixed into pages while training; {w} is a word and {s} a sentence of the page.
 _INVENTED = [
-    ((("header", ()),), "{w} home about contact"), ((("div", ("site", "header")),), "{w} {w} {w}"),
-    ((("div", ("menu",)), ("ul", ()), ("li", ())), "{w} {w}"), ((("aside", ()), ("p", ())), "{s}"),
-    ((("div", ("sidebar",)), ("p", ())), "{s}"), ((("div", ("widget",)), ("h3", ())), "{w} {w} {w}"),
-    ((("div", ("cookie", "notice")), ("p", ())), "{s}"), ((("div", ("alert", "banner")),), "{s}"),
-    ((("section", ("comments",)), ("p", ())), "{s}"), ((("div", ("comment", "list")), ("div", ("comment",)), ("p", ())), "{s} {s}"),
-    ((("ol", ("commentlist",)), ("li", ())), "{s}"), ((("form", ()), ("p", ())), "{w} {w}"),
-    ((("form", ("newsletter",)), ("div", ()), ("p", ())), "{s}"), ((("div", ("advert",)), ("p", ())), "{s}"),
-    ((("div", ("ads", "sponsored")),), "{s} {s}"), ((("div", ("related",)), ("ul", ()), ("li", ())), "{w} {w} {w}"),
-    ((("div", ("share",)),), "{w} {w}"), ((("footer", ()), ("p", ())), "© {w} {w} · {s}"), ((("div", ("footer",)), ("p", ())), "{s}"),
-    ((("nav", ()), ("ul", ()), ("li", ())), "{w}"), ((("div", ("breadcrumb",)),), "{w} » {w} » {w}"),
+    ((("header", ()),), ("{w} home about contact", "{w}: {w} {w} {w}", "{w} {w} | log in | register")), ((("div", ("site", "header")),), ("{w} {w} {w}", "skip to content", "{w} {w} | {w}")),
+    ((("div", ("menu",)), ("ul", ()), ("li", ())), ("{w} {w}", "home", "about us", "contact", "products", "blog", "{w}")), ((("nav", ()), ("ul", ()), ("li", ())), ("{w}", "{w} {w}", "home", "news")),
+    ((("aside", ()), ("p", ())), ("{s}", "read also: {w} {w} {w}", "related: {s}")), ((("div", ("sidebar",)), ("p", ())), ("{s}", "popular posts", "about the author: {s}")),
+    ((("div", ("widget",)), ("h3", ())), ("{w} {w} {w}", "recent posts", "categories", "archives")), ((("div", ("related",)), ("ul", ()), ("li", ())), ("{w} {w} {w}", "{w} {w} {w} {w} {w} {w}")),
+    ((("div", ("cookie", "notice")), ("p", ())), ("We use cookies to improve this site. {s}", "This website uses cookies, accept them. Privacy policy", "{s} Accept all cookies")),
+    ((("div", ("alert", "banner")),), ("Notice: {s}", "{s} Dismiss", "Please log in to continue. {s}", "Important: {s} Close")),
+    ((("section", ("comments",)), ("p", ())), ("{w} says: {s}", "Great article, thank you {w}.", "I agree with {w}. {s}", "{s} Thanks for sharing this!", "@{w} {s}", "{s}")),
+    ((("div", ("comment", "list")), ("div", ("comment",)), ("p", ())), ("{w} wrote on 3 May: {s}", "{s} Reply", "Nice post! {s}", "2 days ago {w}: {s}", "I think {s}", "{s} {s}")),
+    ((("ol", ("commentlist",)), ("li", ())), ("{w} {w} at 10:42 pm: {s}", "{s} Reply Report", "Thank you, very helpful. {s}", "{w}: {s}")),
+    ((("form", ()), ("p", ())), ("{w} {w}", "name", "your e-mail", "search", "subscribe now")), ((("form", ("newsletter",)), ("div", ()), ("p", ())), ("Subscribe to our newsletter. {s}", "Sign up now and {s}", "{s} Your e-mail address")),
+    ((("div", ("advert",)), ("p", ())), ("Advertisement. {s}", "{s}", "{s} Buy now!", "Save 20% today. {s}")), ((("div", ("ads", "sponsored")),), ("{s}", "Sponsored: {s}", "Ad: {s} Shop now", "{s} Order today")),
+    ((("div", ("share",)),), ("{w} {w}", "share tweet email", "share this", "follow us on {w}")), ((("div", ("breadcrumb",)),), ("{w} » {w} » {w}", "home > {w} > {w}")),
+    ((("footer", ()), ("p", ())), ("© {w} {w} · {s}", "Copyright 2020 {w}. All rights reserved.", "{s} Terms of use | Privacy policy", "Imprint {w} {w}")),
+    ((("div", ("footer",)), ("p", ())), ("© 2021 {w} {w}", "All rights reserved. {s}", "{s}", "Contact: {w} {w}, privacy, terms", "{s} Powered by {w}")),
 ]
 
 
 # Elements that an article's blocks may also be in.
-_HOLDERS = [(("ul", ()), ("li", ())), (("ol", ()), ("li", ())), (("blockquote", ()),), (("blockquote", ()), ("p", ())), (("h2", ()),), (("h3", ()),), (("pre", ()),), (("div", ()),), (("figure", ()), ("figcaption", ())), (("table", ()), ("tr", ()), ("td", ())), (("dl", ()), ("dd", ())), (("div", ("entry", "header")), ("h1", ()))]
+_HOLDERS = [(("ul", ()), ("li", ())), (("ol", ()), ("li", ())), (("blockquote", ()),), (("blockquote", ()), ("p", ())), (("h2", ()),), (("h3", ()),), (("pre", ()),), (("div", ()),), (("figure", ()), ("figcaption", ())), (("table", ()), ("tr", ()), ("td", ())), (("dl", ()), ("dd", ())), (("div", ("entry", "header")), ("h1", ())), *[(("p", ()),)] * 6]
+
+
+#: Elements and names of furniture that parts of an article are put in while training.
+_LENT = [(t, (n,)) for n in ("form", "menu", "share", "discussion", "notice", "alert", "social", "widget", "search", "tags", "related", "feedback") for t in ("div", "section", "table")]
+_TELLING = frozenset("article main nav footer header aside section form menu dialog search".split())
+
 
+def _letters(rng: np.random.Generator) -> str:
+    return "".join("abcdefghijklmnopqrstuvwxyz"[k] for k in rng.integers(26, size=int(rng.integers(1, 9))))
 
-def _otherwise(b: Block, rng: np.random.Generator) -> Block:
-    """A block of an article in another element, sometimes cut to a few words or partly linked."""
+
+def _lent(rng: np.random.Generator) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """An element with a furniture name, often beside a name of no meaning."""
+    tag, names = _LENT[rng.integers(len(_LENT))]
+    more = (_letters(rng),)
+    return ((tag, (names, names + more, more + names, more)[rng.integers(4)]),)
+
+
+def _otherwise(b: Block, lent: tuple, rng: np.random.Generator) -> Block:
+    """A block of an article in another element, below ``lent`` ones, sometimes cut to a few words or partly linked."""
     words = b.text.split(" ")
-    if rng.random() < 0.5:
+    if rng.random() < (0.2 if lent else 0.5):
         at = int(rng.integers(len(words)))
         words = words[at : at + int(rng.integers(1, 25))]
     base = b.path[:-1] if b.path and b.path[-1][0] in ("p", "h1", "h2", "h3", "div") else b.path
-    linked = float(rng.random() * 0.6) if rng.random() < 0.3 else b.linked
-    return Block(base + _HOLDERS[rng.integers(len(_HOLDERS))], " ".join(words), linked)
+    linked = float(rng.random() * 0.5) if rng.random() < 0.3 else b.linked
+    return Block(base + lent + _HOLDERS[rng.integers(len(_HOLDERS))], " ".join(words), linked)
 
 
-def _with_furniture(blocks: list[Block], labels: list[int], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
-    """The page with invented furniture before, inside and after its article."""
+def _with_furniture(blocks: list[Block], labels: list[int], rng: np.random.Generator, within: float = 0.14) -> tuple[list[Block], list[int]]:
+    """The page with invented furniture before and after its article, and with the chance ``within`` after each block in it."""
     pool = [w for b in blocks for w in b.text.split(" ")] or ["page"]
     prefix = (("html", ()), ("body", ()))
     article = next((b.path[: k + 1] for b in blocks for k, (t, _) in enumerate(b.path) if t == "article"), prefix)
 
     def invented(inner: bool) -> list[Block]:
-        path, text = _INVENTED[rng.integers(len(_INVENTED))]
+        path, texts = _INVENTED[rng.integers(len(_INVENTED))]
         pick = lambda n: " ".join(pool[k] for k in rng.integers(len(pool), size=n))
+        sentence = lambda: pick(int(rng.integers(4, 40))).capitalize().rstrip(".,") + "."
         out = []
-        for _ in range(int(rng.integers(1, 5))):
-            filled = re.sub(r"\{(\w)\}", lambda m: pick(1) if m[1] == "w" else pick(int(rng.integers(5, 40))) + ".", text)
+        for _ in range(int(rng.integers(1, 6))):
+            text = texts[rng.integers(len(texts))]
+            filled = re.sub(r"\{(\w)\}", lambda m: pick(1) if m[1] == "w" else sentence(), text)
             out.append(Block((article if inner else prefix) + path, filled, float(rng.random() < 0.5 and "{s}" not in text)))
         return out
 
     out, marks = [], []
-    swap = rng.random() < 0.35  # an article without an article element
+    swap = rng.random() < 0.25  # an article without an article element
     holder = (("div", ("content",)),) if rng.random() < 0.5 else (("main", ()),) if rng.random() < 0.5 else (("div", ()),)
     for _ in range(int(rng.integers(0, 4))):
         new = invented(False)
@@ -289,21 +312,37 @@ def _with_furniture(blocks: list[Block], labels: list[int], rng: np.random.Gener
     for b, y in zip(blocks, labels):
         if swap and y:
             b = Block(tuple(x for part in b.path for x in (holder if part[0] == "article" else (part,))), b.text, b.linked)
-        if y and rng.random() < 0.3:
-            b = _otherwise(b, rng)
+        if y and rng.random() < 0.5:
+            b = _otherwise(b, _lent(rng) if rng.random() < 0.85 else (), rng)
         out.append(b)
         marks.append(y)
-        if y and rng.random() < 0.14:
+        if y and rng.random() < within:
             new = invented(not swap)
             out += new
             marks += [0] * len(new)
-    for _ in range(int(rng.integers(0, 5))):
+    for _ in range(int(rng.integers(0, 6))):
         new = invented(False)
         out += new
         marks += [0] * len(new)
     return out, marks
 
 
+def _scrambled(blocks: list[Block], rng: np.random.Generator) -> list[Block]:
+    """The page with its names replaced and its telling elements renamed, alike wherever they occur; sometimes the article keeps its element."""
+    names: dict[str, str] = {}
+    kept = {"article", "main"} if rng.random() < 0.8 else set()
+
+    def new(name: str) -> str:
+        if name not in names:
+            names[name] = _letters(rng)
+        return names[name]
+
+    def part(tag: str, own: tuple[str, ...]) -> tuple[str, tuple[str, ...]]:
+        return ("div" if tag in _TELLING - kept else tag), tuple(map(new, own))
+
+    return [Block(tuple(part(t, own) for t, own in b.path), b.text, b.linked) for b in blocks]
+
+
 class BiLstm:
     """A bidirectional LSTM with a logistic output for every step."""
 
@@ -352,7 +391,8 @@ class BiLstm:
         runs = {d: self._run(x, mask, d, True) for d in "fb"}
         both = np.concatenate([runs["f"][0], runs["b"][0]], axis=2)
         p = self._sigmoid(both @ self.w["o"] + x @ self.w["s"])
-        dz = mask * (p - y) / max(mask.sum(), 1)
+        weight = mask * np.where(y == 1, 1.0, 3.0)  # furniture is rarer, and more various
+        dz = weight * (p - y) / max(weight.sum(), 1)
         grad = {"o": np.einsum("tb,tbh->h", dz, both), "s": np.einsum("tb,tbd->d", dz, x)}
         for n, d in enumerate("fb"):
             d_out = dz[:, :, None] * self.w["o"][n * HIDDEN : (n + 1) * HIDDEN]
@@ -390,7 +430,7 @@ class BiLstm:
                 grad = self._gradients(x, mask, y)
                 norm = np.sqrt(sum((g * g).sum() for g in grad.values()))
                 step += 1
-                slow = rate * (0.5 ** (epoch / max(epochs / 3, 1)))
+                slow = rate * (0.5 ** (epoch / max(epochs / 4, 1)))
                 for name, g in grad.items():
                     g = g / max(1.0, norm)
                     first[name] = 0.9 * first[name] + 0.1 * g
@@ -400,14 +440,14 @@ class BiLstm:
 
 def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, rows))
-    x, mask = np.zeros((steps, len(rows), DIMS)), np.zeros((steps, len(rows)))
+    x, mask = np.zeros((steps, len(rows), DIMS), np.float32), np.zeros((steps, len(rows)))
     for b, r in enumerate(rows):
         x[: len(r), b], mask[: len(r), b] = r, 1
     return x, mask
 
 
-def train_labeller(htmls: list[str], epochs: int = 12, seed: int = 3) -> BiLstm:
-    """A labeller fitted to these pages, each as it is, with furniture mixed in, and with paths hidden."""
+def train_labeller(htmls: list[str], epochs: int = 14, seed: int = 3) -> BiLstm:
+    """A labeller fitted to these pages, each as it is, with furniture mixed in, and with its names and elements scrambled."""
     rng = np.random.Generator(np.random.PCG64(seed))
     pages = []
     for html in htmls:
@@ -415,11 +455,16 @@ def train_labeller(htmls: list[str], epochs: int = 12, seed: int = 3) -> BiLstm:
         if not blocks:
             continue
         labels = taught(blocks)
-        pages.append((vectors(blocks), np.array(labels, float)))
-        for _ in range(2):
-            more, marks = _with_furniture(blocks, labels, rng)
-            hidden = rng.random(len(more)) < (0.15 if rng.random() < 0.3 else 0.0)
-            pages.append((vectors(more, hidden), np.array(marks, float)))
+        pages += [(vectors(blocks), np.array(labels, float))] * 2  # as often as with names scrambled
+        for hide in (False, True, True, True):
+            # Without names, furniture in the midst of an article cannot be told from it.
+            more, marks = _with_furniture(blocks, labels, rng, 0.02 if hide else 0.14)
+            x = vectors(_scrambled(more, rng) if hide else more)
+            if rng.random() < 0.5:  # the words of a page may say nothing, and its names neither
+                x[:, FIGURES + PATH_DIMS : FIGURES + PATH_DIMS + WORD_DIMS] = 0
+            if rng.random() < 0.3:
+                x[:, FIGURES + len(_TAGS) : FIGURES + PATH_DIMS] = 0
+            pages.append((x, np.array(marks, float)))
     model = BiLstm()
     # Very long pages are learnt in stretches, so that a batch stays small.
     pages = [(x[k : k + 120], y[k : k + 120]) for x, y in pages for k in range(0, len(y), 120)]
