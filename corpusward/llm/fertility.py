@@ -7,7 +7,11 @@ figure has a rejection band per language (or per script, where a row has no lang
 
 Bands left open come from the corpus itself: the median of all documents of the
 language, give or take ``width`` times the median distance from it, and never tighter
-than ``least_width`` says.  They are grouped sums of mergeable sketches, one row a language.
+than ``least_width`` says.  Figures are counted on a grid of thousandths, so the medians are
+exact on it, take a bounded number of rows a language and are the same in every run.
+
+The vocabularies are files in a folder that every executor must have under the same path
+(``tokenizers``, /opt/tokenizers by default; on a cluster, ship it with the job or mount it).
 
 Words hold no white space and the vocabularies never join pieces across it, so a text's
 tokens are those of its words; a task encodes each distinct word of a batch once.
@@ -22,8 +26,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .tables import stored
 from .words import chunks, hashes, mix, ngrams, spans
@@ -59,10 +64,10 @@ def _byte_model(folder: str):
 
 
 class _Words:
-    """Tokens of words, remembered by the words' hashes."""
+    """Tokens of words, remembered by the words' hashes; ``both`` also counts those of the byte vocabulary."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, both: bool = True):
+        self.folder, self.both = folder, both
         self.forget()
 
     def forget(self) -> None:
@@ -71,6 +76,7 @@ class _Words:
         self.tokens = np.zeros(0, np.int32)
         self.n_bytes = np.zeros(0, np.int32)
         self.n_byte_tokens = np.zeros(0, np.int32)
+        self.sorted, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def ranks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Rows of the words in this memory, learning those it lacks."""
@@ -84,18 +90,20 @@ class _Words:
             text = [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[fresh]]
             model, is_byte = _piece_model(self.folder)
             ids = model.encode(text, num_threads=1)
-            encode = _byte_model(self.folder).encode_ordinary
+            encode = _byte_model(self.folder).encode_ordinary if self.both else None
             flat = np.concatenate([np.asarray(x, np.int32) for x in ids])
             size = np.array([len(x) for x in ids], np.int64)
             bounds = np.concatenate([[0], np.cumsum(size)])
             n_bytes = np.diff(np.concatenate([[0], np.cumsum(is_byte[flat])])[bounds])
             self.tokens = np.concatenate([self.tokens, flat])
             self.n_bytes = np.concatenate([self.n_bytes, n_bytes.astype(np.int32)])
-            self.n_byte_tokens = np.concatenate([self.n_byte_tokens, np.array([len(encode(" " + w)) for w in text], np.int32)])
+            self.n_byte_tokens = np.concatenate([self.n_byte_tokens, np.array([len(encode(" " + w)) for w in text] if encode else np.zeros(len(text)), np.int32)])
             self.start = np.concatenate([self.start, self.start[-1] + bounds[1:]])
-            self.keys = np.concatenate([self.keys, distinct[fresh]])
-            self.order = np.argsort(self.keys)
-            self.sorted = self.keys[self.order]
+            new = distinct[fresh]  # in order, so they are merged into those known
+            place = np.searchsorted(self.sorted, new)
+            self.sorted = np.insert(self.sorted, place, new)
+            self.order = np.insert(self.order, place, np.arange(len(self.keys), len(self.keys) + len(new)))
+            self.keys = np.concatenate([self.keys, new])
             at, _ = self._find(distinct)
         return at[back]
 
@@ -137,6 +145,7 @@ def _measure(data, offsets, memory: _Words) -> dict[str, np.ndarray]:
     line_start, line_end, line_doc = line_start[worded], line_end[worded], line_doc[worded]
     line_key = mix(hashes(data, line_start, line_end) ^ mix(line_doc.astype(np.uint64)))
     _, first = np.unique(line_key, return_index=True)
+    out["n_lines"] = np.bincount(line_doc, minlength=n)
     out["n_dup_lines"] = np.bincount(line_doc, minlength=n) - np.bincount(line_doc[first], minlength=n)
 
     repeated = np.zeros(len(keys), bool)
@@ -173,38 +182,61 @@ def _measure(data, offsets, memory: _Words) -> dict[str, np.ndarray]:
     return out
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_tokens")
+_MEASURES = ", ".join([f"{c} long" for c in COUNTS] + [f"{c} double" for c in FIGURES])
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", tokenizers: str = TOKENIZERS) -> DataFrame:
-    """(id, lang, COUNTS, FIGURES) of every row, from one pass over the whole texts, without a shuffle.
+def _language(text_col: str, lang_col: str | None) -> Column:
+    """The language, or ``script:`` and the script of the text's first letter where there is none."""
+    point = F.ascii(F.substring(F.regexp_replace(F.col(text_col), "[\\x00-\\x40]+", ""), 1, 1))
+    name = F.lit("none")
+    for low, script in SCRIPTS:
+        name = F.when(point >= low, script).otherwise(name)
+    script = F.concat(F.lit("script:"), name)
+    return F.coalesce(F.col(lang_col).cast("string"), script) if lang_col else script
 
-    Where there is no language, ``lang`` is ``script:`` and the script of the text's
-    first letter.  Figures are null for texts without words; null texts count as empty.
-    """
+
+def _measured(rows: DataFrame, tokenizers: str) -> DataFrame:
+    """(kept, lang, COUNTS, FIGURES) of (kept, lang, text), in one pass, without a shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Words(tokenizers)
         for batch in batches:
-            texts = batch.column(2)
-            for first, end, data, offsets in chunks(texts):
+            for first, end, data, offsets in chunks(batch.column(2)):
                 out = _measure(data, offsets, memory)
                 cols = [batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first)]
                 cols += [pa.array(out[c], pa.int64()) for c in COUNTS]
                 cols += [pa.array(out[c], pa.float64(), from_pandas=True) for c in FIGURES]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "lang", *COUNTS, *FIGURES])
+                yield pa.RecordBatch.from_arrays(cols, names=["kept", "lang", *COUNTS, *FIGURES])
 
-    text = F.col(text_col)
-    letters = F.regexp_replace(text, "[\\x00-\\x40]+", "")
-    point = F.ascii(F.substring(letters, 1, 1))
-    name = F.lit("none")
-    for low, script in SCRIPTS:
-        name = F.when(point >= low, script).otherwise(name)
-    script = F.concat(F.lit("script:"), name)
-    lang = F.coalesce(F.col(lang_col).cast("string"), script) if lang_col else script
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, lang string, " + ", ".join([f"{c} long" for c in COUNTS] + [f"{c} double" for c in FIGURES])
-    return docs.select(F.col(id_col).alias("id"), lang.alias("lang"), text.alias("text")).mapInArrow(work, schema)
+    return rows.mapInArrow(work, StructType([rows.schema["kept"], *StructType.fromDDL(f"lang string, {_MEASURES}")]))
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", tokenizers: str = TOKENIZERS) -> DataFrame:
+    """(id, lang, COUNTS, FIGURES) of every row, from one pass over the whole texts, without a shuffle.
+
+    Where there is no language, ``lang`` is ``script:`` and the script of the text's
+    first letter.  Figures are null for texts without words; null texts count as empty.
+    """
+    rows = docs.select(F.col(id_col).alias("kept"), _language(text_col, lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return _measured(rows, tokenizers).withColumnRenamed("kept", "id")
+
+
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS) -> DataFrame:
+    """(id, n_tokens) of every row by the piece vocabulary, from one pass, without a shuffle; null texts have none."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _Words(tokenizers, both=False)
+        for batch in batches:
+            for first, end, data, offsets in chunks(batch.column(1)):
+                starts, ends, rows = spans(data, offsets)
+                keys = hashes(data, starts, ends)
+                word = memory.ranks(data, starts, ends, keys) if len(keys) else np.zeros(0, np.int64)
+                n = _per_row(rows, memory.start[word + 1] - memory.start[word] if len(keys) else word)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n, pa.int64())], names=["id", "n_tokens"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long")
 
 
 def base_failed():
@@ -222,16 +254,45 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES else df
 
 
+#: Steps of a figure's grid to 1.
+GRID = 1000
+
+
 def learned_bands(figures: DataFrame, width: float, least_width: dict[str, float]) -> DataFrame:
     """(lang, low and high of each figure) over all rows that pass the base rules."""
-    sound = figures.where(~base_failed())
-    middle = sound.groupBy("lang").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in FIGURES])
-    away = sound.join(_small(middle), "lang").groupBy("lang").agg(
-        *[F.max(f"{c}_mid").alias(f"{c}_mid") for c in FIGURES],
-        *[F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 1000).alias(f"{c}_off") for c in FIGURES],
-    )
-    half = {c: F.greatest(F.col(f"{c}_off") * width, F.lit(least_width[c])) for c in FIGURES}
-    return away.select("lang", *[x for c in FIGURES for x in ((F.col(f"{c}_mid") - half[c]).alias(f"{c}_low"), (F.col(f"{c}_mid") + half[c]).alias(f"{c}_high"))])
+    sound = figures.where(~base_failed()).select("lang", F.posexplode(F.array(*[F.round(F.col(c) * GRID) / GRID for c in FIGURES])).alias("k", "v"))
+    grid = sound.where("v is not null").groupBy("lang", "k", "v").agg(F.count("*").alias("n"))
+    middle = grid.groupBy("lang", "k").agg(F.percentile("v", 0.5, F.col("n")).alias("mid"))
+    away = grid.join(middle, ["lang", "k"]).groupBy("lang", "k", "mid").agg(F.percentile(F.abs(F.col("v") - F.col("mid")), 0.5, F.col("n")).alias("off"))
+    least = F.element_at(F.array(*[F.lit(float(least_width[c])) for c in FIGURES]), F.col("k") + 1)
+    half = F.greatest(F.col("off") * width, least)
+    bands = away.select("lang", "k", (F.col("mid") - half).alias("low"), (F.col("mid") + half).alias("high"))
+    ends = [F.max(F.when(F.col("k") == k, F.col(end))).alias(f"{c}_{end}") for k, c in enumerate(FIGURES) for end in ("low", "high")]
+    return bands.groupBy("lang").agg(*ends)
+
+
+def _judged(figures: DataFrame, bands, width: float, least_width: dict[str, float], symbol_share: float, dup_line_share: float) -> DataFrame:
+    """``figures`` with base_failed, failed_figures and passes."""
+    if bands is None:
+        limits = _small(learned_bands(figures, width, least_width).withColumnRenamed("lang", "band"))
+        rows = figures.join(limits, F.col("lang") == F.col("band"), "left")
+        low = {c: F.col(f"{c}_low") for c in FIGURES}
+        high = {c: F.col(f"{c}_high") for c in FIGURES}
+    else:
+        rows, low, high = figures, {}, {}
+        for c in FIGURES:
+            for side, at in ((low, 0), (high, 1)):
+                default = bands.get("*", {}).get(c, (None, None))[at]
+                value = F.lit(default).cast("double")
+                for name, own in bands.items():
+                    if name != "*" and c in own:
+                        value = F.when(F.col("lang") == name, F.lit(own[c][at]).cast("double")).otherwise(value)
+                side[c] = value
+    fails = [F.when((F.col(c) < low[c]) | (F.col(c) > high[c]), F.lit(c)) for c in FIGURES]
+    fails.append(F.when(F.col("n_symbols") > F.col("word_chars") * symbol_share, F.lit("n_symbols")))
+    fails.append(F.when(F.col("n_dup_lines") > F.col("n_lines") * dup_line_share, F.lit("n_dup_lines")))
+    judged = rows.withColumns({"base_failed": base_failed(), "failed_figures": F.array_compact(F.array(*fails))})
+    return judged.withColumn("passes", ~F.col("base_failed") & (F.size("failed_figures") == 0))
 
 
 def quality_rules(
@@ -250,30 +311,32 @@ def quality_rules(
 
     ``bands`` gives (low, high) of figures by language or ``script:`` name, with ``*`` for
     the rest; None learns them from the corpus.  A row is kept if the base rules, every
-    band and the two shares (symbols per character of the words, repeated lines' part of
-    words lines) hold.  Null and empty texts fail the base rules.  Repeated rows and null
+    band and the two shares (symbols per character of the words, repeats' part of the lines
+    with words) hold.  Null and empty texts fail the base rules.  Repeated rows and null
     ids are judged alike, row by row; other columns are ignored.
     """
     figures = stored(measure(docs, id_col, text_col, lang_col, tokenizers), "figures")
-    if bands is None:
-        limits = _small(learned_bands(figures, width, least_width).withColumnRenamed("lang", "band"))
-        rows = figures.join(limits, F.col("lang") == F.col("band"), "left")
-        low = {c: F.col(f"{c}_low") for c in FIGURES}
-        high = {c: F.col(f"{c}_high") for c in FIGURES}
-    else:
-        rows, low, high = figures, {}, {}
-        for c in FIGURES:
-            for side, at in ((low, 0), (high, 1)):
-                default = bands.get("*", {}).get(c, (None, None))[at]
-                value = F.lit(default).cast("double")
-                for name, own in bands.items():
-                    if name != "*" and c in own:
-                        value = F.when(F.col("lang") == name, F.lit(own[c][at]).cast("double")).otherwise(value)
-                side[c] = value
-    fails = [F.when((F.col(c) < low[c]) | (F.col(c) > high[c]), F.lit(c)) for c in FIGURES]
-    fails.append(F.when(F.col("n_symbols") > F.col("word_chars") * symbol_share, F.lit("n_symbols")))
-    fails.append(F.when(F.col("n_dup_lines") > F.col("n_words") * dup_line_share, F.lit("n_dup_lines")))
-    return rows.select(
-        F.col("id").alias(id_col), *COUNTS[:5], base_failed().alias("base_failed"), "n_tokens", *FIGURES,
-        F.array_compact(F.array(*fails)).alias("failed_figures"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.size("failed_figures") == 0))
+    rows = _judged(figures, bands, width, least_width, symbol_share, dup_line_share)
+    return rows.select(F.col("id").alias(id_col), *COUNTS[:5], "base_failed", "n_lines", "n_tokens", *FIGURES, "failed_figures", F.col("passes").alias("kept"))
+
+
+def keep_good(
+    docs: DataFrame,
+    text_col: str = "text",
+    lang_col: str | None = "lang",
+    bands: dict[str, dict[str, tuple[float, float]]] | None = None,
+    width: float = 6.0,
+    least_width: dict[str, float] = LEAST_WIDTH,
+    symbol_share: float = 0.1,
+    dup_line_share: float = 0.5,
+    tokenizers: str = TOKENIZERS,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, all columns.
+
+    Rows are judged as they are, whatever their ids; they are written once beside their
+    figures and read again for the verdict, so texts are never shuffled.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    figures = stored(_measured(docs.select(row.alias("kept"), _language(text_col, lang_col).alias("lang"), F.col(text_col).alias("text")), tokenizers), "judged")
+    rows = _judged(figures, bands, width, least_width, symbol_share, dup_line_share).where("passes")
+    return rows.select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns])

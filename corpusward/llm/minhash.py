@@ -283,6 +283,21 @@ def near_duplicates(
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` of which :func:`near_duplicates` keeps one a group, all columns.
+
+    Of rows with one id, the least one (by all columns in order) stays, where its group keeps
+    that id.  Rows with a null id stay.
+    """
+    judged = stored(near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull()).select(id_col, "kept"), "judged")
+    ids = judged.groupBy(id_col).agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")).where("n > 1 or not kept")
+    gone = stored(ids.select(F.col(id_col).alias("gone"), F.col("kept").alias("again")), "gone")
+    once = docs.join(gone.select("gone"), docs[id_col].cast("long") == gone["gone"], "left_anti")
+    again = docs.join(gone.where("again").select("gone"), docs[id_col].cast("long") == gone["gone"])
+    least = again.groupBy("gone").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return once.unionByName(least.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+
+
 #: DuckDB: links by joining all shingles, components by reachability.
 ORACLE = r"""
 WITH RECURSIVE d AS (
