@@ -3,13 +3,14 @@
 The text view sees hashed words, word beginnings and word shapes.  The metadata view
 sees the record (source, language, stated length) and the layout (lines, their lengths,
 shares of capitals, digits and symbols) but no words.  Both are logistic regressions.
-In each round, each view labels the unlabelled texts it is surest of, a fixed number of
-each class, and hands them to the other view.  In the end each view is calibrated on
-labelled rows that no round used, and the two log-odds are combined with weights fitted
-on the same rows.
-
-Training takes a bounded sample of labelled rows and a bounded pool of unlabelled ones;
-scoring is one pass over all whole texts, without a shuffle.
+In each round, both views score every unlabelled text in one pass over all of them; each
+view labels those it is surest of, a fixed number of each class, and hands them to the other
+view.  In the end each view is calibrated on labelled rows that no round used.  The views
+are taken as independent given the class, as co-training does, so their log-odds add less the
+prior's; the sum is tempered by one slope and shift, so neither view can drop out.
+
+Training takes a bounded sample of labelled rows and, of each round, a fixed number of
+pseudo-labelled ones; every pass goes over whole texts, without shuffling them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import free_name, stored
@@ -130,7 +131,8 @@ class Views:
         self.mean = np.zeros(len(LAYOUT))
         self.scale = np.ones(len(LAYOUT))
         self.calibrated = {"text": (1.0, 0.0), "meta": (1.0, 0.0)}
-        self.joint = np.array([1.0, 0.0, 0.0])
+        self.joint = np.array([1.0, 0.0])
+        self.prior = 0.0
         self.share = 0.5
         self.trained = False
 
@@ -164,7 +166,7 @@ class Views:
         t, m = self.logits(rows)
         (a, b), (c, d) = self.calibrated["text"], self.calibrated["meta"]
         t, m = np.clip(a * t + b, -20, 20), np.clip(c * m + d, -20, 20)
-        both = self.joint[0] * t + self.joint[1] * m + self.joint[2]
+        both = self.joint[0] * (t + m - self.prior) + self.joint[1]
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (t, m, both))
 
 
@@ -195,37 +197,46 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return coef
 
 
-def co_train(labelled: Rows, y: np.ndarray, pool: Rows, rounds: int = 3, per_round: int = 200, sure: float = 0.9) -> Views:
-    """Fit the views; every fifth labelled row is kept for calibration only."""
-    out = Views()
+def _start(out: Views, labelled: Rows, y: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Numbers of the labelled rows to fit on and to calibrate on (every fifth); None if there is nothing to tell apart."""
     if not len(y) or not 0 < y.sum() < len(y):
         out.share = float(y.mean()) if len(y) else 0.5
-        return out
+        return None
     kept = np.arange(len(y)) % 5 == 0
     if not 0 < y[kept].sum() < kept.sum() or not 0 < y[~kept].sum() < (~kept).sum():
-        kept = np.zeros(len(y), bool)
-    base, base_y = labelled.take(np.flatnonzero(~kept)), y[~kept].astype(float)
-    given: dict[str, tuple[np.ndarray, np.ndarray]] = {v: (np.zeros(0, np.int64), np.zeros(0)) for v in ("text", "meta")}
+        return np.arange(len(y)), np.arange(len(y))
+    return np.flatnonzero(~kept), np.flatnonzero(kept)
+
+
+def co_train(labelled: Rows, y: np.ndarray, surest, rounds: int = 3, per_round: int = 200, sure: float = 0.9) -> Views:
+    """Fit the views; every fifth labelled row is kept for calibration only.
+
+    ``surest(views, k, bar)`` gives the views of unlabelled rows, and for "text" and "meta"
+    the row numbers and labels that the other view is surest of: at most ``k`` a class, with
+    log-odds at ``bar`` or beyond.
+    """
+    out = Views()
+    split = _start(out, labelled, y)
+    if split is None:
+        return out
+    own, check = split
+    base, base_y = labelled.take(own), y[own].astype(float)
+    pool, none = labelled.take(np.zeros(0, np.int64)), (np.zeros(0, np.int64), np.zeros(0))
+    given = {"text": none, "meta": none}
     for turn in range(rounds + 1):
         for name, fit in (("text", out.fit_text), ("meta", out.fit_meta)):
             rows, pseudo = given[name]
             fit(_joined(base, pool.take(rows)), np.concatenate([base_y, pseudo]))
-        if turn == rounds or not len(pool):
-            break
-        t, m = out.logits(pool)
-        for name, z in (("meta", t), ("text", m)):  # what one view is sure of goes to the other
-            bar = np.log(sure / (1 - sure))
-            high = np.argsort(-z, kind="stable")[: per_round * (turn + 1)]
-            low = np.argsort(z, kind="stable")[: per_round * (turn + 1)]
-            high, low = high[z[high] >= bar], low[z[low] <= -bar]
-            given[name] = np.concatenate([high, low]), np.concatenate([np.ones(len(high)), np.zeros(len(low))])
+        if turn < rounds:
+            pool, given = surest(out, per_round * (turn + 1), float(np.log(sure / (1 - sure))))
     out.trained = True
-    check = np.flatnonzero(kept) if kept.any() else np.arange(len(y))
     rows, truth = labelled.take(check), y[check].astype(float)
     t, m = out.logits(rows)
     out.calibrated = {"text": tuple(_calibrate(t[:, None], truth)), "meta": tuple(_calibrate(m[:, None], truth))}
     (a, b), (c, d) = out.calibrated["text"], out.calibrated["meta"]
-    out.joint = _calibrate(np.stack([a * t + b, c * m + d], axis=1), truth)
+    share = np.clip(truth.mean(), 1e-3, 1 - 1e-3)
+    out.prior = float(np.log(share / (1 - share)))
+    out.joint = _calibrate((a * t + b + c * m + d - out.prior)[:, None], truth)
     return out
 
 
@@ -265,20 +276,8 @@ def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Rows]]:
     yield from views(col["text"], col["source"].to_pylist(), col["lang"].to_pylist(), stated)
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
-    lang_col: str | None = "lang", chars_col: str | None = "n_chars", label_col: str = "quality", train_on=None,
-    labelled: int = 2500, pool: int = 2000, rounds: int = 3,
-) -> Views:
-    """The co-trained views of bounded samples of ``docs``; see :func:`classify_quality`."""
-    columns = _Columns(docs, id_col, text_col, source_col, lang_col, chars_col)
-    rows = docs.select(*columns.used)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), (F.lit(True) if train_on is None else train_on).alias("use"))
-    known = known.where(F.col("use") & F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y"))
-    ids = rows.select("id").where(F.col("id").isNotNull()).distinct()
-    own = ids.join(known, "id").orderBy(F.xxhash64("id"), "id").limit(labelled)
-    other = ids.join(labels.select(F.col(id_col).alias("id")), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(pool)
-    chosen = stored(own.unionByName(other.withColumn("y", F.lit(None).cast("int"))), "chosen")  # bounded: it may be broadcast
+def _extracted(rows: DataFrame, id_type: str) -> DataFrame:
+    """(id, y, column, value, meta): the views of (id, y, text, source, lang, stated), as bytes."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,41 +286,99 @@ def fit(
                 column, value = part.column.astype(np.int32), part.value.astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, end - first), batch.column(batch.schema.get_field_index("y")).slice(first, end - first),
+                        batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first),
                         pa.array([column[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([value[a:b].tobytes() for a, b in cut], pa.binary()),
                         pa.array([m.tobytes() for m in part.meta.astype(np.float32)], pa.binary()),
                     ],
                     names=["id", "y", "column", "value", "meta"],
                 )
 
-    sample = rows.join(F.broadcast(chosen), "id").select("id", "text", "source", "lang", "stated", "y")
-    sample = stored(sample.mapInArrow(extract, f"id {columns.id_type}, y int, column binary, value binary, meta binary"), "views")
-    frame = sample.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").toPandas()
-    has = frame["y"].notna().to_numpy()
-    y = frame["y"][has].to_numpy(float)
-    every = _packed(frame)
-    del frame
-    own_rows, pool_rows = every.take(np.flatnonzero(has)), every.take(np.flatnonzero(~has))
-    del every
-    return co_train(own_rows, y, pool_rows, rounds)
+    rows = rows.select("id", "y", "text", "source", "lang", "stated")
+    return rows.mapInArrow(extract, f"id {id_type}, y int, column binary, value binary, meta binary")
+
+
+def _surest(rows: DataFrame, model: Views, k: int, bar: float, id_type: str) -> DataFrame:
+    """(id, kind): of all ``rows``, the at most ``k`` surest ids of each kind; of equally sure ones the least ids.
+
+    Kinds 0 and 1 are labels 0 and 1 by the text view, 2 and 3 those by the metadata view.
+    Each task keeps its own ``k`` surest, shares of the ids the surest of all tasks.
+    """
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * 4
+        for batch in batches:
+            for first, end, part in _unpack(batch):
+                ids = batch.column(0).slice(first, end - first).to_numpy(zero_copy_only=False)
+                ids = ids.astype(str) if ids.dtype == object else ids
+                for view, z in enumerate(model.logits(part)):
+                    for kind, far in ((2 * view, -z), (2 * view + 1, z)):
+                        hit = far >= bar
+                        name, far = ids[hit], far[hit]
+                        if best[kind] is not None:
+                            name, far = np.concatenate([best[kind][0], name]), np.concatenate([best[kind][1], far])
+                        top = np.lexsort((name, -far))[:k]
+                        best[kind] = name[top], far[top]
+        for kind, kept in enumerate(best):
+            if kept is not None and len(kept[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(np.full(len(kept[0]), kind)), pa.array(kept[1])], names=["id", "kind", "sure"])
+
+    found = rows.mapInArrow(score, f"id {id_type}, kind long, sure double").groupBy("id", "kind").agg(F.max("sure").alias("sure"))
+    order = [F.desc("sure"), "id"]
+    share = Window.partitionBy("kind", "share").orderBy(*order)
+    found = found.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("n", F.row_number().over(share)).where(F.col("n") <= k)
+    return found.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("n") <= k).select("id", "kind")
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
+    lang_col: str | None = "lang", chars_col: str | None = "n_chars", label_col: str = "quality", train_on=None,
+    labelled: int = 2500, rounds: int = 3, per_round: int = 200,
+) -> Views:
+    """The co-trained views of ``docs``; see :func:`classify_quality`."""
+    columns = _Columns(docs, id_col, text_col, source_col, lang_col, chars_col)
+    rows = docs.select(*columns.used)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), (F.lit(True) if train_on is None else train_on).alias("use"))
+    known = known.where(F.col("use") & F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y"))
+    own = rows.select("id").where(F.col("id").isNotNull()).distinct().join(known, "id").orderBy(F.xxhash64("id"), "id").limit(labelled)
+    own = stored(own, "chosen")  # at most `labelled` rows, so it may be broadcast
+
+    def held(chosen: DataFrame):
+        """Ids, labels and views of the chosen rows (of repeated ids one, the least by its views)."""
+        sample = stored(_extracted(rows.join(F.broadcast(chosen), "id"), columns.id_type), "views")
+        frame = sample.groupBy("id", "y").agg(F.min(F.struct("column", "value", "meta")).alias("v")).select("id", "y", "v.*").orderBy(F.xxhash64("id"), "id").toPandas()
+        return frame["id"].to_numpy(), frame["y"].to_numpy(float), _packed(frame)
+
+    def surest(model: Views, k: int, bar: float):
+        free = rows.where(F.col("id").isNotNull()).join(F.broadcast(own.select("id")), "id", "left_anti")
+        picked = stored(_surest(free, model, k, bar, columns.id_type), "surest")  # at most 4 k rows
+        chosen = picked.groupBy("id").agg(F.expr("int(sum(shiftleft(1, int(kind))))").alias("y"))
+        _, kinds, pool = held(chosen)
+        kinds = kinds.astype(np.int64)
+        pick = lambda view: np.concatenate([np.flatnonzero(kinds >> (2 * view + y) & 1) for y in (1, 0)])
+        mark = lambda view: np.concatenate([np.full(int((kinds >> (2 * view + y) & 1).sum()), float(y)) for y in (1, 0)])
+        return pool, {"meta": (pick(0), mark(0)), "text": (pick(1), mark(1))}
+
+    _, y, own_rows = held(own)
+    return co_train(own_rows, y, surest, rounds, per_round)
 
 
 def classify_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
     lang_col: str | None = "lang", chars_col: str | None = "n_chars", label_col: str = "quality", train_on=None,
-    labelled: int = 2500, pool: int = 2000, rounds: int = 3, threshold: float = 0.3,
+    labelled: int = 2500, rounds: int = 3, per_round: int = 200, threshold: float = 0.3,
 ) -> DataFrame:
     """(id_col, text_score, meta_score, score, kept) for every row of ``docs``.
 
-    Scores are chances of label 1.  At most ``labelled`` labelled rows and the texts of at
-    most ``pool`` ids without a label are learnt from, chosen by a hash of the id;
-    ``train_on`` is a column condition on ``labels`` that limits them.  Null texts count as
-    empty and null metadata as a name of its own.  Without labels of both classes every
-    score is the share of label 1 (0.5 without any).  Repeated rows are scored each; of
-    repeated labels the larger counts; null ids are scored but not learnt from.  Other
-    columns are ignored.
+    Scores are chances of label 1.  At most ``labelled`` labelled rows are learnt from, chosen
+    by a hash of the id; ``train_on`` is a column condition on ``labels`` that limits them.
+    All rows but these are candidates for pseudo-labels; of each class a view gives
+    ``per_round`` more in every round.  The driver holds the views of those rows, at most 260 kB
+    each.  Null texts count as empty and null metadata as a name of its own.  Without labels
+    of both classes every score is the share of label 1 (0.5 without any).  Repeated rows are
+    scored each; of repeated labels the larger counts, and an id with several texts is learnt
+    from by one of them; null ids are scored but not learnt from.  Other columns are ignored.
     """
-    model = fit(docs, labels, id_col, text_col, source_col, lang_col, chars_col, label_col, train_on, labelled, pool, rounds)
+    model = fit(docs, labels, id_col, text_col, source_col, lang_col, chars_col, label_col, train_on, labelled, rounds, per_round)
     columns = _Columns(docs, id_col, text_col, source_col, lang_col, chars_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
