@@ -13,24 +13,19 @@ from corpusward.llm import cotraining, fertility, minhash, mixing, packing
 from corpusward.llm.tables import stored
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the ids that ``dropped`` names; rows with a null id stay."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a fertility band reject go."""
-    return _without(docs, fertility.quality_rules(docs).where("not kept"))
+    """Rows that the base rules or a fertility band reject go."""
+    return fertility.keep_good(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are likelier of low quality go."""
+    """Rows that are likelier of low quality go."""
     return cotraining.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
-    return _without(docs, minhash.near_duplicates(docs).where("not kept"))
+    """One row of each near-duplicate group stays, of the document with the smallest id; shingles of five words."""
+    return minhash.keep_one(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
