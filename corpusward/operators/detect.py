@@ -1,34 +1,95 @@
 """Detection templates: one job runs every rule row of a shape.
 
-Rule rows are (rule_id, code, include_re, exclude_re, regex[, needle]).  Each distinct regex
-is evaluated once on the texts that some rule needs it for, and the results fan out to the
-rules by an equality join, so adding rules that share patterns adds no scans.
+Rule rows are (rule_id, code, include_re, exclude_re, regex[, flags][, needle]); a rule with
+several patterns or codes has several rows.  Patterns are in the rule language and are
+translated here, with the flags (FLAGS, false where a column is missing).  Each distinct
+translated pattern is evaluated once on the texts that some rule needs it for, and the
+results fan out to the rules by an equality join, so adding rules that share patterns adds
+no scans.  Rows with a pattern outside the language find nothing; :func:`pattern_errors`
+names them, and the other rules are not touched.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .patterns import lines, spans
+from corpusward.functions.digest import CONTEXT, framed_digest, text_digest
+from corpusward.functions.regexes import FLAGS as _JAVA_FLAGS
+from corpusward.functions.regexes import compiled
+
+from .patterns import LOCATED, lines, spans, stepped
 from .scope import _small, in_scope, scope_join
 
 RAW = ["rule_id", "path", "code", "start_byte", "end_byte"]
+FLAGS = (*_JAVA_FLAGS, "crlf")
 
 
 def whole_file(text: Column) -> list[Column]:
     return [F.lit(0).cast("long").alias("start_byte"), F.octet_length(text).cast("long").alias("end_byte")]
 
 
-def _texts(rules: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(path, text, regex) of every text and distinct regex that finds something in it, in some scope.
+_COMPILED = StructType([StructField("java", StringType()), StructField("steps", StringType()), StructField("empty", BooleanType()), StructField("problem", StringType())])
+
+
+@F.udf(_COMPILED, useArrow=True)
+def _compile(pattern: str, *flags: bool):
+    try:
+        return (*compiled(pattern, **{f: bool(on) for f, on in zip(FLAGS, flags)}), None)
+    except ValueError as problem:
+        return None, None, None, str(problem)
+
+
+def compile_rules(rules: DataFrame) -> DataFrame:
+    """``rules`` with ``java`` and ``steps``, two forms of their patterns, ``empty`` (whether these can match without taking a character) and ``problem``."""
+    flags = [F.coalesce(F.col(f), F.lit(False)) if f in rules.columns else F.lit(False) for f in FLAGS]
+    return rules.withColumn("_compiled", _compile(F.col("regex"), *flags)).select(*rules.columns, "_compiled.*")
+
+
+def pattern_errors(rules: DataFrame) -> DataFrame:
+    """(rule_id, error, detail) of rules that have a pattern outside the language."""
+    return compile_rules(rules).where("problem is not null").select("rule_id", F.lit("invalid_pattern").alias("error"), F.col("problem").alias("detail")).distinct()
 
-    A regex's scopes are tested together on the path, and before the text, in the scan; so a
-    text is there once for each regex that it is wanted for and is never shuffled.
+
+def _rows(rules: DataFrame, *more: str) -> DataFrame:
+    """The sound rule rows with what evaluation needs and the columns ``more``, evaluated once."""
+    return _small(compile_rules(rules).where("problem is null").select("rule_id", "include_re", "exclude_re", "java", "steps", "empty", *more).distinct())
+
+
+def _texts(rows: DataFrame, corpus: DataFrame, empty: bool) -> DataFrame:
+    """(path, text, java, steps) of every text and distinct pattern that finds something in it, in some scope.
+
+    A pattern's scopes are tested together on the path, and before the text, in the scan; so a
+    text is there once for each pattern that it is wanted for and is never shuffled.
     """
-    shape = rules.groupBy("regex").agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes"))
+    shape = rows.where(F.col("empty") == empty).groupBy("java", "steps").agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes"))
     wants = F.exists("scopes", lambda s: in_scope(F.col("path"), s["include_re"], s["exclude_re"]))
-    return corpus.select("path", "text").join(_small(shape), wants & F.rlike("text", "regex")).select("path", "text", "regex")
+    found = F.col("text").isNotNull() if empty else F.rlike("text", "java")
+    return corpus.select("path", "text").join(_small(shape), wants & found).select("path", "text", "java", "steps")
+
+
+def _steps(rows: DataFrame) -> bool:
+    """Whether some pattern must be stepped through."""
+    return not rows.where("empty").isEmpty()
+
+
+def _evaluated(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(path, java, ord, start_byte, end_byte, text): matches of each distinct pattern, in the scopes of any rule."""
+    found = spans(_texts(rows, corpus, False), F.col("java"), ["path", "java"])
+    if _steps(rows):
+        found = found.unionByName(stepped(_texts(rows, corpus, True), F.col("steps"), ["path", "java"]))
+    return found
+
+
+def _fanned(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """``found`` for each rule row that has its pattern, inside the rule's scope."""
+    return found.join(rows.drop("steps", "empty"), "java").where(in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
+
+
+def _matches(rules: DataFrame, corpus: DataFrame, *more: str) -> DataFrame:
+    rows = _rows(rules, *more)
+    return _fanned(_evaluated(rows, corpus), rows)
 
 
 def shared_evaluation(rules: DataFrame, corpus: DataFrame, shared: bool = True) -> DataFrame:
@@ -36,77 +97,95 @@ def shared_evaluation(rules: DataFrame, corpus: DataFrame, shared: bool = True)
 
     ``shared=False`` evaluates each rule by itself; the rows are the same.
     """
-    if not shared:
-        hits = corpus.select("path", "text").join(_small(rules.select("rule_id", "include_re", "exclude_re", "regex")), in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
-        return spans(hits.where(F.rlike("text", "regex")), F.col("regex"), ["rule_id", "path"])
-    found = spans(_texts(rules, corpus), F.col("regex"), ["path", "regex"])
-    uses = _small(rules.select("rule_id", "regex", "include_re", "exclude_re"))
-    fanned = found.join(uses, "regex").where(in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
-    return fanned.select("rule_id", "path", "ord", "start_byte", "end_byte", "text")
-
-
-def _coded(found: DataFrame, rules: DataFrame) -> DataFrame:
-    return found.join(_small(rules.select("rule_id", "code")), "rule_id").select(*RAW)
+    columns = ["rule_id", "path", "ord", "start_byte", "end_byte", "text"]
+    if shared:
+        return _matches(rules, corpus).select(*columns)
+    rows = _rows(rules)
+    hits = corpus.select("path", "text").join(rows, in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
+    found = spans(hits.where(~F.col("empty") & F.rlike("text", "java")), F.col("java"), ["rule_id", "path"])
+    if _steps(rows):
+        found = found.unionByName(stepped(hits.where("empty and text is not null"), F.col("steps"), ["rule_id", "path"]))
+    return found.select(*columns)
 
 
 def detect_each(rules: DataFrame, corpus: DataFrame) -> DataFrame:
     """One finding for each match."""
-    return _coded(shared_evaluation(rules, corpus), rules)
+    return _matches(rules, corpus, "code").select(*RAW)
+
+
+def detect_located(rules: DataFrame, corpus: DataFrame) -> DataFrame:
+    """:func:`detect_each` with LOCATED, matched_digest, file_digest and a file rule's context_digest.
+
+    All of it comes from the scan that finds the matches; no text is joined to a finding.
+    Of patterns that can match the empty text, the matches are joined to their texts.
+    """
+    rows = _rows(rules, "code")
+    texts = _texts(rows, corpus, False).withColumn("file_digest", text_digest(F.col("text")))
+    found = spans(texts, F.col("java"), ["path", "java", "file_digest"], located=True)
+    if _steps(rows):
+        from .findings import add_coordinates, add_snippet
+
+        some = stepped(_texts(rows, corpus, True).withColumn("file_digest", text_digest(F.col("text"))), F.col("steps"), ["path", "java", "file_digest"])
+        found = found.unionByName(add_snippet(add_coordinates(some.withColumnRenamed("text", "_match"), corpus), corpus).withColumnRenamed("_match", "text").select(*found.columns))
+    found = found.withColumns({"matched_digest": text_digest(F.col("text")), "context_digest": framed_digest(CONTEXT, F.col("path"), F.col("file_digest"))})
+    return _fanned(found, rows).select(*RAW, *LOCATED, "matched_digest", "file_digest", "context_digest")
 
 
 def detect_each_where(rules: DataFrame, corpus: DataFrame) -> DataFrame:
     """Matches whose own text contains the rule's needle."""
-    found = shared_evaluation(rules, corpus).join(_small(rules.select("rule_id", "code", "needle")), "rule_id")
-    return found.where(F.contains("text", "needle")).select(*RAW)
+    return _matches(rules, corpus, "code", "needle").where(F.contains("text", "needle")).select(*RAW)
 
 
 def _file_tests(rules: DataFrame, corpus: DataFrame) -> DataFrame:
-    return corpus.select("path", "text").join(_small(rules), in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
+    return corpus.select("path", "text").join(rules, in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
 
 
 def detect_absence(rules: DataFrame, corpus: DataFrame) -> DataFrame:
     """Files in scope without the pattern, as whole-file spans."""
-    return _file_tests(rules, corpus).where(~F.rlike("text", "regex")).select("rule_id", "path", "code", *whole_file(F.col("text")))
+    return _file_tests(_rows(rules, "code"), corpus).where(~F.rlike("text", "java")).select("rule_id", "path", "code", *whole_file(F.col("text")))
 
 
 def detect_presence(rules: DataFrame, corpus: DataFrame) -> DataFrame:
     """Files in scope that contain the needle, as whole-file spans."""
-    return _file_tests(rules, corpus).where(F.contains("text", "needle")).select("rule_id", "path", "code", *whole_file(F.col("text")))
+    return _file_tests(_small(rules), corpus).where(F.contains("text", "needle")).select("rule_id", "path", "code", *whole_file(F.col("text")))
 
 
 def detect_lines(rules: DataFrame, corpus: DataFrame) -> DataFrame:
     """Lines in which the pattern is found."""
-    hits = lines(_texts(rules, corpus), ["path", "regex"]).where(F.rlike("text", "regex"))
-    uses = _small(rules.select("rule_id", "code", "regex", "include_re", "exclude_re"))
-    return hits.join(uses, "regex").where(in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re"))).select(*RAW)
+    rows = _rows(rules, "code")
+    # Anchors may hold in a line that do not hold in the whole text, so the whole text is no test of those.
+    shape = _small(rows.groupBy("java").agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes")))
+    wants = F.exists("scopes", lambda s: in_scope(F.col("path"), s["include_re"], s["exclude_re"]))
+    anchored = F.rlike("java", F.lit(r"\\[AzZ]|\^|\$"))
+    texts = corpus.select("path", "text").join(shape, wants & (anchored | F.rlike("text", "java"))).select("path", "text", "java")
+    return _fanned(lines(texts, ["path", "java"]).where(F.rlike("text", "java")), rows).select(*RAW)
 
 
 def detect_capture_compare(rules: DataFrame, corpus: DataFrame, equal: bool = True) -> DataFrame:
     """Matches whose first two groups are equal (or, with ``equal=False``, differ); absent equals absent."""
-    found = shared_evaluation(rules, corpus).join(_small(rules.select("rule_id", "code", "regex")), "rule_id")
-    one, two = (F.expr(f"regexp_extract(text, regex, {k})") for k in (1, 2))
+    found = _matches(rules, corpus, "code")
+    one, two = (F.expr(f"regexp_extract(text, java, {k})") for k in (1, 2))
     test = one.eqNullSafe(two)
     return found.where(test if equal else ~test).select(*RAW)
 
 
 def detect_count(rules: DataFrame, corpus: DataFrame) -> DataFrame:
     """Files with more matches than the rule's ``most``, as (rule_id, path, n_matches)."""
-    found = shared_evaluation(rules, corpus).groupBy("rule_id", "path").agg(F.count("*").alias("n_matches"))
-    return found.join(_small(rules.select("rule_id", "most")), "rule_id").where("n_matches > most").select("rule_id", "path", "n_matches")
+    found = _matches(rules, corpus, "most").groupBy("rule_id", "path", "most").agg(F.count("*").alias("n_matches"))
+    return found.where("n_matches > most").select("rule_id", "path", "n_matches")
 
 
 def defined_twice(rules: DataFrame, corpus: DataFrame) -> DataFrame:
     """Across files: matches whose text is found in more than one file of the rule's scope."""
-    found = shared_evaluation(rules, corpus)
+    found = _matches(rules, corpus, "code")
     files = found.select("rule_id", "text", "path").distinct().groupBy("rule_id", "text").agg(F.count("*").alias("n")).where("n > 1")
-    return _coded(found.join(files.select("rule_id", "text"), ["rule_id", "text"]), rules)
+    return found.join(files.select("rule_id", "text"), ["rule_id", "text"]).select(*RAW)
 
 
 def used_undefined(uses: DataFrame, defines: DataFrame, corpus: DataFrame) -> DataFrame:
     """Across files: matches of the use rules whose text no define rule of the same code finds anywhere."""
-    defined = shared_evaluation(defines, corpus).join(_small(defines.select("rule_id", "code")), "rule_id").select("code", "text").distinct()
-    used = shared_evaluation(uses, corpus).join(_small(uses.select("rule_id", "code")), "rule_id")
-    return used.join(defined, ["code", "text"], "left_anti").select(*RAW)
+    defined = _matches(defines, corpus, "code").select("code", "text").distinct()
+    return _matches(uses, corpus, "code").join(defined, ["code", "text"], "left_anti").select(*RAW)
 
 
 def repository_gap_guard(raw: DataFrame, rules: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -88,9 +88,9 @@ def with_matched_digest(raw: DataFrame, corpus: DataFrame) -> DataFrame:
 def context_digests(members: DataFrame) -> DataFrame:
     """(rule_id, context_digest) of cross-file rules over all their (rule_id, path, file_digest), by path.
 
-    Paths are folded first inside hashed groups and the groups' digests are then framed in
-    order only for rules of few files; the pinned form frames every pair, so a rule's pairs
-    meet in one row of digests (no texts).
+    The pinned form frames every pair in one digest, so a rule's pairs meet in one row (paths
+    and digests, no texts): about 150 bytes a file, which bounds such a rule to some ten million
+    files of one task's memory.
     """
     ordered = F.array_sort(F.collect_list(F.struct("path", "file_digest")))
     flat = F.flatten(F.transform(ordered, lambda x: F.array(x["path"], x["file_digest"])))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .detect import compile_rules
+from .patterns import spans, stepped
 from .scope import _small, in_scope
-from .patterns import spans
 
 
 def run_fixtures(rules: DataFrame, files: DataFrame) -> DataFrame:
@@ -14,12 +15,17 @@ def run_fixtures(rules: DataFrame, files: DataFrame) -> DataFrame:
 
     ``files`` has (rule_id, case_name, path, text); scope and required files hold inside a case.
     """
-    rows = files.join(_small(rules.select("rule_id", "code", "kind", "regex", "include_re", "exclude_re", "require_files")), "rule_id")
+    sound = _small(compile_rules(rules).where("problem is null").select("rule_id", "code", "kind", "java", "steps", "empty", "include_re", "exclude_re", "require_files"))
+    rows = files.join(sound, "rule_id")
     needed = files.select("rule_id", "case_name", "path").distinct()
     wanted = rows.select("rule_id", "case_name", F.explode("require_files").alias("path")).distinct()
     missing = wanted.join(needed, ["rule_id", "case_name", "path"], "left_anti").select("rule_id", "case_name").distinct()
-    rows = rows.where(in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")) & F.rlike("text", "regex")).join(missing, ["rule_id", "case_name"], "left_anti")
-    return spans(rows, F.col("regex"), ["rule_id", "case_name", "path", "code", "kind"]).drop("ord", "text")
+    rows = rows.where(in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re"))).join(missing, ["rule_id", "case_name"], "left_anti")
+    keys = ["rule_id", "case_name", "path", "code", "kind"]
+    found = spans(rows.where(~F.col("empty") & F.rlike("text", "java")), F.col("java"), keys)
+    if not sound.where("empty").isEmpty():
+        found = found.unionByName(stepped(rows.where("empty and text is not null"), F.col("steps"), keys))
+    return found.drop("ord", "text")
 
 
 def compare_expected(actual: DataFrame, expected: DataFrame, cases: DataFrame) -> DataFrame:

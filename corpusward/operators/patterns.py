@@ -11,10 +11,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusward.functions.regexes import group_names, java_pattern, matches_empty
+from corpusward.functions.regexes import group_names, java_pattern, matches_empty, stepping_pattern
 from corpusward.functions.text import java_quote
 
 
@@ -50,44 +51,72 @@ def running_sums(sizes: Column, block: int = 64) -> Column:
 def find_all(df: DataFrame, pattern: str, keys: list[str] = ["path"], text_col: str = "text", groups: bool = False, **flags: bool) -> DataFrame:  # noqa: B006
     """(keys, ord, start_byte, end_byte, text[, groups]): all non-overlapping matches, leftmost first.
 
-    ``groups`` adds the named groups of each match, null where a group took no part.  Patterns
+    ``groups`` adds the named groups of each match, null where a group took no part (and empty
+    where it took part without taking a character).  Patterns
     that match the empty text, and groups of patterns with anchors or boundaries, are stepped
     through in Arrow tasks; all others stay in the JVM.
     """
     java = java_pattern(pattern, **flags)
     anchored = re.search(r"(?<!\\)[\^$]|\\[bBAzZ]", pattern) is not None
-    if matches_empty(pattern) or (groups and anchored):
-        return _stepped(df, pattern, keys, text_col, groups, flags)
+    if matches_empty(pattern, **flags) or (groups and anchored):
+        return stepped(df, F.lit(stepping_pattern(pattern, **flags)), keys, text_col, groups)
     hits = df.where(F.col(text_col).rlike(java))
-    return spans(hits, F.lit(java), keys, text_col).transform(lambda d: _with_groups(d, java, group_names(pattern)) if groups else d)
+    return spans(hits, F.lit(java), keys, text_col).transform(lambda d: d.withColumn("groups", _groups(F.col("text"), java, group_names(pattern), False)) if groups else d)
 
 
-def spans(df: DataFrame, java: Column, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, ord, start_byte, end_byte, text) for a Java pattern given by a column.
+def spans(df: DataFrame, java: Column, keys: list[str], text_col: str = "text", located: bool = False) -> DataFrame:
+    """(keys, ord, start_byte, end_byte, text) for a Java pattern, given by a column, that takes a character in every match.
 
-    Offsets are running sums of the byte lengths of gaps and matches.
+    Offsets are running sums of the byte lengths of gaps and matches.  ``located`` adds
+    LOCATED: where a match starts and ends by line and column, and the lines around it, from
+    the same pass.
     """
     text = F.col(text_col)
     found = F.regexp_extract_all(text, java, F.lit(0))
-    gaps = F.transform(F.split(text, java, -1), lambda g: F.octet_length(g).cast("long"))
-    rows = df.select(*keys, found.alias("_m"), gaps.alias("_g"))
-    sizes = F.zip_with(F.slice("_g", F.lit(1), F.size("_m")), F.col("_m"), lambda g, m: g + F.octet_length(m))
-    ends = running_sums(sizes)
-    rows = rows.select(*keys, F.posexplode(F.arrays_zip(F.col("_m").alias("m"), ends.alias("e"))).alias("ord", "_x"))
+    rows = df.select(*keys, found.alias("_m"), F.split(text, java, -1).alias("_g"), *[F.split(text, "\n", -1).alias("_l")] * located)
+    sums = lambda of: running_sums(F.zip_with(F.slice("_g", F.lit(1), F.size("_m")), F.col("_m"), lambda g, m: (of(g) + of(m)).cast("long")))
+    arrays = {"m": F.col("_m"), "e": sums(F.octet_length)}
+    if located:
+        breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+        rows = rows.withColumns({"_n": sums(breaks), "_c": sums(F.length), "_s": running_sums(F.transform("_l", lambda x: F.length(x).cast("long") + 1))})
+        arrays["at"] = F.transform(F.col("_m"), lambda m, i: _place(m, F.get("_n", i), F.get("_c", i), breaks))
+    rows = rows.select(*keys, F.posexplode(F.arrays_zip(*[a.alias(n) for n, a in arrays.items()])).alias("ord", "_x"))
     end = F.col("_x.e")
-    return rows.select(*keys, "ord", (end - F.octet_length("_x.m")).alias("start_byte"), end.alias("end_byte"), F.col("_x.m").alias("text"))
+    return rows.select(*keys, "ord", (end - F.octet_length("_x.m")).alias("start_byte"), end.alias("end_byte"), F.col("_x.m").alias("text"), *["_x.at.*"] * located)
 
 
-def _with_groups(df: DataFrame, java: str, names: list[str]) -> DataFrame:
-    """Groups by matching the found text again; a group that took no part is told by replacing."""
-    order = {n: i + 1 for i, n in enumerate(names)}
-    total = _group_numbers(java)
+LOCATED = ["start_line", "start_column", "end_line", "end_column", "snippet"]
+
+
+def _place(m: Column, breaks_upto: Column, chars_upto: Column, breaks) -> Column:
+    """LOCATED of a match, from line breaks and characters up to its end, the line ends ``_s`` and the lines ``_l``."""
+    first, last = (breaks_upto - breaks(m) + 1).cast("int"), (breaks_upto + 1).cast("int")
+    column = lambda chars, line: chars - F.when(line > 1, F.get("_s", line - 2)).otherwise(F.lit(0).cast("long")) + 1
+    start_column = column(chars_upto - F.length(m), first)
+    snippet = F.struct(
+        F.when(first > 1, F.get("_l", first - 2)).alias("before"), F.get("_l", first - 1).alias("line"), F.get("_l", first).alias("after"),
+        (start_column + F.length(F.substring_index(m, "\n", 1))).cast("long").alias("caret_end_column"), (last - first).cast("long").alias("extra_lines"),
+    )
+    return F.struct(first.cast("long").alias("start_line"), start_column.alias("start_column"), last.cast("long").alias("end_line"), column(chars_upto, last).alias("end_column"), snippet.alias("snippet"))
+
+
+def _took_part(text: Column, java: str, name: str, anywhere: bool) -> Column:
+    """Whether a group took part in the first match of ``text``: a reference to it after the match fails if it did not.
+
+    The match is held fast by an atomic group, so the reference cannot bring about another one.
+    """
+    skip = "(?s:.*?)" if anywhere else ""
+    return F.rlike(text, F.lit(f"\\A(?>{skip}(?:{java}))\\k<{name}>"))
+
+
+def _groups(text: Column, java: str, names: list[str], anywhere: bool) -> Column:
+    """The named groups of the first match: null for one that took no part, empty for one that took nothing."""
+    numbers = _group_numbers(java)
     values = []
-    for name in order:
-        number = total[name]
-        took_part = F.regexp_extract(F.col("text"), java, number)
-        values += [F.lit(name), F.when(took_part != "", took_part)]
-    return df.withColumn("groups", F.create_map(*values) if values else F.create_map().cast("map<string,string>"))
+    for name in names:
+        value = F.regexp_extract(text, java, numbers[name])
+        values += [F.lit(name), F.when((value != "") | _took_part(text, java, name, anywhere), value)]
+    return F.create_map(*values) if values else F.create_map().cast("map<string,string>")
 
 
 def _group_numbers(java: str) -> dict[str, int]:
@@ -100,23 +129,18 @@ def _group_numbers(java: str) -> dict[str, int]:
     return out
 
 
-def _stepped(df: DataFrame, pattern: str, keys: list[str], text_col: str, groups: bool, flags: dict[str, bool]) -> DataFrame:
-    on = 0
-    for flag, value in (("case_insensitive", re.I), ("multi_line", re.M), ("dot_matches_new_line", re.S), ("ignore_whitespace", re.X)):
-        on |= value if flags.get(flag) else 0
-    body = re.sub(r"\(\?<([A-Za-z])", r"(?P<\1", pattern)
-    java_pattern(pattern, **flags)  # refuses what is outside the language
-    if not flags.get("multi_line"):
-        body = re.sub(r"(?<!\\)\$(?![^\[]*\])", r"\\Z", body)
+def stepped(df: DataFrame, pattern: Column, keys: list[str], text_col: str = "text", groups: bool = False) -> DataFrame:
+    """The rows of :func:`spans` for a stepping pattern given by a column, which may match the empty text."""
     schema = df.select(*keys).schema
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     out = f"{kinds}, ord int, start_byte long, end_byte long, text string" + (", groups map<string,string>" if groups else "")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(body, on)
+        finds: dict[str, regex.Pattern] = {}
         for batch in batches:
             row, ord_, start, end, text, named = [], [], [], [], [], []
-            for i, t in enumerate(batch.column(len(keys)).to_pylist()):
+            for i, (t, p) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist())):
+                find = finds.get(p) or finds.setdefault(p, regex.compile(p))
                 n, last, at, at_byte = 0, -1, 0, 0
                 for m in find.finditer(t or "") if t is not None else ():
                     if m.start() == m.end() == last:
@@ -134,7 +158,7 @@ def _stepped(df: DataFrame, pattern: str, keys: list[str], text_col: str, groups
                 arrays.append(pa.array(named, pa.map_(pa.string(), pa.string())))
             yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "ord", "start_byte", "end_byte", "text"] + ["groups"] * groups)
 
-    return df.select(*keys, text_col).mapInArrow(work, out)
+    return df.select(*keys, text_col, pattern.alias("_pattern")).mapInArrow(work, out)
 
 
 def find_in(regions: DataFrame, pattern: str, keys: list[str], **flags: bool) -> DataFrame:
@@ -144,14 +168,12 @@ def find_in(regions: DataFrame, pattern: str, keys: list[str], **flags: bool) ->
 
 
 def capture_text(df: DataFrame, pattern: str, text_col: str = "text", **flags: bool) -> DataFrame:
-    """``df`` with ``captured``, the first match, and ``groups``; both null where there is none."""
+    """``df`` with ``captured``, the first match, and ``groups``; both null where there is none, a group that took no part too."""
     java = java_pattern(pattern, **flags)
-    numbers = _group_numbers(java)
     hit = F.col(text_col).rlike(java)
-    named = [x for n in group_names(pattern) for x in (F.lit(n), F.regexp_extract(F.col(text_col), java, numbers[n]))]
     return df.withColumns({
         "captured": F.when(hit, F.regexp_extract(F.col(text_col), java, 0)),
-        "groups": F.when(hit, F.create_map(*named) if named else F.create_map().cast("map<string,string>")),
+        "groups": F.when(hit, _groups(F.col(text_col), java, group_names(pattern), True)),
     })
 
 
@@ -188,4 +210,4 @@ def lines(df: DataFrame, keys: list[str] = ["path"], text_col: str = "text") ->
     return rows.select(*keys, "line_no", "start_byte", (F.col("start_byte") + F.octet_length("text")).alias("end_byte"), "text")
 
 
-__all__ = ["capture_text", "find_all", "find_in", "first_match", "is_match", "java_quote", "lines", "literal_presence", "spans"]
+__all__ = ["capture_text", "find_all", "find_in", "first_match", "is_match", "java_quote", "lines", "literal_presence", "spans", "stepped"]

@@ -2,8 +2,8 @@
 
 Scopes are joined on the path column alone; texts are joined back by path afterwards, so
 they are read only for paths in some scope.  Rules with equal scopes are matched once.
-The rule side is a dimension table: its size is checked before it is broadcast, and a
-larger one takes a plain nested-loop join in blocks that Spark chooses.
+The rule side is a dimension table: its rows and bytes are checked before it is broadcast,
+and a larger one takes a plain nested-loop join in blocks that Spark chooses.
 """
 
 from __future__ import annotations
@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 from corpusward.functions.globs import any_glob_regex
 
-#: Distinct scopes up to which the scope table is broadcast.
-BROADCAST_SCOPES = 10_000
+#: Rows and bytes up to which a table of rules or scopes is broadcast.
+BROADCAST_SCOPES, BROADCAST_BYTES = 10_000, 8 << 20
 
 
 def scope_patterns(rules: DataFrame) -> DataFrame:
     """(rule_id, include_re, exclude_re, require_files): one pattern each for any include and any exclude."""
-    rows = rules.select("rule_id", F.col("scope.include").alias("i"), F.col("scope.exclude.glob").alias("e"), F.col("scope.require_files").alias("r")).collect()
-    spark = rules.sparkSession
-    data = [(x["rule_id"], any_glob_regex(x["i"] or []) or "(?!)", any_glob_regex(x["e"] or []) or "(?!)", x["r"] or []) for x in rows]
-    return spark.createDataFrame(data, "rule_id string, include_re string, exclude_re string, require_files array<string>")
+    pattern = F.udf(lambda globs: any_glob_regex(globs or []) or "(?!)", "string", useArrow=True)
+    return rules.select(
+        "rule_id", pattern(F.col("scope.include")).alias("include_re"), pattern(F.col("scope.exclude.glob")).alias("exclude_re"),
+        F.coalesce("scope.require_files", F.array().cast("array<string>")).alias("require_files"),
+    )
 
 
 def in_scope(path: Column, include_re: Column, exclude_re: Column) -> Column:
@@ -31,8 +32,11 @@ def in_scope(path: Column, include_re: Column, exclude_re: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it is a table of few scopes."""
-    return F.broadcast(df) if df.limit(BROADCAST_SCOPES + 1).count() <= BROADCAST_SCOPES else df
+    """``df``, evaluated once and to be broadcast if it is a table of few rows and bytes; else as it is."""
+    head = df.limit(BROADCAST_SCOPES + 1).toArrow()
+    if head.num_rows > BROADCAST_SCOPES or head.nbytes > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
 
 
 def scope_join(scopes: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -1,74 +1,122 @@
 """Incremental checks: only rule-file pairs whose content-keyed result is not stored run.
 
-The store is a Parquet table partitioned by rule with a key row for every evaluated pair,
-findings or not, so an unchanged pair costs one anti-join row and no text.
+The store holds a key row for every evaluated pair, findings or not, and of each finding what
+the scan told of it, so an unchanged pair costs one join row and no text.  It is a folder of
+batches; a batch is there when its writer has marked it as complete, and not before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.functions.digest import with_digest
-from corpusward.operators.findings import result_key
-from corpusward.operators.patterns import spans
+from corpusward.functions.digest import CONTEXT, framed_digest, text_digest, with_digest
+from corpusward.operators.detect import compile_rules
+from corpusward.operators.findings import add_coordinates, add_snippet, result_key
+from corpusward.operators.patterns import LOCATED, spans, stepped
 from corpusward.operators.scope import _small, in_scope
 
+from .written import written
+
+#: What a stored finding holds beside its rule, path, code and span.
+EVIDENCE = (
+    "file_digest string, matched_digest string, start_line long, start_column long, end_line long, end_column long, "
+    "snippet struct<before: string, line: string, after: string, caret_end_column: long, extra_lines: long>"
+)
 #: A stored row: a pair's key and, if it has findings, one of them.
-STORE = "result_key string, rule_id string, path string, code string, start_byte long, end_byte long, n_bytes long"
+STORE = f"result_key string, rule_id string, path string, code string, start_byte long, end_byte long, n_bytes long, {EVIDENCE}"
+_EVIDENCE = ["file_digest", "matched_digest", *LOCATED]
+FINDING = ["rule_id", "path", "code", "start_byte", "end_byte", *_EVIDENCE]
 
 
 def keyed_pairs(rules: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(result_key, rule_id, path, n_bytes) of every rule and file in its scope; no text is kept."""
-    small = rules.select("rule_id", "include_re", "exclude_re", "execution_digest")
+    """(result_key, rule_id, path, file_digest, n_bytes) of every rule and file in its scope; no text is kept."""
+    small = rules.select("rule_id", "include_re", "exclude_re", "execution_digest").distinct()
     files = with_digest(corpus).select("path", "file_digest", "n_bytes")
     pairs = files.join(_small(small), in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
     return pairs.select(result_key().alias("result_key"), "rule_id", "path", "file_digest", "n_bytes")
 
 
-def valid_store(store: DataFrame, rules: DataFrame) -> DataFrame:
-    """Stored rows of keys all of whose findings still have a known code and a span inside their file."""
-    known = rules.select("rule_id", F.col("code").alias("_code"))
-    rows = store.join(_small(known), "rule_id", "left")
-    bad = F.col("code").isNotNull() & (~F.col("code").eqNullSafe(F.col("_code")) | (F.col("start_byte") < 0) | (F.col("start_byte") > F.col("end_byte")) | (F.col("end_byte") > F.col("n_bytes")))
-    spoiled = rows.where(bad).select("result_key").distinct()
-    return store.join(spoiled, "result_key", "left_anti")
+def valid_keys(store: DataFrame, rules: DataFrame) -> DataFrame:
+    """(result_key) of stored results all of whose findings have a known code and a span inside their file."""
+    known = rules.select("rule_id", "code", F.lit(True).alias("_known")).distinct()
+    rows = store.join(_small(known), ["rule_id", "code"], "left")
+    outside = (F.col("start_byte") < 0) | (F.col("start_byte") > F.col("end_byte")) | (F.col("end_byte") > F.col("n_bytes"))
+    bad = F.col("code").isNotNull() & (F.col("_known").isNull() | outside)
+    return rows.groupBy("result_key").agg(F.bool_or(bad).alias("_bad")).where("not _bad").select("result_key")
+
+
+def _evaluated(todo: DataFrame, empty: bool) -> DataFrame:
+    """(result_key, code, start_byte, end_byte, EVIDENCE) of the matches of (keys, text) rows with compiled patterns."""
+    keys = ["result_key", "path", "code", "file_digest"]
+    found = spans(todo.where(~F.col("empty") & F.rlike("text", "java")), F.col("java"), keys, located=True)
+    if empty:
+        by_text = todo.where("empty and text is not null").withColumn("path", F.col("file_digest"))  # a path may have several texts
+        some = stepped(by_text, F.col("steps"), keys).withColumnRenamed("text", "_match")
+        files = by_text.select("path", "text").distinct()
+        found = found.unionByName(add_snippet(add_coordinates(some, files), files).withColumnRenamed("_match", "text").select(*found.columns))
+    return found.withColumn("matched_digest", text_digest(F.col("text"))).select("result_key", "code", "start_byte", "end_byte", "matched_digest", *LOCATED)
 
 
 def check_incremental(rules: DataFrame, corpus: DataFrame, store: DataFrame, failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, new store rows, counts): stored results are reused, the rest evaluated.
 
-    ``rules`` has (rule_id, code, regex, include_re, exclude_re, execution_digest).  Counts are
-    (rule_id, hits, misses).  Pairs in ``failed`` (rule_id, path) are never stored.
+    ``rules`` has (rule_id, code, regex[, flags], include_re, exclude_re, execution_digest).
+    Findings have FINDING.  Counts are (rule_id, hits, misses).  Pairs in ``failed``
+    (rule_id, path) are never stored.  Which pairs are stored, and what the others give, is
+    written once; all three tables read that.  A path may have several versions.
     """
-    pairs = keyed_pairs(rules, corpus)
-    kept = valid_store(store, rules)
-    have = kept.select("result_key").distinct().withColumn("_hit", F.lit(True))
-    pairs = pairs.join(have, "result_key", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    rows = _small(compile_rules(rules).where("problem is null").select("rule_id", "code", "java", "steps", "empty", "include_re", "exclude_re", "execution_digest"))
+    have = valid_keys(store, rows).withColumn("_hit", F.lit(True))
+    pairs = keyed_pairs(rows, corpus).join(have, "result_key", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    pairs = written(pairs, "pairs")
     missing = pairs.where("not _hit").drop("_hit")
-    texts = with_digest(corpus).select("path", "file_digest", "text")  # a path may have several versions
-    todo = missing.join(texts, ["path", "file_digest"]).join(_small(rules.select("rule_id", "code", "regex")), "rule_id")
-    found = spans(todo.where(F.rlike("text", "regex")), F.col("regex"), ["result_key", "rule_id", "path", "code", "n_bytes"]).drop("ord", "text")
-    fresh = missing.select("result_key", "rule_id", "path", "n_bytes").join(found.drop("rule_id", "path", "n_bytes"), "result_key", "left")
-    fresh = fresh.select("result_key", "rule_id", "path", "code", "start_byte", "end_byte", "n_bytes")
+    # The texts of files that miss are joined once, whatever the number of rules, and hashed to tell their versions.
+    wanted = missing.select("path").distinct()
+    texts = corpus.select("path", "text").join(wanted, "path", "left_semi").withColumn("file_digest", text_digest(F.col("text")))
+    todo = missing.select("result_key", "rule_id", "path", "file_digest").join(texts, ["path", "file_digest"]).join(rows.select("rule_id", "code", "java", "steps", "empty"), "rule_id")
+    found = _evaluated(todo, not rows.where("empty").isEmpty())
+    fresh = missing.join(found, "result_key", "left")
+    fresh = fresh.select("result_key", "rule_id", "path", "code", "start_byte", "end_byte", "n_bytes", *_EVIDENCE)
     if failed is not None:
         fresh = fresh.join(failed.select("rule_id", "path").distinct(), ["rule_id", "path"], "left_anti").select(*fresh.columns)
-    used = kept.join(pairs.where("_hit").select("result_key").distinct(), "result_key", "left_semi")
-    columns = ["rule_id", "path", "code", "start_byte", "end_byte"]
-    findings = used.where("code is not null").select(*columns).unionByName(fresh.where("code is not null").select(*columns))
+    fresh = written(fresh, "fresh")
+    used = store.where("code is not null").join(pairs.where("_hit").select("result_key").distinct(), "result_key", "left_semi")
+    findings = used.select(*FINDING).unionByName(fresh.where("code is not null").select(*FINDING))
     counts = pairs.groupBy("rule_id").agg(F.count_if("_hit").alias("hits"), F.count_if(~F.col("_hit")).alias("misses"))
     return findings, fresh, counts
 
 
-def append_store(fresh: DataFrame, path: str) -> None:
-    fresh.write.mode("append").partitionBy("rule_id").parquet(path)
+def with_context(findings: DataFrame) -> DataFrame:
+    """Findings of file rules with their context digest."""
+    return findings.withColumn("context_digest", framed_digest(CONTEXT, F.col("path"), F.col("file_digest")))
+
+
+def _batches(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the complete batches of a store."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch-*/_SUCCESS")
+    marks = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(m.getPath().getParent().toString() for m in marks or [])
 
 
-def read_store(spark, path: str) -> DataFrame:
+def append_store(fresh: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add a batch to the store, whole or not at all.
+
+    A batch under a name that is complete is left as it is; an incomplete one is written anew.
+    """
+    name = f"batch-{batch or uuid.uuid4().hex}"
+    if batch is None or not any(b.endswith(f"/{name}") for b in _batches(fresh.sparkSession, path)):
+        fresh.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The store at ``path``; empty if nothing has been stored."""
-    try:
-        return spark.read.schema(STORE).parquet(path)
-    except Exception as problem:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(problem):
-            return spark.createDataFrame([], STORE)
-        raise
+    folders = _batches(spark, path)
+    return spark.read.schema(STORE).parquet(*folders) if folders else spark.createDataFrame([], STORE)
+
+
+def compact_store(spark: SparkSession, path: str, to: str, files: int = 16) -> None:
+    """The rows of the store at ``path`` as one batch of a new store, ``files`` files by key."""
+    append_store(read_store(spark, path).repartition(files, "result_key"), to)

@@ -19,6 +19,10 @@ def raw(spark, sf_dir):
     return detect.detect_each(rule_rows(spark), corpus(spark, sf_dir))
 
 
+def located(spark, sf_dir):
+    return detect.detect_located(rule_rows(spark), corpus(spark, sf_dir))
+
+
 @query(f"WITH {MATCHES} SELECT {_RAW} FROM found")
 def g1_detect_each(spark, sf_dir):
     return raw(spark, sf_dir)
@@ -145,13 +149,50 @@ _COORD = """(SELECT f.*, c.text AS body, decode(encode(c.text)[1:f.start_byte])
 @query(f"""WITH {MATCHES} SELECT {_RAW}, CAST(len(string_split(before, chr(10))) AS BIGINT) AS start_line, CAST(length(string_split(before, chr(10))[-1]) + 1 AS BIGINT) AS start_column,
   CAST(len(string_split(until, chr(10))) AS BIGINT) AS end_line, CAST(length(string_split(until, chr(10))[-1]) + 1 AS BIGINT) AS end_column FROM {_COORD}""")
 def g15_add_coordinates(spark, sf_dir):
-    return findings.add_coordinates(raw(spark, sf_dir), corpus(spark, sf_dir))
+    return located(spark, sf_dir).select(*detect.RAW, "start_line", "start_column", "end_line", "end_column")
 
 
 @query(f"""WITH {MATCHES}, x AS (SELECT *, len(string_split(before, chr(10))) AS n, string_split(body, chr(10)) AS ls FROM {_COORD})
 SELECT {_RAW}, CASE WHEN n > 1 THEN ls[n - 1] END AS before, ls[n] AS line, ls[n + 1] AS after, CAST(length(string_split(before, chr(10))[-1]) + 1 + length(text) AS BIGINT) AS caret_end_column, 0::BIGINT AS extra_lines FROM x""")
 def g16_add_snippet(spark, sf_dir):
-    return findings.add_snippet(raw(spark, sf_dir), corpus(spark, sf_dir)).select("rule_id", "path", "code", "start_byte", "end_byte", "snippet.*")
+    return located(spark, sf_dir).select(*detect.RAW, "snippet.*")
+
+
+#: Rules with flags, an anchor, a Unicode class, two patterns of one rule, empty matches, and one outside the language.
+_FLAGGED = [
+    ("local/any-case", "word", "LICENSE", "ci"), ("local/last", "end", "[a-z]+[.]$", ""), ("local/unicode", "letter", r"\w{14,}", ""), ("local/digits", "run", "[0-9]*", ""),
+    ("local/two", "mail", "[a-z]+@", ""), ("local/two", "token", "token", ""), ("local/named", "name", "(?P<k>token)", ""), ("local/broken", "none", "(token", ""), ("local/look", "none", "(?=token)", ""),
+]
+
+
+_LONG_WORD = r"'[\p{L}\p{M}\p{Nd}\p{Pc}]{14,}'"
+
+
+def _flagged(spark):
+    from .base import dimension
+
+    rows = dimension(spark, [(*r, "^src[0-2]/en/", "(?!)") for r in _FLAGGED], dict.fromkeys(("rule_id", "code", "regex", "on", "include_re", "exclude_re"), "string"))
+    return rows.withColumn("case_insensitive", F.col("on") == "ci").drop("on")
+
+
+@query(f"""WITH {CORPUS_SQL}, c AS (SELECT * FROM corpus WHERE regexp_matches(path, '^src[0-2]/en/')),
+l AS ({spans_sql('path', 'c', repr('(?i)LICENSE'))}), t AS ({spans_sql('path', 'c', repr('token'))}), m AS ({spans_sql('path', 'c', repr('[a-z]+@'))}), r AS ({spans_sql('path', 'c', repr('[0-9]+'))}),
+w AS ({spans_sql('path', 'c', _LONG_WORD)}),
+e AS (SELECT path, CAST(strlen(text) AS BIGINT) AS end_byte, regexp_extract(text, '[a-z]+[.]$') AS x FROM c WHERE regexp_matches(text, '[a-z]+[.]$')),
+chars AS (SELECT path, unnest(list_append(cs, NULL)) AS ch, unnest(range(1, len(cs) + 2)) AS i FROM (SELECT path, regexp_extract_all(text, '(?s).') AS cs FROM c)),
+places AS (SELECT path, ch, lag(ch) OVER (PARTITION BY path ORDER BY i) AS before, CAST(coalesce(sum(strlen(ch)) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS here FROM chars)
+SELECT 'local/any-case' AS rule_id, path, 'word' AS code, start_byte, end_byte FROM l UNION ALL SELECT 'local/two', path, 'token', start_byte, end_byte FROM t UNION ALL SELECT 'local/named', path, 'name', start_byte, end_byte FROM t
+UNION ALL SELECT 'local/two', path, 'mail', start_byte, end_byte FROM m UNION ALL SELECT 'local/unicode', path, 'letter', start_byte, end_byte FROM w UNION ALL SELECT 'local/last', path, 'end', end_byte - strlen(x), end_byte FROM e
+UNION ALL SELECT 'local/digits', path, 'run', start_byte, end_byte FROM r UNION ALL SELECT 'local/digits', path, 'run', here, here FROM places WHERE (ch IS NULL OR ch NOT BETWEEN '0' AND '9') AND (before IS NULL OR before NOT BETWEEN '0' AND '9')""")
+def g1_translated_patterns(spark, sf_dir):
+    return detect.detect_each(_flagged(spark), corpus(spark, sf_dir))
+
+
+@query(f"""WITH {CORPUS_SQL} SELECT rule_id, error, count(*) AS n_paths FROM corpus, (VALUES ('local/broken', 'invalid_pattern'), ('local/look', 'invalid_pattern')) v(rule_id, error) WHERE regexp_matches(path, '^src[0-2]/en/') GROUP BY ALL""")
+def g13_pattern_errors(spark, sf_dir):
+    rows = _flagged(spark)
+    scoped = scope.scope_join(rows.select("rule_id", "include_re", "exclude_re").distinct(), corpus(spark, sf_dir))
+    return scoped.join(detect.pattern_errors(rows), "rule_id").groupBy("rule_id", "error").agg(F.count("*").alias("n_paths"))
 
 
 def diagnostics(spark):

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusward.functions.digest import FINDING, framed_digest, text_digest, with_digest
+from corpusward.functions.globs import any_glob_regex
 from corpusward.operators import findings, ledger
 from corpusward.operators.scope import scope_join
+from corpusward.operators.patterns import LOCATED
 from corpusward.plans import incremental
+from corpusward.plans.check import check
+from corpusward.plans.written import written
 from corpusward.sources.rules import execution_digests
 from corpusward.streaming.paths import shared_folder
 
-from .base import CORPUS_SQL, RULES_SQL, SCOPE_SQL, corpus, digest_sql, query, rule_rows, rules, spans_sql, table
-from .detection import MATCHES, diagnostics, raw
+from .base import CORPUS_SQL, RULES, RULES_SQL, SCOPE_SQL, corpus, digest_sql, doc_path, query, rule_rows, rules, spans_sql, table
+from .detection import MATCHES, diagnostics, located
 
 _RULE_DIGEST, _ENGINE = "'sha256:' || sha256(rule_id)", "'sha256:' || sha256('engine 1')"
 _ID_JSON = """('["' || rule_id || '","' || code || '","' || path || '",' || start_byte || ',' || end_byte || ',"' || matched_digest || '"]')"""
@@ -24,11 +28,15 @@ ids AS (SELECT *, {digest_sql('WT-REVIEW-EVIDENCE-1', 'finding_id', 'rule_digest
 
 def found(spark, sf_dir):
     """Findings with policy, digests and identities."""
-    r = findings.enrich(raw(spark, sf_dir), rule_rows(spark), diagnostics(spark))
-    r = findings.with_matched_digest(r, corpus(spark, sf_dir))
+    r = findings.enrich(located(spark, sf_dir), rule_rows(spark), diagnostics(spark))
     return findings.add_identity(r.withColumns({"rule_digest": text_digest(F.col("rule_id")), "engine_digest": text_digest(F.lit("engine 1"))}))
 
 
+def found_once(spark, sf_dir):
+    """The same, written, for queries that read it several times."""
+    return written(found(spark, sf_dir).drop(*LOCATED), "found")
+
+
 @query(f"SELECT doc_id, {digest_sql('WT-FINDING-1', 'text', 'source', 'lang')} AS digest FROM documents")
 def h1_framed_digest(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", framed_digest(FINDING, F.col("text"), F.col("source"), F.col("lang")).alias("digest"))
@@ -55,14 +63,33 @@ def _keyed_rules(spark):
     return rule_rows(spark).join(F.broadcast(execution_digests(rules(spark))), "rule_id")
 
 
-@query(f"""WITH {CORPUS_SQL}, {RULES_SQL} SELECT rule_id, count(*) AS n_pairs, count(DISTINCT rule_id || path || sha256(text)) AS n_keys FROM corpus, rules WHERE mode <> 'disabled' AND {SCOPE_SQL} GROUP BY rule_id""")
+_FLAGS_JSON = ",".join(f'"{f}":false' for f in ("case_insensitive", "multi_line", "dot_matches_new_line", "ignore_whitespace", "crlf"))
+_EXECUTION = f"""('{{"rule_id":' || to_json(rule_id) || ',"execution":"file","patterns":{{"p":{{"regex":' || to_json(regex) || ',"flags":{{{_FLAGS_JSON}}}}}}},"codes":["' || code || '"]}}')"""
+_QUOTED = lambda t: "'" + t.replace("'", "''") + "'"
+#: The rules' execution digests, and their scopes in the form that a key holds.
+_KEYED = f"""forms(rule_id, i, e) AS (VALUES {', '.join(f"({_QUOTED(r[0])}, {_QUOTED(any_glob_regex(r[6]) or '(?!)')}, {_QUOTED(any_glob_regex(r[7]) or '(?!)')})" for r in RULES)}),
+keyed AS (SELECT *, {digest_sql('execution-1', _EXECUTION)} AS execution FROM rules JOIN forms USING (rule_id) WHERE mode <> 'disabled')"""
+
+
+@query(f"""WITH {CORPUS_SQL}, {RULES_SQL}, {_KEYED}, p AS (SELECT rule_id, path, execution, i, e, 'sha256:' || sha256(text) AS file_digest FROM corpus, keyed WHERE {SCOPE_SQL})
+SELECT rule_id, path, {digest_sql('WT-RAW-FILE-3', 'execution', 'i', 'e', "'default'", 'path', 'file_digest')} AS result_key FROM p""")
 def h4_result_key(spark, sf_dir):
-    pairs = incremental.keyed_pairs(_keyed_rules(spark), corpus(spark, sf_dir))
-    return pairs.groupBy("rule_id").agg(F.count("*").alias("n_pairs"), F.count_distinct("result_key").alias("n_keys"))
+    return incremental.keyed_pairs(_keyed_rules(spark), corpus(spark, sf_dir)).select("rule_id", "path", "result_key")
+
+
+_MEMBERS = """string_agg(lower(hex(unhex(lpad(printf('%x', strlen(path)), 16, '0')) || encode(path) || unhex(lpad(printf('%x', strlen({d})), 16, '0')) || encode({d}))), '' ORDER BY path)"""
+_FRAME = "'sha256:' || sha256(unhex(lower(hex(unhex(lpad(printf('%x', 19), 16, '0')) || encode('WT-REVIEW-CONTEXT-1'))) || {body}))"
 
 
-@query(f"""WITH {CORPUS_SQL}, {RULES_SQL} SELECT rule_id, NOT EXISTS (SELECT 1 FROM corpus WHERE path LIKE 'src5/en/%' AND {SCOPE_SQL}) AS kept_on_other_edit,
-  NOT EXISTS (SELECT 1 FROM corpus WHERE (path LIKE 'src0/en/%' OR path LIKE 'src2/%') AND {SCOPE_SQL}) AS kept_on_own_deletion FROM rules WHERE rule_id IN ('local/token', 'global/licence')""")
+def _repository_key(name: str, digest: str, where: str) -> str:
+    body = f"SELECT rule_id, {_MEMBERS.format(d='d')} AS body FROM (SELECT rule_id, path, {digest} AS d FROM corpus, keyed WHERE {SCOPE_SQL} AND {where}) GROUP BY rule_id"
+    key = digest_sql("repository-result-1", "execution", "'default'", "context")
+    return f"""{name} AS (SELECT rule_id, {key} AS {name} FROM (SELECT k.rule_id, execution, coalesce({_FRAME.format(body='body')}, '') AS context FROM keyed k LEFT JOIN ({body}) b USING (rule_id)))"""
+
+
+@query(f"""WITH {CORPUS_SQL}, {RULES_SQL}, {_KEYED}, {_repository_key('as_is', "'sha256:' || sha256(text)", 'TRUE')},
+{_repository_key('edited', "'sha256:' || sha256(CASE WHEN path LIKE 'src5/en/%' THEN path ELSE text END)", 'TRUE')}, {_repository_key('fewer', "'sha256:' || sha256(text)", "NOT (path LIKE 'src0/en/%' OR path LIKE 'src2/%')")}
+SELECT rule_id, as_is, edited, fewer FROM as_is JOIN edited USING (rule_id) JOIN fewer USING (rule_id) WHERE rule_id IN ('local/token', 'global/licence')""")
 def h5_repository_result_key(spark, sf_dir):
     files = with_digest(corpus(spark, sf_dir)).select("path", "file_digest")
     some = _keyed_rules(spark).where(F.col("rule_id").isin("local/token", "global/licence"))
@@ -72,8 +99,7 @@ def h5_repository_result_key(spark, sf_dir):
 
     edited = files.withColumn("file_digest", F.when(F.col("path").like("src5/en/%"), text_digest(F.col("path"))).otherwise(F.col("file_digest")))
     fewer = files.where("path not like 'src0/en/%' and path not like 'src2/%'")
-    both = keys(files, "k").join(keys(edited, "e"), "rule_id").join(keys(fewer, "d"), "rule_id")
-    return both.select("rule_id", (F.col("k") == F.col("e")).alias("kept_on_other_edit"), (F.col("k") == F.col("d")).alias("kept_on_own_deletion"))
+    return keys(files, "as_is").join(keys(edited, "edited"), "rule_id").join(keys(fewer, "fewer"), "rule_id")
 
 
 def _stored_results(spark, sf_dir):
@@ -95,7 +121,7 @@ def h6_check_incremental(spark, sf_dir):
 
 @query(f"WITH {MATCHES} SELECT rule_id, path, code, start_byte, end_byte FROM found")
 def h6_incremental_findings(spark, sf_dir):
-    return incremental.check_incremental(_keyed_rules(spark), corpus(spark, sf_dir), _stored_results(spark, sf_dir))[0]
+    return incremental.check_incremental(_keyed_rules(spark), corpus(spark, sf_dir), _stored_results(spark, sf_dir))[0].select("rule_id", "path", "code", "start_byte", "end_byte")
 
 
 @query(f"WITH {MATCHES} SELECT rule_id, path, code, start_byte, end_byte FROM found")
@@ -138,9 +164,8 @@ def _number(spark=None):
     return F.regexp_extract("path", "([0-9]+)[.]txt", 1).cast("long")
 
 
-def history(spark, sf_dir):
+def history(f):
     """A ledger that the findings imply: by document number, a first record and for some a second."""
-    f = found(spark, sf_dir)
     n = _number()
     decision = F.when(n % 4 == 0, "acceptable").when(n % 4 == 1, "confirmed_issue").when(n % 4 == 2, "accepted_risk").otherwise("needs_review")
     stale = lambda c, k, m: F.when(n % m == k, text_digest(F.concat(F.lit("old "), F.col(c)))).otherwise(F.col(c))
@@ -166,15 +191,16 @@ disposed AS (SELECT *, CASE WHEN validity = 'current' AND decision IN ('acceptab
 
 
 def disposed(spark, sf_dir):
-    latest = ledger.latest_decisions(history(spark, sf_dir))
+    f = found_once(spark, sf_dir)
+    latest = written(ledger.latest_decisions(history(f)), "latest")
     watched = ledger.watched_state(latest, with_digest(corpus(spark, sf_dir)))
-    return ledger.disposition(found(spark, sf_dir), latest, watched), latest
+    return ledger.disposition(f, latest, watched), latest
 
 
 @query(f"""WITH {LEDGER} SELECT finding_id, revision::INTEGER AS revision, problem FROM (
   SELECT finding_id, r.revision, CASE WHEN n % 8 = 0 AND r.revision = 2 THEN 'empty_rationale' END AS a, CASE WHEN rule_changed OR file_changed THEN 'evidence_mismatch' END AS b FROM led, (VALUES (1), (2)) r(revision) WHERE r.revision <= led.revision) UNPIVOT (problem FOR name IN (a, b))""")
 def i1_validate_ledger(spark, sf_dir):
-    return ledger.validate_ledger(history(spark, sf_dir))
+    return ledger.validate_ledger(history(found_once(spark, sf_dir)))
 
 
 @query(f"SELECT doc_id, {digest_sql('WT-REVIEW-RECORD-1', 'text', 'source')} AS record_digest FROM documents")
@@ -184,12 +210,12 @@ def i2_record_digest(spark, sf_dir):
 
 @query(f"WITH {LEDGER} SELECT finding_id, decision, revision::INTEGER AS revision FROM led")
 def i3_latest_decisions(spark, sf_dir):
-    return ledger.latest_decisions(history(spark, sf_dir)).select("finding_id", "decision", "revision")
+    return ledger.latest_decisions(history(found_once(spark, sf_dir))).select("finding_id", "decision", "revision")
 
 
 @query(f"WITH {LEDGER} SELECT finding_id, CASE WHEN n % 3 = 0 THEN 'watched_file_missing:gone.txt' ELSE 'watched_file_changed:' || path END AS reasons FROM led WHERE n % 3 <> 2")
 def i4_watched_state(spark, sf_dir):
-    latest = ledger.latest_decisions(history(spark, sf_dir))
+    latest = ledger.latest_decisions(history(found_once(spark, sf_dir)))
     return ledger.watched_state(latest, with_digest(corpus(spark, sf_dir))).select("finding_id", F.array_join("watched_reasons", ",").alias("reasons"))
 
 
@@ -218,36 +244,37 @@ def i8_review_records(spark, sf_dir):
 
 @query(f"WITH {FOUND} SELECT finding_id, 2::BIGINT AS n FROM ids WHERE path LIKE 'src2/%'")
 def i9_duplicate_identities(spark, sf_dir):
-    f = found(spark, sf_dir).select("finding_id", "path")
+    f = found_once(spark, sf_dir).select("finding_id", "path")
     return ledger.duplicate_identities(f.unionByName(f.where("path like 'src2/%'")))
 
 
 def _requests(spark, sf_dir):
     """Requests on all findings, faulty in different ways by document number."""
-    latest = ledger.latest_decisions(history(spark, sf_dir)).select("finding_id", F.col("record_digest").alias("prior"))
+    f = found_once(spark, sf_dir)
+    latest = ledger.latest_decisions(history(f))
     n = _number()
-    f = found(spark, sf_dir).join(latest, "finding_id", "left")
-    rows = f.select(
+    f_with = f.join(latest.select("finding_id", F.col("record_digest").alias("prior")), "finding_id", "left")
+    rows = f_with.select(
         "finding_id", F.when(n % 3 == 0, "acceptable").otherwise("accepted_risk").alias("decision"), F.when(n % 11 == 1, " ").otherwise("because").alias("rationale"),
         F.when(n % 11 == 2, "sha256:0").otherwise(F.col("evidence_digest")).alias("evidence_digest"), F.when(n % 11 == 3, "sha256:1").otherwise(F.col("prior")).alias("expected_previous"),
         F.create_map(F.col("path"), F.when(n % 11 == 4, "sha256:2").otherwise(F.col("file_digest"))).alias("watched_files"), (n % 11).alias("k"),
     )
     twice = rows.where("k = 5")
-    return rows.unionByName(twice).drop("k")
+    return rows.unionByName(twice).drop("k"), latest, f
 
 
 @query(f"""WITH {LEDGER}, r AS (SELECT i.finding_id, i.kind, {_N.replace('path', 'i.path')} AS n, CASE WHEN l.finding_id IS NULL THEN 1 ELSE l.revision + 1 END AS revision FROM ids i LEFT JOIN led l USING (finding_id))
 SELECT finding_id, revision::INTEGER AS revision, CASE WHEN n % 11 = 5 THEN 'duplicate_request' WHEN n % 11 = 2 THEN 'evidence_changed' WHEN n % 3 = 0 AND kind <> 'review' THEN 'acceptable_requires_review_diagnostic' WHEN n % 11 = 1 THEN 'empty_rationale' WHEN n % 11 = 3 THEN 'previous_record_changed' WHEN n % 11 = 4 THEN 'watched_file_changed' END AS reject_reason
 FROM r, (VALUES (1), (2)) t(copy) WHERE copy = 1 OR n % 11 = 5""")
 def i10_append_decisions(spark, sf_dir):
-    latest = ledger.latest_decisions(history(spark, sf_dir))
-    judged = ledger.judge_requests(latest, _requests(spark, sf_dir), found(spark, sf_dir), with_digest(corpus(spark, sf_dir)))
+    requests, latest, f = _requests(spark, sf_dir)
+    judged = ledger.judge_requests(latest, requests, f, with_digest(corpus(spark, sf_dir)))
     return judged.select("finding_id", "revision", "reject_reason")
 
 
 @query(f"WITH {LEDGER} SELECT finding_id, left(replace(finding_id, 'sha256:', ''), 12) AS prefix, decision, revision::INTEGER AS revision, 'not_evaluated' AS validity FROM led")
 def i11_list_reviews(spark, sf_dir):
-    return ledger.list_reviews(history(spark, sf_dir))
+    return ledger.list_reviews(history(found_once(spark, sf_dir)))
 
 
 @query(f"""WITH {DISPOSED} SELECT finding_id, 'present' AS observation, path, status, validity, CASE WHEN validity <> 'unreviewed' THEN decision END AS decision, revision::INTEGER AS revision, reasons FROM disposed WHERE rule_id = 'local/address'
@@ -271,4 +298,51 @@ def i13_line_diff(spark, sf_dir):
     return ledger.line_diff(old, new, decided)
 
 
+def _files(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(doc_path().alias("path"), F.col("text").cast("binary").alias("content"))
+
+
+def _run(spark, sf_dir, store=None, decisions=None):
+    rows = rule_rows(spark, enabled=False).join(F.broadcast(execution_digests(rules(spark, enabled=False))), "rule_id")
+    return check(rows, diagnostics(spark), _files(spark, sf_dir), store=store, decisions=decisions, max_bytes=100_000, per_rule_file=3)
+
+
+#: What the plan checks: files of up to 100,000 bytes, rules that run, at most 3 findings of a rule in a file.
+_CHECKED = f"""{CORPUS_SQL}, {RULES_SQL}, ran AS (SELECT * FROM rules WHERE mode <> 'disabled' AND rule_id <> 'global/insult' AND (rule_id <> 'local/token' OR EXISTS (SELECT 1 FROM corpus WHERE path = 'src0/fr/0.txt'))),
+pairs AS (SELECT rule_id, path, text, regex, needle, code, most, kind, severity, mode FROM corpus, ran WHERE strlen(text) <= 100000 AND {SCOPE_SQL}),
+every AS ({spans_sql('rule_id, path, code, kind, severity, mode', 'pairs')}), full_ AS (SELECT rule_id, path FROM every GROUP BY ALL HAVING count(*) > 3), kept AS (SELECT * FROM every ANTI JOIN full_ USING (rule_id, path))"""
+
+
+@query(f"""WITH {_CHECKED}, x AS (SELECT k.*, decode(encode(c.text)[1:k.start_byte]) AS before, {_ENGINE} AS engine_digest, 'sha256:' || sha256(k.text) AS matched_digest FROM kept k JOIN corpus c USING (path))
+SELECT {digest_sql('WT-FINDING-1', _ID_JSON)} AS finding_id, rule_id, path, code, start_byte, end_byte, CAST(len(string_split(before, chr(10))) AS BIGINT) AS start_line, CAST(length(string_split(before, chr(10))[-1]) + 1 AS BIGINT) AS start_column, kind, mode = 'enforced' AS blocking, 'unreviewed' AS validity, CASE WHEN kind = 'review' THEN 'needs_review' ELSE 'violation' END AS status FROM x""")
+def p1_check_findings(spark, sf_dir):
+    return _run(spark, sf_dir).findings.select("finding_id", "rule_id", "path", "code", "start_byte", "end_byte", "start_line", "start_column", "kind", "blocking", "validity", "status")
+
+
+@query(f"WITH {_CHECKED} SELECT rule_id, path, 'diagnostic_limit' AS error FROM full_")
+def p2_check_errors(spark, sf_dir):
+    return _run(spark, sf_dir).errors
+
+
+@query(f"""WITH {_CHECKED}, s AS (SELECT count(*) AS raw_findings, 0::BIGINT AS reviewed, count(*) AS actionable, count_if(mode = 'enforced')::BIGINT AS blocking, (SELECT count_if(strlen(text) <= 100000)::BIGINT FROM corpus) AS checked_files, (SELECT count_if(strlen(text) > 100000)::BIGINT FROM corpus) AS gaps, (SELECT count(*) FROM full_) AS n_errors FROM kept)
+SELECT raw_findings, reviewed, actionable, blocking, checked_files, gaps, n_errors = 0 AND gaps = 0 AND checked_files > 0 AS complete, CASE WHEN NOT (n_errors = 0 AND gaps = 0 AND checked_files > 0) THEN 2 WHEN blocking > 0 THEN 1 ELSE 0 END AS exit_code FROM s""")
+def p3_check_outcome(spark, sf_dir):
+    ran = _run(spark, sf_dir)
+    return ran.summary.select("raw_findings", "reviewed", "actionable", "blocking", "checked_files", "gaps").crossJoin(ran.outcome.select("complete", "exit_code"))  # one row each
+
+
+@query(f"""WITH {CORPUS_SQL}, {RULES_SQL}, pairs AS (SELECT rule_id, path FROM corpus, rules WHERE mode <> 'disabled' AND rule_id <> 'global/insult' AND strlen(text) <= 100000 AND {SCOPE_SQL}), n AS (SELECT *, CAST(regexp_extract(path, '([0-9]+)[.]txt', 1) AS BIGINT) AS k FROM pairs), r(run, changed, added) AS (VALUES ('first', NULL, NULL), ('again', FALSE, FALSE), ('one file changed', TRUE, FALSE), ('one rule added', FALSE, TRUE))
+SELECT run, CAST(count_if(CASE run WHEN 'first' THEN FALSE WHEN 'again' THEN TRUE WHEN 'one file changed' THEN k <> 7 ELSE rule_id <> 'local/mail' END) AS BIGINT) AS hits, CAST(count_if(CASE run WHEN 'first' THEN rule_id <> 'local/mail' WHEN 'again' THEN FALSE WHEN 'one file changed' THEN k = 7 ELSE rule_id = 'local/mail' END) AS BIGINT) AS misses
+FROM n, r WHERE run = 'one rule added' OR rule_id <> 'local/mail' GROUP BY run""")
+def p4_check_hits(spark, sf_dir):
+    """Hits and misses of a first run, an unchanged one, one with a file changed and one with a rule added."""
+    rows, files = rule_rows(spark).where("rule_id != 'global/insult'").join(F.broadcast(execution_digests(rules(spark))), "rule_id"), corpus(spark, sf_dir).where("octet_length(text) <= 100000")
+    few = rows.where("rule_id != 'local/mail'")
+    changed = files.withColumn("text", F.when(_number() == 7, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    one = incremental.check_incremental(few, files, spark.createDataFrame([], incremental.STORE))
+    runs = {"first": one, "again": incremental.check_incremental(few, files, one[1]), "one file changed": incremental.check_incremental(few, changed, one[1]), "one rule added": incremental.check_incremental(rows, files, one[1])}
+    totals = [c.agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses")).select(F.lit(name).alias("run"), "hits", "misses") for name, (_, _, c) in runs.items()]
+    return totals[0].unionByName(totals[1]).unionByName(totals[2]).unionByName(totals[3])
+
+
 __all__ = ["spans_sql"]

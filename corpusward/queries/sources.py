@@ -101,8 +101,11 @@ def a10_coverage(spark, sf_dir):
     return source.coverage_counts(source.coverage(marked.where("status = 'excluded'"), source.classify(left, 6000)))
 
 
-@query(f"""WITH {CORPUS_SQL}, {_SIZED}, r AS (SELECT path, n_bytes, count(*) OVER o AS f, sum(n_bytes) OVER o AS b FROM sized WINDOW o AS (ORDER BY path))
-SELECT path, n_bytes, CASE WHEN f > 150 THEN 'source_file_limit' WHEN b > 400000 THEN 'source_snapshot_limit' END AS reason, CASE WHEN f > 150 OR b > 400000 THEN 'gap' ELSE 'checked' END AS status FROM r""")
+@query(f"""WITH RECURSIVE {CORPUS_SQL}, {_SIZED}, n AS (SELECT path, CAST(n_bytes AS BIGINT) AS n_bytes, row_number() OVER (ORDER BY path) AS i FROM sized),
+q(i, path, n_bytes, f, b, reason) AS (SELECT 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, 0::BIGINT, 0::BIGINT, NULL::VARCHAR UNION ALL
+  SELECT n.i, n.path, n.n_bytes, CASE WHEN q.f < 150 AND q.b + n.n_bytes <= 400000 THEN q.f + 1 ELSE q.f END, CASE WHEN q.f < 150 AND q.b + n.n_bytes <= 400000 THEN q.b + n.n_bytes ELSE q.b END,
+    CASE WHEN q.f >= 150 THEN 'source_file_limit' WHEN q.b + n.n_bytes > 400000 THEN 'source_snapshot_limit' END FROM q JOIN n ON n.i = q.i + 1)
+SELECT path, n_bytes, reason, CASE WHEN reason IS NULL THEN 'checked' ELSE 'gap' END AS status FROM q WHERE i > 0""")
 def a11_cumulative_quota(spark, sf_dir):
     sized = with_digest(corpus(spark, sf_dir)).select("path", "n_bytes")
     return selection.cumulative_quota(sized, 150, 400_000)

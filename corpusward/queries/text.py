@@ -84,11 +84,15 @@ def e2_find_all(spark, sf_dir):
     return patterns.find_all(corpus(spark, sf_dir), "[éèü]+[a-z]")
 
 
-@query(f"""WITH {CORPUS_SQL}, f AS ({spans_sql('path', 'corpus', repr('([A-Za-z0-9._]+)@([A-Za-z0-9]+)[.](com|org|net)?'))})
-SELECT path, ord, start_byte, end_byte, nullif(regexp_extract(text, '([A-Za-z0-9._]+)@([A-Za-z0-9]+)[.](com|org|net)?', 1), '') AS user, nullif(regexp_extract(text, '([A-Za-z0-9._]+)@([A-Za-z0-9]+)[.](com|org|net)?', 2), '') AS host, nullif(regexp_extract(text, '([A-Za-z0-9._]+)@([A-Za-z0-9]+)[.](com|org|net)?', 3), '') AS tld FROM f""")
+#: The domain's end takes part or does not, and is never empty; the rest always takes part and may be.
+_PARTS = "([A-Za-z0-9._]+)@([A-Za-z0-9]+)[.](com|org|net)?([a-z]*)"
+
+
+@query(f"""WITH {CORPUS_SQL}, f AS ({spans_sql('path', 'corpus', repr(_PARTS))})
+SELECT path, ord, start_byte, end_byte, regexp_extract(text, '{_PARTS}', 1) AS user, regexp_extract(text, '{_PARTS}', 2) AS host, nullif(regexp_extract(text, '{_PARTS}', 3), '') AS tld, regexp_extract(text, '{_PARTS}', 4) AS rest FROM f""")
 def e3_find_all_groups(spark, sf_dir):
-    found = patterns.find_all(corpus(spark, sf_dir), "(?P<user>[A-Za-z0-9._]+)@(?P<host>[A-Za-z0-9]+)[.](?P<tld>com|org|net)?", groups=True)
-    return found.select("path", "ord", "start_byte", "end_byte", *[F.col("groups")[g].alias(g) for g in ("user", "host", "tld")])
+    found = patterns.find_all(corpus(spark, sf_dir), "(?P<user>[A-Za-z0-9._]+)@(?P<host>[A-Za-z0-9]+)[.](?P<tld>com|org|net)?(?P<rest>[a-z]*)", groups=True)
+    return found.select("path", "ord", "start_byte", "end_byte", *[F.col("groups")[g].alias(g) for g in ("user", "host", "tld", "rest")])
 
 
 @query(f"""WITH {CORPUS_SQL}, o AS ({spans_sql('path', 'corpus', repr('[Ll]icen[sc]e[^.]*'))}), r AS (SELECT path || '#' || start_byte AS k, path, start_byte AS base, text FROM o),
@@ -99,13 +103,21 @@ def e4_find_in(spark, sf_dir):
     return patterns.find_in(outer, "[A-Z][a-z]+", ["path", "base"])
 
 
-@query(f"WITH {CORPUS_SQL} SELECT path, CASE WHEN regexp_matches(text, '{_MAIL}') THEN regexp_extract(text, '{_MAIL}') END AS captured, CASE WHEN regexp_matches(text, '{_MAIL}') THEN regexp_extract(text, '[A-Za-z0-9._]+@([A-Za-z0-9]+)[.][a-z]+', 1) END AS host FROM corpus")
+_HOST = "[A-Za-z0-9._]+@([A-Za-z0-9]+)[.]([0-9]+)?([xyz]*)"
+
+
+@query(f"WITH {CORPUS_SQL} SELECT path, CASE WHEN hit THEN regexp_extract(text, '{_HOST}') END AS captured, CASE WHEN hit THEN regexp_extract(text, '{_HOST}', 1) END AS host, CASE WHEN hit THEN nullif(regexp_extract(text, '{_HOST}', 2), '') END AS number, CASE WHEN hit THEN regexp_extract(text, '{_HOST}', 3) END AS rest FROM (SELECT *, regexp_matches(text, '{_HOST}') AS hit FROM corpus)")
 def e5_capture_text(spark, sf_dir):
-    got = patterns.capture_text(corpus(spark, sf_dir), "[A-Za-z0-9._]+@(?P<host>[A-Za-z0-9]+)[.][a-z]+")
-    return got.select("path", "captured", F.col("groups")["host"].alias("host"))
+    got = patterns.capture_text(corpus(spark, sf_dir), "[A-Za-z0-9._]+@(?P<host>[A-Za-z0-9]+)[.](?P<number>[0-9]+)?(?P<rest>[xyz]*)")
+    return got.select("path", "captured", *[F.col("groups")[g].alias(g) for g in ("host", "number", "rest")])
 
 
-@query()
+#: Runs of digits, and the empty text before every other character and at the end, unless a run ends there.
+@query(f"""WITH {CORPUS_SQL}, runs AS ({spans_sql('path', 'corpus', repr('[0-9]+'))}),
+chars AS (SELECT path, unnest(list_append(cs, NULL)) AS c, unnest(range(1, len(cs) + 2)) AS i FROM (SELECT path, regexp_extract_all(text, '(?s).') AS cs FROM corpus)),
+places AS (SELECT path, c, lag(c) OVER (PARTITION BY path ORDER BY i) AS before, CAST(coalesce(sum(strlen(c)) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS here FROM chars),
+every AS (SELECT path, start_byte, end_byte, text FROM runs UNION ALL SELECT path, here, here, '' FROM places WHERE (c IS NULL OR c NOT BETWEEN '0' AND '9') AND (before IS NULL OR before NOT BETWEEN '0' AND '9'))
+SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY start_byte) - 1 AS INTEGER) AS ord, start_byte, end_byte, text FROM every""")
 def e6_zero_width(spark, sf_dir):
     return patterns.find_all(corpus(spark, sf_dir), "[0-9]*")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusward.functions.globs import glob_regex
+from corpusward.plans.written import written
 
 
 def _patterns(entries: list[tuple]) -> list[tuple[str, tuple]]:
@@ -61,24 +62,44 @@ def hidden_filter(df: DataFrame, include_hidden: bool = False) -> DataFrame:
     return df if include_hidden else df.where(~F.col("path").rlike("(^|/)\\."))
 
 
-def cumulative_quota(df: DataFrame, max_files: int, max_bytes: int, group: int = 2) -> DataFrame:
+def cumulative_quota(df: DataFrame, max_files: int, max_bytes: int, block_rows: int = 1_000_000) -> DataFrame:
     """``df`` (path, n_bytes) with ``status`` and ``reason`` under budgets in path order.
 
-    Rows at and after the first that breaks a budget are gaps: ``source_file_limit`` when the
-    count is over, else ``source_snapshot_limit``.  Running sums are taken inside groups of
-    paths with the same first ``group`` components and added to the sums of earlier groups,
-    so the order over all paths never passes through one task.
+    A file that breaks a budget is a gap and takes nothing from it, so a later, smaller file
+    may still be let in: ``source_file_limit`` when the number of files is used up, else
+    ``source_snapshot_limit``.  Paths are distinct.
+
+    Files are let in run by run: among those that are small enough for what is left, the first
+    that no longer fits ends a run and is found through the sums of blocks of paths, of which
+    one is looked at row by row.  What is left shrinks below the size of that file each time.
     """
-    key = F.substring_index("path", "/", group)
-    rows = df.withColumn("_group", key)
-    inside = Window.partitionBy("_group").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"_files": F.count("*").over(inside), "_bytes": F.sum("n_bytes").over(inside)})
-    totals = rows.groupBy("_group").agg(F.count("*").alias("_f"), F.sum("n_bytes").alias("_b"), F.min("path").alias("_first"))
-    before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)  # one row a group
-    totals = totals.select("_group", F.coalesce(F.sum("_f").over(before), F.lit(0)).alias("_f0"), F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b0"))
-    rows = rows.join(totals, "_group")
-    files, size = F.col("_f0") + F.col("_files"), F.col("_b0") + F.col("_bytes")
-    reason = F.when(files > max_files, "source_file_limit").when(size > max_bytes, "source_snapshot_limit")
-    return rows.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "checked").otherwise("gap")).drop(
-        "_group", "_files", "_bytes", "_f0", "_b0"
-    )
+    parts = max(1, -(-df.count() // block_rows))
+    rows = written(df.select("path", "n_bytes").repartitionByRange(parts, "path").withColumn("_block", F.spark_partition_id()), "paths")
+    runs, files, size, after, full = [], 0, 0, None, None
+    while files < max_files:
+        fits = rows.where(F.col("n_bytes") <= max_bytes - size)
+        fits = fits if after is None else fits.where(F.col("path") > after)
+        f, b, found = files, size, None
+        for block in fits.groupBy("_block").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b")).orderBy("_block").collect():  # one row a block
+            if f + block["n"] >= max_files or b + block["b"] > max_bytes:
+                upto = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)  # the rows of one block
+                sums = fits.where(F.col("_block") == block["_block"]).select("path", "n_bytes", (F.count("*").over(upto) + f).alias("f"), (F.sum("n_bytes").over(upto) + b).alias("b"))
+                found = sums.where((F.col("f") == max_files) | (F.col("b") > max_bytes)).orderBy("path").first()
+                break
+            f, b = f + block["n"], b + block["b"]
+        last = None if found is None else found["path"]
+        over = found is not None and found["b"] > max_bytes
+        runs.append((after, last, over, max_bytes - size))
+        if found is None:
+            break
+        files, size = (found["f"] - 1, found["b"] - found["n_bytes"]) if over else (found["f"], found["b"])
+        after = last
+        full = last if files == max_files else None
+    path, let_in = F.col("path"), F.lit(False)
+    for first, last, over, left in runs:
+        inside = F.col("n_bytes") <= left
+        inside = inside if first is None else inside & (path > first)
+        let_in = let_in | (inside if last is None else inside & ((path < last) if over else (path <= last)))
+    used_up = F.lit(max_files <= 0) if full is None else path > full
+    reason = F.when(~let_in, F.when(used_up, "source_file_limit").otherwise("source_snapshot_limit"))
+    return df.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "checked").otherwise("gap"))

@@ -1,11 +1,13 @@
 """Spans, detection, ledger, reports, fixtures and increments on small cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusward.functions.digest import with_digest
-from corpusward.operators import detect, fixtures, ledger, markup, records, report, spans
-from corpusward.plans import incremental
+from corpusward.operators import detect, findings, fixtures, ledger, markup, records, report, spans
+from corpusward.plans import check, incremental
 from corpusward.sources import corpus as source
 from corpusward.sources import selection
 
@@ -63,7 +65,21 @@ def test_selection(spark):
     first = {r.path: r.reason for r in selection.apply_exclusions(df, [("a/*", "one"), ("**", "two")]).collect()}
     assert first["a/x.txt"] == "one" and first["b/c"] == "two"
     quota = {r.path: r.reason for r in selection.cumulative_quota(df, 3, 12).collect()}
-    assert quota == {"a/x.txt": None, "a/y.txt": None, "b/.z": "source_snapshot_limit", "b/c": "source_file_limit"}
+    assert quota == {"a/x.txt": None, "a/y.txt": None, "b/.z": "source_snapshot_limit", "b/c": "source_snapshot_limit"}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quota_equals_one_pass_in_order(spark, seed):
+    rng = random.Random(seed)
+    sizes = [(f"f{k:03d}", rng.choice([rng.randint(0, 20), rng.randint(0, 200)])) for k in range(120)]
+    max_files, max_bytes = rng.choice([(10, 2000), (200, 600), (40, 900), (0, 5)])
+    want, files, size = {}, 0, 0
+    for path, n in sizes:
+        over = "source_file_limit" if files >= max_files else "source_snapshot_limit" if size + n > max_bytes else None
+        files, size = (files, size) if over else (files + 1, size + n)
+        want[path] = over
+    df = spark.createDataFrame(sizes, "path string, n_bytes long")
+    assert {r.path: r.reason for r in selection.cumulative_quota(df, max_files, max_bytes, block_rows=30).collect()} == want
 
 
 def test_shared_request_pair(spark):
@@ -75,6 +91,40 @@ def test_shared_request_pair(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
 
 
+def test_patterns_are_in_the_rule_language(spark):
+    flags = "case_insensitive boolean, multi_line boolean"
+    rows = [("empty", "b*", False, False), ("unicode", "\\w+", False, False), ("named", "(?P<k>a)", False, False), ("end", "x$", False, False), ("any case", "ABBA", True, False), ("lines", "^x$", False, True), ("broken", "(a", False, False), ("look", "(?=a)", False, False)]
+    rules = spark.createDataFrame([(i, "hit", p, "^", "(?!)", a, m) for i, p, a, m in rows], f"rule_id string, code string, regex string, include_re string, exclude_re string, {flags}")
+    docs = corpus(spark, p="abba é\nx", q="x\n")
+    got = {}
+    for r in detect.detect_each(rules, docs).collect():
+        got.setdefault((r.rule_id, r.path), []).append((r.start_byte, r.end_byte))
+    assert sorted(got["empty", "p"]) == [(0, 0), (1, 3), (4, 4), (5, 5), (7, 7), (8, 8), (9, 9)]
+    assert sorted(got["unicode", "p"]) == [(0, 4), (5, 7), (8, 9)] and sorted(got["named", "p"]) == [(0, 1), (3, 4)]
+    assert got["end", "p"] == [(8, 9)] and ("end", "q") not in got and got["any case", "p"] == [(0, 4)] and got["lines", "p"] == [(8, 9)] and got["lines", "q"] == [(0, 1)]
+    assert {(r.rule_id, r.error) for r in detect.pattern_errors(rules).collect()} == {("broken", "invalid_pattern"), ("look", "invalid_pattern")}
+    lone = detect.shared_evaluation(rules, docs, shared=False)
+    assert sorted(map(tuple, detect.shared_evaluation(rules, docs).collect())) == sorted(map(tuple, lone.collect()))
+    assert {(r.rule_id, r.path) for r in detect.detect_lines(rules.where("rule_id = 'end'"), docs).collect()} == {("end", "p"), ("end", "q")}
+
+
+def test_several_patterns_and_codes_of_a_rule(spark):
+    rules = rule(spark, ("a", "one", "x", "x"), ("a", "two", "y", "y"), ("a", "three", "x", "x"))
+    got = sorted((r.code, r.start_byte) for r in detect.detect_each(rules, corpus(spark, p="xy")).collect())
+    assert got == [("one", 0), ("three", 0), ("two", 1)]
+
+
+def test_places_from_the_scan_equal_places_by_join(spark):
+    rules = rule(spark, ("a", "hit", "[a-zé]+\n?[a-z]?", "x"), ("b", "hit", "z*", "x"))
+    docs = corpus(spark, p="é ab\ncd ef\n\ngh", q="one line", r="\n\nx\n")
+    one = detect.detect_located(rules, docs)
+    raw = detect.detect_each(rules, docs)
+    two = findings.with_matched_digest(findings.add_snippet(findings.add_coordinates(raw, docs), docs), docs)
+    columns = sorted(one.columns)
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert rows(one) == rows(two) and len(rows(one)) > 20
+
+
 def test_absence_and_limits(spark):
     rules = rule(spark, ("a", "hit", "x", "x"))
     docs = corpus(spark, p="é", q="xx")
@@ -101,6 +151,35 @@ def test_increments_count_as_expected(spark):
     assert total(incremental.check_incremental(rules, docs, spoiled)[2]) == (20, 4)
 
 
+def test_batches_are_stored_whole_or_not_at_all(spark, tmp_path):
+    docs, rules = corpus(spark, d1="text x1", d2="x1 x1"), rule(spark, ("r", "hit", "x1", "x"))
+    fresh = incremental.check_incremental(rules, docs, incremental.read_store(spark, f"{tmp_path}/s"))[1]
+    fresh.where("path = 'd1'").write.parquet(f"{tmp_path}/s/batch-7")
+    (tmp_path / "s/batch-7/_SUCCESS").unlink()  # a writer that was cut off
+    assert incremental.read_store(spark, f"{tmp_path}/s").count() == 0
+    incremental.append_store(fresh, f"{tmp_path}/s", "7")
+    assert incremental.read_store(spark, f"{tmp_path}/s").count() == 3
+    incremental.append_store(fresh.where("false"), f"{tmp_path}/s", "7")  # run again, it is left alone
+    incremental.compact_store(spark, f"{tmp_path}/s", f"{tmp_path}/t")
+    for path in ("s", "t"):
+        found, _, counts = incremental.check_incremental(rules, docs, incremental.read_store(spark, f"{tmp_path}/{path}"))
+        assert counts.first().hits == 2 and found.count() == 3 and {r.start_line for r in found.collect()} == {1}
+
+
+def test_check_with_a_ledger_and_a_gap(spark):
+    rules = rule(spark, ("r", "hit", "x1", "x"), ("bad", "hit", "(x", "x")).withColumns({"mode": F.lit("enforced"), "severity": F.lit("error"), "require_files": F.array().cast("array<string>")})
+    told = spark.createDataFrame([("r", "hit", "review", "m", "h")], "rule_id string, code string, kind string, message string, help string")
+    files = spark.createDataFrame([("a", b"one x1"), ("b", b"x1\nx1"), ("c", b"\xff"), ("d", b"\x00")], "path string, content binary")
+    first = check.check(rules, told, files)
+    assert {(r.path, r.start_line, r.status) for r in first.findings.collect()} == {("a", 1, "needs_review"), ("b", 1, "needs_review"), ("b", 2, "needs_review")}
+    assert [tuple(r) for r in first.errors.collect()] == [("bad", None, "invalid_pattern")]
+    assert first.outcome.first().exit_code == 2 and {(r.path, r.status) for r in first.coverage.collect()} == {("a", "checked"), ("b", "checked"), ("c", "gap"), ("d", "binary")}
+    decided = first.findings.where("path = 'a'").withColumns({"decision": F.lit("acceptable"), "rationale": F.lit("fine"), "revision": F.lit(1), "previous": F.lit(None).cast("string"), "watched_files": F.create_map().cast("map<string,string>")})
+    again = check.check(rules.where("rule_id = 'r'"), told, files.where("path < 'c'"), store=first.fresh, decisions=ledger.record_digest(decided))
+    assert {(r.path, r.status) for r in again.findings.collect()} == {("a", "accepted"), ("b", "needs_review")}
+    assert again.outcome.first().exit_code == 1 and again.hits.first().hits == 2
+
+
 SIGNAL_CASES = [
     ("disabled", dict(mode="disabled", confirmed=1)), ("unknown", dict(complete=False)), ("useful", dict(confirmed=1, decided=1)), ("dead", dict(scoped=0)),
     ("watch", dict(intent="watch", raw=1)), ("quiet", dict()), ("noisy", dict(acceptable=2, decided=3)), ("active", dict(raw=1, acceptable=1, decided=2)),
