@@ -7,9 +7,13 @@ conversations the smallest id stays.  Those kept are rendered to a chat template
 
 The prefix hash is the position-tagged sum of two 64-bit turn hashes, kept in four
 32-bit lanes whose sums cannot overflow, so it is a running window sum and never an
-array of all turns.  Positions come from blocks of turn numbers: a window inside the
-blocks and one over the block totals, so a conversation with a large share of all
-rows is spread over many tasks.
+array of all turns.  Positions come from blocks of turn numbers (turns without a number: of
+roles and first characters): a window inside the blocks and one over the block totals, so a
+conversation with a large share of all rows is spread over many tasks.
+
+Only hashes of turns take part until it is known which conversations stay; texts are
+shuffled once, to the blocks of those.  Texts decide the order of turns of one number, so
+such turns are looked up beforehand.
 """
 
 from __future__ import annotations
@@ -30,36 +34,63 @@ def _lanes(*cols: Column) -> list[Column]:
     return [one.bitwiseAND(low), F.shiftrightunsigned(one, 32), two.bitwiseAND(low), F.shiftrightunsigned(two, 32)]
 
 
-def prefixes(turns: DataFrame, block: int) -> DataFrame:
-    """Distinct turns (conv, pos, role, text) with the lanes of the prefix that ends there."""
-    order = [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    part = F.coalesce(F.floor(F.col("turn") / block), F.lit(2**62))
-    rows = turns.distinct().withColumn("part", part)
-    inner = Window.partitionBy("conv", "part").orderBy(*order)
-    rows = rows.withColumn("rn", F.row_number().over(inner).cast("long"))
-    totals = rows.groupBy("conv", "part").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("skip", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
-    rows = rows.join(offsets, ["conv", "part"]).withColumn("pos", F.col("skip") + F.col("rn"))
-    turn_hash = _lanes("pos", F.col("role").isNull(), "role", F.col("text").isNull(), "text")
-    rows = rows.select("conv", "part", "pos", "role", "text", *[h.alias(n) for h, n in zip(turn_hash, LANES)])
+BLOCK = ["conv", "b", "r", "p"]
+
+
+def _blocked(turns: DataFrame, block: int) -> DataFrame:
+    """``turns`` with the names of their blocks (b, r, p), in the order of the turns, and two hashes of each turn."""
+    lone = F.col("turn").isNull()
+    first = lambda c, what: F.when(lone, F.when(F.col(c).isNull(), "0").otherwise(F.concat(F.lit("1"), what))).otherwise("")
+    content = [F.col("role").isNull(), "role", F.col("text").isNull(), "text"]
+    return turns.withColumns({
+        "b": F.coalesce(F.floor(F.col("turn") / block), F.lit(2**62)), "r": first("role", F.col("role")), "p": first("text", F.substring("text", 1, 2)),
+        "t1": F.xxhash64(F.lit(1), *content), "t2": F.xxhash64(*content, F.lit(2)),
+    })
+
+
+def _ranked_ties(light: DataFrame, turns: DataFrame) -> DataFrame:
+    """(BLOCK, turn, t1, t2, tie): of turns that share a number in a conversation, their order by role and text."""
+    shared = light.groupBy(*BLOCK, F.coalesce("turn", F.lit(-1)).alias("n"), F.col("turn").isNull().alias("lone")).agg(F.count("*").alias("many")).where("many > 1").drop("many")
+    met = turns.withColumns({"n": F.coalesce("turn", F.lit(-1)), "lone": F.col("turn").isNull()}).join(shared, [*BLOCK, "n", "lone"])
+    order = Window.partitionBy(*BLOCK, "n", "lone").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    return met.select(*BLOCK, "n", "lone", "t1", "t2", F.dense_rank().over(order).alias("tie")).distinct()
 
-    sums = rows.groupBy("conv", "part").agg(*[F.sum(n).alias(n) for n in LANES])
-    sums = sums.select("conv", "part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"b{n}") for n in LANES])
-    running = Window.partitionBy("conv", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(sums, ["conv", "part"])
-    return rows.select("conv", "pos", "role", "text", *[(F.col(f"b{n}") + F.sum(n).over(running)).alias(n) for n in LANES])
+
+def prefixes(turns: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(hashes, blocks) of (conv, turn, role, text).
+
+    ``hashes`` has (conv, pos, n_turns, lanes): the lanes of the prefix that ends at each
+    distinct turn.  ``blocks`` has (BLOCK, skip, n_turns, n_blocks): turns before each block.
+    """
+    turns = _blocked(turns, block)
+    light = stored(turns.select(*BLOCK, "turn", "t1", "t2").distinct(), "turns")
+    key = {"n": F.coalesce("turn", F.lit(-1)), "lone": F.col("turn").isNull()}
+    rows = light.withColumns(key).join(_ranked_ties(light, turns), [*BLOCK, "n", "lone", "t1", "t2"], "left")
+    inner = Window.partitionBy(*BLOCK).orderBy(F.col("turn").asc_nulls_last(), F.coalesce("tie", F.lit(1)))
+    rows = stored(rows.select(*BLOCK, "t1", "t2", F.row_number().over(inner).cast("long").alias("rn")), "turns")
+    before = Window.partitionBy("conv").orderBy("b", "r", "p").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*BLOCK).agg(F.count("*").alias("size"))
+    every = Window.partitionBy("conv")
+    blocks = stored(blocks.select(*BLOCK, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("skip"), F.sum("size").over(every).alias("n_turns"), F.count("*").over(every).alias("n_blocks")), "blocks")
+
+    rows = rows.join(blocks, BLOCK).withColumn("pos", F.col("skip") + F.col("rn"))
+    rows = rows.select(*BLOCK, "pos", "n_turns", "n_blocks", *[h.alias(n) for h, n in zip(_lanes("pos", "t1", "t2"), LANES)])
+    running = Window.partitionBy(*BLOCK).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*BLOCK, "pos", "n_turns", "n_blocks", *[F.sum(n).over(running).alias(n) for n in LANES])
+    # Only conversations of several blocks add the sums of the blocks before.
+    last = rows.where("n_blocks > 1").groupBy(*BLOCK).agg(*[F.max_by(n, "pos").alias(n) for n in LANES])
+    last = last.select(*BLOCK, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"b{n}") for n in LANES])
+    rows = rows.join(last, BLOCK, "left")
+    return stored(rows.select("conv", "pos", "n_turns", *[(F.coalesce(F.col(f"b{n}"), F.lit(0)) + F.col(n)).alias(n) for n in LANES]), "hashes"), blocks
 
 
 def maximal(hashes: DataFrame) -> DataFrame:
     """(conv, n_turns, n_copies) of the conversations that are no proper prefix of another.
 
-    ``hashes`` has (conv, pos, lanes).  Equal conversations are one row, under the smallest id.
+    ``hashes`` has (conv, pos, n_turns, lanes).  Equal conversations are one row, under the smallest id.
     """
-    length = hashes.groupBy("conv").agg(F.max("pos").alias("n_turns"))
-    marked = hashes.join(length, "conv")
-    full = marked.where("pos = n_turns").groupBy("n_turns", *LANES).agg(F.min("conv").alias("conv"), F.count("*").alias("n_copies"))
-    inner = marked.where("pos < n_turns").select(F.col("pos").alias("n_turns"), *LANES).distinct()
+    full = hashes.where("pos = n_turns").groupBy("n_turns", *LANES).agg(F.min("conv").alias("conv"), F.count("*").alias("n_copies"))
+    inner = hashes.where("pos < n_turns").select(F.col("pos").alias("n_turns"), *LANES)
     return full.join(inner, ["n_turns", *LANES], "left_anti").select("conv", "n_turns", "n_copies")
 
 
@@ -86,16 +117,27 @@ def format_chats(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
         F.col(role_col).alias("role"), F.col(text_col).alias("text"),
     ).where(F.col("conv").isNotNull())
-    hashes = stored(prefixes(turns, turn_block), "turns")
-    keep = maximal(hashes.select("conv", "pos", *LANES))
+    hashes, blocks = prefixes(turns, turn_block)
+    keep = stored(maximal(hashes).select("conv", "n_copies"), "kept")
+    places = blocks.join(keep, "conv")
     begin, middle, end = (F.lit(x) for x in template)
     piece = F.concat(begin, F.coalesce("role", F.lit("")), middle, F.coalesce("text", F.lit("")), end)
-    shown = hashes.select("conv", "pos", piece.alias("piece")).join(keep, "conv")
-    part = F.floor((F.col("pos") - 1) / part_turns).cast("long")
-    parts = shown.groupBy("conv", "n_turns", "n_copies", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("pieces")
-    )
-    return parts.select(
+    texts = _blocked(turns, turn_block).select(*BLOCK, "turn", "role", "text")
+    order = Window.partitionBy(*BLOCK).orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    pos = (F.col("skip") + F.dense_rank().over(order)).alias("pos")
+    told = ["conv", "n_turns", "n_copies", "part"]
+
+    def parts(of: DataFrame, whole: bool) -> DataFrame:
+        """Parts of the conversations; where a part may lie in several blocks, these are put together."""
+        shown = texts.join(of, BLOCK).select(*BLOCK, "n_turns", "n_copies", pos, piece.alias("piece"))
+        shown = shown.withColumn("part", F.floor((F.col("pos") - 1) / part_turns).cast("long"))
+        pieces = shown.groupBy(*BLOCK, *told[1:]).agg(F.array_sort(F.collect_set(F.struct("pos", "piece"))).alias("pieces"))
+        if whole:
+            return pieces.select(*told, "pieces")
+        return pieces.groupBy(*told).agg(F.array_sort(F.flatten(F.collect_list("pieces"))).alias("pieces"))
+
+    out = parts(places.where("n_blocks = 1"), True).unionByName(parts(places.where("n_blocks > 1"), False))
+    return out.select(
         F.col("conv").alias(conv_col), "n_turns", "n_copies", "part",
         F.size("pieces").cast("long").alias("n_part_turns"),
         F.array_join(F.col("pieces.piece"), "").alias("rendered"),
