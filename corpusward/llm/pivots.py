@@ -1,10 +1,11 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Reference points (pivots) come from a bounded sample.  A vector is described by
-its ``nearest`` closest pivots in order; an inverted list holds, for a label and a
-pair of pivots, the vectors that have both among theirs, so vectors meet exactly
-if they share two pivots or more.  Every pair of a list is verified by cosine in
-double precision, in the one list that its two smallest shared pivots name.
+Reference points (pivots) come from a bounded sample, their number grows with the vectors.
+A vector is described by its ``nearest`` closest pivots in order; an inverted list holds, for
+a label, a vector length and ``shared`` pivots, the vectors that have all of these among
+theirs, so vectors meet exactly if they share so many pivots or more.  Lists with one vector
+are dropped before vectors are brought to them.  Every pair of a list is verified by cosine
+in double precision, in the one list that its smallest shared pivots name.
 
 Lists longer than ``block`` are cut into blocks and their block pairs dealt to
 different tasks.  A task returns, for each vector, the number of links found and
@@ -14,18 +15,26 @@ one edge to the smallest member of its local group, never all the pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .cells import bounds, whole_groups
 from .components import components
 from .tables import stored
 
-#: Rows that the pivots are chosen from, at most.
-SAMPLE = 4096
+#: Rows that the pivots are chosen from, at most; and the most pivots of vectors of one length.
+SAMPLE = 8192
+MOST_PIVOTS = 4096
+
+
+def n_pivots(n: int) -> int:
+    """Pivots for ``n`` vectors: one for 8 of them or more, as a power of two, up to a bound."""
+    return min(MOST_PIVOTS if n > 1 << 20 else MOST_PIVOTS // 2, 1 << max(4, (max(n, 1) // 8 - 1).bit_length()))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -39,18 +48,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def choose_pivots(rows: np.ndarray, count: int, apart: float, dim: int, seed: int = 7) -> np.ndarray:
     """Unit vectors of ``rows`` in order, each under cosine ``apart`` to those before; random ones fill up."""
-    chosen = np.zeros((0, dim))
-    if len(rows):
-        for x in _unit(rows):
-            if len(chosen) == count:
-                break
-            if not len(chosen) or (chosen @ x).max() < apart:
-                chosen = np.vstack([chosen, x])
+    chosen, n = np.zeros((count, dim)), 0
+    for x in _unit(rows) if len(rows) else ():
+        if n == count:
+            break
+        if not n or (chosen[:n] @ x).max() < apart:
+            chosen[n] = x
+            n += 1
     rng = np.random.Generator(np.random.PCG64(seed))
-    return np.vstack([chosen, _unit(rng.standard_normal((count - len(chosen), dim)))]) if len(chosen) < count else chosen
+    return np.vstack([chosen[:n], _unit(rng.standard_normal((count - n, dim)))]) if n < count else chosen
 
 
-def _links_in(rep, cnt, block, piv, unit, pair, cross, least, shared_least) -> tuple[np.ndarray, np.ndarray]:
+def _links_in(rep, cnt, block, piv, unit, list_pivots, cross, least) -> tuple[np.ndarray, np.ndarray]:
     """Links to others and the smallest member of the local group, for the vectors of one list cell."""
     n = len(rep)
     added, root = np.zeros(n, np.int64), np.arange(n)
@@ -75,10 +84,9 @@ def _links_in(rep, cnt, block, piv, unit, pair, cross, least, shared_least) -> t
         for s in range(0, len(i), 65536):
             x, y = i[s : s + 65536], j[s : s + 65536]
             both = (piv[x][:, :, None] == piv[y][:, None, :]).any(axis=2)
-            # Pivots are stored ascending, so the first two shared ones name the pair's list.
-            held = np.where(both, piv[x], np.iinfo(np.int32).max)
-            two = np.partition(held, 1, axis=1)[:, :2]
-            own = (both.sum(axis=1) >= shared_least) & (two[:, 0] == pair[0]) & (two[:, 1] == pair[1])
+            # The smallest shared pivots name the pair's list.
+            held = np.sort(np.where(both, piv[x], np.iinfo(np.int32).max), axis=1)
+            own = (held[:, : len(list_pivots)] == list_pivots).all(axis=1)
             x, y = x[own], y[own]
             np.add.at(added, x, cnt[y])
             np.add.at(added, y, cnt[x])
@@ -100,7 +108,7 @@ def near_duplicates(
     vector_col: str = "embedding",
     label_col: str | None = "label",
     least: float = 0.93,
-    pivots: int = 256,
+    pivots: int | None = None,
     nearest: int = 7,
     shared: int = 2,
     apart: float = 0.5,
@@ -108,111 +116,100 @@ def near_duplicates(
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept, n_copies) for every row of ``vectors``.
 
-    Vectors of one label link at a cosine of ``least`` or more.  Null and zero vectors,
-    vectors with null or non-finite components, with a null label (if there is a label
-    column) or of another length than most link with nothing.  Rows with equal vectors
-    and labels (repeated rows too) are one class that links with itself.  A null id is
-    returned with a null component and no links.  Other columns are ignored.
+    Vectors of one label and length link at a cosine of ``least`` or more.  Null and zero
+    vectors, vectors with null or non-finite components or with a null label (if there is a
+    label column) link with nothing.  Rows with equal vectors and labels (repeated rows too)
+    are one class that links with itself.  Rows with one id and different vectors each follow
+    their own vector; where such an id is the smallest of two classes, these are in one
+    component.  A null id is returned with a null component and no links.  Other columns are ignored.  ``pivots`` is the number for each length,
+    :func:`n_pivots` of its vectors by default.
     """
-    if shared < 2:
-        raise ValueError("vectors meet in lists of two pivots; shared must be 2 or more")
+    plain = vectors.schema[vector_col].dataType.simpleString() in ("array<float>", "array<double>")
+    v = F.col(vector_col) if plain else F.col(vector_col).cast("array<double>")
     base = vectors.select(
         F.col(id_col).cast("long").alias("id"),
         (F.col(label_col) if label_col else F.lit(0)).alias("label"),
-        F.col(vector_col).cast("array<double>").alias("v"),
+        F.transform(v, lambda x: x + F.lit(0.0).cast("float")).alias("v"),  # no negative zeros
     )
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0)
-    good = base.where(sound)
-    dim = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = dim["d"] if dim else 1
-    usable = F.coalesce(sound & (F.size("v") == dim), F.lit(False))
+    usable = F.coalesce(sound, F.lit(False))
+    key = [F.xxhash64("label", "v").alias("k1"), F.xxhash64(F.lit(1), "label", "v").alias("k2")]
+    # A class is told by (rep, k1): one id may be the smallest of several classes.
     classes = base.where(usable).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
-    classes = stored(classes, "vectors")
+    classes = stored(classes.select("rep", *key, "n_copies", F.xxhash64("label").alias("group"), F.size("v").alias("d"), "v"), "vectors")
 
-    drawn = classes.orderBy(F.xxhash64("rep"), "label").limit(SAMPLE).select("v").toPandas()["v"]
-    points = choose_pivots(np.stack(drawn) if len(drawn) else np.zeros((0, dim)), pivots, apart, dim)
-    take = min(nearest, pivots)
+    by_length = {r["d"]: r["n"] for r in classes.groupBy("d").agg(F.count("*").alias("n")).collect()}  # one row a length
+    drawn = classes.orderBy(F.xxhash64("rep"), "k1").select("v").limit(SAMPLE).toPandas()["v"]
+    points = {}
+    for d, n in by_length.items():
+        own = [x for x in drawn if len(x) == d]
+        count = max(pivots or n_pivots(n), shared)
+        points[d] = choose_pivots(np.stack(own).astype(np.float64) if own else np.zeros((0, d)), count, apart, d)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = _unit(_matrix(batch.column(batch.schema.get_field_index("v")), dim))
-            near = np.argsort(-(unit @ points.T), axis=1, kind="stable")[:, :take].astype(np.int32)
-            at = pa.array(np.arange(0, len(unit) * take + 1, take, dtype=np.int32))
-            unit_at = pa.array(np.arange(0, len(unit) * dim + 1, dim, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), batch.column(2),
-                    pa.ListArray.from_arrays(at, pa.array(near.ravel())),
-                    pa.ListArray.from_arrays(at, pa.array(np.sort(near, axis=1).ravel())),
-                    pa.ListArray.from_arrays(unit_at, pa.array(unit.ravel())),
-                ],
-                names=["rep", "label", "n_copies", "ordered", "piv", "unit"],
-            )
-
-    label_type = classes.schema["label"].dataType.simpleString()
-    index = classes.select("rep", "label", "n_copies", "v").mapInArrow(
-        describe, f"rep long, label {label_type}, n_copies long, ordered array<int>, piv array<int>, unit array<double>"
-    )
-    index = stored(index, "index")
-    pair = [(x, y) for x in range(take) for y in range(x + 1, take)]
-    post = index.select(
-        "rep", "label",
-        F.explode(F.array(*[F.struct(F.col("piv")[x].alias("p"), F.col("piv")[y].alias("q")) for x, y in pair])).alias("k"),
-    ).select("rep", "label", "k.p", "k.q")
-    sizes = post.groupBy("label", "p", "q").agg(F.count("*").alias("size")).where("size > 1")
-    post = post.join(sizes, ["label", "p", "q"])
+            length = batch.column("d").to_numpy()
+            for d in np.unique(length):
+                rows = np.flatnonzero(length == d)
+                for at in range(0, len(rows), 1024):
+                    part = batch.take(pa.array(rows[at : at + 1024]))
+                    near = _unit(_matrix(part.column("v"), d)) @ points[d].T
+                    take = min(nearest, near.shape[1])
+                    top = np.argpartition(-near, take - 1, axis=1)[:, :take]
+                    order = np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable")
+                    ordered = np.take_along_axis(top, order, axis=1).astype(np.int32)
+                    piv = pa.ListArray.from_arrays(pa.array(np.arange(0, ordered.size + 1, take, dtype=np.int32)), pa.array(ordered.ravel()))
+                    yield part.append_column("ordered", piv)
+
+    index = classes.mapInArrow(describe, StructType([*classes.schema, StructField("ordered", ArrayType(IntegerType()))]))
+    index = stored(index.withColumn("piv", F.array_sort("ordered")).drop("ordered"), "index")
+    # The lists hold ids only; vectors are brought to those that several share.
+    picks = list(combinations(range(nearest), shared))
+    named = F.array(*[F.struct(F.lit(c).alias("c"), F.xxhash64("group", "d", *[F.get("piv", F.lit(k)) for k in ks]).alias("name"), F.get("piv", F.lit(ks[-1])).isNotNull().alias("full")) for c, ks in enumerate(picks)])
+    post = index.select("rep", "k1", F.inline(named)).where("full").drop("full")
+    sizes = post.groupBy("name").agg(F.count("*").alias("size")).where("size > 1")
+    post = post.join(sizes, "name")
     n_blocks = F.ceil(F.col("size") / block).cast("int")
-    post = post.withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    post = post.withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep", "k1"), F.col("nb")).cast("int"))
     cells = post.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    cells = cells.select(
-        "label", "p", "q", "rep", "block",
-        F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-    )
-    rows = cells.join(index.select("rep", "n_copies", "piv", "unit"), "rep")
-    cell = F.xxhash64("label", "p", "q", "lo", "hi")
-    rows = rows.select(cell.alias("cell"), "p", "q", "lo", "hi", "rep", "block", "n_copies", "piv", "unit")
-    rows = rows.repartition("cell").sortWithinPartitions("cell", "p", "q", "lo", "hi")
+    cells = cells.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).select("name", "c", "lo", "hi", "block", "rep", "k1")
+    rows = cells.join(index.select("rep", "k1", "d", "n_copies", "piv", "v"), ["rep", "k1"])
+    rows = rows.select(F.xxhash64("name", "lo", "hi").alias("cell"), "name", "lo", "hi", "c", "d", "rep", "k1", "block", "n_copies", "piv", "v")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "name", "lo", "hi", "d")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ready in whole_groups(batches, "cell"):
             col = {c: ready.column(c).combine_chunks() for c in ready.column_names}
-            plain = {c: col[c].to_numpy() for c in ("cell", "p", "q", "lo", "hi", "rep", "block", "n_copies")}
-            piv = col["piv"].flatten().to_numpy().reshape(-1, take)
-            unit = _matrix(col["unit"], dim)
-            edge = bounds(*(plain[c] for c in ("cell", "p", "q", "lo", "hi")))
+            plain = {c: col[c].to_numpy() for c in ("cell", "name", "lo", "hi", "c", "d", "rep", "k1", "block", "n_copies")}
+            edge = bounds(*(plain[c] for c in ("cell", "name", "lo", "hi", "d")))
             out: list[np.ndarray] = []
             for a, b in zip(edge[:-1], edge[1:]):
                 if b - a < 2:
                     continue
-                s = slice(a, b)
-                rep = plain["rep"][s]
-                added, root = _links_in(
-                    rep, plain["n_copies"][s], plain["block"][s], piv[s], unit[s],
-                    (plain["p"][a], plain["q"][a]), plain["lo"][a] != plain["hi"][a], least, shared,
-                )
+                s, n = slice(a, b), b - a
+                rep, k1 = plain["rep"][s], plain["k1"][s]
+                unit = _unit(_matrix(col["v"].slice(a, n), plain["d"][a]))
+                piv = col["piv"].slice(a, n).flatten().to_numpy().reshape(n, -1)
+                own = piv[0][list(picks[plain["c"][a]])]  # of any member, the list's pivots
+                added, root = _links_in(rep, plain["n_copies"][s], plain["block"][s], piv, unit, own, plain["lo"][a] != plain["hi"][a], least)
                 hit = added > 0
                 if hit.any():
-                    out.append(np.stack([rep[hit], rep[root[hit]], added[hit]]))
+                    out.append(np.stack([rep[hit], rep[root[hit]], added[hit], k1[hit]]))
             if out:
-                a, b, n = np.concatenate(out, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
+                a, b, n, k = np.concatenate(out, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n), pa.array(k)], names=["a", "b", "n", "k1"])
 
-    found = stored(rows.mapInArrow(search, "a long, b long, n long"), "links")
+    found = stored(rows.mapInArrow(search, "a long, b long, n long, k1 long"), "links")
     label = components(found)
-    more = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    named = (
-        classes.join(more, "rep", "left")
+    more = found.groupBy(F.col("a").alias("rep"), "k1").agg(F.sum("n").alias("others"))
+    told = (
+        index.select("rep", "k1", "k2", "n_copies").join(more, ["rep", "k1"], "left")
         .join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            F.col("label").alias("class_label"), F.col("v").alias("class_v"), "n_copies",
-            (F.coalesce("others", F.lit(0)) + F.col("n_copies") - 1).alias("n"),
-            F.coalesce("component", "rep").alias("component"),
-        )
+        .select("k1", "k2", "n_copies", (F.coalesce("others", F.lit(0)) + F.col("n_copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
     )
-    keyed = base.withColumn("label", F.when(usable, F.col("label")))
-    keyed = keyed.withColumn("v", F.when(F.col("label").isNotNull(), F.col("v")))
-    out = keyed.join(named, (keyed["label"] == named["class_label"]) & (keyed["v"] == named["class_v"]), "left")
+    keyed = base.select("id", *[F.when(usable, k).alias(n) for n, k in zip(("k1", "k2"), key)])
+    out = keyed.join(told, ["k1", "k2"], "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col),
@@ -223,7 +220,6 @@ def near_duplicates(
     )
 
 
-
 #: DuckDB: links by comparing all vectors of a label, components by reachability.
 ORACLE = """
 WITH RECURSIVE v AS (
