@@ -89,6 +89,8 @@ def test_chat_keeps_maximal_conversations(spark):
         for t in range(rng.randint(1, 6)):
             rows.append((c, t, "user" if t % 2 == 0 else "assistant", f"{base} {t} {rng.randrange(2) if t > 3 else ''}"))
     rows += [(100, None, None, None), (101, 0, None, ""), (102, 0, "", None), (None, 0, "user", "x"), (103, 5, "a", "b"), (103, 5, "a", "c"), (103, 5, "a", "b")]
+    rows += [(104, rng.choice([None, 1, 7]), rng.choice([None, "", "a", "b"]), rng.choice([None, "", "x", "xy", "xyz", "y", "é"])) for _ in range(80)]
+    rows += [(105, 0, "user", "long " * 200_000), (105, 1, "assistant", None), *[(106, t, "user", f"turn {t}") for t in range(40)], *[(107, t, "user", f"turn {t}") for t in range(25)]]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, pos int, piece string")
     got = collections.defaultdict(dict)
     for r in chat.format_chats(df, part_turns=3, turn_block=2).collect():
@@ -249,13 +251,14 @@ def test_embeddings_equal_brute_force(spark):
     vecs = [list(map(float, b + s * rng.normal(size=16))) for b in base for s in (0.05, 0.1, 0.2)]
     rows = [(k, v, k % 3) for k, v in enumerate(vecs)] + [(500 + k, vecs[0], 0) for k in range(5)]
     rows += [(600, None, 0), (601, [0.0] * 16, 0), (602, [None] + [1.0] * 15, 0), (603, [float("nan")] * 16, 0), (604, vecs[0], None), (605, vecs[0][:3], 0), (None, vecs[0], 0), (606, [], 0), (0, vecs[0], 0)]
+    rows += [(700, vecs[0][:5], 0), (701, [x * 2 for x in vecs[0][:5]], 0), (702, vecs[3][:5], 0), (703, [1.0], 1), (704, [-2.0], 1), (705, [3.0], 1)]
     df = spark.createDataFrame([(*r, 1, [2.0], "c") for r in rows], "vec_id long, embedding array<double>, label int, rep int, unit array<double>, p string")
     got = pivots.near_duplicates(df, pivots=64, block=4).collect()
     assert len(got) == len(rows)
-    good = [(i, np.array(v) / np.linalg.norm(v), lab) for i, v, lab in rows if i is not None and lab is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
+    good = [(i, np.array(v) / np.linalg.norm(v), lab) for i, v, lab in rows if i is not None and lab is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     links, lost = collections.Counter(), 0
     for (a, x, la), (b, y, lb) in itertools.combinations(good, 2):
-        if la == lb and x @ y >= 0.93:
+        if la == lb and len(x) == len(y) and x @ y >= 0.93:
             links[a] += 1
             links[b] += 1
     have = {r.vec_id: r.n_links for r in got if r.vec_id is not None}
@@ -265,10 +268,32 @@ def test_embeddings_equal_brute_force(spark):
     assert all(have[k] == 0 for k in (600, 601, 602, 603, 604, 605, 606))
     comp = {r.vec_id: r.component_id for r in got}
     assert all(comp[k] == 0 for k in range(500, 505)) and comp[604] == 604 and comp[None] is None
+    assert [comp[k] for k in (700, 701, 702, 703, 704, 705)] == [700, 700, 702, 703, 704, 703]  # vectors of other lengths
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
     assert pivots.near_duplicates(df.where("false")).count() == 0
 
 
+def test_pairs_a_vector_stay_few_and_recall_high():
+    rng = np.random.default_rng(3)
+    pairs = []
+    for n in (2000, 20000):
+        base = rng.normal(size=(n // 2, 32))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        side = rng.normal(size=base.shape)
+        side -= (side * base).sum(axis=1, keepdims=True) * base
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        cosine = rng.uniform(0.93, 1.0, (n // 2, 1))
+        x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side])
+        points = pivots.choose_pivots(x[rng.permutation(n)[: pivots.SAMPLE]], pivots.n_pivots(n), 0.5, 32)
+        piv = np.sort(np.argpartition(-(x @ points.T), 7, axis=1)[:, :7], axis=1)
+        shared = (piv[: n // 2][:, :, None] == piv[n // 2 :][:, None, :]).any(axis=2).sum(axis=1)
+        assert (shared >= 2).mean() >= 0.9
+        keys = np.concatenate([piv[:, a] * 5000 + piv[:, b] for a, b in itertools.combinations(range(7), 2)])
+        size = np.unique(keys, return_counts=True)[1]
+        pairs.append((size * (size - 1) / 2).sum() / n)
+    assert pairs[1] < 3 * pairs[0]
+
+
 # 5 quality rules
 
 
