@@ -119,6 +119,52 @@ class BlockMaxIndex:
             found, cosine = found[top], cosine[top]
         return self.order[found], cosine, opened
 
+    def nearest_many(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, example, cosine) of the k nearest examples of each row of a sparse matrix, as :func:`nearest` gives them.
+
+        In turn every row opens its block of the next largest bound, all of them together,
+        until none has a block left that could hold a nearer example.
+        """
+        n, n_blocks = len(start) - 1, self.n_blocks
+        row = np.repeat(np.arange(n), np.diff(start))
+        bound = np.zeros((n, n_blocks))
+        live = np.flatnonzero(np.diff(start))
+        if len(live):
+            bound[live] = np.add.reduceat(weight[:, None] * self.most[term], start[:-1][live], axis=0)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        bar = np.zeros(n)  # of each row, the k-th nearest cosine so far
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for turn in range(n_blocks):
+            block = order[:, turn]
+            best = bound[np.arange(n), block]
+            open_ = (best > 0) & (best >= bar - 1e-12)
+            if not open_.any():
+                break
+            use = np.flatnonzero(open_[row])
+            own = row[use]
+            at = term[use] * n_blocks + block[own]
+            a, size = self.start[at], self.start[at + 1] - self.start[at]
+            pick = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            place = np.repeat(own * self.block, size) + self.slot[pick] % self.block
+            sums = np.bincount(place, self.weight[pick] * np.repeat(weight[use], size), minlength=n * self.block).reshape(n, self.block)
+            if self.block > k:  # only what can be among the k nearest is sorted
+                low = -np.partition(-sums, k - 1, axis=1)[:, k - 1]
+                near = (sums > 0) & (sums >= np.maximum(low, bar)[:, None] - 1e-11)
+            else:
+                near = sums > 0
+            r, c = np.nonzero(near)
+            r, slot, cosine = (np.concatenate(x) for x in zip(found, (r, block[r] * self.block + c, sums[r, c])))
+            by = np.lexsort((slot, -np.round(cosine, 12), r))
+            r, slot, cosine = r[by], slot[by], cosine[by]
+            first = np.searchsorted(r, np.arange(n + 1))
+            keep = np.arange(len(r)) - first[r] < k
+            r, slot, cosine = r[keep], slot[keep], cosine[keep]
+            found = r, slot, cosine
+            first = np.searchsorted(r, np.arange(n + 1))
+            full = np.flatnonzero(np.diff(first) == k)
+            bar[full] = cosine[first[full] + k - 1]
+        return found[0], self.order[found[1]], found[2]
+
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> np.ndarray:
     """(slope, shift) of a one-feature logistic fit; a weak prior keeps them near 1 and 0.
@@ -168,10 +214,22 @@ class Scorer:
         w = cosine / (1.05 - np.minimum(cosine, 1.0))
         return float((w @ self.labels[near] + 0.1 * self.prior) / (w.sum() + 0.1))
 
-    def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        near, cosine, _ = self.index.nearest(term, self.vocabulary.weights(term, count), self.k)
-        z = self._logit(self.vote(near, cosine)) * self.coef[0] + self.coef[1]
-        return float(1 / (1 + np.exp(-z))), near, cosine
+    def scores(self, start: np.ndarray, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The score of each row, and (row, example, cosine) of its nearest examples, nearest first."""
+        n = len(start) - 1
+        row = np.repeat(np.arange(n), np.diff(start))
+        w = (1 + np.log(count)) * self.vocabulary.idf[term]
+        norm = np.sqrt(np.bincount(row, w * w, minlength=n))
+        w = w / np.where(norm > 0, norm, 1.0)[row]
+        r, near, cosine = self.index.nearest_many(start, term, w, self.k)
+        pull = cosine / (1.05 - np.minimum(cosine, 1.0))
+        votes = (np.bincount(r, pull * self.labels[near], minlength=n) + 0.1 * self.prior) / (np.bincount(r, pull, minlength=n) + 0.1)
+        z = self._logit(votes) * self.coef[0] + self.coef[1]
+        return 1 / (1 + np.exp(-z)), r, near, cosine
+
+
+#: Distinct terms of texts that are scored together, about.
+TOGETHER = 1 << 15
 
 
 def score_toxicity(
@@ -258,19 +316,20 @@ def score_toxicity(
     near_type = pa.list_(pa.struct([("id", pa.int64() if id_type == "bigint" else pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = scorer.score(np.zeros(0, np.int64), np.zeros(0))[0]
         for batch in batches:
-            out = np.full(batch.num_rows, none)
+            out = np.zeros(batch.num_rows)
             shown: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for first, _, doc, term, count in vocabulary.rows(batch.column(1)):
-                cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, np.int64)
-                for a, b in zip(cut[:-1], cut[1:]):
-                    row = first + doc[a]
-                    out[row], near, cosine = scorer.score(term[a:b], count[a:b])
-                    shown[row] = [
-                        {"id": scorer.ids[i].item() if id_type == "bigint" else str(scorer.ids[i]), "cosine": float(c), "label": int(scorer.labels[i])}
-                        for i, c in zip(near[:evidence], cosine[:evidence])
-                    ]
+            for first, end, doc, term, count in vocabulary.rows(batch.column(1)):
+                cut = np.searchsorted(doc, np.arange(end - first + 1))
+                at = 0
+                while at < end - first:
+                    stop = max(at + 1, min(int(np.searchsorted(cut, cut[at] + TOGETHER)), at + 256, end - first))
+                    part = slice(cut[at], cut[stop])
+                    out[first + at : first + stop], row, near, cosine = scorer.scores(cut[at : stop + 1] - cut[at], term[part], count[part])
+                    rank = np.arange(len(row)) - np.searchsorted(row, row)
+                    for r, i, c in zip(row[rank < evidence], near[rank < evidence], cosine[rank < evidence]):
+                        shown[first + at + r].append({"id": scorer.ids[i].item() if id_type == "bigint" else str(scorer.ids[i]), "cosine": float(c), "label": int(scorer.labels[i])})
+                    at = stop
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(shown, near_type)], names=["id", "score", "evidence"])
 
     near_id = "long" if id_type == "bigint" else "string"
