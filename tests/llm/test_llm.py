@@ -126,6 +126,38 @@ def test_license_steps_must_be_in_order():
     assert not find(f"{s['mit-grant']}\n\n{s['mit-condition']}. Something else. {s['as-is']}.")
 
 
+def test_license_sequences_equal_brute_force(spark):
+    """Random runs of known and other sentences, matched as sequences of identifiers."""
+    known = {f"s{k}": f"the {w} clause of this notice holds" for k, w in enumerate(["first", "second", "third", "fourth"])}
+    rules = [("A", ("s0", "s1", "s2")), ("B", ("s0", "s1")), ("C", ("s2", "s0")), ("D", ("s3",)), ("E", ("s1", "s1"))]
+    rng, rows, want = random.Random(4), [], {}
+    for d in range(300):
+        names = [rng.choice(["s0", "s1", "s2", "s3", None, None]) for _ in range(rng.randrange(14))]
+        parts, spans_, at = [], [], 0
+        for k, name in enumerate(names):
+            words = known[name].split() if name else ["plain", "words", f"n{k}"]
+            text = rng.choice([" ", "  ", ", "]).join(rng.choice([w, w.upper(), w.title()]) for w in words) + rng.choice([".", ";", "!"])
+            spans_.append((at, at + len(text)))
+            parts.append(text + rng.choice([" ", "\n\n"]))
+            at += len(parts[-1])
+        rows.append((d, "".join(parts)))
+        found = [(k, n) for k, n in enumerate(names) if n]
+        out, i = [], 0
+        while i < len(found):
+            fits = [(-len(chain), "+".join(chain), licence) for licence, chain in rules
+                    if [n for _, n in found[i : i + len(chain)]] == list(chain) and all(b[0] - a[0] <= 3 for a, b in zip(found[i:], found[i + 1 : i + len(chain)]))]
+            if fits:
+                size, rule, licence = min(fits)
+                out.append((licence, rule, spans_[found[i][0]][0], spans_[found[i - size - 1][0]][1]))
+                i -= size
+            else:
+                i += 1
+        want[d] = out
+    got = licenses.scan_licenses(make_docs(spark, rows), sentences=known, rules=rules, gap=2).collect()
+    assert {r.doc_id: [tuple(m) for m in r.matches] for r in got} == want and sum(map(len, want.values())) > 300
+    assert all(r.n_matches == len(want[r.doc_id]) and r.licenses == sorted({x[0] for x in want[r.doc_id]}) for r in got)
+
+
 def commented(lines, lead, open_with="", close_with=""):
     return "\n".join([*([open_with] if open_with else []), *[f"{lead} {line}".rstrip() for line in lines], *([close_with] if close_with else [])]) + "\n"
 
