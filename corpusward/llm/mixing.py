@@ -29,6 +29,21 @@ def _place(id_: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
+def _sums_before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with the sums over the rows before each in ``order``, which is total.
+
+    Rows are dealt by ranges of the order; sums run inside each range and start at the sums
+    of the ranges before, so the whole order is never in one task.
+    """
+    parts = stored(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    ranges = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = parts.groupBy("range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    totals = totals.select("range", *[F.coalesce(F.sum(n).over(ranges), F.lit(0)).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = [(F.col(f"_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in sums.items()]
+    return parts.join(F.broadcast(totals), "range").select(*rows.columns, *found)
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """(source, source_size, target) from (source, source_size); one row a source.
 
@@ -36,20 +51,19 @@ def targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
     sizes; a target stops at ``most`` times the source's size and its excess is reshared.
     The fixed point is target = min(most * size, level * weight) for one common level.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    rows = sources.withColumn("weight", weight.cast("long"))
+    numbered = _sums_before(sources, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = numbered.select("source", "source_size", weight.cast("long").alias("weight"))
+    rows = rows.withColumn("ratio", F.col("source_size") / F.col("weight"))
     # In order of size per weight, the full sources come first; the level is right at the first that is not full.
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    full = F.coalesce(F.sum(F.col("source_size") * most).over(so_far), F.lit(0))
-    left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(so_far), F.lit(0))
-    rows = rows.withColumn("level", (F.sum("source_size").over(everything) - full).cast("double") / left)
+    rows = _sums_before(rows, [F.col("ratio"), F.col("source").asc_nulls_last()], {"full": F.col("source_size") * most, "weighed": F.col("weight")})
+    every = sources.agg(F.sum("source_size").alias("all_sizes")).crossJoin(rows.agg(F.sum("weight").alias("all_weights")))  # one row each
+    rows = rows.crossJoin(F.broadcast(every))
+    rows = rows.withColumn("level", (F.col("all_sizes") - F.col("full")).cast("double") / (F.col("all_weights") - F.col("weighed")))
     open_ = F.col("source_size") * most >= F.col("level") * F.col("weight")
-    level = F.first(F.when(open_, F.col("level")), ignorenulls=True).over(everything)
+    first = rows.where(open_).agg(F.min_by("level", F.struct("ratio", F.col("source").isNull(), "source")).alias("level"))
     cap = (F.col("source_size") * most).cast("double")
-    return rows.withColumn("level", level).select(
+    return rows.drop("level").crossJoin(F.broadcast(first)).select(
         "source", "source_size", F.least(cap, F.col("level") * F.col("weight")).alias("target")
     )
 
@@ -61,7 +75,7 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     below ``threshold``.  One row a source; a hot source only has more in its sums.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sources, weights, most)
+    goal = targets(stored(sources, "sources"), weights, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0)
     goal = goal.withColumn("whole", whole.cast("long"))
     state = goal.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long"))
