@@ -30,7 +30,7 @@ def whole_file(text: Column) -> list[Column]:
     return [F.lit(0).cast("long").alias("start_byte"), F.octet_length(text).cast("long").alias("end_byte")]
 
 
-_COMPILED = StructType([StructField("java", StringType()), StructField("steps", StringType()), StructField("empty", BooleanType()), StructField("problem", StringType())])
+_COMPILED = StructType([StructField("java", StringType()), StructField("steps", StringType()), StructField("empty", BooleanType()), StructField("needs", StringType()), StructField("problem", StringType())])
 
 
 @F.udf(_COMPILED, useArrow=True)
@@ -38,11 +38,16 @@ def _compile(pattern: str, *flags: bool):
     try:
         return (*compiled(pattern, **{f: bool(on) for f, on in zip(FLAGS, flags)}), None)
     except ValueError as problem:
-        return None, None, None, str(problem)
+        return None, None, None, None, str(problem)
 
 
 def compile_rules(rules: DataFrame) -> DataFrame:
-    """``rules`` with ``java`` and ``steps``, two forms of their patterns, ``empty`` (whether these can match without taking a character) and ``problem``."""
+    """``rules`` with two forms of their patterns and what is known of these.
+
+    ``java`` and ``steps`` are the forms, ``empty`` says whether they can match without taking
+    a character, ``needs`` is a literal that every match holds (or empty), and ``problem``
+    says why a pattern is outside the language.
+    """
     flags = [F.coalesce(F.col(f), F.lit(False)) if f in rules.columns else F.lit(False) for f in FLAGS]
     return rules.withColumn("_compiled", _compile(F.col("regex"), *flags)).select(*rules.columns, "_compiled.*")
 
@@ -54,7 +59,7 @@ def pattern_errors(rules: DataFrame) -> DataFrame:
 
 def _rows(rules: DataFrame, *more: str) -> DataFrame:
     """The sound rule rows with what evaluation needs and the columns ``more``, evaluated once."""
-    return _small(compile_rules(rules).where("problem is null").select("rule_id", "include_re", "exclude_re", "java", "steps", "empty", *more).distinct())
+    return _small(compile_rules(rules).where("problem is null").select("rule_id", "include_re", "exclude_re", "java", "steps", "empty", "needs", *more).distinct())
 
 
 def _texts(rows: DataFrame, corpus: DataFrame, empty: bool) -> DataFrame:
@@ -63,9 +68,10 @@ def _texts(rows: DataFrame, corpus: DataFrame, empty: bool) -> DataFrame:
     A pattern's scopes are tested together on the path, and before the text, in the scan; so a
     text is there once for each pattern that it is wanted for and is never shuffled.
     """
-    shape = rows.where(F.col("empty") == empty).groupBy("java", "steps").agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes"))
+    shape = rows.where(F.col("empty") == empty).groupBy("java", "steps", "needs").agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes"))
     wants = F.exists("scopes", lambda s: in_scope(F.col("path"), s["include_re"], s["exclude_re"]))
-    found = F.col("text").isNotNull() if empty else F.rlike("text", "java")
+    # Looking for a literal is much cheaper than for a pattern.
+    found = F.col("text").isNotNull() if empty else F.contains("text", "needs") & F.rlike("text", "java")
     return corpus.select("path", "text").join(_small(shape), wants & found).select("path", "text", "java", "steps")
 
 
@@ -84,7 +90,7 @@ def _evaluated(rows: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def _fanned(found: DataFrame, rows: DataFrame) -> DataFrame:
     """``found`` for each rule row that has its pattern, inside the rule's scope."""
-    return found.join(rows.drop("steps", "empty"), "java").where(in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
+    return found.join(rows.drop("steps", "empty", "needs"), "java").where(in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
 
 
 def _matches(rules: DataFrame, corpus: DataFrame, *more: str) -> DataFrame:
@@ -154,11 +160,11 @@ def detect_lines(rules: DataFrame, corpus: DataFrame) -> DataFrame:
     """Lines in which the pattern is found."""
     rows = _rows(rules, "code")
     # Anchors may hold in a line that do not hold in the whole text, so the whole text is no test of those.
-    shape = _small(rows.groupBy("java").agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes")))
+    shape = _small(rows.groupBy("java", "needs").agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes")))
     wants = F.exists("scopes", lambda s: in_scope(F.col("path"), s["include_re"], s["exclude_re"]))
     anchored = F.rlike("java", F.lit(r"\\[AzZ]|\^|\$"))
-    texts = corpus.select("path", "text").join(shape, wants & (anchored | F.rlike("text", "java"))).select("path", "text", "java")
-    return _fanned(lines(texts, ["path", "java"]).where(F.rlike("text", "java")), rows).select(*RAW)
+    texts = corpus.select("path", "text").join(shape, wants & F.contains("text", "needs") & (anchored | F.rlike("text", "java"))).select("path", "text", "java", "needs")
+    return _fanned(lines(texts, ["path", "java", "needs"]).where(F.contains("text", "needs") & F.rlike("text", "java")).drop("needs"), rows).select(*RAW)
 
 
 def detect_capture_compare(rules: DataFrame, corpus: DataFrame, equal: bool = True) -> DataFrame:

@@ -51,7 +51,7 @@ def valid_keys(store: DataFrame, rules: DataFrame) -> DataFrame:
 def _evaluated(todo: DataFrame, empty: bool) -> DataFrame:
     """(result_key, code, start_byte, end_byte, EVIDENCE) of the matches of (keys, text) rows with compiled patterns."""
     keys = ["result_key", "path", "code", "file_digest"]
-    found = spans(todo.where(~F.col("empty") & F.rlike("text", "java")), F.col("java"), keys, located=True)
+    found = spans(todo.where(~F.col("empty") & F.contains("text", "needs") & F.rlike("text", "java")), F.col("java"), keys, located=True)
     if empty:
         by_text = todo.where("empty and text is not null").withColumn("path", F.col("file_digest"))  # a path may have several texts
         some = stepped(by_text, F.col("steps"), keys).withColumnRenamed("text", "_match")
@@ -68,7 +68,7 @@ def check_incremental(rules: DataFrame, corpus: DataFrame, store: DataFrame, fai
     (rule_id, path) are never stored.  Which pairs are stored, and what the others give, is
     written once; all three tables read that.  A path may have several versions.
     """
-    rows = _small(compile_rules(rules).where("problem is null").select("rule_id", "code", "java", "steps", "empty", "include_re", "exclude_re", "execution_digest"))
+    rows = _small(compile_rules(rules).where("problem is null").select("rule_id", "code", "java", "steps", "empty", "needs", "include_re", "exclude_re", "execution_digest"))
     have = valid_keys(store, rows).withColumn("_hit", F.lit(True))
     pairs = keyed_pairs(rows, corpus).join(have, "result_key", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
     pairs = written(pairs, "pairs")
@@ -76,7 +76,7 @@ def check_incremental(rules: DataFrame, corpus: DataFrame, store: DataFrame, fai
     # The texts of files that miss are joined once, whatever the number of rules, and hashed to tell their versions.
     wanted = missing.select("path").distinct()
     texts = corpus.select("path", "text").join(wanted, "path", "left_semi").withColumn("file_digest", text_digest(F.col("text")))
-    todo = missing.select("result_key", "rule_id", "path", "file_digest").join(texts, ["path", "file_digest"]).join(rows.select("rule_id", "code", "java", "steps", "empty"), "rule_id")
+    todo = missing.select("result_key", "rule_id", "path", "file_digest").join(texts, ["path", "file_digest"]).join(rows.select("rule_id", "code", "java", "steps", "empty", "needs"), "rule_id")
     found = _evaluated(todo, not rows.where("empty").isEmpty())
     fresh = missing.join(found, "result_key", "left")
     fresh = fresh.select("result_key", "rule_id", "path", "code", "start_byte", "end_byte", "n_bytes", *_EVIDENCE)

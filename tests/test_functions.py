@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusward.functions import text as t
 from corpusward.functions.digest import RECORD, framed_digest
 from corpusward.functions.globs import glob_regex
-from corpusward.functions.regexes import java_pattern
+from corpusward.functions.regexes import required_literal, java_pattern
 from corpusward.operators import patterns
 from corpusward.operators.findings import add_identity
 
@@ -95,3 +95,12 @@ def test_offsets_of_many_matches(spark):
         df = spark.createDataFrame([("p", "é-x" * n)], "path string, text string")
         got = [(r.start_byte, r.end_byte) for r in patterns.find_all(df, "x").orderBy("ord").collect()]
         assert got == [(4 * k + 3, 4 * k + 4) for k in range(n)]
+
+
+@pytest.mark.parametrize(("pattern", "literal"), [
+    ("[Ll]icen[sc]e", "icen"), ("abc", "abc"), ("a|b", ""), ("ab?c", "a"), ("ab*cd", "cd"), ("ab+cd", "ab"), ("ab{0,2}c", "a"), ("(abc)?x", "x"), ("x(?:abc)y", "x"), ("[.]", "."), ("a[.]b", "a.b"),
+    ("\\.txt$", ".txt"), ("\\w+@[a-z]+[.]com", ".com"), ("(?i)abc", ""), ("[^a]b", "b"), ("a(b|c)dd", "dd"), ("\\p{Lu}xy", "xy"), ("a??bc", "bc"), ("[[:alpha:]]q", "q"), ("[a&&[b]]c", ""), ("x\\x{41}yyy", "x"), ("é+é?", "é"), ("", ""),
+])
+def test_literals_that_every_match_holds(pattern, literal):
+    assert required_literal(pattern) == literal
+    assert required_literal(pattern, case_insensitive=True) == ""
