@@ -46,8 +46,8 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: SQL cannot express the tokeniser, classifier and packing stages. Tests hold operators one by one against brute
-#: force or held-out accuracy; the rows of run() as a whole are not compared with a brute-force version.
+#: SQL cannot express the tokeniser, classifier and packing stages. A test compares the rows of every stage with a
+#: brute-force version over the rows of the stage before (the classifier's with the scores of its own model).
 ORACLE_SQL = None
 
 
