@@ -5,9 +5,9 @@ sees the record (source, language, stated length) and the layout (lines, their l
 shares of capitals, digits and symbols) but no words.  Both are logistic regressions.
 In each round, both views score every unlabelled text in one pass over all of them; each
 view labels those it is surest of, a fixed number of each class, and hands them to the other
-view.  In the end each view is calibrated on labelled rows that no round used.  The views
-are taken as independent given the class, as co-training does, so their log-odds add less the
-prior's; the sum is tempered by one slope and shift, so neither view can drop out.
+view.  In the end each view is calibrated on labelled rows that no round used, and their
+log-odds are added with weights fitted on the same rows.  The weights start at one half each
+and need evidence to move, and none falls below ``LEAST_WEIGHT``, so neither view drops out.
 
 Training takes a bounded sample of labelled rows and, of each round, a fixed number of
 pseudo-labelled ones; every pass goes over whole texts, without shuffling them.
@@ -131,8 +131,7 @@ class Views:
         self.mean = np.zeros(len(LAYOUT))
         self.scale = np.ones(len(LAYOUT))
         self.calibrated = {"text": (1.0, 0.0), "meta": (1.0, 0.0)}
-        self.joint = np.array([1.0, 0.0])
-        self.prior = 0.0
+        self.joint = np.array([0.5, 0.5, 0.0])
         self.share = 0.5
         self.trained = False
 
@@ -166,34 +165,38 @@ class Views:
         t, m = self.logits(rows)
         (a, b), (c, d) = self.calibrated["text"], self.calibrated["meta"]
         t, m = np.clip(a * t + b, -20, 20), np.clip(c * m + d, -20, 20)
-        both = self.joint[0] * (t + m - self.prior) + self.joint[1]
+        both = self.joint[0] * t + self.joint[1] * m + self.joint[2]
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (t, m, both))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights of the columns of ``x`` and a shift; a prior keeps them near 1 / columns and 0.
+#: The least weight of a view's log-odds in the combination.
+LEAST_WEIGHT = 0.1
 
-    Newton steps are halved until the penalised likelihood falls, and weights stay positive.
+
+def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, least: float = 1e-3) -> np.ndarray:
+    """Logistic weights of the columns of ``x``, ``least`` or more, and a shift; a prior of strength ``ridge`` keeps them near 1 / columns and 0.
+
+    Newton steps are halved until the penalised likelihood falls.
     """
     design = np.column_stack([np.clip(x, -20, 20), np.ones(len(x))])
     mean = np.append(np.full(x.shape[1], 1 / x.shape[1]), 0.0)
     sign = 2 * y - 1
 
     def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, -sign * (design @ w)).sum() + 0.5 * ((w - mean) ** 2).sum())
+        return float(np.logaddexp(0, -sign * (design @ w)).sum() + 0.5 * ridge * ((w - mean) ** 2).sum())
 
     coef = mean.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ coef, -30, 30)))
-        grad = design.T @ (p - y) + (coef - mean)
-        hess = (design * (p * (1 - p))[:, None]).T @ design + np.eye(len(coef))
+        grad = design.T @ (p - y) + ridge * (coef - mean)
+        hess = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(coef))
         step, size = np.linalg.solve(hess, grad), 1.0
         while size > 1e-4 and loss(coef - size * step) > loss(coef):
             size /= 2
         coef = coef - size * step
         if size * np.abs(step).max() < 1e-6:
             break
-    coef[:-1] = np.maximum(coef[:-1], 1e-3)
+    coef[:-1] = np.maximum(coef[:-1], least)
     return coef
 
 
@@ -234,9 +237,7 @@ def co_train(labelled: Rows, y: np.ndarray, surest, rounds: int = 3, per_round:
     t, m = out.logits(rows)
     out.calibrated = {"text": tuple(_calibrate(t[:, None], truth)), "meta": tuple(_calibrate(m[:, None], truth))}
     (a, b), (c, d) = out.calibrated["text"], out.calibrated["meta"]
-    share = np.clip(truth.mean(), 1e-3, 1 - 1e-3)
-    out.prior = float(np.log(share / (1 - share)))
-    out.joint = _calibrate((a * t + b + c * m + d - out.prior)[:, None], truth)
+    out.joint = _calibrate(np.stack([a * t + b, c * m + d], axis=1), truth, ridge=10.0, least=LEAST_WEIGHT)
     return out
 
 
