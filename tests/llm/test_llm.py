@@ -743,10 +743,10 @@ def test_both_views_count_with_few_labels(spark):
     labels = make_labels(spark, marks[:200])
     got = cotraining.classify_quality(make_docs(spark, rows), labels).collect()
     model = cotraining.fit(make_docs(spark, rows), labels)
-    assert model.joint[0] > 0.05 and all(model.calibrated[v][0] > 0.05 for v in ("text", "meta"))
-    for r in got:  # the score is the tempered sum of both views' log-odds less the prior's
+    assert min(model.joint[:2]) >= cotraining.LEAST_WEIGHT and all(model.calibrated[v][0] > 0.05 for v in ("text", "meta"))
+    for r in got:  # the score is the weighted sum of both views' log-odds
         t, m = (math.log(x / (1 - x)) for x in (min(max(r.text_score, 1e-9), 1 - 1e-9), min(max(r.meta_score, 1e-9), 1 - 1e-9)))
-        z = model.joint[0] * (t + m - model.prior) + model.joint[1]
+        z = model.joint[0] * t + model.joint[1] * m + model.joint[2]
         assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6
 
 
