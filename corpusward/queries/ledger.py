@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusward.functions.digest import FINDING, framed_digest, text_digest, with_digest
 from corpusward.functions.globs import any_glob_regex
 from corpusward.operators import findings, ledger
-from corpusward.operators.scope import scope_join
+from corpusward.operators.scope import _small, scope_join
 from corpusward.operators.patterns import LOCATED
 from corpusward.plans import incremental
 from corpusward.plans.check import check
@@ -60,7 +60,7 @@ def h3_context_digest(spark, sf_dir):
 
 
 def _keyed_rules(spark):
-    return rule_rows(spark).join(F.broadcast(execution_digests(rules(spark))), "rule_id")
+    return rule_rows(spark).join(_small(execution_digests(rules(spark))), "rule_id")
 
 
 _FLAGS_JSON = ",".join(f'"{f}":false' for f in ("case_insensitive", "multi_line", "dot_matches_new_line", "ignore_whitespace", "crlf"))
@@ -303,7 +303,7 @@ def _files(spark, sf_dir):
 
 
 def _run(spark, sf_dir, store=None, decisions=None):
-    rows = rule_rows(spark, enabled=False).join(F.broadcast(execution_digests(rules(spark, enabled=False))), "rule_id")
+    rows = rule_rows(spark, enabled=False).join(_small(execution_digests(rules(spark, enabled=False))), "rule_id")
     return check(rows, diagnostics(spark), _files(spark, sf_dir), store=store, decisions=decisions, max_bytes=100_000, per_rule_file=3)
 
 
@@ -336,7 +336,7 @@ SELECT run, CAST(count_if(CASE run WHEN 'first' THEN FALSE WHEN 'again' THEN TRU
 FROM n, r WHERE run = 'one rule added' OR rule_id <> 'local/mail' GROUP BY run""")
 def p4_check_hits(spark, sf_dir):
     """Hits and misses of a first run, an unchanged one, one with a file changed and one with a rule added."""
-    rows, files = rule_rows(spark).where("rule_id != 'global/insult'").join(F.broadcast(execution_digests(rules(spark))), "rule_id"), corpus(spark, sf_dir).where("octet_length(text) <= 100000")
+    rows, files = rule_rows(spark).where("rule_id != 'global/insult'").join(_small(execution_digests(rules(spark))), "rule_id"), corpus(spark, sf_dir).where("octet_length(text) <= 100000")
     few = rows.where("rule_id != 'local/mail'")
     changed = files.withColumn("text", F.when(_number() == 7, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
     one = incremental.check_incremental(few, files, spark.createDataFrame([], incremental.STORE))
