@@ -40,10 +40,18 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def scope_join(scopes: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(rule_id, path) for every file in a rule's scope."""
-    shapes = scopes.select("include_re", "exclude_re").distinct()
-    hits = corpus.select("path").join(_small(shapes), in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
-    return hits.join(_small(scopes.select("rule_id", "include_re", "exclude_re")), ["include_re", "exclude_re"]).select("rule_id", "path")
+    """(rule_id, path) for every file in a rule's scope.
+
+    Scopes meet paths in blocks of at most 2048, so a scope's patterns are compiled once a
+    block and not once a path (a function that keeps its last pattern is asked for places).
+    """
+    every = _small(scopes.select("rule_id", "include_re", "exclude_re"))
+    row = F.monotonically_increasing_id()  # rows of one input partition are numbered without gaps
+    blocks = corpus.select("path", F.floor(row / 2048).alias("block")).groupBy("block").agg(F.collect_list("path").alias("paths"))
+    inside = lambda p: (F.regexp_instr(p, F.col("include_re")) > 0) & (F.regexp_instr(p, F.col("exclude_re")) == 0)
+    met = blocks.join(_small(every.select("include_re", "exclude_re").distinct()), F.lit(True))
+    hits = met.select("include_re", "exclude_re", F.explode(F.filter("paths", inside)).alias("path"))
+    return hits.join(every, ["include_re", "exclude_re"]).select("rule_id", "path")
 
 
 def require_files(scopes: DataFrame, corpus: DataFrame) -> DataFrame:
