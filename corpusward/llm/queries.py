@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, cotraining, fertility, licenses, minhash, mixing, packing, pages, pivots, toxicity
+from . import alignment, chat, cotraining, fertility, infill, licenses, minhash, mixing, packing, pages, pivots, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -60,4 +72,5 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": chat.ORACLE, "op3_minhash_near_dedup": minhash.ORACLE, "op4_embedding_near_dedup": pivots.ORACLE, "op7_mixing": mixing.ORACLE,
+        "op12_fill_in_middle": infill.ORACLE,
     }
