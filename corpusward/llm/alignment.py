@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fertility import TOKENIZERS, _byte_model
-from .long_texts import LONGEST_REMEMBERED, REMEMBERED, batched, cut, is_long, unit_pattern
+from .long_texts import LONGEST_REMEMBERED, REMEMBERED, batched, cut, is_long, spread, unit_pattern
 from .tables import stored
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -367,7 +367,7 @@ def _long(docs: DataFrame, id_col: str, text_col: str, size: int, folder: str) -
             columns = _results(finish(_read_fragments(pa.Table.from_batches([batch])), _aligner(folder)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns.values()], ["id", *columns])
 
-    found = chunks.repartition(chunks.sparkSession._jsc.sc().defaultParallelism(), "key", "chunk").mapInArrow(leaves, schema)
+    found = spread(chunks, size).mapInArrow(leaves, schema)
     for _ in range(levels):
         found = found.groupBy("key", F.floor(F.col("node") / FAN_IN).alias("up")).applyInArrow(nodes, schema)
     return found.mapInArrow(roots, f"id {id_type}, {_CLOSED}, groups_sha256 string")

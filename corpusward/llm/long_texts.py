@@ -74,3 +74,9 @@ def cut(docs: DataFrame, id_col: str, text_col: str, size: int, overlap: int = 0
                     )
 
     return stored(long.mapInArrow(work, f"key string, id {id_type}, chunk long, is_last boolean, n_bytes long, part string"), "chunks")
+
+
+def spread(chunks: DataFrame, characters: int, per_task: int = 1 << 21) -> DataFrame:
+    """Written chunks of about ``characters`` dealt to tasks of about ``per_task`` characters, however long their texts are."""
+    tasks = -(-chunks.count() * characters // per_task)
+    return chunks.repartition(max(tasks, chunks.sparkSession.sparkContext.defaultParallelism), "key", "chunk")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fertility import TOKENIZERS
-from .long_texts import LONGEST_REMEMBERED, REMEMBERED, batched, cut, is_long, unit_pattern
+from .long_texts import LONGEST_REMEMBERED, REMEMBERED, batched, cut, is_long, spread, unit_pattern
 from .tables import stored
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -120,7 +120,7 @@ def _spliced(chunks: DataFrame, size: int, overlap: int, path: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([*kept, pa.array(total, pa.int64()), pa.array(left, marks), pa.array(right, marks)], ["key", "id", "chunk", "is_last", "n_bytes", "total", "left", "right"])
 
     schema = f"key string, id {id_type}, chunk long, is_last boolean, n_bytes long, total long, `left` {_MARKS}, `right` {_MARKS}"
-    encoded = chunks.repartition(chunks.sparkSession._jsc.sc().defaultParallelism(), "key", "chunk").mapInArrow(work, schema)
+    encoded = spread(chunks, size).mapInArrow(work, schema)
     none = F.lit(None).cast(_MARKS)
     ends = F.when(F.col("is_last"), F.col("total"))
     sides = encoded.select("key", "id", F.explode(F.array(
