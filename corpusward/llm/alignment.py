@@ -362,15 +362,15 @@ def _long(docs: DataFrame, id_col: str, text_col: str, size: int, folder: str) -
         above = pa.array([group["node"][0].as_py() // FAN_IN], pa.int64())
         return pa.table([pa.array(group["key"].slice(0, 1).to_pylist(), pa.string()), group["id"].slice(0, 1).combine_chunks(), above, *columns.values()], ["key", "id", "node", *columns])
 
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = _results(finish(_read_fragments(pa.Table.from_batches([batch])), _aligner(folder)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns.values()], ["id", *columns])
+    def roots(group: pa.Table) -> pa.Table:
+        whole = compose(_read_fragments(group.sort_by("node")), _aligner(folder))
+        columns = _results(finish([whole], _aligner(folder)))
+        return pa.table([group["id"].slice(0, 1).combine_chunks(), *columns.values()], ["id", *columns])
 
     found = spread(chunks, size).mapInArrow(leaves, schema)
-    for _ in range(levels):
+    for _ in range(levels - 1):
         found = found.groupBy("key", F.floor(F.col("node") / FAN_IN).alias("up")).applyInArrow(nodes, schema)
-    return found.mapInArrow(roots, f"id {id_type}, {_CLOSED}, groups_sha256 string")
+    return found.groupBy("key").applyInArrow(roots, f"id {id_type}, {_CLOSED}, groups_sha256 string")
 
 
 def align(
