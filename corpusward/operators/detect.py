@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from corpusward.functions.digest import CONTEXT, framed_digest, text_digest
 from corpusward.functions.regexes import FLAGS as _JAVA_FLAGS
 from corpusward.functions.regexes import compiled
 
-from .patterns import LOCATED, lines, spans, stepped
+from .patterns import LOCATED, group_of, lines, spans, stepped
 from .scope import _small, in_scope, scope_join
 
 RAW = ["rule_id", "path", "code", "start_byte", "end_byte"]
@@ -30,23 +30,23 @@ def whole_file(text: Column) -> list[Column]:
     return [F.lit(0).cast("long").alias("start_byte"), F.octet_length(text).cast("long").alias("end_byte")]
 
 
-_COMPILED = StructType([StructField("java", StringType()), StructField("steps", StringType()), StructField("empty", BooleanType()), StructField("needs", StringType()), StructField("problem", StringType())])
+_COMPILED = StructType([StructField("java", StringType()), StructField("steps", StringType()), StructField("empty", BooleanType()), StructField("needs", StringType()), StructField("around", BooleanType()), StructField("n_groups", IntegerType()), StructField("problem", StringType())])
 
 
 @F.udf(_COMPILED, useArrow=True)
 def _compile(pattern: str, *flags: bool):
     try:
-        return (*compiled(pattern, **{f: bool(on) for f, on in zip(FLAGS, flags)}), None)
+        return (*compiled(pattern, **{f: bool(on) for f, on in zip(FLAGS, flags)})[:6], None)
     except ValueError as problem:
-        return None, None, None, None, str(problem)
+        return (*[None] * 6, str(problem))
 
 
 def compile_rules(rules: DataFrame) -> DataFrame:
     """``rules`` with two forms of their patterns and what is known of these.
 
     ``java`` and ``steps`` are the forms, ``empty`` says whether they can match without taking
-    a character, ``needs`` is a literal that every match holds (or empty), and ``problem``
-    says why a pattern is outside the language.
+    a character, ``needs`` is a literal that every match holds (or empty), ``around`` whether
+    they look at what stands around a match, ``n_groups`` counts their groups, and ``problem`` says why a pattern is outside the language.
     """
     flags = [F.coalesce(F.col(f), F.lit(False)) if f in rules.columns else F.lit(False) for f in FLAGS]
     return rules.withColumn("_compiled", _compile(F.col("regex"), *flags)).select(*rules.columns, "_compiled.*")
@@ -59,25 +59,26 @@ def pattern_errors(rules: DataFrame) -> DataFrame:
 
 def _rows(rules: DataFrame, *more: str) -> DataFrame:
     """The sound rule rows with what evaluation needs and the columns ``more``, evaluated once."""
-    return _small(compile_rules(rules).where("problem is null").select("rule_id", "include_re", "exclude_re", "java", "steps", "empty", "needs", *more).distinct())
+    return _small(compile_rules(rules).where("problem is null").select("rule_id", "include_re", "exclude_re", "java", "steps", "empty", "needs", "around", "n_groups", *more).distinct())
 
 
-def _texts(rows: DataFrame, corpus: DataFrame, empty: bool) -> DataFrame:
+def _texts(rows: DataFrame, corpus: DataFrame, stepping: bool, steps: str = "empty") -> DataFrame:
     """(path, text, java, steps) of every text and distinct pattern that finds something in it, in some scope.
 
     A pattern's scopes are tested together on the path, and before the text, in the scan; so a
-    text is there once for each pattern that it is wanted for and is never shuffled.
+    text is there once for each pattern that it is wanted for and is never shuffled.  ``steps``
+    says which patterns are stepped through; the others, or these, are taken.
     """
-    shape = rows.where(F.col("empty") == empty).groupBy("java", "steps", "needs").agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes"))
+    shape = rows.where(F.expr(steps) == stepping).groupBy("java", "steps", "needs", "empty", "n_groups").agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes"))
     wants = F.exists("scopes", lambda s: in_scope(F.col("path"), s["include_re"], s["exclude_re"]))
     # Looking for a literal is much cheaper than for a pattern.
-    found = F.col("text").isNotNull() if empty else F.contains("text", "needs") & F.rlike("text", "java")
-    return corpus.select("path", "text").join(_small(shape), wants & found).select("path", "text", "java", "steps")
+    found = F.col("text").isNotNull() & (F.col("empty") | (F.contains("text", "needs") & F.rlike("text", "java")))
+    return corpus.select("path", "text").join(_small(shape), wants & found).select("path", "text", "java", "steps", "n_groups")
 
 
-def _steps(rows: DataFrame) -> bool:
+def _steps(rows: DataFrame, steps: str = "empty") -> bool:
     """Whether some pattern must be stepped through."""
-    return not rows.where("empty").isEmpty()
+    return not rows.where(steps).isEmpty()
 
 
 def _evaluated(rows: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def _evaluated(rows: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def _fanned(found: DataFrame, rows: DataFrame) -> DataFrame:
     """``found`` for each rule row that has its pattern, inside the rule's scope."""
-    return found.join(rows.drop("steps", "empty", "needs"), "java").where(in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
+    return found.join(rows.drop("steps", "empty", "needs", "around", "n_groups"), "java").where(in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
 
 
 def _matches(rules: DataFrame, corpus: DataFrame, *more: str) -> DataFrame:
@@ -160,19 +161,24 @@ def detect_lines(rules: DataFrame, corpus: DataFrame) -> DataFrame:
     """Lines in which the pattern is found."""
     rows = _rows(rules, "code")
     # Anchors may hold in a line that do not hold in the whole text, so the whole text is no test of those.
-    shape = _small(rows.groupBy("java", "needs").agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes")))
+    shape = _small(rows.groupBy("java", "needs", "around").agg(F.collect_set(F.struct("include_re", "exclude_re")).alias("scopes")))
     wants = F.exists("scopes", lambda s: in_scope(F.col("path"), s["include_re"], s["exclude_re"]))
-    anchored = F.rlike("java", F.lit(r"\\[AzZ]|\^|\$"))
-    texts = corpus.select("path", "text").join(shape, wants & F.contains("text", "needs") & (anchored | F.rlike("text", "java"))).select("path", "text", "java", "needs")
+    texts = corpus.select("path", "text").join(shape, wants & F.contains("text", "needs") & (F.col("around") | F.rlike("text", "java"))).select("path", "text", "java", "needs")
     return _fanned(lines(texts, ["path", "java", "needs"]).where(F.contains("text", "needs") & F.rlike("text", "java")).drop("needs"), rows).select(*RAW)
 
 
 def detect_capture_compare(rules: DataFrame, corpus: DataFrame, equal: bool = True) -> DataFrame:
     """Matches whose first two groups are equal (or, with ``equal=False``, differ); absent equals absent."""
-    found = _matches(rules, corpus, "code")
-    one, two = (F.expr(f"regexp_extract(text, java, {k})") for k in (1, 2))
-    test = one.eqNullSafe(two)
-    return found.where(test if equal else ~test).select(*RAW)
+    rows, outside = _rows(rules, "code"), "empty or around"
+    # The first two groups of a match come from the match alone, unless the pattern looks around it.
+    texts = _texts(rows, corpus, False, outside)
+    groups = [F.when(F.col("n_groups") >= k, group_of(F.col("text"), F.col("java"), k)).alias(f"g{k}") for k in (1, 2)]
+    found = spans(texts, F.col("java"), ["path", "java", "n_groups"]).select("path", "java", "start_byte", "end_byte", *groups)
+    if _steps(rows, outside):
+        more = stepped(_texts(rows, corpus, True, outside), F.col("steps"), ["path", "java"], groups=[("g1", 1), ("g2", 2)])
+        found = found.unionByName(more.select("path", "java", "start_byte", "end_byte", *[F.col("groups")[g].alias(g) for g in ("g1", "g2")]))
+    same = F.col("g1").eqNullSafe(F.col("g2"))
+    return _fanned(found.where(same if equal else ~same), rows).select(*RAW)
 
 
 def detect_count(rules: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ with many matches costs what its matches cost, not their square.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusward.functions.regexes import group_names, java_pattern, matches_empty, stepping_pattern
+from corpusward.functions.regexes import compiled, java_pattern
 from corpusward.functions.text import java_quote
 
 
@@ -56,12 +55,12 @@ def find_all(df: DataFrame, pattern: str, keys: list[str] = ["path"], text_col:
     that match the empty text, and groups of patterns with anchors or boundaries, are stepped
     through in Arrow tasks; all others stay in the JVM.
     """
-    java = java_pattern(pattern, **flags)
-    anchored = re.search(r"(?<!\\)[\^$]|\\[bBAzZ]", pattern) is not None
-    if matches_empty(pattern, **flags) or (groups and anchored):
-        return stepped(df, F.lit(stepping_pattern(pattern, **flags)), keys, text_col, groups)
-    hits = df.where(F.col(text_col).rlike(java))
-    return spans(hits, F.lit(java), keys, text_col).transform(lambda d: d.withColumn("groups", _groups(F.col("text"), java, group_names(pattern), False)) if groups else d)
+    c = compiled(pattern, **flags)
+    if c.empty or (groups and c.around):
+        return stepped(df, F.lit(c.steps), keys, text_col, list(c.names) if groups else None)
+    hits = df.where(F.col(text_col).rlike(c.java))
+    found = spans(hits, F.lit(c.java), keys, text_col)
+    return found.withColumn("groups", _groups(F.col("text"), c.java, c.names, False)) if groups else found
 
 
 def spans(df: DataFrame, java: Column, keys: list[str], text_col: str = "text", located: bool = False) -> DataFrame:
@@ -100,40 +99,31 @@ def _place(m: Column, breaks_upto: Column, chars_upto: Column, breaks) -> Column
     return F.struct(first.cast("long").alias("start_line"), start_column.alias("start_column"), last.cast("long").alias("end_line"), column(chars_upto, last).alias("end_column"), snippet.alias("snippet"))
 
 
-def _took_part(text: Column, java: str, name: str, anywhere: bool) -> Column:
-    """Whether a group took part in the first match of ``text``: a reference to it after the match fails if it did not.
+def group_of(text: Column, java: Column, number: int, anywhere: bool = False) -> Column:
+    """A group of the first match of ``text`` (or of the match that is ``text``): null if it took no part.
 
+    A group that gives the empty text took part if a reference to it after the match holds.
     The match is held fast by an atomic group, so the reference cannot bring about another one.
     """
-    skip = "(?s:.*?)" if anywhere else ""
-    return F.rlike(text, F.lit(f"\\A(?>{skip}(?:{java}))\\k<{name}>"))
+    value = F.regexp_extract(text, java, number) if isinstance(java, str) else F.call_function("regexp_extract", text, java, F.lit(number))
+    held = F.concat(F.lit("\\A(?>(?s:.*?)(?:" if anywhere else "\\A(?>(?:"), F.lit(java) if isinstance(java, str) else java, F.lit(f"))\\{number}"))
+    return F.when((value != "") | F.rlike(text, held), value)
 
 
-def _groups(text: Column, java: str, names: list[str], anywhere: bool) -> Column:
+def _groups(text: Column, java: str, names: tuple[tuple[str, int], ...], anywhere: bool) -> Column:
     """The named groups of the first match: null for one that took no part, empty for one that took nothing."""
-    numbers = _group_numbers(java)
-    values = []
-    for name in names:
-        value = F.regexp_extract(text, java, numbers[name])
-        values += [F.lit(name), F.when((value != "") | _took_part(text, java, name, anywhere), value)]
+    values = [x for name, number in names for x in (F.lit(name), group_of(text, java, number, anywhere))]
     return F.create_map(*values) if values else F.create_map().cast("map<string,string>")
 
 
-def _group_numbers(java: str) -> dict[str, int]:
-    out, n = {}, 0
-    for m in re.finditer(r"\\.|\[(?:\\.|[^\]])*\]|\((\?<([A-Za-z]\w*)>|\?)?", java):
-        if m[0].startswith("(") and (m[1] is None or m[2]):
-            n += 1
-            if m[2]:
-                out[m[2]] = n
-    return out
+def stepped(df: DataFrame, pattern: Column, keys: list[str], text_col: str = "text", groups: list[tuple[str, int]] | None = None) -> DataFrame:
+    """The rows of :func:`spans` for a stepping pattern given by a column, which may match the empty text.
 
-
-def stepped(df: DataFrame, pattern: Column, keys: list[str], text_col: str = "text", groups: bool = False) -> DataFrame:
-    """The rows of :func:`spans` for a stepping pattern given by a column, which may match the empty text."""
+    ``groups`` adds a map of groups, given by names and numbers; null where a group took no part or is not there.
+    """
     schema = df.select(*keys).schema
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    out = f"{kinds}, ord int, start_byte long, end_byte long, text string" + (", groups map<string,string>" if groups else "")
+    out = f"{kinds}, ord int, start_byte long, end_byte long, text string" + (", groups map<string,string>" if groups is not None else "")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finds: dict[str, regex.Pattern] = {}
@@ -150,13 +140,13 @@ def stepped(df: DataFrame, pattern: Column, keys: list[str], text_col: str = "te
                     row.append(i), ord_.append(n), start.append(at_byte)
                     at_byte += len(m[0].encode())
                     at = m.end()
-                    end.append(at_byte), text.append(m[0]), named.append(list(m.groupdict().items()))
+                    end.append(at_byte), text.append(m[0]), named.append([(name, m[k] if k <= find.groups else None) for name, k in groups or ()])
                     n += 1
             picked = [batch.column(k).take(pa.array(row, pa.int64())) for k in range(len(keys))]
             arrays = [*picked, pa.array(ord_, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(text, pa.string())]
-            if groups:
+            if groups is not None:
                 arrays.append(pa.array(named, pa.map_(pa.string(), pa.string())))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "ord", "start_byte", "end_byte", "text"] + ["groups"] * groups)
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "ord", "start_byte", "end_byte", "text"] + ["groups"] * (groups is not None))
 
     return df.select(*keys, text_col, pattern.alias("_pattern")).mapInArrow(work, out)
 
@@ -169,11 +159,11 @@ def find_in(regions: DataFrame, pattern: str, keys: list[str], **flags: bool) ->
 
 def capture_text(df: DataFrame, pattern: str, text_col: str = "text", **flags: bool) -> DataFrame:
     """``df`` with ``captured``, the first match, and ``groups``; both null where there is none, a group that took no part too."""
-    java = java_pattern(pattern, **flags)
-    hit = F.col(text_col).rlike(java)
+    c = compiled(pattern, **flags)
+    hit = F.col(text_col).rlike(c.java)
     return df.withColumns({
-        "captured": F.when(hit, F.regexp_extract(F.col(text_col), java, 0)),
-        "groups": F.when(hit, _groups(F.col(text_col), java, group_names(pattern), True)),
+        "captured": F.when(hit, F.regexp_extract(F.col(text_col), c.java, 0)),
+        "groups": F.when(hit, _groups(F.col(text_col), c.java, c.names, True)),
     })
 
 
@@ -185,8 +175,10 @@ def literal_presence(df: DataFrame, literals: list[str], keys: list[str] = ["pat
 
 def first_match(df: DataFrame, pattern: str, keys: list[str] = ["path"], text_col: str = "text", **flags: bool) -> DataFrame:  # noqa: B006
     """(keys, start_byte, end_byte, text) of the first match of each text that has one."""
-    java = java_pattern(pattern, **flags)
-    text = F.col(text_col)
+    c = compiled(pattern, **flags)
+    if c.empty:
+        return stepped(df, F.lit(c.steps), keys, text_col).where("ord = 0").drop("ord")
+    java, text = c.java, F.col(text_col)
     hits = df.where(text.rlike(java))
     before = F.split(text, F.lit(java), 2)[0]
     start = F.octet_length(before).cast("long")

@@ -195,6 +195,33 @@ def g13_pattern_errors(spark, sf_dir):
     return scoped.join(detect.pattern_errors(rows), "rule_id").groupBy("rule_id", "error").agg(F.count("*").alias("n_paths"))
 
 
+#: Patterns of the rule language, and what they are for an engine that knows less of it.
+_LANGUAGE = [
+    ("posix", "[[:digit:]]{4,}", "[0-9]{4,}"), ("one-letter", r"\pL{12,}", r"\pL{12,}"), ("script", r"\p{Cyrillic}+|\p{Greek}+", r"\p{Cyrillic}+|\p{Greek}+"), ("named", "(?P<my_name>token)", "token"), ("difference", "[a-z--[aeiou]]{6,}", "[b-df-hj-np-tv-z]{6,}"),
+    ("symmetric", "[A-F~~D-Z]{2,}", "[A-CG-Z]{2,}"), ("intersection", "[[:alpha:]&&[^a-z]]{3,}", "[A-Z]{3,}"), ("code", r"\x{54}\u{68}[^[:lower:]]", "Th[^a-z]"), ("line-end", "(?m)[a-z]+[.]$", "(?m)[a-z]+[.]$"), ("bracket", "[]$]+[a-z]", r"[\]$]+[a-z]"),
+    ("in-scope", "(?i:LICEN)[cs]e", "[Ll][Ii][Cc][Ee][Nn][cs]e"), ("twice", "(?:ab)++[.]", "(?:ab)+[.]"), ("swapped", "(?U)worth.+s", "worth.+?s"), ("spaced", "(?x) [0-9]+ [.] \\  # a number", "[0-9]+[.] "), ("broken", r"\p{Nope}", ""),
+]
+_LANGUAGE_SQL = ", ".join("('local/{}', '{}')".format(n, q.replace("'", "''")) for n, _, q in _LANGUAGE if q)
+
+
+@query(f"""WITH {CORPUS_SQL}, v(rule_id, regex) AS (VALUES {_LANGUAGE_SQL}), p AS (SELECT rule_id, path, text, regex FROM corpus, v), f AS ({spans_sql('rule_id, path, regex', 'p')})
+SELECT rule_id, path, 'c' AS code, start_byte, end_byte FROM f""")
+def g1_pattern_language(spark, sf_dir):
+    from .base import dimension
+
+    rows = dimension(spark, [(f"local/{n}", "c", p, "^", "(?!)") for n, p, _ in _LANGUAGE], dict.fromkeys(("rule_id", "code", "regex", "include_re", "exclude_re"), "string"))
+    return detect.detect_each(rows, corpus(spark, sf_dir))
+
+
+@query(f"""WITH {CORPUS_SQL}, f AS ({spans_sql('path', 'corpus', repr('(?:^|[^0-9A-Za-z_])[a-z]?[a-z][.]').replace("''", "'"))})
+SELECT 'local/halves' AS rule_id, path, 'pair' AS code, end_byte - length(regexp_extract(text, '[a-z]+')) - 1 AS start_byte, end_byte FROM f
+WHERE length(regexp_extract(text, '[a-z]+')) = 1 OR regexp_extract(text, '([a-z])([a-z])', 1) <> regexp_extract(text, '([a-z])([a-z])', 2)""")
+def g7_groups_in_context(spark, sf_dir):
+    """Words of one or two letters before a full stop whose letters differ; a missing letter differs from any."""
+    rule = spark.createDataFrame([("local/halves", "pair", r"(?-u:\b)([a-z])?([a-z])[.]", "^.*", "(?!)")], "rule_id string, code string, regex string, include_re string, exclude_re string")
+    return detect.detect_capture_compare(rule, corpus(spark, sf_dir), equal=False)
+
+
 def diagnostics(spark):
     from .base import RULES, dimension
 

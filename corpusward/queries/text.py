@@ -132,4 +132,9 @@ def e8_first_match(spark, sf_dir):
     return patterns.first_match(corpus(spark, sf_dir), "[0-9]{3,}")
 
 
+@query(f"""WITH {CORPUS_SQL} SELECT path, 0::BIGINT AS start_byte, CAST(strlen(regexp_extract(text, '^[A-Z]*')) AS BIGINT) AS end_byte, regexp_extract(text, '^[A-Z]*') AS text FROM corpus""")
+def e8_first_match_empty(spark, sf_dir):
+    return patterns.first_match(corpus(spark, sf_dir), "[A-Z]*")
+
+
 __all__ = ["pages"]
