@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusward.functions.digest import FINDING, framed_digest, text_digest, with_digest
 from corpusward.functions.globs import any_glob_regex
 from corpusward.operators import findings, ledger
+from corpusward.operators.detect import compile_rules
 from corpusward.operators.scope import _small, scope_join
 from corpusward.operators.patterns import LOCATED
 from corpusward.plans import incremental
@@ -124,6 +125,15 @@ def h6_incremental_findings(spark, sf_dir):
     return incremental.check_incremental(_keyed_rules(spark), corpus(spark, sf_dir), _stored_results(spark, sf_dir))[0].select("rule_id", "path", "code", "start_byte", "end_byte")
 
 
+@query(f"""WITH {CORPUS_SQL}, {RULES_SQL}, m AS (SELECT DISTINCT regex, path FROM corpus, rules WHERE mode <> 'disabled' AND {SCOPE_SQL} AND (doc_id % 10 IN (3, 4) OR rule_id = 'local/mail'))
+SELECT regex AS pattern, count(*) AS n_searches FROM m GROUP BY regex""")
+def h6_shared_searches(spark, sf_dir):
+    """How often each pattern runs: once for each file that misses, however many rules want it."""
+    run = incremental.searches(_keyed_rules(spark), corpus(spark, sf_dir), _stored_results(spark, sf_dir))
+    forms = _small(compile_rules(_keyed_rules(spark)).select("java", F.col("regex").alias("pattern")).distinct())
+    return run.join(forms, "java").groupBy("pattern").agg(F.count("*").alias("n_searches"))
+
+
 @query(f"WITH {MATCHES} SELECT rule_id, path, code, start_byte, end_byte FROM found")
 def h7_check_stream(spark, sf_dir):
     from corpusward.streaming.check_stream import check_stream

@@ -1,6 +1,7 @@
 """Spans, detection, ledger, reports, fixtures and increments on small cases."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,37 @@ def test_increments_count_as_expected(spark):
     assert total(incremental.check_incremental(rules, docs, spoiled)[2]) == (20, 4)
 
 
+def test_misses_share_evaluations(spark):
+    """Eight rules with one regex search each file once; files that hit are not searched."""
+    docs = corpus(spark, **{f"d{k}": f"text x{k % 3}" for k in range(5)})
+    rules = rule(spark, *[(f"r{k}", "hit", "x1", "x") for k in range(8)], ("z", "hit", "z*", "x"))
+    empty = spark.createDataFrame([], incremental.STORE)
+    assert incremental.searches(rules, docs, empty).count() == 10
+    first, store, _ = incremental.check_incremental(rules, docs, empty)
+    want = sorted((r.rule_id, r.path, r.code, r.start_byte, r.end_byte) for r in detect.detect_each(rules, docs).collect())
+    rows = lambda df: sorted((r.rule_id, r.path, r.code, r.start_byte, r.end_byte) for r in df.collect())
+    assert rows(first) == want
+    assert incremental.searches(rules, docs, store).count() == 0
+    changed = docs.where("path != 'd4'").unionByName(corpus(spark, d4="x1 x1", d5="x1"))
+    assert incremental.searches(rules, changed, store).count() == 4
+    second, fresh, counts = incremental.check_incremental(rules, changed, store)
+    assert rows(second) == sorted((r.rule_id, r.path, r.code, r.start_byte, r.end_byte) for r in detect.detect_each(rules, changed).collect())
+    assert tuple(counts.agg(F.sum("hits"), F.sum("misses")).first()) == (36, 18)
+    assert fresh.where("code is null and (file_digest is not null or start_byte is not null)").count() == 0
+
+
+def test_a_run_over_one_file_reads_its_bucket(spark, tmp_path):
+    docs, rules = corpus(spark, **{f"d{k}": "text x1" for k in range(60)}), rule(spark, ("r", "hit", "x1", "x"))
+    incremental.append_store(incremental.check_incremental(rules, docs, incremental.read_store(spark, f"{tmp_path}/s"))[1], f"{tmp_path}/s")
+    store = incremental.read_store(spark, f"{tmp_path}/s")
+    one = corpus(spark, d7="text x1")
+    part = incremental.touched(store, one)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\n]*bucket", plan) and 0 < part.count() < store.count() == 60
+    assert len(part.select(F.input_file_name()).distinct().collect()) == 1
+    assert incremental.check_incremental(rules, one, store)[2].first().hits == 1
+
+
 def test_batches_are_stored_whole_or_not_at_all(spark, tmp_path):
     docs, rules = corpus(spark, d1="text x1", d2="x1 x1"), rule(spark, ("r", "hit", "x1", "x"))
     fresh = incremental.check_incremental(rules, docs, incremental.read_store(spark, f"{tmp_path}/s"))[1]
