@@ -21,6 +21,7 @@ from corpusward.functions.regexes import compiled
 
 from .patterns import LOCATED, group_of, lines, spans, stepped
 from .scope import _small, in_scope, scope_join
+from .spans import with_inside
 
 RAW = ["rule_id", "path", "code", "start_byte", "end_byte"]
 FLAGS = (*_JAVA_FLAGS, "crlf")
@@ -181,6 +182,17 @@ def detect_capture_compare(rules: DataFrame, corpus: DataFrame, equal: bool = Tr
     return _fanned(found.where(same if equal else ~same), rows).select(*RAW)
 
 
+def detect_enclosed(rules: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Matches inside a match of the rule's ``outer_regex``, or outside all of them where ``within`` is false.
+
+    Rules either of whose patterns is outside the language find nothing.
+    """
+    outer_rules = rules.withColumn("regex", F.col("outer_regex"))
+    sound = _small(compile_rules(outer_rules).groupBy("rule_id").agg(F.max("problem").alias("problem")).where("problem is null").select("rule_id"))
+    found = _matches(rules.join(sound, "rule_id", "left_semi"), corpus, "code", "within").select(*RAW, "within")
+    return with_inside(found, _matches(outer_rules, corpus), ["rule_id", "path"]).where("is_inside = within").select(*RAW)
+
+
 def detect_count(rules: DataFrame, corpus: DataFrame) -> DataFrame:
     """Files with more matches than the rule's ``most``, as (rule_id, path, n_matches)."""
     found = _matches(rules, corpus, "most").groupBy("rule_id", "path", "most").agg(F.count("*").alias("n_matches"))

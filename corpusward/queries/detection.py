@@ -63,6 +63,18 @@ def g6_detect_enclosed(spark, sf_dir):
     return part(inside(inner, outer), True).unionByName(part(outside(inner, outer), False))
 
 
+@query(f"""WITH {CORPUS_SQL}, v(rule_id, code, regex, outer_regex, within) AS (VALUES ('local/in', 'a', 'token|[Ll]icen[sc]e', '[(][^)]*[)]|"[^"]*"|[A-Z][^.]*[.]', TRUE), ('local/out', 'b', '[0-9]+', '[0-9]+[.][0-9.]+', FALSE), ('global/in', 'c', 'token|[Ll]icen[sc]e', '[^.]*[.]', TRUE)),
+p AS (SELECT * FROM corpus, v), i AS ({spans_sql('rule_id, path, code, within, regex', 'p')}), o AS ({spans_sql('rule_id, path, outer_regex', 'p', 'outer_regex')})
+SELECT {_RAW} FROM i WHERE within = EXISTS (SELECT 1 FROM o WHERE o.rule_id = i.rule_id AND o.path = i.path AND i.start_byte >= o.start_byte AND i.end_byte <= o.end_byte)""")
+def g6_detect_enclosed_rules(spark, sf_dir):
+    rows = [
+        ("local/in", "a", "token|[Ll]icen[sc]e", '[(][^)]*[)]|"[^"]*"|[A-Z][^.]*[.]', True), ("local/out", "b", "[0-9]+", "[0-9]+[.][0-9.]+", False), ("global/in", "c", "token|[Ll]icen[sc]e", "[^.]*[.]", True),
+        ("local/broken", "d", "[0-9]+", "(", False),
+    ]
+    rules = spark.createDataFrame([(*r, "^", "(?!)") for r in rows], "rule_id string, code string, regex string, outer_regex string, within boolean, include_re string, exclude_re string")
+    return detect.detect_enclosed(rules, corpus(spark, sf_dir))
+
+
 _PAIR = "([A-Za-z]+) ([A-Za-z]+)[.]"
 
 

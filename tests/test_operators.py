@@ -152,6 +152,36 @@ def test_increments_count_as_expected(spark):
     assert total(incremental.check_incremental(rules, docs, spoiled)[2]) == (20, 4)
 
 
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_sweeps_equal_all_pairs(spark, block):
+    """Random spans, many of them equal, nested, crossing or empty, against every pair."""
+    rng = random.Random(block)
+    make = lambda n: [(rng.choice(["p", "q", None]), s, s + rng.choice([0, 1, 2, 5, 9, 40]), k) for k in range(n) for s in [rng.randrange(60)]]
+    schema = "path string, start_byte long, end_byte long, _at long"  # the last name clashes with an inner one
+    for n, m in ((80, 40), (200, 5), (3, 0), (0, 3)):
+        a, b = make(n), make(m)
+        inner, outer = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+        holds = lambda o, i: o[0] is not None and o[0] == i[0] and i[1] >= o[1] and i[2] <= o[2]
+        rows = lambda df: sorted(map(str, map(tuple, df.select("path", "start_byte", "end_byte", "_at").collect())))
+        assert rows(spans.inside(inner, outer, block=block)) == sorted(str(i) for i in a if any(holds(o, i) for o in b))
+        assert rows(spans.outside(inner, outer, block=block)) == sorted(str(i) for i in a if not any(holds(o, i) for o in b))
+        assert rows(spans.without_inner(outer, inner, block=block)) == sorted(str(o) for o in b if not any(holds(o, i) for i in a))
+        want = sorted((i[3], *max((o[1], -o[2]) for o in b if holds(o, i))) for i in a if any(holds(o, i) for o in b))
+        assert sorted((r._at, r.outer_start, -r.outer_end) for r in spans.innermost(inner, outer).collect()) == want
+
+
+def test_a_file_with_very_many_spans(spark):
+    """Half a million spans each side of one file, all in one large span: pairs would be 2.5e11."""
+    n = 500_000
+    inner = spark.range(n).select(F.lit("p").alias("path"), (F.col("id") * 10 + 3).alias("start_byte"), (F.col("id") * 10 + 5).alias("end_byte"))
+    outer = spark.range(n).select(F.lit("p").alias("path"), (F.col("id") * 10).alias("start_byte"), (F.col("id") * 10 + 4 + F.col("id") % 2).alias("end_byte"))
+    assert spans.inside(inner, outer).count() == n // 2
+    assert spans.without_inner(outer, inner).count() == n // 2
+    whole = outer.unionByName(spark.createDataFrame([("p", 0, 10 * n)], outer.schema))
+    assert spans.outside(inner, whole).count() == 0
+    assert spans.innermost(inner, whole).where("outer_start = 0").count() == n // 2
+
+
 def test_misses_share_evaluations(spark):
     """Eight rules with one regex search each file once; files that hit are not searched."""
     docs = corpus(spark, **{f"d{k}": f"text x{k % 3}" for k in range(5)})
