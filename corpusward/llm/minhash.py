@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .cells import bounds, whole_groups
 from .components import components
-from .tables import drop, stored
+from .tables import drop, free_name, stored
 from .words import chunks, hashes, mix, ngrams, spans
 
 _SEED = 7_420_001
@@ -291,10 +291,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     judged = stored(near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull()).select(id_col, "kept"), "judged")
     ids = judged.groupBy(id_col).agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")).where("n > 1 or not kept")
-    gone = stored(ids.select(F.col(id_col).alias("gone"), F.col("kept").alias("again")), "gone")
-    once = docs.join(gone.select("gone"), docs[id_col].cast("long") == gone["gone"], "left_anti")
-    again = docs.join(gone.where("again").select("gone"), docs[id_col].cast("long") == gone["gone"])
-    least = again.groupBy("gone").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    name = free_name(docs, "gone")
+    gone = stored(ids.select(F.col(id_col).alias(name), F.col("kept").alias("again")), "gone")
+    once = docs.join(gone.select(name), docs[id_col].cast("long") == gone[name], "left_anti")
+    again = docs.join(gone.where("again").select(name), docs[id_col].cast("long") == gone[name])
+    least = again.groupBy(name).agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
     return once.unionByName(least.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 

@@ -20,12 +20,12 @@ from corpusward.llm import chat, cotraining, fertility, licenses, minhash, mixin
 from corpusward.llm.words import chunks, hashes, spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, n string, kept boolean, size string, place int, row int, view string, `whole` int, y int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, n string, kept boolean, size string, place int, row int, view string, `whole` int, y int, gone int"
 
 
 def make_docs(spark, rows):
     """(doc_id, text[, source]) rows with further columns whose names clash with inner ones."""
-    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), 7, "x", None, "y", 1, 2, "v", 3, 4) for r in rows]
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), 7, "x", None, "y", 1, 2, "v", 3, 4, 5) for r in rows]
     return spark.createDataFrame(full, DOCS)
 
 
