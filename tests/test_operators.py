@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusward.functions.digest import with_digest
-from corpusward.operators import detect, findings, fixtures, ledger, markup, records, report, spans
+from corpusward.operators import detect, findings, fixtures, ledger, markup, records, report, scope, spans
 from corpusward.plans import check, incremental
 from corpusward.sources import corpus as source
 from corpusward.sources import selection
@@ -365,3 +365,32 @@ def test_prefixes(spark):
     wanted = spark.createDataFrame([("ab" * 5,), ("ab" * 5 + "c",), ("0" * 7,), ("0" * 8,), ("sha256:" + "ab" * 32,), ("ff" * 8,)], "wanted string")
     got = {r.wanted: r.outcome for r in resolve_prefix(ids, wanted).collect()}
     assert [got[w.wanted] for w in wanted.collect()] == ["ambiguous", "resolved", "unmatched", "resolved", "resolved", "unmatched"]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_scopes_are_looked_up_by_folders_and_suffixes(spark, monkeypatch, few):
+    """Every kind of key against the patterns themselves, broadcast and shuffled."""
+    from corpusward.functions.globs import any_glob_regex, lookup_keys
+
+    if not few:
+        monkeypatch.setattr(scope, "BROADCAST_SCOPES", 2)
+    globs = {
+        "a": ["src/**"], "b": ["src/a/*", "src/**"], "c": ["**/*.md"], "d": ["**/*.md", "*.txt"], "e": ["**"], "f": ["src/**", "**/*.txt"], "g": ["src/{a,b}/*.md"],
+        "h": ["s[r]c/*"], "i": ["a.b/c+d/x.txt"], "j": ["src/a.txt", "docs/**"], "k": ["**/{x.md,y.txt}"], "l": ["we ird/(x)|/[!a]*"], "m": ["src/a/"], "n": ["README"],
+    }
+    keys = {k: lookup_keys(any_glob_regex(g)) for k, g in globs.items()}
+    assert keys["a"] == keys["b"] == ["src/"] and keys["c"] == [".md"] and keys["d"] == [".md", ".txt"] and keys["g"] == ["src/"]
+    assert keys["i"] == ["a.b/c+d/"] and keys["j"] == ["docs/", "src/"] and keys["l"] == ["we ird/(x)|/"] and all(keys[k] == [""] for k in "efhkn")
+    assert lookup_keys("^src/.*") == lookup_keys("x") == [""] and lookup_keys("(?s)^(?:src/*x)\\z") == [""] and lookup_keys("(?s)^(?:a/b\\.?c)\\z") == ["a/"]
+    paths = ["src/a/x.md", "src/x.txt", "src/b/y.md", "src", "README", "x.txt", "a.b/c+d/x.txt", "docs/x", "docs/a/b/x.md", "we ird/(x)|/b", "we ird/(x)|/a", ".md", "src/a/", "é/ü.md", "x.md\n", ""]
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(3)
+    rows = [(k, any_glob_regex(g), any_glob_regex(["src/b/**"]) if k in "ab" else "(?!)") for k, g in globs.items()] + [("null", None, "(?!)"), ("same", any_glob_regex(["src/**"]), "(?!)"), ("twin", any_glob_regex(["src/**"]), "(?!)")]
+    scopes = spark.createDataFrame(rows, "rule_id string, include_re string, exclude_re string")
+    own = files.crossJoin(scopes).where(scope.in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re"))).select("rule_id", "path")
+    ours = scope.scope_join(scopes, files)
+    assert sorted(ours.collect()) == sorted(own.collect())
+    keyed = scope.scope_join(scopes.where("rule_id in ('a', 'b', 'c', 'd', 'g', 'j')"), files)
+    if few:
+        assert not {"BroadcastNestedLoopJoin", "CartesianProduct"} & set(re.findall(r"\w+", keyed._jdf.queryExecution().toString()))
+    assert scope.relevant_gaps(files, scopes.where("rule_id = 'c'").drop("rule_id")).count() == 5
+    assert scope.scope_join(scopes.where("false"), files).count() == scope.scope_join(scopes, files.where("false")).count() == 0
