@@ -15,12 +15,14 @@ and its place in the page, and with parts of the article in elements named like
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -59,47 +61,125 @@ DIMS = FIGURES + PATH_DIMS + WORD_DIMS + len(_TAGS)
 HIDDEN = 16
 
 
+#: Innermost elements of a block that its vector tells apart.
+NEAR = 32
+
+
+class Element:
+    """An open element, linked to the one around it, so that deep pages take memory and time in proportion."""
+
+    __slots__ = ("parent", "own", "depth", "top", "inside", "furniture")
+
+    def __init__(self, parent: Element | None, tag: str, names: tuple[str, ...]):
+        self.parent, self.own = parent, (tag, names)
+        if parent is None:
+            self.depth, self.top, self.inside, self.furniture = 0, self, False, (False, False)
+            return
+        self.depth = parent.depth + 1
+        self.top = self if self.depth <= 3 else parent.top
+        self.inside = parent.inside or tag in ("article", "main")
+        telling = tag in FURNITURE_TAGS or tag == "header" and not parent.inside
+        named = names and tag not in ("body", "html", "article", "main")
+        # What the markup says of text in it, and of linked text.
+        self.furniture = tuple(was or telling or bool(named) and _names_furniture(names, parent.inside, linked) for linked, was in enumerate(parent.furniture))
+
+    def near(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        """The innermost elements, outermost of them first."""
+        out, at = [], self
+        while at.parent is not None and len(out) < NEAR:
+            out.append(at.own)
+            at = at.parent
+        return tuple(reversed(out))
+
+
+class Tree:
+    """The elements of a page; elements with equal paths are one."""
+
+    def __init__(self):
+        self.root = Element(None, "", ())
+        self.known: dict[tuple[int, str, tuple[str, ...]], Element] = {}
+
+    def child(self, parent: Element, tag: str, names: tuple[str, ...]) -> Element:
+        key = (id(parent), tag, names)
+        if key not in self.known:
+            self.known[key] = Element(parent, tag, names)
+        return self.known[key]
+
+
 class Block:
-    """A leaf block: its open elements, outermost first, its text and how much of it is linked."""
+    """A leaf block: the element that holds it, its text and how much of it is linked."""
 
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple[tuple[str, tuple[str, ...]], ...], text: str, linked: float):
+    def __init__(self, path: Element, text: str, linked: float):
         self.path, self.text, self.linked = path, text, linked
 
 
-def _skipped_end(html: str, at: int, name: str, parents: set[str]) -> int:
-    """Where an element whose text is skipped ends: at its closing tag, or before the one of an element around it."""
-    depth, inside = 1, Counter()
+def _raw_end(html: str, at: int, name: str) -> re.Match | None:
+    return re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+
+
+def _tags(html: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of tags, comments and whole raw elements; what is not to be heeded has no name."""
+    out, at, foreign, endless = [], 0, 0, set()
     while found := _TOKEN.search(html, at):
-        tag = (found[2] or "").lower()
-        closing = found[1] == "/"
-        closed = (found[3] or "").endswith("/")
-        at = found.end()
-        if tag == name:
-            depth += -1 if closing else 0 if closed else 1
-            if not depth:
-                return at
-        elif closing and inside[tag]:
-            inside[tag] -= 1
-        elif closing and tag in parents:
-            return found.start()
-        elif tag in RAW_TAGS and not closing and not closed and tag != "head":
-            end = _raw_end(html, at, tag)
-            at = end.end() if end else len(html)
-        elif tag in BLOCK_TAGS and tag not in VOID_TAGS and not closing:
-            inside[tag] += 1
-    return len(html)
+        at, name, closing, attrs = found.end(), (found[2] or "").lower(), found[1] == "/", found[3] or ""
+        if name == "svg" and not attrs.endswith("/"):
+            foreign = max(0, foreign + (-1 if closing else 1))
+        if name in RAW_TAGS and not closing:
+            if foreign and attrs.endswith("/"):
+                name = ""
+            elif name not in endless and (end := _raw_end(html, at, name)):
+                at = end.end()
+            elif name == "head":
+                endless.add(name)
+                name = ""
+            else:
+                at = len(html)
+        out.append((found.start(), at, name, closing, attrs))
+    return out
 
 
-def _raw_end(html: str, at: int, name: str) -> re.Match | None:
-    return re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+def _skipped_ends(tags: list[tuple[int, int, str, bool, str]], size: int) -> dict[int, int]:
+    """Where elements whose text is skipped end, by their starts, in one pass.
+
+    One ends at its closing tag; without one inside the element around it, before the first
+    block-level tag after its start.
+    """
+    ends: dict[int, int] = {}
+    block: dict[int, int] = {}  # of skipped elements, the first block-level tag in them
+    waiting: list[int] = []
+    open_: list[tuple[str, int]] = []
+    count: Counter = Counter()
+    for start, end, name, closing, attrs in tags:
+        skipped = name in SKIPPED_TAGS and name not in RAW_TAGS
+        layout = name in BLOCK_TAGS and name not in RAW_TAGS
+        if layout:
+            block.update(dict.fromkeys(waiting, start))
+            waiting.clear()
+        if closing:
+            while count[name]:
+                last, at = open_.pop()
+                count[last] -= 1
+                if at >= 0:
+                    ends[at] = end if last == name else block.get(at, start)
+                if last == name:
+                    break
+        elif skipped and not (name == "svg" and attrs.endswith("/")):
+            waiting.append(start)
+            open_.append((name, start))
+            count[name] += 1
+        elif layout and name not in VOID_TAGS:
+            open_.append((name, -1))
+            count[name] += 1
+    return ends | {at: block.get(at, size) for _, at in open_ if at >= 0}
 
 
 def parse(html: str) -> list[Block]:
-    """The blocks of a page in order; never fails, whatever the markup."""
-    blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    """The blocks of a page in order; never fails, whatever the markup; time and memory grow with its size."""
+    tree, blocks = Tree(), []
+    stack = [tree.root]
+    opened: Counter = Counter()
     texts: list[str] = []
     linked = links = 0
 
@@ -107,37 +187,29 @@ def parse(html: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(texts).split())
         if text:
-            blocks.append(Block(tuple(stack), text, min(1.0, linked / len(text))))
+            blocks.append(Block(stack[-1], text, min(1.0, linked / len(text))))
         texts.clear()
         linked = 0
 
-    at, size = 0, len(html)
-    while at < size:
-        found = _TOKEN.search(html, at)
-        stop = found.start() if found else size
-        if stop > at:
-            text = unescape(html[at:stop])
+    def close(until: str) -> None:
+        while (last := stack.pop().own[0]) != until:
+            opened[last] -= 1
+        opened[until] -= 1
+
+    tags = _tags(html)
+    ends = _skipped_ends(tags, len(html))
+    at = 0
+    for start, end, name, closing, attrs in [*tags, (len(html), len(html), "", False, "")]:
+        if start < at:
+            continue
+        if start > at:
+            text = unescape(html[at:start])
             texts.append(text)
             if links:
                 linked += len(text)
-        if not found:
-            break
-        at = found.end()
-        name = found[2]
-        if not name:
-            continue
-        name = name.lower()
-        closing = found[1] == "/"
+        at = end
         if name in SKIPPED_TAGS and not closing:
-            if name == "svg" and (found[3] or "").endswith("/"):
-                continue
-            if name in RAW_TAGS:
-                end = _raw_end(html, at, name)
-                if name == "head" and end is None:
-                    continue
-                at = end.end() if end else size
-            else:
-                at = _skipped_end(html, at, name, {tag for tag, _ in stack})
+            at = ends.get(start, end)
             if name in BLOCK_TAGS:
                 flush()
         elif name == "a":
@@ -147,17 +219,16 @@ def parse(html: str) -> list[Block]:
         elif name in BLOCK_TAGS:
             flush()
             if closing:
-                if any(tag == name for tag, _ in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                if opened[name]:
+                    close(name)
             elif name not in VOID_TAGS:
-                if name in CLOSES_P and stack and stack[-1][0] == "p":
-                    stack.pop()
-                if name in ("li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-                    stack.pop()
-                attrs = found[3] or ""
+                if name in CLOSES_P and stack[-1].own[0] == "p":
+                    close("p")
+                if name in ("li", "dt", "dd", "tr", "td", "th") and stack[-1].own[0] == name:
+                    close(name)
                 names = tuple(_NAME.findall(" ".join(x for m in _ATTR.findall(attrs) for x in m).lower())) if "=" in attrs else ()
-                stack.append((name, names))
+                stack.append(tree.child(stack[-1], name, names))
+                opened[name] += 1
     flush()
     return blocks
 
@@ -175,18 +246,8 @@ def _names_furniture(names: tuple[str, ...], inside: bool, linked: bool) -> bool
 
 def taught(blocks: list[Block]) -> list[int]:
     """Labels that the markup gives: 1 for blocks of the article.  The model is not shown them, nor how they come."""
-    has_article = any(t in ("article", "main") for b in blocks for t, _ in b.path)
-    out = []
-    for b in blocks:
-        inside = furniture = False
-        for tag, names in b.path:
-            if tag in FURNITURE_TAGS or (tag == "header" and not inside):
-                furniture = True
-            elif tag not in ("body", "html", "article", "main") and names and _names_furniture(names, inside, b.linked > 0.5):
-                furniture = True
-            inside = inside or tag in ("article", "main")
-        out.append(int(not furniture and (inside or not has_article)))
-    return out
+    has_article = any(b.path.inside for b in blocks)
+    return [int(not b.path.furniture[b.linked > 0.5] and (b.path.inside or not has_article)) for b in blocks]
 
 
 @lru_cache(1 << 16)
@@ -196,7 +257,7 @@ def _word_bin(word: str) -> int:
 
 @lru_cache(1 << 14)
 def _path_part(path: tuple[tuple[str, tuple[str, ...]], ...]) -> np.ndarray:
-    """The part of a block's vector that its path alone decides: the tags around it and hashed names."""
+    """The part of a block's vector that its innermost elements alone decide: the tags around it and hashed names."""
     out = np.zeros(PATH_DIMS, np.float32)
     for depth, (tag, names) in enumerate(path):
         if tag in _TAG_AT:
@@ -211,30 +272,76 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), DIMS), np.float32)
     count = len(blocks)
     alike = Counter(b.path for b in blocks)
+    parts: dict[Element, np.ndarray] = {}
     linked = sum(b.linked > 0.5 for b in blocks) / max(count, 1)
     within: Counter = Counter()  # characters of text below an element at the top of the page, and below a block's parent
     for b in blocks:
-        within[3, b.path[:3]] += len(b.text)
-        within[0, b.path[:-1]] += len(b.text)
+        within[3, b.path.top] += len(b.text)
+        within[0, b.path.parent or b.path] += len(b.text)
+        if b.path not in parts:
+            parts[b.path] = _path_part(b.path.near())
     whole = max(sum(len(b.text) for b in blocks), 1)
     for i, b in enumerate(blocks):
         row = out[i]
         words = b.text.split(" ")
         n = len(words)
-        tag = b.path[-1][0] if b.path else ""
+        tag = b.path.own[0]
         row[:FIGURES] = (
             1.0, min(n, 400) ** 0.5 / 10, np.log1p(len(b.text)) / 6, b.linked, min(sum(map(b.text.count, ".!?")) / n, 2.0), min(b.text.count(",") / n, 2.0),
             i / max(count - 1, 1), b.text[-1:] in ".!?\"”", "©" in b.text or "|" in b.text or "»" in b.text, n < 4, min(count, 100) / 100,
-            tag in ("p", "blockquote", "pre"), tag in ("li", "td", "dd", "dt", "th"), tag[:1] == "h" and tag[1:].isdigit(), len(b.path) / 10,
-            np.log1p(alike[b.path]) / 4, linked, within[3, b.path[:3]] / whole, within[0, b.path[:-1]] / whole,
+            tag in ("p", "blockquote", "pre"), tag in ("li", "td", "dd", "dt", "th"), tag[:1] == "h" and tag[1:].isdigit(), min(b.path.depth, NEAR) / 10,
+            np.log1p(alike[b.path]) / 4, linked, within[3, b.path.top] / whole, within[0, b.path.parent or b.path] / whole,
         )
-        row[FIGURES : FIGURES + PATH_DIMS] = _path_part(b.path)
+        row[FIGURES : FIGURES + PATH_DIMS] = parts[b.path]
         row[FIGURES + PATH_DIMS : FIGURES + PATH_DIMS + WORD_DIMS] = np.bincount(list(map(_word_bin, words)), minlength=WORD_DIMS) / (max(1.0, n**0.5) * 3)
     tags = out[:, FIGURES : FIGURES + len(_TAGS)]
     out[:, DIMS - len(_TAGS) :] = tags - tags.mean(axis=0) if count else 0
     return out
 
 
+class Example(NamedTuple):
+    """A block to learn from: its innermost elements, outermost first, its text and how much of it is linked."""
+
+    path: tuple[tuple[str, tuple[str, ...]], ...]
+    text: str
+    linked: float
+
+
+def _rooted(examples: list[Example]) -> list[Block]:
+    """The examples of one page as its blocks."""
+    tree, out = Tree(), []
+    for x in examples:
+        at = tree.root
+        for tag, names in x.path:
+            at = tree.child(at, tag, names)
+        out.append(Block(at, x.text, x.linked))
+    return out
+
+
+def examples(html: str, stretch: int = 1 << 18) -> list[tuple[Example, int]]:
+    """Blocks of a page and the labels that its markup gives, in order: all, or a stretch of at most ``stretch`` characters.
+
+    The stretch starts at a place that a hash chooses; names count as characters, and single
+    blocks of more are left out.
+    """
+    blocks = parse(html)
+    labels = taught(blocks)
+    pairs = [(Example(b.path.near(), b.text, b.linked), y) for b, y in zip(blocks, labels)] if len(blocks) <= stretch else None
+    weigh = lambda x: len(x.text) + sum(len(t) + sum(map(len, names)) for t, names in x.path)
+    if pairs is not None and sum(weigh(x) for x, _ in pairs) <= stretch:
+        return pairs
+    out, left = [], stretch
+    for k in range(zlib.crc32(html.encode("utf-8", "replace")) % len(blocks), len(blocks)):
+        x = Example(blocks[k].path.near(), blocks[k].text, blocks[k].linked)
+        if weigh(x) > stretch:
+            continue
+        left -= weigh(x)
+        if left < 0:
+            break
+        out.append((x, labels[k]))
+    return out
+
+
 # Invented furniture that is mixed into pages while training; {w} is a word and {s} a sentence of the page.
 _INVENTED = [
     ((("header", ()),), ("{w} home about contact", "{w}: {w} {w} {w}", "{w} {w} | log in | register")), ((("div", ("site", "header")),), ("{w} {w} {w}", "skip to content", "{w} {w} | {w}")),
@@ -274,7 +381,7 @@ def _lent(rng: np.random.Generator) -> tuple[tuple[str, tuple[str, ...]], ...]:
     return ((tag, (names, names + more, more + names, more)[rng.integers(4)]),)
 
 
-def _otherwise(b: Block, lent: tuple, rng: np.random.Generator) -> Block:
+def _otherwise(b: Example, lent: tuple, rng: np.random.Generator) -> Example:
     """A block of an article in another element, below ``lent`` ones, sometimes cut to a few words or partly linked."""
     words = b.text.split(" ")
     if rng.random() < (0.2 if lent else 0.5):
@@ -282,16 +389,16 @@ def _otherwise(b: Block, lent: tuple, rng: np.random.Generator) -> Block:
         words = words[at : at + int(rng.integers(1, 25))]
     base = b.path[:-1] if b.path and b.path[-1][0] in ("p", "h1", "h2", "h3", "div") else b.path
     linked = float(rng.random() * 0.5) if rng.random() < 0.3 else b.linked
-    return Block(base + lent + _HOLDERS[rng.integers(len(_HOLDERS))], " ".join(words), linked)
+    return Example(base + lent + _HOLDERS[rng.integers(len(_HOLDERS))], " ".join(words), linked)
 
 
-def _with_furniture(blocks: list[Block], labels: list[int], rng: np.random.Generator, within: float = 0.14) -> tuple[list[Block], list[int]]:
+def _with_furniture(blocks: list[Example], labels: list[int], rng: np.random.Generator, within: float = 0.14) -> tuple[list[Example], list[int]]:
     """The page with invented furniture before and after its article, and with the chance ``within`` after each block in it."""
     pool = [w for b in blocks for w in b.text.split(" ")] or ["page"]
     prefix = (("html", ()), ("body", ()))
     article = next((b.path[: k + 1] for b in blocks for k, (t, _) in enumerate(b.path) if t == "article"), prefix)
 
-    def invented(inner: bool) -> list[Block]:
+    def invented(inner: bool) -> list[Example]:
         path, texts = _INVENTED[rng.integers(len(_INVENTED))]
         pick = lambda n: " ".join(pool[k] for k in rng.integers(len(pool), size=n))
         sentence = lambda: pick(int(rng.integers(4, 40))).capitalize().rstrip(".,") + "."
@@ -299,7 +406,7 @@ def _with_furniture(blocks: list[Block], labels: list[int], rng: np.random.Gener
         for _ in range(int(rng.integers(1, 6))):
             text = texts[rng.integers(len(texts))]
             filled = re.sub(r"\{(\w)\}", lambda m: pick(1) if m[1] == "w" else sentence(), text)
-            out.append(Block((article if inner else prefix) + path, filled, float(rng.random() < 0.5 and "{s}" not in text)))
+            out.append(Example((article if inner else prefix) + path, filled, float(rng.random() < 0.5 and "{s}" not in text)))
         return out
 
     out, marks = [], []
@@ -311,7 +418,7 @@ def _with_furniture(blocks: list[Block], labels: list[int], rng: np.random.Gener
         marks += [0] * len(new)
     for b, y in zip(blocks, labels):
         if swap and y:
-            b = Block(tuple(x for part in b.path for x in (holder if part[0] == "article" else (part,))), b.text, b.linked)
+            b = Example(tuple(x for part in b.path for x in (holder if part[0] == "article" else (part,))), b.text, b.linked)
         if y and rng.random() < 0.5:
             b = _otherwise(b, _lent(rng) if rng.random() < 0.85 else (), rng)
         out.append(b)
@@ -327,7 +434,7 @@ def _with_furniture(blocks: list[Block], labels: list[int], rng: np.random.Gener
     return out, marks
 
 
-def _scrambled(blocks: list[Block], rng: np.random.Generator) -> list[Block]:
+def _scrambled(blocks: list[Example], rng: np.random.Generator) -> list[Example]:
     """The page with its names replaced and its telling elements renamed, alike wherever they occur; sometimes the article keeps its element."""
     names: dict[str, str] = {}
     kept = {"article", "main"} if rng.random() < 0.8 else set()
@@ -340,7 +447,7 @@ def _scrambled(blocks: list[Block], rng: np.random.Generator) -> list[Block]:
     def part(tag: str, own: tuple[str, ...]) -> tuple[str, tuple[str, ...]]:
         return ("div" if tag in _TELLING - kept else tag), tuple(map(new, own))
 
-    return [Block(tuple(part(t, own) for t, own in b.path), b.text, b.linked) for b in blocks]
+    return [Example(tuple(part(t, own) for t, own in b.path), b.text, b.linked) for b in blocks]
 
 
 class BiLstm:
@@ -446,25 +553,34 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def train_labeller(htmls: list[str], epochs: int = 14, seed: int = 3) -> BiLstm:
-    """A labeller fitted to these pages, each as it is, with furniture mixed in, and with its names and elements scrambled."""
+def train_labeller(htmls: list[str], epochs: int = 14, seed: int = 3) -> BiLstm | None:
+    """A labeller fitted to these pages; see :func:`fit_labeller`."""
+    return fit_labeller([examples(html) for html in htmls], epochs, seed)
+
+
+def fit_labeller(drawn: list[list[tuple[Example, int]]], epochs: int = 14, seed: int = 3) -> BiLstm | None:
+    """A labeller fitted to these pages, each as it is, with furniture mixed in, and with its names and elements scrambled.
+
+    None if no page has a block: there is nothing to learn from.
+    """
     rng = np.random.Generator(np.random.PCG64(seed))
     pages = []
-    for html in htmls:
-        blocks = parse(html)
-        if not blocks:
+    for page in drawn:
+        if not page:
             continue
-        labels = taught(blocks)
-        pages += [(vectors(blocks), np.array(labels, float))] * 2  # as often as with names scrambled
+        blocks, labels = map(list, zip(*page))
+        pages += [(vectors(_rooted(blocks)), np.array(labels, float))] * 2  # as often as with names scrambled
         for hide in (False, True, True, True):
             # Without names, furniture in the midst of an article cannot be told from it.
             more, marks = _with_furniture(blocks, labels, rng, 0.02 if hide else 0.14)
-            x = vectors(_scrambled(more, rng) if hide else more)
+            x = vectors(_rooted(_scrambled(more, rng) if hide else more))
             if rng.random() < 0.5:  # the words of a page may say nothing, and its names neither
                 x[:, FIGURES + PATH_DIMS : FIGURES + PATH_DIMS + WORD_DIMS] = 0
             if rng.random() < 0.3:
                 x[:, FIGURES + len(_TAGS) : FIGURES + PATH_DIMS] = 0
             pages.append((x, np.array(marks, float)))
+    if not pages:
+        return None
     model = BiLstm()
     # Very long pages are learnt in stretches, so that a batch stays small.
     pages = [(x[k : k + 120], y[k : k + 120]) for x, y in pages for k in range(0, len(y), 120)]
@@ -472,8 +588,13 @@ def train_labeller(htmls: list[str], epochs: int = 14, seed: int = 3) -> BiLstm:
     return model
 
 
-def label_pages(model: BiLstm, pages: list[list[Block]], cells: int = 8192) -> list[np.ndarray]:
-    """For each page, whether its blocks belong to the article; pages of similar length run together."""
+def label_pages(model: BiLstm | None, pages: list[list[Block]], cells: int = 8192) -> list[np.ndarray]:
+    """For each page, whether its blocks belong to the article; pages of similar length run together.
+
+    Without a model, the markup's own labels are all there is.
+    """
+    if model is None:
+        return [np.array(taught(page), bool) for page in pages]
     out = [np.zeros(0, bool)] * len(pages)
     order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
     at = 0
@@ -491,22 +612,32 @@ def label_pages(model: BiLstm, pages: list[list[Block]], cells: int = 8192) -> l
 
 def extract_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str | None = "url", html_col: str = "html",
-    sample: int = 240, longest_sample: int = 1 << 18, model: BiLstm | None = None,
+    sample: int = 240, stretch: int = 1 << 18, model: BiLstm | None = None,
 ) -> DataFrame:
     """(id_col, url_col, text, n_chars, n_blocks, n_kept) for every row of ``pages``.
 
     ``text`` holds the article's blocks in page order, joined by two newlines; character
     references are decoded and white space in a block is one space.  Null and empty pages
-    give an empty text.  Without a ``model`` one is trained on at most ``sample`` pages of
-    at most ``longest_sample`` characters, chosen by a hash of the id.  Repeated rows and
-    null ids are extracted like others; other columns are ignored.
+    give an empty text, an empty table no rows; pages are read whole, however long.  Without
+    a ``model`` one is trained on at most ``sample`` pages that are not empty, chosen by a
+    hash of the id, each with at most ``stretch`` characters of blocks (:func:`examples`).
+    If none of these has a block, the markup's own labels count.  Repeated rows and null ids
+    are extracted like others; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("id"), (F.col(url_col) if url_col else F.lit(None).cast("string")).alias("url"), F.col(html_col).alias("html"))
     if model is None:
-        fits = rows.where(F.col("html").isNotNull() & (F.length("html") <= longest_sample))
+        fits = rows.where(F.length("html") > 0)
         chosen = fits.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-        drawn = fits.join(F.broadcast(stored(chosen, "chosen")), "id").select("id", "html").dropDuplicates(["id"]).orderBy("id")
-        model = train_labeller([r["html"] for r in drawn.collect()])
+        drawn = fits.join(F.broadcast(stored(chosen, "chosen")), "id").select("id", "html").dropDuplicates(["id"])
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                taken = [json.dumps(examples(h, stretch)) for h in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(taken, pa.string())], names=["id", "taken"])
+
+        taken = drawn.mapInArrow(draw, f"id {pages.schema[id_col].dataType.simpleString()}, taken string").orderBy("id").collect()
+        read = lambda x: Example(tuple((tag, tuple(names)) for tag, names in x[0]), x[1], x[2])
+        model = fit_labeller([[(read(x), y) for x, y in json.loads(r["taken"])] for r in taken])
     labeller = model
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ import os
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -408,7 +409,7 @@ def test_labels_are_found_without_telling_names():
     model = pages.train_labeller(learnt[:240])
     blocks = pages.parse(NEUTRAL)
     keep, told = pages.label_pages(model, [blocks])[0], pages.taught(blocks)
-    inside = [any(t == "article" for t, _ in b.path) for b in blocks]
+    inside = [any(t == "article" for t, _ in b.path.near()) for b in blocks]
     # The menu, the advert and the footer have no telling names; the article's parts have misleading ones.
     assert list(keep)[:12] == inside[:12] and sum(inside) == 8 and not keep[-1]
     # Where an article has an element the teacher is right too; without one it takes the furniture for text, and the model does not.
@@ -425,8 +426,8 @@ def test_labels_are_found_without_telling_names():
     wrong = collections.Counter()
     for marks, page in zip(pages.label_pages(model, others), others):
         for k, b in zip(marks, page):
-            inside = any(t == "article" for t, _ in b.path)
-            wrong["comment" if b.path[-1][0] == "p" and not inside else "other"] += int(bool(k) != inside)
+            inside = any(t == "article" for t, _ in b.path.near())
+            wrong["comment" if b.path.own[0] == "p" and not inside else "other"] += int(bool(k) != inside)
     assert wrong["other"] <= 5 and wrong["comment"] <= 60  # of 200 comments
 
 
@@ -453,6 +454,35 @@ def test_parse_ends_skipped_elements():
         assert text(f"<main><div><{tag}><div>gone</div><{tag}>gone</{tag}> gone</{tag}>a</div></main>") == "a", tag
     assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == "so x=2 holds"
     assert text("<div><button><script>'</div>'</script>gone</button>a</div><script>gone") == "a"
+    # Without a closing tag an element ends before the first block.
+    assert text("<body><button>Menu<p>Article one.</p><p>Two.</p></body>") == "Article one. Two."
+    assert text("<button>gone<p>a</p><button>gone</button><p>b</p><select><option>gone") == "a b"
+    assert text("<svg><title/><style/></svg><p>a</p><head><p>b</p><head>") == "a b"
+
+
+def test_deep_and_broken_pages_take_time_in_proportion():
+    model = pages.train_labeller([PAGE.format(k=k) for k in range(20)], epochs=2)
+    start = time.monotonic()
+    deep = pages.parse("<div>x" * 200_000)
+    assert len(deep) == 200_000 and deep[-1].path.depth == 200_000 and len(pages.vectors(deep)) == 200_000
+    for tag in ("button", "svg", "head", "p", "li", "a", "template"):
+        pages.parse(f"<{tag}>x" * 200_000)
+    pages.parse("<div>" * 100_000 + "</div></p>" * 100_000)
+    assert time.monotonic() - start < 90
+    assert len(pages.label_pages(model, [deep[:20_000]])[0]) == 20_000
+
+
+def test_long_pages_are_learnt_in_stretches(spark):
+    long = "<nav><ul><li>Home</li></ul></nav><article>" + "".join(f"<p>Paragraph {i} of the article, which goes on for a while.</p>" for i in range(300)) + "</article><footer><p>All rights reserved</p></footer>"
+    drawn = pages.examples(long, 4000)
+    assert 0 < sum(len(x.text) for x, _ in drawn) <= 4000 and all(y for _, y in drawn if "Paragraph" in _.text) and len(pages.examples(long)) == 302
+    assert pages.examples("<p>" + "x" * 5000, 4000) == [] == pages.examples("")
+    df = spark.createDataFrame([(k, None, long.replace("article,", f"article {k},")) for k in range(12)], "page_id long, url string, html string")
+    for r in pages.extract_text(df, stretch=4000).collect():
+        assert r.n_kept == 300 and r.text.startswith("Paragraph 0 ") and "Home" not in r.text and "reserved" not in r.text
+    # No block to learn from: the markup's labels.
+    big = df.select("page_id", "url", F.concat(F.lit("<nav>Home</nav><p>"), F.repeat(F.lit("word "), 2000)).alias("html"))
+    assert {r.n_chars for r in pages.extract_text(big, stretch=4).collect()} == {9999}
 
 
 def test_parse_decodes_and_joins():
