@@ -8,11 +8,13 @@ with many matches costs what its matches cost, not their square.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusward.functions.regexes import compiled, java_pattern
 from corpusward.functions.text import java_quote
@@ -173,6 +175,60 @@ def literal_presence(df: DataFrame, literals: list[str], keys: list[str] = ["pat
     return df.select(*keys, F.inline(tests))
 
 
+#: Literals, and their bytes, that one pass looks for.
+LITERALS, LITERAL_BYTES = 100_000, 8 << 20
+
+
+def literal_hits(df: DataFrame, literals: DataFrame, keys: list[str] = ["path"], text_col: str = "text") -> DataFrame:  # noqa: B006
+    """(keys, literal) for every distinct ``literal`` that a text holds, overlapping or not.
+
+    A text is read once for all literals by an automaton of them, so time does not grow with
+    their number.  Automata hold about ``LITERALS`` literals or ``LITERAL_BYTES`` bytes; a larger
+    table takes several passes, none holding more.  The empty literal is in every text;
+    null literals and texts are in none.
+    """
+    words = literals.select("literal").where("literal is not null").distinct()
+    n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("literal")), F.lit(0))).first()
+    passes = max(1, -(-n // LITERALS), -(-size // LITERAL_BYTES))
+    texts = df.select(*keys, F.col(text_col).alias("_text")).where("_text is not null")
+    schema = StructType([*df.select(*keys).schema.fields, StructField("literal", StringType())])
+
+    def finder(own: list[str]):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for k, word in enumerate(own):
+                if word:
+                    automaton.add_word(word, k)
+            automaton.make_automaton()
+            always = {k for k, word in enumerate(own) if not word}
+
+            def rows(batch: pa.RecordBatch, at: list[int], hits: list[int]) -> pa.RecordBatch:
+                kept = batch.select(range(len(keys))).take(pa.array(at, pa.int64()))
+                return pa.RecordBatch.from_arrays([*kept.columns, pa.array([own[k] for k in hits], pa.string())], names=schema.names)
+
+            for batch in batches:
+                at: list[int] = []
+                hits: list[int] = []
+                for i, text in enumerate(batch.column(len(keys))):
+                    found = always | ({k for _, k in automaton.iter(text.as_py())} if len(automaton) else set())
+                    at += [i] * len(found)
+                    hits += sorted(found)
+                    if len(hits) > 1 << 16:
+                        yield rows(batch, at, hits)
+                        at, hits = [], []
+                yield rows(batch, at, hits)
+
+        return work
+
+    parts = []
+    for k in range(passes):
+        own = words.where(F.pmod(F.xxhash64("literal"), F.lit(passes)) == k).toArrow()["literal"].to_pylist()
+        parts.append(texts.mapInArrow(finder(sorted(own)), schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def first_match(df: DataFrame, pattern: str, keys: list[str] = ["path"], text_col: str = "text", **flags: bool) -> DataFrame:  # noqa: B006
     """(keys, start_byte, end_byte, text) of the first match of each text that has one."""
     c = compiled(pattern, **flags)
@@ -202,4 +258,4 @@ def lines(df: DataFrame, keys: list[str] = ["path"], text_col: str = "text") ->
     return rows.select(*keys, "line_no", "start_byte", (F.col("start_byte") + F.octet_length("text")).alias("end_byte"), "text")
 
 
-__all__ = ["capture_text", "find_all", "find_in", "first_match", "is_match", "java_quote", "lines", "literal_presence", "spans", "stepped"]
+__all__ = ["capture_text", "find_all", "find_in", "first_match", "is_match", "java_quote", "lines", "literal_hits", "literal_presence", "spans", "stepped"]

@@ -127,6 +127,13 @@ def e7_literal_presence(spark, sf_dir):
     return patterns.literal_presence(corpus(spark, sf_dir), ["token", "tok", "licensed", "License", "the"])
 
 
+@query(f"""WITH {CORPUS_SQL}, words AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS literal FROM benchmark)
+SELECT literal, count(*) AS n_texts FROM words JOIN corpus ON contains(corpus.text, literal) GROUP BY literal""")
+def e7_literal_hits(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("literal"))
+    return patterns.literal_hits(corpus(spark, sf_dir), words).groupBy("literal").agg(F.count("*").alias("n_texts"))
+
+
 @query(f"WITH {CORPUS_SQL}, f AS ({spans_sql('path', 'corpus', repr('[0-9]{3,}'))}) SELECT path, start_byte, end_byte, text FROM f WHERE ord = 0")
 def e8_first_match(spark, sf_dir):
     return patterns.first_match(corpus(spark, sf_dir), "[0-9]{3,}")

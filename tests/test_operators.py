@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusward.functions.digest import with_digest
-from corpusward.operators import detect, findings, fixtures, ledger, markup, records, report, scope, spans
+from corpusward.operators import detect, findings, fixtures, ledger, markup, patterns, records, report, scope, spans
 from corpusward.plans import check, incremental
 from corpusward.sources import corpus as source
 from corpusward.sources import selection
@@ -394,3 +394,17 @@ def test_scopes_are_looked_up_by_folders_and_suffixes(spark, monkeypatch, few):
         assert not {"BroadcastNestedLoopJoin", "CartesianProduct"} & set(re.findall(r"\w+", keyed._jdf.queryExecution().toString()))
     assert scope.relevant_gaps(files, scopes.where("rule_id = 'c'").drop("rule_id")).count() == 5
     assert scope.scope_join(scopes.where("false"), files).count() == scope.scope_join(scopes, files.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_literal_hits(spark, monkeypatch, most):
+    """Overlaps, repeats, the empty literal and nulls; in one pass and in several."""
+    monkeypatch.setattr(patterns, "LITERALS", most)
+    words = ["he", "she", "hers", "is", "", "é😀", "\n", "he", None, "absent", "ushers"]
+    rows = [("a", 1, "ushers"), ("b", 2, ""), ("c", 3, None), ("d", 4, "é😀 this\nhe"), ("d", 4, "é😀 this\nhe"), (None, 5, "his" * 50_000)]
+    df = spark.createDataFrame(rows, "path string, literal_no int, text string")
+    literals = spark.createDataFrame([(w,) for w in words], "literal string")
+    got = [tuple(r) for r in patterns.literal_hits(df, literals, ["path", "literal_no"]).collect()]
+    key = lambda r: (str(r[0]), *r[1:])
+    assert sorted(got, key=key) == sorted([(p, n, w) for p, n, t in rows if t is not None for w in set(words) - {None} if w in t], key=key)
+    assert patterns.literal_hits(df, literals.where("false")).count() == patterns.literal_hits(df.where("false"), literals).count() == 0
