@@ -218,6 +218,25 @@ def repository_gap_guard(raw: DataFrame, rules: DataFrame, gaps: DataFrame) -> t
     return raw.join(touched, "rule_id", "left_anti"), touched.withColumn("error", F.lit("source_gap"))
 
 
+def detect_each_within(rules: DataFrame, corpus: DataFrame, per_call: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(findings, errors): :func:`detect_each`, but a pattern with more than ``per_call`` matches in a text fails.
+
+    A failed (rule, path) has no finding, and is a row of errors.  A text is searched up to
+    one match beyond the limit before its matches are listed, so one with millions costs the limit;
+    only matches of patterns that can match the empty text are stepped through and counted.
+    """
+    rows = _rows(rules, "code")
+    texts = _texts(rows, corpus, False)
+    over = F.size(F.split(F.col("text"), F.col("java"), per_call + 2)) > per_call + 1
+    found, failed = spans(texts.where(~over), F.col("java"), ["path", "java"]), texts.where(over).select("path", "java")
+    if _steps(rows):
+        some = stepped(_texts(rows, corpus, True), F.col("steps"), ["path", "java"])
+        many = some.groupBy("path", "java").agg(F.count("*").alias("n")).where(F.col("n") > per_call).select("path", "java")
+        found, failed = found.unionByName(some.join(many, ["path", "java"], "left_anti")), failed.unionByName(many)
+    errors = _fanned(failed, rows).select("rule_id", "path", F.lit("match_limit").alias("error")).distinct()
+    return failed_invocations(_fanned(found, rows).select(*RAW), errors), errors
+
+
 def enforce_limits(raw: DataFrame, per_rule_file: int) -> tuple[DataFrame, DataFrame]:
     """(findings, errors): a (rule, path) over the limit loses all its findings and is an error."""
     counts = raw.groupBy("rule_id", "path").agg(F.count("*").alias("n"))

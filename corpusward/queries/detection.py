@@ -143,6 +143,14 @@ def g12_enforce_limits(spark, sf_dir):
     return good.unionByName(errors.withColumn("n_findings", F.lit(0).cast("long")))
 
 
+@query(f"""WITH {MATCHES}, n AS (SELECT rule_id, path, count(*) AS n FROM found GROUP BY rule_id, path)
+SELECT rule_id, path, CASE WHEN n > 1 THEN 'match_limit' END AS error, CASE WHEN n > 1 THEN 0 ELSE n END AS n_findings FROM n""")
+def g12_call_limit(spark, sf_dir):
+    kept, errors = detect.detect_each_within(rule_rows(spark), corpus(spark, sf_dir), 1)
+    good = kept.groupBy("rule_id", "path").agg(F.count("*").alias("n_findings")).withColumn("error", F.lit(None).cast("string"))
+    return good.unionByName(errors.withColumn("n_findings", F.lit(0).cast("long")))
+
+
 @query(f"WITH {MATCHES} SELECT {_RAW} FROM found WHERE NOT (rule_id LIKE 'local/%' AND path LIKE 'src2/%')")
 def g13_failed_invocations(spark, sf_dir):
     failed = scope.scope_join(rule_rows(spark), corpus(spark, sf_dir)).where("rule_id like 'local/%' and path like 'src2/%'")

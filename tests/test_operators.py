@@ -408,3 +408,15 @@ def test_literal_hits(spark, monkeypatch, most):
     key = lambda r: (str(r[0]), *r[1:])
     assert sorted(got, key=key) == sorted([(p, n, w) for p, n, t in rows if t is not None for w in set(words) - {None} if w in t], key=key)
     assert patterns.literal_hits(df, literals.where("false")).count() == patterns.literal_hits(df.where("false"), literals).count() == 0
+
+
+def test_calls_stop_beyond_their_limit(spark):
+    rules = rule(spark, ("one", "hit", "ab", ""), ("twin", "hit", "ab", ""), ("other", "hit", "b$", ""), ("two", "hit", "a", ""), ("two", "more", "c", ""), ("empty", "hit", "x*", ""), ("broken", "hit", "(", ""))
+    texts = corpus(spark, exact="ab" * 3, over="ab" * 4, mixed="aaaac", none="", long="ab" * 1_000_000)
+    found, errors = detect.detect_each_within(rules, texts.where("path != 'long'").union(spark.createDataFrame([("null", None)], "path string, text string")), 3)
+    assert sorted((r.rule_id, r.path) for r in errors.collect()) == [("empty", "exact"), ("empty", "mixed"), ("empty", "over"), ("one", "over"), ("twin", "over"), ("two", "mixed"), ("two", "over")]
+    every = detect.detect_each(rules, texts.where("path != 'long'"))
+    assert sorted(found.collect()) == sorted(detect.failed_invocations(every, errors).collect()) and found.where("rule_id = 'two'").count() == 3
+    found, errors = detect.detect_each_within(rules.where("rule_id in ('one', 'other')"), texts)
+    assert [(r.rule_id, r.path) for r in errors.collect()] == [("one", "long")]
+    assert [(r.rule_id, r.start_byte) for r in found.where("path = 'long'").collect()] == [("other", 1_999_999)]
