@@ -2,8 +2,11 @@
 
 Base rules count words, symbols, repeated lines and repeated 3-word windows of whole
 texts.  The fertility rules run public vocabularies over the words: characters per
-token, the share of byte-fallback tokens and the entropy of a text's tokens.  Each
-figure has a rejection band per language (or per script, where a row has no language).
+token, the share of byte-fallback tokens and the entropy of a text's tokens, over the
+whole text and over windows of :data:`WINDOW` tokens (their mean and the least of them),
+which do not grow with the text.  Each figure has a rejection band per language (or per
+script, where a row has no language).  The verdict is that of the base rules and these
+bands; symbols and repeated lines are counted and judge nothing.
 
 Bands left open come from the corpus itself: the median of all documents of the
 language, give or take ``width`` times the median distance from it, and never tighter
@@ -20,6 +23,7 @@ tokens are those of its words; a task encodes each distinct word of a batch once
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
@@ -37,9 +41,11 @@ TOKENIZERS = "/opt/tokenizers"
 SYMBOLS = b"#*$%&|<>"
 #: Distinct words whose tokens a task remembers.
 REMEMBERED = 1 << 17
-FIGURES = ("chars_per_token", "chars_per_byte_token", "fallback_share", "token_entropy")
+FIGURES = ("chars_per_token", "chars_per_byte_token", "fallback_share", "token_entropy", "window_entropy", "least_window_entropy")
+#: Tokens of a window; the last window of a text ends with it, shorter texts have none.
+WINDOW = 64
 #: Half-widths that no learned band goes below.
-LEAST_WIDTH = {"chars_per_token": 0.35, "chars_per_byte_token": 0.35, "fallback_share": 0.05, "token_entropy": 1.5}
+LEAST_WIDTH = {"chars_per_token": 0.35, "chars_per_byte_token": 0.35, "fallback_share": 0.05, "token_entropy": 1.5, "window_entropy": 0.24, "least_window_entropy": 0.5}
 #: First code points and names of the scripts told apart.
 SCRIPTS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x1100, "hangul"), (0x3040, "kana"), (0x3400, "han"), (0xAC00, "hangul"), (0xD7B0, "other"))
 
@@ -119,6 +125,29 @@ def _per_row(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values)])[rows])
 
 
+def _run_logs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of sorted ``code`` and c log2 c of their counts c."""
+    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])) if len(code) else np.zeros(1, np.int64)
+    count = np.diff(new).astype(float)
+    return code[new[:-1]], count * np.log2(count)
+
+
+def _windows(token: np.ndarray, token_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and least token entropy of each row's windows, NaN for rows with less than a window of tokens."""
+    size = np.diff(token_rows)
+    many = np.where(size >= WINDOW, -(-size // WINDOW), 0)
+    row = np.repeat(np.arange(len(size)), many)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    start = token_rows[row] + np.minimum(nth * WINDOW, size[row] - WINDOW)
+    held = np.sort(token[start[:, None] + np.arange(WINDOW)].astype(np.int64), axis=1)
+    code, logs = _run_logs(((np.arange(len(row)) << 20)[:, None] | held).ravel())
+    entropy = math.log2(WINDOW) - np.bincount(code >> 20, logs, minlength=len(row)) / WINDOW
+    least = np.full(len(size), np.inf)
+    np.minimum.at(least, row, entropy)
+    mean = np.bincount(row, entropy, minlength=len(size)) / np.maximum(many, 1)
+    return np.where(many > 0, mean, np.nan), np.where(many > 0, least, np.nan)
+
+
 def _measure(data, offsets, memory: _Words) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     starts, ends, rows = spans(data, offsets)
@@ -168,10 +197,9 @@ def _measure(data, offsets, memory: _Words) -> dict[str, np.ndarray]:
     pick = np.repeat(memory.start[word] - total[:-1], size) + np.arange(total[-1]) if len(keys) else word
     token = memory.tokens[pick]
     code = np.sort((np.repeat(np.arange(n), n_tokens) << 20) | token)
-    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])) if len(code) else np.zeros(1, np.int64)
-    count = np.diff(new).astype(float)
+    code, logs = _run_logs(code)
     some = np.maximum(n_tokens, 1)
-    per_doc = np.bincount(code[new[:-1]] >> 20, count * np.log2(count), minlength=n) if len(code) else np.zeros(n)
+    per_doc = np.bincount(code >> 20, logs, minlength=n)
     out["n_tokens"] = n_tokens
     byte_tokens = _per_row(rows, memory.n_byte_tokens[word])
     has = n_tokens > 0
@@ -179,6 +207,7 @@ def _measure(data, offsets, memory: _Words) -> dict[str, np.ndarray]:
     out["chars_per_byte_token"] = np.where(has, out["word_chars"] / np.maximum(byte_tokens, 1), np.nan)
     out["fallback_share"] = np.where(has, _per_row(rows, memory.n_bytes[word]) / some, np.nan)
     out["token_entropy"] = np.where(has, np.maximum(np.log2(some) - per_doc / some, 0), np.nan)
+    out["window_entropy"], out["least_window_entropy"] = _windows(token, token_rows)
     return out
 
 
@@ -271,7 +300,7 @@ def learned_bands(figures: DataFrame, width: float, least_width: dict[str, float
     return bands.groupBy("lang").agg(*ends)
 
 
-def _judged(figures: DataFrame, bands, width: float, least_width: dict[str, float], symbol_share: float, dup_line_share: float) -> DataFrame:
+def _judged(figures: DataFrame, bands, width: float, least_width: dict[str, float]) -> DataFrame:
     """``figures`` with base_failed, failed_figures and passes."""
     if bands is None:
         limits = _small(learned_bands(figures, width, least_width).withColumnRenamed("lang", "band"))
@@ -289,8 +318,6 @@ def _judged(figures: DataFrame, bands, width: float, least_width: dict[str, floa
                         value = F.when(F.col("lang") == name, F.lit(own[c][at]).cast("double")).otherwise(value)
                 side[c] = value
     fails = [F.when((F.col(c) < low[c]) | (F.col(c) > high[c]), F.lit(c)) for c in FIGURES]
-    fails.append(F.when(F.col("n_symbols") > F.col("word_chars") * symbol_share, F.lit("n_symbols")))
-    fails.append(F.when(F.col("n_dup_lines") > F.col("n_lines") * dup_line_share, F.lit("n_dup_lines")))
     judged = rows.withColumns({"base_failed": base_failed(), "failed_figures": F.array_compact(F.array(*fails))})
     return judged.withColumn("passes", ~F.col("base_failed") & (F.size("failed_figures") == 0))
 
@@ -303,20 +330,19 @@ def quality_rules(
     bands: dict[str, dict[str, tuple[float, float]]] | None = None,
     width: float = 6.0,
     least_width: dict[str, float] = LEAST_WIDTH,
-    symbol_share: float = 0.1,
-    dup_line_share: float = 0.5,
     tokenizers: str = TOKENIZERS,
 ) -> DataFrame:
     """(id_col, counts, base_failed, figures, failed_figures, kept) for every row of ``docs``.
 
     ``bands`` gives (low, high) of figures by language or ``script:`` name, with ``*`` for
-    the rest; None learns them from the corpus.  A row is kept if the base rules, every
-    band and the two shares (symbols per character of the words, repeats' part of the lines
-    with words) hold.  Null and empty texts fail the base rules.  Repeated rows and null
-    ids are judged alike, row by row; other columns are ignored.
+    the rest; None learns them from the corpus.  A row is kept if the base rules and every
+    band hold; ``failed_figures`` names the figures outside theirs.  Null and empty texts
+    fail the base rules.  Repeated rows and null ids are judged alike, row by row; other
+    columns are ignored.  An empty table gives no rows.  Texts of any length are read
+    whole, in one task each.
     """
     figures = stored(measure(docs, id_col, text_col, lang_col, tokenizers), "figures")
-    rows = _judged(figures, bands, width, least_width, symbol_share, dup_line_share)
+    rows = _judged(figures, bands, width, least_width)
     return rows.select(F.col("id").alias(id_col), *COUNTS[:5], "base_failed", "n_lines", "n_tokens", *FIGURES, "failed_figures", F.col("passes").alias("kept"))
 
 
@@ -327,8 +353,6 @@ def keep_good(
     bands: dict[str, dict[str, tuple[float, float]]] | None = None,
     width: float = 6.0,
     least_width: dict[str, float] = LEAST_WIDTH,
-    symbol_share: float = 0.1,
-    dup_line_share: float = 0.5,
     tokenizers: str = TOKENIZERS,
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, all columns.
@@ -338,5 +362,5 @@ def keep_good(
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     figures = stored(_measured(docs.select(row.alias("kept"), _language(text_col, lang_col).alias("lang"), F.col(text_col).alias("text")), tokenizers), "judged")
-    rows = _judged(figures, bands, width, least_width, symbol_share, dup_line_share).where("passes")
+    rows = _judged(figures, bands, width, least_width).where("passes")
     return rows.select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns])

@@ -349,13 +349,39 @@ def test_quality_counts_equal_brute_force(spark):
     assert collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
     lines = collections.Counter((d, sum(bool(WORD.search(x)) for x in (t or "").split("\n"))) for d, t in rows)
     assert collections.Counter((r.doc_id, r.n_lines) for r in got) == lines
-    assert all(("n_dup_lines" in r.failed_figures) == (2 * r.n_dup_lines > r.n_lines) for r in got)
+    assert all(set(r.failed_figures) <= set(fertility.FIGURES) and r.kept == (not r.base_failed and not r.failed_figures) for r in got)
     for r in got:
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         assert r.kept is not None and not (r.kept and r.base_failed)
     assert fertility.quality_rules(make_docs(spark, rows).where("false")).count() == 0
 
 
+def entropy_of(ids):
+    return -sum(c / len(ids) * math.log2(c / len(ids)) for c in collections.Counter(ids).values())
+
+
+def window_entropies(ids):
+    """Mean and least entropy of windows of 64 tokens, the last of which ends with the text."""
+    if len(ids) < 64:
+        return None, None
+    each = [entropy_of(ids[a : a + 64]) for a in [min(64 * k, len(ids) - 64) for k in range(-(-len(ids) // 64))]]
+    return sum(each) / len(each), min(each)
+
+
+def test_rejections_come_from_fertility(spark):
+    """Junk without a rule of its own is told by its tokens: marked words, a junk passage in prose, one word in turn."""
+    rng = random.Random(14)
+    rows = [(k, prose(rng, rng.randint(150, 400))) for k in range(300)]
+    marked = [(1000 + k, " ".join(w + rng.choice(["%%%", "&&&", "***"]) for w in prose(rng, 200).split(" "))) for k in range(10)]
+    passage = [(2000 + k, prose(rng, 150) + " " + " ".join(f"| {rng.randint(0, 9)}" for _ in range(120)) + " " + prose(rng, 150)) for k in range(10)]
+    listed = [(3000 + k, "\n".join(["a line of few words"] * 3 + [prose(rng, 250)])) for k in range(3)]
+    got = {r.doc_id: r for r in fertility.quality_rules(make_docs(spark, rows + marked + passage + listed)).collect()}
+    assert sum(not got[d].kept for d, _ in rows) <= 3
+    assert not any(got[d].kept for d, _ in marked + passage)
+    assert all("least_window_entropy" in got[d].failed_figures for d, _ in passage if not got[d].base_failed)
+    assert all(got[d].n_dup_lines == 2 for d, _ in listed)
+
+
 def test_token_figures_equal_whole_texts(spark):
     import sentencepiece
 
@@ -370,6 +396,9 @@ def test_token_figures_equal_whole_texts(spark):
         assert got[k].n_tokens == len(ids)
         assert math.isclose(got[k].token_entropy, entropy, abs_tol=1e-9)
         assert math.isclose(got[k].fallback_share, sum(model.IsByte(i) for i in ids) / len(ids))
+        mean, least = window_entropies(ids)
+        assert (got[k].window_entropy is None) == (mean is None) == (len(ids) < 64)
+        assert mean is None or math.isclose(got[k].window_entropy, mean, abs_tol=1e-9) and math.isclose(got[k].least_window_entropy, least, abs_tol=1e-9)
     fixed = fertility.quality_rules(make_docs(spark, [(0, texts[0])]), bands={"en": {"token_entropy": (0, 1)}, "*": {}}).first()
     assert fixed.failed_figures == ["token_entropy"] and not fixed.kept
 
@@ -812,19 +841,18 @@ def brute_rules(rows):
     encode = fertility._byte_model(fertility.TOKENIZERS).encode_ordinary
     seen = []
     for text in rows:
-        n_words, chars, symbols, _, repeats = brute_counts(text)
+        n_words, chars, _, _, repeats = brute_counts(text)
         ids = [i for w in WORD.findall(text or "") for i in model.encode(w)]
         n = max(len(ids), 1)
-        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
-        figures = (chars / n, chars / max(sum(len(encode(" " + w)) for w in WORD.findall(text or "")), 1), sum(map(model.IsByte, ids)) / n, -sum(c / n * math.log2(c / n) for c in collections.Counter(ids).values()))
+        figures = (chars / n, chars / max(sum(len(encode(" " + w)) for w in WORD.findall(text or "")), 1), sum(map(model.IsByte, ids)) / n, entropy_of(ids), *window_entropies(ids))
         good = n_words >= 50 and 100 * repeats <= 50 * n_words
-        seen.append((good, figures, symbols <= 0.1 * chars and 2 * (len(lines) - len(set(lines))) <= len(lines)))
-    out = [good and plain for good, _, plain in seen]
+        seen.append((good, figures))
+    out = [good for good, _ in seen]
     for k, name in enumerate(fertility.FIGURES):
-        grid = [round(f[k] * fertility.GRID) / fertility.GRID for good, f, _ in seen if good]
+        grid = [round(f[k] * fertility.GRID) / fertility.GRID for good, f in seen if good and f[k] is not None]
         middle = statistics.median(grid)
         half = max(6.0 * statistics.median(abs(x - middle) for x in grid), fertility.LEAST_WIDTH[name])
-        out = [o and middle - half <= f[k] <= middle + half for o, (_, f, _) in zip(out, seen)]
+        out = [o and (f[k] is None or middle - half <= f[k] <= middle + half) for o, (_, f) in zip(out, seen)]
     return out
 
 
