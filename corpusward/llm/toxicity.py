@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Examples are a bounded sample of the labelled texts, half of each class where there are
-enough.  The vocabulary holds every word and four-letter word beginning of the examples;
-a term weighs more the more standard errors its shares of the two classes of examples
-differ by, and never nothing.  Inverse document frequencies count all documents.  The index stores postings by term and block of
-similar examples, with the largest weight of each term in each block.  For a text, blocks
-are opened in order of the bound that these maxima give, until no block can hold a nearer
-example than those found: the ``neighbours`` nearest are exact.  Their labels vote by
-similarity, and the vote is calibrated on the examples themselves, each left out in turn.
+enough.  Terms are words and four-letter word beginnings; document frequencies count all
+documents, and a text's norm is over all of its terms, whether an example has them or not.
+The index stores postings by term and block of similar examples, with the largest weight
+of each term in each block.  For a text, blocks are opened in order of the bound that these
+maxima give, until no block can hold a nearer example than those found: the ``neighbours``
+nearest are exact.  Their labels vote, the nearer the more.  A neighbour's vote also grows with the part
+of the cosine that telling terms hold (terms whose shares of the two classes of examples
+differ by many standard errors), so a common subject alone says little.  The vote is
+calibrated on the examples themselves, each left out in turn.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,22 +61,29 @@ def _telling(row: np.ndarray, rank: np.ndarray, y: np.ndarray, n_terms: int, hal
 
 
 class Vocabulary:
-    """Term hashes in order, with the weight that a term's document frequency gives."""
+    """Term hashes of the examples in order, with the inverse document frequency of each."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray | None = None):
+    def __init__(self, terms: np.ndarray, idf: np.ndarray):
         self.terms, self.idf = terms, idf
 
-    def rows(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first row, end row, rows, term ranks, counts) of slices of a string column."""
-        for first, end, doc, term in _row_terms(texts):
-            at = np.minimum(np.searchsorted(self.terms, term), max(len(self.terms) - 1, 0))
-            hit = self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
-            yield first, end, *_counted(doc[hit], at[hit], max(len(self.terms), 1))
+    def find(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each term, and whether it is there."""
+        if not len(self.terms):
+            return np.zeros(len(term), np.int64), np.zeros(len(term), bool)
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        return at, self.terms[at] == term
 
-    def weights(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(count)) * self.idf[term]
-        norm = np.sqrt((w * w).sum())
-        return w / norm if norm > 0 else w
+
+def _rows(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, rows, terms, counts) of slices of a string column, by rows; every term of a row once."""
+    for first, end, doc, term in _row_terms(texts):
+        distinct, rank = np.unique(term, return_inverse=True)
+        doc, rank, count = _counted(doc, rank, max(len(distinct), 1))
+        yield first, end, doc, distinct[rank], count
+
+
+def _idf(n_docs: float, df: np.ndarray | float):
+    return np.log((n_docs + 1) / (df + 0.5))
 
 
 class BlockMaxIndex:
@@ -94,36 +104,13 @@ class BlockMaxIndex:
         self.most = np.zeros((n_terms, self.n_blocks))
         np.maximum.at(self.most, (term, slot // block), weight)
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k nearest examples with a positive cosine, their cosines, and the blocks opened.
-
-        Ties go to the example that comes first in the index; ``skip`` is left out.
-        """
-        bound = weight @ self.most[term] if len(term) else np.zeros(self.n_blocks)
-        found = np.zeros(0, np.int64)
-        cosine = np.zeros(0)
-        opened = 0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(cosine) >= k and bound[b] < cosine[k - 1] - 1e-12):
-                break
-            opened += 1
-            at = term * self.n_blocks + b
-            a, size = self.start[at], self.start[at + 1] - self.start[at]
-            pick = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            sums = np.bincount(self.slot[pick] - b * self.block, self.weight[pick] * np.repeat(weight, size), minlength=self.block)
-            hit = np.flatnonzero(sums > 0) + b * self.block
-            hit = hit[self.order[hit] != skip]
-            found = np.concatenate([found, hit])
-            cosine = np.concatenate([cosine, sums[hit - b * self.block]])
-            top = np.lexsort((found, -np.round(cosine, 12)))[:k]
-            found, cosine = found[top], cosine[top]
-        return self.order[found], cosine, opened
-
-    def nearest_many(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, example, cosine) of the k nearest examples of each row of a sparse matrix, as :func:`nearest` gives them.
+    def nearest_many(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, telling: np.ndarray | None = None):
+        """(row, example, cosine, told) of the k nearest examples with a positive cosine of each row of a sparse matrix.
 
         In turn every row opens its block of the next largest bound, all of them together,
-        until none has a block left that could hold a nearer example.
+        until none has a block left that could hold a nearer example.  Ties go to the example
+        that comes first in the index.  ``told`` is the cosine with each term's part times its
+        ``telling`` (1 by default).  ``opened`` holds the blocks opened by the last call.
         """
         n, n_blocks = len(start) - 1, self.n_blocks
         row = np.repeat(np.arange(n), np.diff(start))
@@ -133,37 +120,41 @@ class BlockMaxIndex:
             bound[live] = np.add.reduceat(weight[:, None] * self.most[term], start[:-1][live], axis=0)
         order = np.argsort(-bound, axis=1, kind="stable")
         bar = np.zeros(n)  # of each row, the k-th nearest cosine so far
-        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        self.opened = 0
         for turn in range(n_blocks):
             block = order[:, turn]
             best = bound[np.arange(n), block]
             open_ = (best > 0) & (best >= bar - 1e-12)
             if not open_.any():
                 break
+            self.opened += int(open_.sum())
             use = np.flatnonzero(open_[row])
             own = row[use]
             at = term[use] * n_blocks + block[own]
             a, size = self.start[at], self.start[at + 1] - self.start[at]
             pick = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             place = np.repeat(own * self.block, size) + self.slot[pick] % self.block
-            sums = np.bincount(place, self.weight[pick] * np.repeat(weight[use], size), minlength=n * self.block).reshape(n, self.block)
+            part = self.weight[pick] * np.repeat(weight[use], size)
+            sums = np.bincount(place, part, minlength=n * self.block).reshape(n, self.block)
+            told = sums if telling is None else np.bincount(place, part * np.repeat(telling[term[use]], size), minlength=n * self.block).reshape(n, self.block)
             if self.block > k:  # only what can be among the k nearest is sorted
                 low = -np.partition(-sums, k - 1, axis=1)[:, k - 1]
                 near = (sums > 0) & (sums >= np.maximum(low, bar)[:, None] - 1e-11)
             else:
                 near = sums > 0
             r, c = np.nonzero(near)
-            r, slot, cosine = (np.concatenate(x) for x in zip(found, (r, block[r] * self.block + c, sums[r, c])))
+            r, slot, cosine, told = (np.concatenate(x) for x in zip(found, (r, block[r] * self.block + c, sums[r, c], told[r, c])))
             by = np.lexsort((slot, -np.round(cosine, 12), r))
-            r, slot, cosine = r[by], slot[by], cosine[by]
+            r, slot, cosine, told = r[by], slot[by], cosine[by], told[by]
             first = np.searchsorted(r, np.arange(n + 1))
             keep = np.arange(len(r)) - first[r] < k
-            r, slot, cosine = r[keep], slot[keep], cosine[keep]
-            found = r, slot, cosine
+            r, slot, cosine, told = r[keep], slot[keep], cosine[keep], told[keep]
+            found = r, slot, cosine, told
             first = np.searchsorted(r, np.arange(n + 1))
             full = np.flatnonzero(np.diff(first) == k)
             bar[full] = cosine[first[full] + k - 1]
-        return found[0], self.order[found[1]], found[2]
+        return found[0], self.order[found[1]], found[2], found[3]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -191,47 +182,95 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50)
     return np.array([max(coef[0], 1e-2), coef[1]])
 
 
-class Scorer:
-    """Votes of the nearest examples, calibrated."""
+def _log_odds(v: np.ndarray) -> np.ndarray:
+    v = np.clip(v, 1e-3, 1 - 1e-3)
+    return np.log(v / (1 - v))
 
-    def __init__(self, vocabulary: Vocabulary, vectors, labels: np.ndarray, ids: np.ndarray, prior: float, k: int):
-        self.vocabulary, self.labels, self.ids, self.prior, self.k = vocabulary, labels, ids, prior, k
-        self.index = BlockMaxIndex(vectors, max(1, len(vocabulary.terms)))
+
+#: What the prior counts for among the votes.
+PRIOR_WEIGHT = 0.002
+
+
+class Examples:
+    """The index of the examples, their labels and what calibrates their votes."""
+
+    def __init__(self, vocabulary: Vocabulary, telling: np.ndarray, rows, labels: np.ndarray, ids: np.ndarray, prior: float, k: int):
+        row, term, count = rows  # by rows
+        self.vocabulary, self.telling, self.labels, self.ids, self.k = vocabulary, telling, labels, ids, k
+        weight = (1 + np.log(count)) * vocabulary.idf[term]
+        norm = np.sqrt(np.bincount(row, weight * weight, minlength=len(labels)))
+        weight = weight / np.where(norm > 0, norm, 1.0)[row]
+        cut = np.searchsorted(row, np.arange(len(labels) + 1))
+        self.index = BlockMaxIndex([(term[a:b], weight[a:b]) for a, b in zip(cut[:-1], cut[1:])], max(1, len(vocabulary.terms)))
         self.coef = np.array([1.0, 0.0])
         if len(labels) and 0 < labels.sum() < len(labels):
-            votes = np.array([self.vote(*self.index.nearest(t, w, k, skip=i)[:2]) for i, (t, w) in enumerate(vectors)])
+            votes = np.zeros(len(labels))
+            for at, stop in _batches(cut):
+                part = slice(cut[at], cut[stop])
+                r, near, cosine, told = self.index.nearest_many(cut[at : stop + 1] - cut[at], term[part], weight[part], k + 1, telling)
+                other = near != r + at
+                r, near, cosine, told = r[other], near[other], cosine[other], told[other]
+                first = np.arange(len(r)) - np.searchsorted(r, r) < k
+                r, pull = r[first], told[first] ** 2 / (1.05 - np.minimum(cosine[first], 1.0))
+                n = stop - at
+                votes[at:stop] = (np.bincount(r, pull * labels[near[first]], minlength=n) + PRIOR_WEIGHT * prior) / (np.bincount(r, pull, minlength=n) + PRIOR_WEIGHT)
             share = labels.mean()
-            weight = np.where(labels == 1, prior / share, (1 - prior) / (1 - share))
-            self.coef = _logistic(self._logit(votes), labels, weight)
-
-    @staticmethod
-    def _logit(v: np.ndarray | float):
-        v = np.clip(v, 1e-3, 1 - 1e-3)
-        return np.log(v / (1 - v))
-
-    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of the similarity that toxic neighbours hold; the prior counts as one cosine of 0.1."""
-        w = cosine / (1.05 - np.minimum(cosine, 1.0))
-        return float((w @ self.labels[near] + 0.1 * self.prior) / (w.sum() + 0.1))
-
-    def scores(self, start: np.ndarray, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The score of each row, and (row, example, cosine) of its nearest examples, nearest first."""
-        n = len(start) - 1
-        row = np.repeat(np.arange(n), np.diff(start))
-        w = (1 + np.log(count)) * self.vocabulary.idf[term]
-        norm = np.sqrt(np.bincount(row, w * w, minlength=n))
-        w = w / np.where(norm > 0, norm, 1.0)[row]
-        r, near, cosine = self.index.nearest_many(start, term, w, self.k)
-        pull = cosine / (1.05 - np.minimum(cosine, 1.0))
-        votes = (np.bincount(r, pull * self.labels[near], minlength=n) + 0.1 * self.prior) / (np.bincount(r, pull, minlength=n) + 0.1)
-        z = self._logit(votes) * self.coef[0] + self.coef[1]
-        return 1 / (1 + np.exp(-z)), r, near, cosine
+            self.coef = _logistic(_log_odds(votes), labels, np.where(labels == 1, prior / share, (1 - prior) / (1 - share)))
 
 
 #: Distinct terms of texts that are scored together, about.
 TOGETHER = 1 << 15
 
 
+def _batches(cut: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of the rows that are scored together; ``cut`` are the rows' first terms, with an end mark."""
+    at, n = 0, len(cut) - 1
+    while at < n:
+        stop = max(at + 1, min(int(np.searchsorted(cut, cut[at] + TOGETHER)), at + 256, n))
+        yield at, stop
+        at = stop
+
+
+def _lists(parts: list[tuple[np.ndarray, ...]], n: int, kind: pa.ListType) -> pa.Array:
+    """A list of structs for each of n rows from (rows in order, a column for each field) parts."""
+    fields = list(kind.value_type)
+    row = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]])
+    columns = [pa.array(np.concatenate([np.zeros(0, f.type.to_pandas_dtype()), *[p[k + 1] for p in parts]]), f.type) for k, f in enumerate(fields)]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=fields), type=kind)
+
+
+#: Distinct terms that a task counts before it passes the counts on.
+COUNTED = 1 << 20
+
+
+def _document_frequencies(texts: DataFrame) -> DataFrame:
+    """(term, n): how many rows hold each term; the null term counts the rows.  Tasks count before anything is shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, df, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        fresh: list[np.ndarray] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every, back = np.unique(np.concatenate([terms, *fresh]), return_inverse=True)
+            return every, np.bincount(back, np.concatenate([df, *[np.ones(len(t)) for t in fresh]]), minlength=len(every)).astype(np.int64)
+
+        for batch in batches:
+            n += batch.num_rows
+            for _, _, _, term, _ in _rows(batch.column(0)):
+                fresh.append(term)
+                if sum(map(len, fresh)) > COUNTED:
+                    terms, df = merged()
+                    fresh = []
+                    if len(terms) > COUNTED:
+                        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(df)], names=["term", "n"])
+                        terms, df = terms[:0], df[:0]
+        terms, df = merged()
+        yield pa.RecordBatch.from_arrays([pa.array([None, *terms.view(np.int64)], pa.int64()), pa.array([n, *df], pa.int64())], names=["term", "n"])
+
+    return texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -241,19 +280,23 @@ def score_toxicity(
     train_on=None,
     examples: int = 2000,
     half_z: float = 5.0,
-    neighbours: int = 15,
+    neighbours: int = 50,
     evidence: int = 3,
+    broadcast_terms: int = 1 << 20,
 ) -> DataFrame:
     """(id_col, score, predicted, evidence) for every row of ``docs``.
 
     ``labels`` has the id and a 0/1 label; ``train_on`` is a column condition on it for the
     rows that may be learnt from (all by default).  At most ``examples`` rows are examples,
     chosen by a hash of the id.  A term at ``half_z`` standard errors between the classes
-    has half of the weight of a certain one.  Null and empty texts, and texts without a
+    tells half as much as a certain one.  Document frequencies of up to ``broadcast_terms``
+    terms that no example has are broadcast, the most frequent first; where rarer ones than
+    these are in more than one document, they are joined to the texts' terms by a shuffle.  Null and empty texts, and texts without a
     word of any example, get the score of no neighbours.  Without labels of both classes every
     score is within 0.001 of the share of label 1 (0.5 without any label).  Repeated rows are scored each;
     of repeated labels the larger counts; null ids are scored but never examples.  Other
-    columns are ignored.
+    columns are ignored.  An empty table gives no rows; texts of any length are read whole,
+    in one task each.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), (F.lit(True) if train_on is None else train_on).alias("use"))
@@ -292,49 +335,82 @@ def score_toxicity(
     row = np.repeat(np.arange(len(ids)), [len(t) for t in held["terms"]])
     terms, rank = np.unique(_flat(held["terms"]).view(np.uint64), return_inverse=True)
     count = _flat(held["counts"])
-    vocabulary = Vocabulary(terms)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(max(len(terms), 1), np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            for _, _, _, term, _ in vocabulary.rows(batch.column(0)):
-                df += np.bincount(term, minlength=len(df))
-        rank = np.concatenate([[-1], np.flatnonzero(df)])
-        yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(np.concatenate([[n], df[rank[1:]]]))], names=["rank", "n"])
-
-    tally = all_texts.select("text").mapInArrow(frequencies, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n"))
-    tally = tally.toArrow()  # one row a term of the vocabulary
-    at, n = tally["rank"].to_numpy(), tally["n"].to_numpy()
+    tally = stored(_document_frequencies(all_texts.select("text")), "frequencies")
+    n_docs = tally.where("term is null").first()
+    n_docs = n_docs["n"] if n_docs else 0
+    own = parsed.select(F.explode("terms").alias("term")).distinct()
+    of_examples = tally.join(F.broadcast(own), "term").toArrow()  # at most the examples' terms
     df = np.zeros(len(terms))
-    df[at[at >= 0]] = n[at >= 0]
-    vocabulary.idf = np.log((n[at < 0].sum() + 1) / (df + 0.5)) * _telling(row, rank, y, len(terms), half_z)
-    cut = np.searchsorted(row, np.arange(len(ids) + 1))
-    units = [(rank[a:b], vocabulary.weights(rank[a:b], count[a:b])) for a, b in zip(cut[:-1], cut[1:])]
-    scorer = Scorer(vocabulary, units, y, np.array(ids), prior, neighbours)
-
-    near_type = pa.list_(pa.struct([("id", pa.int64() if id_type == "bigint" else pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    df[np.searchsorted(terms, of_examples["term"].to_numpy().view(np.uint64))] = of_examples["n"].to_numpy()
+    floor = 2
+    while tally.where(F.col("n") >= floor).count() > broadcast_terms:
+        floor *= 2
+    others = tally.where((F.col("n") >= floor) & F.col("term").isNotNull()).toArrow()  # at most broadcast_terms rows
+    order = np.argsort(others["term"].to_numpy().view(np.uint64))
+    frequent = Vocabulary(others["term"].to_numpy().view(np.uint64)[order], _idf(n_docs, others["n"].to_numpy()[order]))
+    single = _idf(n_docs, 1.0)
+    vocabulary = Vocabulary(terms, _idf(n_docs, df))
+    cut = np.argsort(row, kind="stable")
+    examples_ = Examples(vocabulary, _telling(row, rank, y, len(terms), half_z), (row[cut], rank[cut], count[cut]), y, np.array(ids), prior, neighbours)
+
+    near_type = pa.list_(pa.struct([("example", pa.int32()), ("cosine", pa.float64()), ("told", pa.float64())]))
+    rare_type = pa.list_(pa.struct([("term", pa.int64()), ("tf", pa.float64())]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, index = TaskContext.get().partitionId() << 33, examples_.index
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            shown: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for first, end, doc, term, count in vocabulary.rows(batch.column(1)):
+            known = np.zeros(batch.num_rows)  # squared norm over the terms whose frequency is known here
+            near_of: list[tuple[np.ndarray, ...]] = []
+            rare_of: list[tuple[np.ndarray, ...]] = []
+            for first, end, doc, term, count in _rows(batch.column(1)):
+                tf = 1 + np.log(count)
+                at, held = vocabulary.find(term)
+                place, often = frequent.find(term)
+                often &= ~held
+                weight = np.where(held, tf * vocabulary.idf[at], 0.0) if len(terms) else np.zeros(len(term))
+                if len(frequent.terms):
+                    weight = np.where(often, tf * frequent.idf[place], weight)
+                lone = ~held & ~often
+                if floor == 2:  # all that is left is in one document
+                    weight = np.where(lone, tf * single, weight)
+                else:
+                    rare_of.append((doc[lone] + first, term[lone].view(np.int64), tf[lone]))
+                known[first:end] = np.bincount(doc, weight * weight, minlength=end - first)
+                norm = np.sqrt(known[first:end])
+                doc, at, weight = doc[held], at[held], weight[held]
+                weight = weight / np.where(norm > 0, norm, 1.0)[doc]
                 cut = np.searchsorted(doc, np.arange(end - first + 1))
-                at = 0
-                while at < end - first:
-                    stop = max(at + 1, min(int(np.searchsorted(cut, cut[at] + TOGETHER)), at + 256, end - first))
-                    part = slice(cut[at], cut[stop])
-                    out[first + at : first + stop], row, near, cosine = scorer.scores(cut[at : stop + 1] - cut[at], term[part], count[part])
-                    rank = np.arange(len(row)) - np.searchsorted(row, row)
-                    for r, i, c in zip(row[rank < evidence], near[rank < evidence], cosine[rank < evidence]):
-                        shown[first + at + r].append({"id": scorer.ids[i].item() if id_type == "bigint" else str(scorer.ids[i]), "cosine": float(c), "label": int(scorer.labels[i])})
-                    at = stop
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(shown, near_type)], names=["id", "score", "evidence"])
-
-    near_id = "long" if id_type == "bigint" else "string"
-    out = all_texts.mapInArrow(score, f"id {id_type}, score double, evidence array<struct<id: {near_id}, cosine: double, label: int>>")
-    return out.select(F.col("id").alias(id_col), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
+                for a, b in _batches(cut):
+                    part = slice(cut[a], cut[b])
+                    r, near, cosine, told = index.nearest_many(cut[a : b + 1] - cut[a], at[part], weight[part], examples_.k, examples_.telling)
+                    near_of.append((r + first + a, near.astype(np.int32), cosine, told))
+            keys = np.arange(own, own + batch.num_rows)
+            own += batch.num_rows
+            cols = [batch.column(0), pa.array(keys, pa.int64()), pa.array(known), _lists(near_of, batch.num_rows, near_type), _lists(rare_of, batch.num_rows, rare_type)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "own", "known", "near", "rare"])
+
+    found = all_texts.mapInArrow(search, f"id {id_type}, own long, known double, near array<struct<example: int, cosine: double, told: double>>, rare array<struct<term: long, tf: double>>")
+    if floor > 2:
+        found = stored(found, "neighbours")  # so that a row's number stays its own
+        pairs = found.select("own", F.explode("rare").alias("x")).select("own", "x.term", "x.tf")
+        idf = F.log((F.lit(float(n_docs)) + 1) / (F.col("n") + 0.5))
+        more = pairs.join(tally.where(F.col("n") < floor), "term").groupBy("own").agg(F.sum((F.col("tf") * idf) ** 2).alias("more"))
+        found = found.join(more, "own", "left")
+        shrink = F.sqrt(F.col("known") / (F.col("known") + F.coalesce("more", F.lit(0.0))))
+        found = found.withColumn("near", F.transform("near", lambda x: F.struct(x["example"].alias("example"), (x["cosine"] * shrink).alias("cosine"), (x["told"] * shrink).alias("told"))))
+
+    # Labels and ids of the examples: at most `examples` of each.
+    label_of = F.lit(y.astype(int).tolist()) if len(y) else F.array().cast("array<int>")
+    id_of = F.lit([i.item() if id_type == "bigint" else str(i) for i in examples_.ids]) if len(y) else F.array().cast("array<string>")
+    shown_id = "long" if id_type == "bigint" else "string"
+    pull = lambda x: x["told"] * x["told"] / (1.05 - F.least(x["cosine"], F.lit(1.0)))
+    total = lambda f: F.aggregate("near", F.lit(0.0), lambda z, x: z + f(x))
+    vote = (total(lambda x: pull(x) * F.get(label_of, x["example"])) + PRIOR_WEIGHT * prior) / (total(pull) + PRIOR_WEIGHT)
+    vote = F.least(F.greatest(vote, F.lit(1e-3)), F.lit(1 - 1e-3))
+    odds = F.log(vote / (1 - vote)) * float(examples_.coef[0]) + float(examples_.coef[1])
+    shown = F.transform(F.slice("near", 1, evidence), lambda x: F.struct(F.get(id_of, x["example"]).cast(shown_id).alias("id"), x["cosine"].alias("cosine"), F.get(label_of, x["example"]).cast("int").alias("label")))
+    out = found.select(F.col("id").alias(id_col), (1 / (1 + F.exp(-odds))).alias("score"), shown.alias("evidence"))
+    return out.select(id_col, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -704,30 +704,29 @@ def test_block_max_search_is_exact():
     dense = np.zeros((300, 60))
     for k, (t, w) in enumerate(vectors):
         dense[k, t] = w
-    opened = 0
-    for k in range(100):
-        t, w = vectors[k]
-        near, cosine, n = index.nearest(t, w, 7)
-        want = np.sort(dense @ dense[k])[::-1][:7]
-        assert np.allclose(cosine, want[want > 1e-12])
-        assert np.allclose(dense[near] @ dense[k], cosine)
-        opened += n
-    assert opened < 100 * index.n_blocks
     some = [*vectors[:100], (np.zeros(0, np.int64), np.zeros(0)), vectors[0]]
     start = np.concatenate([[0], np.cumsum([len(t) for t, _ in some])])
-    row, near, cosine = index.nearest_many(start, np.concatenate([t for t, _ in some]).astype(np.int64), np.concatenate([w for _, w in some]), 7)
+    telling = rng.random(60)
+    row, near, cosine, told = index.nearest_many(start, np.concatenate([t for t, _ in some]).astype(np.int64), np.concatenate([w for _, w in some]), 7, telling)
+    assert index.opened < len(some) * index.n_blocks
     for k, (t, w) in enumerate(some):
-        want, sure, _ = index.nearest(t, w, 7)
-        assert list(near[row == k]) == list(want) and np.allclose(cosine[row == k], sure)
+        own = np.zeros(60)
+        own[t] = w
+        want = np.sort(dense @ own)[::-1][:7]
+        assert np.allclose(cosine[row == k], want[want > 1e-12])
+        assert np.allclose(dense[near[row == k]] @ own, cosine[row == k])
+        assert np.allclose(dense[near[row == k]] @ (own * telling), told[row == k])
 
 
-def test_toxicity_scores_equal_brute_force(spark):
-    """Scores and evidence of whole texts, from plain vectors over all terms of the examples."""
+@pytest.mark.parametrize("broadcast_terms", [1 << 20, 20])
+def test_toxicity_scores_equal_brute_force(spark, broadcast_terms):
+    """Scores and evidence from the definition: TF-IDF over every term of every text, cosine, the votes of the nearest."""
     rng = random.Random(11)
     rows, marks = toxic_rows(rng, 160)
     rows += [(500, "rotten " * 3000), (501, ""), (502, None), (503, "nothing known"), (504, rows[0][1])]
+    rows += [(600 + k, prose(rng, 30) + f" fresh{k // 2} {k % 7}{'other' * (k % 3 + 1)} seldom{k}") for k in range(40)]  # terms of no example
     docs = make_docs(spark, rows)
-    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, make_labels(spark, marks), train_on=~toxicity.held_out(), neighbours=5).collect()}
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, make_labels(spark, marks), train_on=~toxicity.held_out(), neighbours=5, broadcast_terms=broadcast_terms).collect()}
     labels = {d: y for d, _, y in marks if zlib.crc32(str(d).encode()) % 5}
 
     def terms(text):
@@ -735,34 +734,35 @@ def test_toxicity_scores_equal_brute_force(spark):
         return collections.Counter(words + ["^" + w[:4] for w in words if len(w) > 4])
 
     every = {d: terms(t) for d, t in rows}
-    used = {d: every[d] for d in labels}
-    vocabulary = set().union(*used.values())
-    df = collections.Counter(x for c in every.values() for x in c if x in vocabulary)
-    toxic = [d for d in used if labels[d]]
-    clean = [d for d in used if not labels[d]]
-    weight = {}
-    for x in vocabulary:
-        a, b = sum(x in used[d] for d in toxic), sum(x in used[d] for d in clean)
-        share = (a + b) / len(used)
-        z2 = (a / len(toxic) - b / len(clean)) ** 2 / (share * (1 - share) * (1 / len(toxic) + 1 / len(clean)) + 1e-12)
-        weight[x] = math.log((len(rows) + 1) / (df[x] + 0.5)) * (z2 + 0.25) / (z2 + 25)
+    df = collections.Counter(x for c in every.values() for x in c)
+    assert any(x not in set().union(*(every[d] for d in labels)) for x in df)
 
     def unit(c):
-        v = {x: (1 + math.log(n)) * weight[x] for x, n in c.items() if x in vocabulary}
+        v = {x: (1 + math.log(n)) * math.log((len(rows) + 1) / (df[x] + 0.5)) for x, n in c.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {x: w / norm for x, w in v.items()} if norm else {}
 
-    units = {d: unit(c) for d, c in used.items()}
+    toxic, clean = [d for d in labels if labels[d]], [d for d in labels if not labels[d]]
+    telling = {}
+    for x in df:
+        a, b = sum(x in every[d] for d in toxic), sum(x in every[d] for d in clean)
+        share = (a + b) / len(labels)
+        z2 = (a / len(toxic) - b / len(clean)) ** 2 / (share * (1 - share) * (1 / len(toxic) + 1 / len(clean)) + 1e-12)
+        telling[x] = (z2 + 0.25) / (z2 + 25)
+    units = {d: unit(every[d]) for d in labels}
     votes = {}
     for d, c in every.items():
         v = unit(c)
-        near = sorted(((sum(w * units[e].get(x, 0.0) for x, w in v.items()), e) for e in units), key=lambda p: -p[0])[:5]
-        near = [p for p in near if p[0] > 1e-12]
+        near = sorted(((sum(w * units[e].get(x, 0.0) for x, w in v.items()), e) for e in units), key=lambda p: -p[0])[:6]
+        near, sixth = [p for p in near[:5] if p[0] > 1e-12], near[5][0]
         assert len(got[d].evidence) == min(3, len(near)) and all(abs(e.cosine - c) < 1e-9 and e.label == labels[e.id] for e, (c, _) in zip(got[d].evidence, near))
-        pull = [(c / (1.05 - min(c, 1.0)), labels[e]) for c, e in near]
-        votes[d] = (sum(w * y for w, y in pull) + 0.1 * len(toxic) / len(used)) / (sum(w for w, _ in pull) + 0.1)
+        if len(near) == 5 and near[4][0] - sixth < 1e-9:
+            continue  # a tie for the last place: either may vote
+        pull = [(sum(w * telling[x] * units[e].get(x, 0.0) for x, w in v.items()) ** 2 / (1.05 - min(c, 1.0)), labels[e]) for c, e in near]
+        votes[d] = (sum(w * y for w, y in pull) + 0.002 * len(toxic) / len(labels)) / (sum(w for w, _ in pull) + 0.002)
     # Scores rise with the votes, alike for equal votes.
     order = sorted(votes, key=lambda d: votes[d])
+    assert len(order) > 150
     assert all(got[a].score <= got[b].score + 1e-6 for a, b in zip(order, order[1:]) if votes[b] - votes[a] > 1e-9)
     assert len({round(got[d].score, 9) for d in (501, 502)}) == 1
 
