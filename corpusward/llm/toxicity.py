@@ -280,7 +280,7 @@ def score_toxicity(
     train_on=None,
     examples: int = 2000,
     half_z: float = 5.0,
-    neighbours: int = 50,
+    neighbours: int = 100,
     evidence: int = 3,
     broadcast_terms: int = 1 << 20,
 ) -> DataFrame:
