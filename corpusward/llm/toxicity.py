@@ -4,12 +4,13 @@ Examples are a bounded sample of the labelled texts, half of each class where th
 enough.  Terms are words and four-letter word beginnings; document frequencies count all
 documents, and a text's norm is over all of its terms, whether an example has them or not.
 The index stores postings by term and block of similar examples, with the largest weight
-of each term in each block.  For a text, blocks are opened in order of the bound that these
-maxima give, until no block can hold a nearer example than those found: the ``neighbours``
-nearest are exact.  Their labels vote, the nearer the more.  A neighbour's vote also grows with the part
-of the cosine that telling terms hold (terms whose shares of the two classes of examples
-differ by many standard errors), so a common subject alone says little.  The vote is
-calibrated on the examples themselves, each left out in turn.
+of each term in each block; terms of many examples are a matrix in place of postings.  For
+a text, the blocks with the largest bounds by these maxima are opened, then all that could
+hold a nearer example than those found: the ``neighbours`` nearest are exact.  Their labels
+vote, the nearer the more.  A neighbour's vote also grows with the part of the cosine that
+telling terms hold (terms whose shares of the two classes of examples differ by many
+standard errors), so a common subject alone says little.  The vote is calibrated on the
+examples themselves, each left out in turn.
 """
 
 from __future__ import annotations
@@ -74,12 +75,12 @@ class Vocabulary:
         return at, self.terms[at] == term
 
 
-def _rows(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, rows, terms, counts) of slices of a string column, by rows; every term of a row once."""
+def _rows(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, rows, ranks, counts, the slice's terms by rank) of slices of a string column, by rows; every term of a row once."""
     for first, end, doc, term in _row_terms(texts):
         distinct, rank = np.unique(term, return_inverse=True)
         doc, rank, count = _counted(doc, rank, max(len(distinct), 1))
-        yield first, end, doc, distinct[rank], count
+        yield first, end, doc, rank, count, distinct
 
 
 def _idf(n_docs: float, df: np.ndarray | float):
@@ -87,9 +88,12 @@ def _idf(n_docs: float, df: np.ndarray | float):
 
 
 class BlockMaxIndex:
-    """Inverted lists of unit vectors in blocks, with the largest weight of a term in each block."""
+    """Inverted lists of unit vectors in blocks, with the largest weight of a term in each block.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 256):
+    Of terms that a 16th of the vectors hold, up to ``columns`` are rows of a dense matrix in place of lists.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 256, columns: int = 1024):
         # Blocks of examples with the same heaviest terms have low bounds for other texts.
         lead = [(-1, -1) if not len(t) else tuple(t[np.argsort(-w, kind="stable")[:2]].tolist()) for t, w in vectors]
         self.order = np.array(sorted(range(len(vectors)), key=lambda i: (lead[i], i)), np.int64)
@@ -97,6 +101,15 @@ class BlockMaxIndex:
         slot = np.concatenate([np.full(len(vectors[i][0]), s) for s, i in enumerate(self.order)] or [np.zeros(0)]).astype(np.int64)
         term = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0)]).astype(np.int64)
         weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
+        held = np.bincount(term, minlength=n_terms)
+        common = np.argsort(-held, kind="stable")[:columns]
+        common = common[(held[common] > 0) & (16 * held[common] >= len(vectors))]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.n_blocks * block))
+        dense = self.column[term] >= 0
+        self.matrix[self.column[term[dense]], slot[dense]] = weight[dense]
+        slot, term, weight = slot[~dense], term[~dense], weight[~dense]
         key = term * self.n_blocks + slot // block
         by = np.lexsort((slot, key))
         self.slot, self.weight = slot[by].astype(np.int32), weight[by]
@@ -107,54 +120,50 @@ class BlockMaxIndex:
     def nearest_many(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, telling: np.ndarray | None = None):
         """(row, example, cosine, told) of the k nearest examples with a positive cosine of each row of a sparse matrix.
 
-        In turn every row opens its block of the next largest bound, all of them together,
-        until none has a block left that could hold a nearer example.  Ties go to the example
+        The common terms' part comes from one matrix product and is exact in the blocks' bounds.
+        For the lists every row opens its quarter of blocks with the largest bounds, then those
+        that could still hold a nearer example.  Ties go to the example
         that comes first in the index.  ``told`` is the cosine with each term's part times its
         ``telling`` (1 by default).  ``opened`` holds the blocks opened by the last call.
         """
-        n, n_blocks = len(start) - 1, self.n_blocks
+        n, n_blocks, width = len(start) - 1, self.n_blocks, self.n_blocks * self.block
         row = np.repeat(np.arange(n), np.diff(start))
-        bound = np.zeros((n, n_blocks))
-        live = np.flatnonzero(np.diff(start))
+        tell = weight if telling is None else weight * telling[term]
+        column = self.column[term]
+        dense = column >= 0
+        wide = np.zeros((2 * n, len(self.matrix)))
+        wide[row[dense], column[dense]] = weight[dense]
+        wide[n + row[dense], column[dense]] = tell[dense]
+        sums, told = (wide @ self.matrix).reshape(2, n, width)
+        row, term, weight, tell = row[~dense], term[~dense], weight[~dense], tell[~dense]
+        bound = sums.reshape(n, n_blocks, self.block).max(axis=2)
+        first = np.searchsorted(row, np.arange(n + 1))
+        live = np.flatnonzero(np.diff(first))
         if len(live):
-            bound[live] = np.add.reduceat(weight[:, None] * self.most[term], start[:-1][live], axis=0)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        bar = np.zeros(n)  # of each row, the k-th nearest cosine so far
-        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-        self.opened = 0
-        for turn in range(n_blocks):
-            block = order[:, turn]
-            best = bound[np.arange(n), block]
-            open_ = (best > 0) & (best >= bar - 1e-12)
-            if not open_.any():
-                break
-            self.opened += int(open_.sum())
-            use = np.flatnonzero(open_[row])
-            own = row[use]
-            at = term[use] * n_blocks + block[own]
-            a, size = self.start[at], self.start[at + 1] - self.start[at]
-            pick = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            place = np.repeat(own * self.block, size) + self.slot[pick] % self.block
-            part = self.weight[pick] * np.repeat(weight[use], size)
-            sums = np.bincount(place, part, minlength=n * self.block).reshape(n, self.block)
-            told = sums if telling is None else np.bincount(place, part * np.repeat(telling[term[use]], size), minlength=n * self.block).reshape(n, self.block)
-            if self.block > k:  # only what can be among the k nearest is sorted
-                low = -np.partition(-sums, k - 1, axis=1)[:, k - 1]
-                near = (sums > 0) & (sums >= np.maximum(low, bar)[:, None] - 1e-11)
-            else:
-                near = sums > 0
-            r, c = np.nonzero(near)
-            r, slot, cosine, told = (np.concatenate(x) for x in zip(found, (r, block[r] * self.block + c, sums[r, c], told[r, c])))
-            by = np.lexsort((slot, -np.round(cosine, 12), r))
-            r, slot, cosine, told = r[by], slot[by], cosine[by], told[by]
-            first = np.searchsorted(r, np.arange(n + 1))
-            keep = np.arange(len(r)) - first[r] < k
-            r, slot, cosine, told = r[keep], slot[keep], cosine[keep], told[keep]
-            found = r, slot, cosine, told
-            first = np.searchsorted(r, np.arange(n + 1))
-            full = np.flatnonzero(np.diff(first) == k)
-            bar[full] = cosine[first[full] + k - 1]
-        return found[0], self.order[found[1]], found[2], found[3]
+            bound[live] += np.add.reduceat(weight[:, None] * self.most[term], first[:-1][live], axis=0)
+        rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+        opened, bar = np.zeros((n, n_blocks), bool), np.zeros(n)  # bar: of each row, the k-th nearest cosine so far, or less
+        for last in (-(-n_blocks // 4), n_blocks):
+            open_ = ~opened & (rank < last) & (bound > 0) & (bound >= bar[:, None] - 1e-12)
+            opened |= open_
+            entry, block = np.nonzero(open_[row])
+            at = term[entry] * n_blocks + block
+            size = self.start[at + 1] - self.start[at]
+            entry, at, size = entry[size > 0], at[size > 0], size[size > 0]
+            pick = np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size).astype(np.int64) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
+            place = np.repeat(row[entry] * width, size) + self.slot[pick]
+            part = self.weight[pick]
+            sums += np.bincount(place, part * np.repeat(weight[entry], size), minlength=n * width).reshape(n, width)
+            told += np.bincount(place, part * np.repeat(tell[entry], size), minlength=n * width).reshape(n, width)
+            if width > k:
+                bar = np.partition(sums, width - k, axis=1)[:, width - k]
+        self.opened = int(opened.sum())
+        r, c = np.nonzero((sums > 0) & (sums >= bar[:, None] - 1e-11) & np.repeat(opened, self.block, axis=1))
+        cosine, told = sums[r, c], told[r, c]
+        by = np.lexsort((c, -np.round(cosine, 12), r))
+        r, c, cosine, told = r[by], c[by], cosine[by], told[by]
+        keep = np.arange(len(r)) - np.searchsorted(r, np.arange(n + 1))[r] < k
+        return r[keep], self.order[c[keep]], cosine[keep], told[keep]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -211,7 +220,7 @@ class Examples:
                 other = near != r + at
                 r, near, cosine, told = r[other], near[other], cosine[other], told[other]
                 first = np.arange(len(r)) - np.searchsorted(r, r) < k
-                r, pull = r[first], told[first] ** 2 / (1.05 - np.minimum(cosine[first], 1.0))
+                r, pull = r[first], told[first] ** 2 / (REACH - np.minimum(cosine[first], 1.0))
                 n = stop - at
                 votes[at:stop] = (np.bincount(r, pull * labels[near[first]], minlength=n) + PRIOR_WEIGHT * prior) / (np.bincount(r, pull, minlength=n) + PRIOR_WEIGHT)
             share = labels.mean()
@@ -240,6 +249,40 @@ def _lists(parts: list[tuple[np.ndarray, ...]], n: int, kind: pa.ListType) -> pa
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=fields), type=kind)
 
 
+#: A neighbour's pull is the square of what telling terms hold of its cosine, over this less the cosine.
+REACH = 1.05
+
+
+def _series(row: np.ndarray, cosine: np.ndarray, told: np.ndarray, label: np.ndarray, off: np.ndarray, error: float = 1e-13):
+    """(lengths, toxic, all): of each row, its neighbours' pulls as power series in how far a norm is off.
+
+    If every cosine and ``told`` of a row is 1 + u times what is given here, the sums of the pulls are
+    (1 + u) ** 2 times the series at u.  They are as long as leaves a relative error of at most
+    ``error`` for |u| <= ``off``; without neighbours they are empty.
+    """
+    n = len(off)
+    ratio = cosine / (REACH - cosine)
+    most = np.zeros(n)
+    np.maximum.at(most, row, ratio)
+    q = np.clip(most * off, 1e-30, 1 - 1e-6)
+    length = np.where(most > 0, np.ceil(np.log(error) / np.log(q)), 0).astype(np.int64)
+    part = told**2 / (REACH - cosine)
+    toxic, both = [], []
+    for _ in range(int(length.max(initial=0))):
+        toxic.append(np.bincount(row, part * label, minlength=n))
+        both.append(np.bincount(row, part, minlength=n))
+        part = part * ratio
+    used = np.arange(len(both)) < length[:, None]
+    return length, np.stack(toxic, axis=1)[used] if toxic else np.zeros(0), np.stack(both, axis=1)[used] if both else np.zeros(0)
+
+
+def _numbers(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
+    """A list of doubles for each of n rows from (lengths, values) parts."""
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]]))])
+    assert len(ends) == n + 1
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0), *[p[1] for p in parts]]), pa.float64()))
+
+
 #: Distinct terms that a task counts before it passes the counts on.
 COUNTED = 1 << 20
 
@@ -249,17 +292,17 @@ def _document_frequencies(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, df, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        fresh: list[np.ndarray] = []
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            every, back = np.unique(np.concatenate([terms, *fresh]), return_inverse=True)
-            return every, np.bincount(back, np.concatenate([df, *[np.ones(len(t)) for t in fresh]]), minlength=len(every)).astype(np.int64)
+            every, back = np.unique(np.concatenate([terms, *[t for t, _ in fresh]]), return_inverse=True)
+            return every, np.bincount(back, np.concatenate([df, *[c for _, c in fresh]]), minlength=len(every)).astype(np.int64)
 
         for batch in batches:
             n += batch.num_rows
-            for _, _, _, term, _ in _rows(batch.column(0)):
-                fresh.append(term)
-                if sum(map(len, fresh)) > COUNTED:
+            for _, _, _, rank, _, distinct in _rows(batch.column(0)):
+                fresh.append((distinct, np.bincount(rank, minlength=len(distinct))))
+                if sum(len(t) for t, _ in fresh) > COUNTED:
                     terms, df = merged()
                     fresh = []
                     if len(terms) > COUNTED:
@@ -291,7 +334,8 @@ def score_toxicity(
     chosen by a hash of the id.  A term at ``half_z`` standard errors between the classes
     tells half as much as a certain one.  Document frequencies of up to ``broadcast_terms``
     terms that no example has are broadcast, the most frequent first; where rarer ones than
-    these are in more than one document, they are joined to the texts' terms by a shuffle.  Null and empty texts, and texts without a
+    these are in more than one document, they are joined to the texts' terms by a shuffle, which carries
+sums of votes (see ``_series``) and no neighbours.  Null and empty texts, and texts without a
     word of any example, get the score of no neighbours.  Without labels of both classes every
     score is within 0.001 of the share of label 1 (0.5 without any label).  Repeated rows are scored each;
     of repeated labels the larger counts; null ids are scored but never examples.  Other
@@ -353,62 +397,81 @@ def score_toxicity(
     cut = np.argsort(row, kind="stable")
     examples_ = Examples(vocabulary, _telling(row, rank, y, len(terms), half_z), (row[cut], rank[cut], count[cut]), y, np.array(ids), prior, neighbours)
 
-    near_type = pa.list_(pa.struct([("example", pa.int32()), ("cosine", pa.float64()), ("told", pa.float64())]))
+    near_type = pa.list_(pa.struct([("example", pa.int32()), ("cosine", pa.float64())]))
     rare_type = pa.list_(pa.struct([("term", pa.int64()), ("tf", pa.float64())]))
+    # A term whose frequency is only in `tally` has a weight between these; the norm is set half-way.
+    least = float(_idf(n_docs, min(floor - 1.0, max(n_docs, 1)))) if floor > 2 else single
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, index = TaskContext.get().partitionId() << 33, examples_.index
         for batch in batches:
-            known = np.zeros(batch.num_rows)  # squared norm over the terms whose frequency is known here
+            norm2, most2 = np.ones(batch.num_rows), np.ones(batch.num_rows)  # squared norms: half-way, and with every rare term in one document
             near_of: list[tuple[np.ndarray, ...]] = []
             rare_of: list[tuple[np.ndarray, ...]] = []
-            for first, end, doc, term, count in _rows(batch.column(1)):
+            toxic_of: list[tuple[np.ndarray, np.ndarray]] = []
+            both_of: list[tuple[np.ndarray, np.ndarray]] = []
+            for first, end, doc, rank, count, distinct in _rows(batch.column(1)):
                 tf = 1 + np.log(count)
-                at, held = vocabulary.find(term)
-                place, often = frequent.find(term)
+                at, held = vocabulary.find(distinct)
+                place, often = frequent.find(distinct)
                 often &= ~held
-                weight = np.where(held, tf * vocabulary.idf[at], 0.0) if len(terms) else np.zeros(len(term))
+                idf = np.full(len(distinct), single)
+                if len(terms):
+                    idf[held] = vocabulary.idf[at[held]]
                 if len(frequent.terms):
-                    weight = np.where(often, tf * frequent.idf[place], weight)
-                lone = ~held & ~often
-                if floor == 2:  # all that is left is in one document
-                    weight = np.where(lone, tf * single, weight)
-                else:
-                    rare_of.append((doc[lone] + first, term[lone].view(np.int64), tf[lone]))
-                known[first:end] = np.bincount(doc, weight * weight, minlength=end - first)
-                norm = np.sqrt(known[first:end])
-                doc, at, weight = doc[held], at[held], weight[held]
-                weight = weight / np.where(norm > 0, norm, 1.0)[doc]
+                    idf[often] = frequent.idf[place[often]]
+                weight, lone = tf * idf[rank], (~held & ~often)[rank]
+                most = np.bincount(doc, weight * weight, minlength=end - first)
+                low = most.copy()
+                if floor > 2:  # else all that is left is in one document
+                    rare_of.append((doc[lone] + first, distinct[rank[lone]].view(np.int64), tf[lone]))
+                    low -= np.bincount(doc[lone], tf[lone] ** 2 * (single**2 - least**2), minlength=end - first)
+                middle = (most + low) / 2
+                some = most > 0
+                norm2[first:end][some], most2[first:end][some] = middle[some], most[some]
+                norm = np.sqrt(norm2[first:end])
+                off = np.maximum(norm / np.sqrt(np.where(some, low, 1.0)) - 1, 1 - norm / np.sqrt(most2[first:end])) if floor > 2 else np.zeros(end - first)
+                inside = held[rank]
+                doc, at, weight = doc[inside], at[rank[inside]], weight[inside] / norm[doc[inside]]
                 cut = np.searchsorted(doc, np.arange(end - first + 1))
                 for a, b in _batches(cut):
                     part = slice(cut[a], cut[b])
                     r, near, cosine, told = index.nearest_many(cut[a : b + 1] - cut[a], at[part], weight[part], examples_.k, examples_.telling)
-                    near_of.append((r + first + a, near.astype(np.int32), cosine, told))
+                    length, toxic, both = _series(r, np.minimum(cosine, 1.0), told, y[near], off[a:b])
+                    toxic_of.append((length, toxic))
+                    both_of.append((length, both))
+                    shown = np.arange(len(r)) - np.searchsorted(r, r) < evidence
+                    near_of.append((r[shown] + first + a, near[shown].astype(np.int32), cosine[shown]))
             keys = np.arange(own, own + batch.num_rows)
             own += batch.num_rows
-            cols = [batch.column(0), pa.array(keys, pa.int64()), pa.array(known), _lists(near_of, batch.num_rows, near_type), _lists(rare_of, batch.num_rows, rare_type)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "own", "known", "near", "rare"])
-
-    found = all_texts.mapInArrow(search, f"id {id_type}, own long, known double, near array<struct<example: int, cosine: double, told: double>>, rare array<struct<term: long, tf: double>>")
+            n = batch.num_rows
+            cols = [batch.column(0), pa.array(keys, pa.int64()), pa.array(norm2), pa.array(most2), _numbers(toxic_of, n), _numbers(both_of, n), _lists(near_of, n, near_type), _lists(rare_of, n, rare_type)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "own", "norm2", "most2", "toxic", "both", "near", "rare"])
+
+    found = all_texts.mapInArrow(
+        search, f"id {id_type}, own long, norm2 double, most2 double, toxic array<double>, both array<double>, near array<struct<example: int, cosine: double>>, rare array<struct<term: long, tf: double>>"
+    )
+    less = F.lit(0.0)
     if floor > 2:
+        # Only the series are joined, not the neighbours: some hundred bytes a row.
         found = stored(found, "neighbours")  # so that a row's number stays its own
         pairs = found.select("own", F.explode("rare").alias("x")).select("own", "x.term", "x.tf")
         idf = F.log((F.lit(float(n_docs)) + 1) / (F.col("n") + 0.5))
-        more = pairs.join(tally.where(F.col("n") < floor), "term").groupBy("own").agg(F.sum((F.col("tf") * idf) ** 2).alias("more"))
-        found = found.join(more, "own", "left")
-        shrink = F.sqrt(F.col("known") / (F.col("known") + F.coalesce("more", F.lit(0.0))))
-        found = found.withColumn("near", F.transform("near", lambda x: F.struct(x["example"].alias("example"), (x["cosine"] * shrink).alias("cosine"), (x["told"] * shrink).alias("told"))))
+        shared = tally.where((F.col("n") > 1) & (F.col("n") < floor))
+        over = pairs.join(shared, "term").groupBy("own").agg(F.sum(F.col("tf") ** 2 * (float(single) ** 2 - idf**2)).alias("over"))
+        found = found.drop("rare").join(over, "own", "left")
+        less = F.coalesce("over", F.lit(0.0))
+    found = found.withColumn("scale", F.sqrt(F.col("norm2") / (F.col("most2") - less)))
 
     # Labels and ids of the examples: at most `examples` of each.
     label_of = F.lit(y.astype(int).tolist()) if len(y) else F.array().cast("array<int>")
     id_of = F.lit([i.item() if id_type == "bigint" else str(i) for i in examples_.ids]) if len(y) else F.array().cast("array<string>")
     shown_id = "long" if id_type == "bigint" else "string"
-    pull = lambda x: x["told"] * x["told"] / (1.05 - F.least(x["cosine"], F.lit(1.0)))
-    total = lambda f: F.aggregate("near", F.lit(0.0), lambda z, x: z + f(x))
-    vote = (total(lambda x: pull(x) * F.get(label_of, x["example"])) + PRIOR_WEIGHT * prior) / (total(pull) + PRIOR_WEIGHT)
+    at = lambda c: F.col("scale") ** 2 * F.aggregate(F.reverse(c), F.lit(0.0), lambda z, x: z * (F.col("scale") - 1) + x)
+    vote = (at("toxic") + PRIOR_WEIGHT * prior) / (at("both") + PRIOR_WEIGHT)
     vote = F.least(F.greatest(vote, F.lit(1e-3)), F.lit(1 - 1e-3))
     odds = F.log(vote / (1 - vote)) * float(examples_.coef[0]) + float(examples_.coef[1])
-    shown = F.transform(F.slice("near", 1, evidence), lambda x: F.struct(F.get(id_of, x["example"]).cast(shown_id).alias("id"), x["cosine"].alias("cosine"), F.get(label_of, x["example"]).cast("int").alias("label")))
+    shown = F.transform(F.slice("near", 1, evidence), lambda x: F.struct(F.get(id_of, x["example"]).cast(shown_id).alias("id"), (x["cosine"] * F.col("scale")).alias("cosine"), F.get(label_of, x["example"]).cast("int").alias("label")))
     out = found.select(F.col("id").alias(id_col), (1 / (1 + F.exp(-odds))).alias("score"), shown.alias("evidence"))
     return out.select(id_col, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
 

@@ -10,6 +10,7 @@ import re
 import textwrap
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusward.llm import chat, cotraining, fertility, licenses, minhash, mixing, packing, pages, pivots, toxicity
+from corpusward.llm.tables import shared_dir
 from corpusward.llm.words import chunks, hashes, spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -767,6 +769,62 @@ def test_toxicity_scores_equal_brute_force(spark, broadcast_terms):
     assert len({round(got[d].score, 9) for d in (501, 502)}) == 1
 
 
+def test_toxicity_joins_no_lists_of_neighbours(spark):
+    """Where rare terms are joined, a row is stored in less than its neighbours would take, and its score is the same."""
+    rng = random.Random(12)
+    rows, marks = toxic_rows(rng, 400)
+    rows = [(k, f"{text} seldom{k // 2} rare{k // 3}") for k, text in rows]
+    docs, labels = make_docs(spark, rows), make_labels(spark, marks)
+    before = set(Path(shared_dir(spark).removeprefix("file:")).glob("corpusward/neighbours-*"))
+    joined = toxicity.score_toxicity(docs, labels, train_on=F.col("doc_id") % 2 == 0, broadcast_terms=100)
+    (folder,) = set(Path(shared_dir(spark).removeprefix("file:")).glob("corpusward/neighbours-*")) - before
+    assert sum(f.stat().st_size for f in folder.glob("*.parquet")) < 100 * 20 * len(rows) / 4
+    joined = {r.doc_id: r for r in joined.collect()}
+    plain = toxicity.score_toxicity(docs, labels, train_on=F.col("doc_id") % 2 == 0).collect()
+    assert len(joined) == len(plain) == len(rows)
+    for r in plain:
+        assert abs(joined[r.doc_id].score - r.score) < 1e-11 and joined[r.doc_id].predicted == r.predicted
+        assert all(abs(e.cosine - f.cosine) < 1e-12 for e, f in zip(joined[r.doc_id].evidence, r.evidence))
+
+
+def test_series_of_pulls_hold_for_every_norm():
+    rng = np.random.default_rng(3)
+    row, n = np.sort(rng.integers(0, 40, 2000)), 42  # the last two rows have no neighbours
+    off = rng.random(n) * 0.1
+    off[:3] = 0, 1e-9, 0.3
+    cosine = rng.random(2000) / (1 + off[row])  # a true cosine is 1 at most
+    told, label = cosine * rng.random(2000), rng.integers(0, 2, 2000)
+    length, toxic, both = toxicity._series(row, cosine, told, label, off)
+    assert length[0] == 1 and (length[40:] == 0).all() and len(toxic) == len(both) == length.sum()
+    ends = np.cumsum(length)
+    for u in (-1, -0.4, 0, 0.7, 1):
+        for k in range(40):
+            x, own = u * off[k], row == k
+            pull = told[own] ** 2 / (1.05 - cosine[own] * (1 + x))
+            powers = x ** np.arange(length[k])
+            for part, want in ((toxic, (pull * label[own]).sum()), (both, pull.sum())):
+                assert abs(part[ends[k] - length[k] : ends[k]] @ powers - want) <= 1e-12 * want
+
+
+def test_common_terms_are_a_matrix_and_the_search_stays_exact():
+    rng = np.random.default_rng(4)
+    vectors = []
+    for k in range(200):
+        t = np.unique(np.concatenate([rng.choice(8, 4, replace=False), 8 + rng.choice(400, rng.integers(0, 9), replace=False)])) if k % 9 else np.zeros(0, np.int64)
+        vectors.append((t, rng.random(len(t)) + 0.1))
+    start, terms, weights = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]), *map(np.concatenate, zip(*vectors))
+    for columns in (0, 3, 1024):
+        index = toxicity.BlockMaxIndex(vectors, 408, block=32, columns=columns)
+        assert len(index.matrix) == min(columns, 8)
+        row, near, cosine, told = index.nearest_many(start, terms, weights, 10)
+        for k, (t, w) in enumerate(vectors):
+            own = dict(zip(t, w))
+            every = np.array([sum(x * own.get(e, 0.0) for e, x in zip(*v)) for v in vectors])
+            want = np.sort(every)[::-1][:10]
+            assert np.allclose(cosine[row == k], want[want > 0]) and np.allclose(every[near[row == k]], cosine[row == k])
+        assert np.allclose(cosine, told)
+
+
 # 10 quality classifier
 
 
