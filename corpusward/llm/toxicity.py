@@ -422,15 +422,14 @@ sums of votes (see ``_series``) and no neighbours.  Null and empty texts, and te
                     idf[often] = frequent.idf[place[often]]
                 weight, lone = tf * idf[rank], (~held & ~often)[rank]
                 most = np.bincount(doc, weight * weight, minlength=end - first)
-                low = most.copy()
+                low = np.bincount(doc, np.where(lone, tf * least, weight) ** 2, minlength=end - first)
                 if floor > 2:  # else all that is left is in one document
                     rare_of.append((doc[lone] + first, distinct[rank[lone]].view(np.int64), tf[lone]))
-                    low -= np.bincount(doc[lone], tf[lone] ** 2 * (single**2 - least**2), minlength=end - first)
                 middle = (most + low) / 2
                 some = most > 0
                 norm2[first:end][some], most2[first:end][some] = middle[some], most[some]
                 norm = np.sqrt(norm2[first:end])
-                off = np.maximum(norm / np.sqrt(np.where(some, low, 1.0)) - 1, 1 - norm / np.sqrt(most2[first:end])) if floor > 2 else np.zeros(end - first)
+                off = np.maximum(norm / np.sqrt(np.where(some, low, 1.0)) - 1, 1 - norm / np.sqrt(most2[first:end]))
                 inside = held[rank]
                 doc, at, weight = doc[inside], at[rank[inside]], weight[inside] / norm[doc[inside]]
                 cut = np.searchsorted(doc, np.arange(end - first + 1))

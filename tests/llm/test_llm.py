@@ -769,14 +769,15 @@ def test_toxicity_scores_equal_brute_force(spark, broadcast_terms):
     assert len({round(got[d].score, 9) for d in (501, 502)}) == 1
 
 
-def test_toxicity_joins_no_lists_of_neighbours(spark):
+@pytest.mark.parametrize("broadcast_terms", [100, 0])
+def test_toxicity_joins_no_lists_of_neighbours(spark, broadcast_terms):
     """Where rare terms are joined, a row is stored in less than its neighbours would take, and its score is the same."""
     rng = random.Random(12)
     rows, marks = toxic_rows(rng, 400)
     rows = [(k, f"{text} seldom{k // 2} rare{k // 3}") for k, text in rows]
     docs, labels = make_docs(spark, rows), make_labels(spark, marks)
     before = set(Path(shared_dir(spark).removeprefix("file:")).glob("corpusward/neighbours-*"))
-    joined = toxicity.score_toxicity(docs, labels, train_on=F.col("doc_id") % 2 == 0, broadcast_terms=100)
+    joined = toxicity.score_toxicity(docs, labels, train_on=F.col("doc_id") % 2 == 0, broadcast_terms=broadcast_terms)
     (folder,) = set(Path(shared_dir(spark).removeprefix("file:")).glob("corpusward/neighbours-*")) - before
     assert sum(f.stat().st_size for f in folder.glob("*.parquet")) < 100 * 20 * len(rows) / 4
     joined = {r.doc_id: r for r in joined.collect()}
