@@ -7,16 +7,18 @@ with many matches costs what its matches cost, not their square.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from corpusward.functions.regexes import compiled, java_pattern
+from corpusward.functions.regexes import compiled, java_pattern, solid_pattern
 from corpusward.functions.text import java_quote
 
 
@@ -118,41 +120,105 @@ def _groups(text: Column, java: str, names: tuple[tuple[str, int], ...], anywher
     return F.create_map(*values) if values else F.create_map().cast("map<string,string>")
 
 
-def stepped(df: DataFrame, pattern: Column, keys: list[str], text_col: str = "text", groups: list[tuple[str, int]] | None = None) -> DataFrame:
+#: Rows that a stepping task gathers before it hands them on.
+STEPPED_ROWS = 1 << 16
+
+
+def stepped(df: DataFrame, pattern: Column, keys: list[str], text_col: str = "text", groups: list[tuple[str, int]] | None = None, first: bool = False) -> DataFrame:
     """The rows of :func:`spans` for a stepping pattern given by a column, which may match the empty text.
 
     ``groups`` adds a map of groups, given by names and numbers; null where a group took no part or is not there.
+    ``first`` looks for the first match of each text only.  Matches are handed on in batches of
+    ``STEPPED_ROWS``, in the middle of a text too, so memory grows with the longest text and not with its matches.
     """
     schema = df.select(*keys).schema
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     out = f"{kinds}, ord int, start_byte long, end_byte long, text string" + (", groups map<string,string>" if groups is not None else "")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finds: dict[str, regex.Pattern] = {}
-        for batch in batches:
-            row, ord_, start, end, text, named = [], [], [], [], [], []
-            for i, (t, p) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist())):
-                find = finds.get(p) or finds.setdefault(p, regex.compile(p))
-                n, last, at, at_byte = 0, -1, 0, 0
-                for m in find.finditer(t or "") if t is not None else ():
-                    if m.start() == m.end() == last:
-                        continue  # no empty match next to the previous match
-                    last = m.end()
-                    at_byte += len(t[at : m.start()].encode())
-                    row.append(i), ord_.append(n), start.append(at_byte)
-                    at_byte += len(m[0].encode())
-                    at = m.end()
-                    end.append(at_byte), text.append(m[0]), named.append([(name, m[k] if k <= find.groups else None) for name, k in groups or ()])
-                    n += 1
-            picked = [batch.column(k).take(pa.array(row, pa.int64())) for k in range(len(keys))]
-            arrays = [*picked, pa.array(ord_, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(text, pa.string())]
-            if groups is not None:
-                arrays.append(pa.array(named, pa.map_(pa.string(), pa.string())))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "ord", "start_byte", "end_byte", "text"] + ["groups"] * (groups is not None))
-
+    work = lambda batches: _stepping(batches, keys, groups, first)
     return df.select(*keys, text_col, pattern.alias("_pattern")).mapInArrow(work, out)
 
 
+def _stepping(batches: Iterator[pa.RecordBatch], keys: list[str], groups: list[tuple[str, int]] | None, first: bool) -> Iterator[pa.RecordBatch]:
+    """The matches of batches of (keys, text, pattern)."""
+    finds: dict[str, regex.Pattern] = {}
+    find_of = lambda p: finds.get(p) or finds.setdefault(p, regex.compile(p))
+    for batch in batches:
+        held: list[tuple] = []  # (row, first number, starts, ends, texts, groups)
+        n = 0
+        for i, (t, p) in enumerate(zip(batch.column(len(keys)), batch.column(len(keys) + 1))):
+            if (t := t.as_py()) is None:
+                continue
+            find, solid = find_of(p := p.as_py()), solid_pattern(p) if groups is None and not first else None
+            for part in _filled(find_of(solid), t) if solid else _found(find, t, groups, first):
+                held.append((i, *part))
+                n += len(part[1])
+                if n >= STEPPED_ROWS:
+                    yield _stepped_rows(batch, keys, held, groups)
+                    held, n = [], 0
+        if held:
+            yield _stepped_rows(batch, keys, held, groups)
+
+
+def _found(find: regex.Pattern, t: str, groups: list[tuple[str, int]] | None, first: bool) -> Iterator[tuple]:
+    """(first number, starts, ends, texts, groups) of the matches of one text, so many at a time."""
+    n, last, at, at_byte = 0, -1, 0, 0
+    start, end, text, named = [], [], [], []
+    for m in filter(None, [find.search(t)]) if first else find.finditer(t):
+        if m.start() == m.end() == last:
+            continue  # no empty match next to the previous match
+        last = m.end()
+        at_byte += len(t[at : m.start()].encode())
+        start.append(at_byte)
+        at_byte += len(m[0].encode())
+        at = m.end()
+        end.append(at_byte), text.append(m[0]), named.append([(name, m[k] if k <= find.groups else None) for name, k in groups or ()])
+        if len(start) == STEPPED_ROWS:
+            yield n, np.array(start), np.array(end), pa.array(text, pa.string()), named
+            n += len(start)
+            start, end, text, named = [], [], [], []
+    if start:
+        yield n, np.array(start), np.array(end), pa.array(text, pa.string()), named
+
+
+def _filled(solid: regex.Pattern, t: str) -> Iterator[tuple]:
+    """The same for a pattern that stops at every place of a text, given what takes a character there."""
+    data = t.encode()
+    stops = np.ones(len(data) + 1, bool)
+    stops[:-1] = np.frombuffer(data, np.uint8) & 0xC0 != 0x80  # where characters begin, and the end
+    starts, ends = array("q"), array("q")
+    at = at_byte = 0
+    for m in solid.finditer(t):
+        start = at_byte + len(t[at : m.start()].encode())
+        at, at_byte = m.end(), start + len(m[0].encode())
+        stops[start + 1 : at_byte + 1] = False
+        stops[start] = True
+        starts.append(start), ends.append(at_byte)
+    starts, ends = np.array(starts, np.int64), np.array(ends, np.int64)
+    n = 0
+    for low in range(0, len(stops), STEPPED_ROWS):
+        start = np.flatnonzero(stops[low : low + STEPPED_ROWS]) + low
+        end = start.copy()
+        own = slice(*np.searchsorted(starts, [low, low + STEPPED_ROWS]))
+        end[np.searchsorted(start, starts[own])] = ends[own]
+        offsets = np.concatenate([[0], np.cumsum(end - start)])
+        text = pa.py_buffer(b"".join([data[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist())]))
+        yield n, start, end, pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), text), ()
+        n += len(start)
+
+
+def _stepped_rows(batch: pa.RecordBatch, keys: list[str], held: list[tuple], groups: list[tuple[str, int]] | None) -> pa.RecordBatch:
+    rows, first, starts, ends, texts, named = zip(*held)
+    sizes = list(map(len, starts))
+    at = pa.array(np.repeat(rows, sizes))
+    number = np.concatenate([np.arange(n, n + size, dtype=np.int32) for n, size in zip(first, sizes)])
+    text = pa.concat_arrays([x.cast(pa.string()) for x in texts])
+    arrays = [*[batch.column(k).take(at) for k in range(len(keys))], pa.array(number), pa.array(np.concatenate(starts), pa.int64()), pa.array(np.concatenate(ends), pa.int64()), text]
+    if groups is not None:
+        arrays.append(pa.array([g for x in named for g in x], pa.map_(pa.string(), pa.string())))
+    return pa.RecordBatch.from_arrays(arrays, names=[*keys, "ord", "start_byte", "end_byte", "text"] + ["groups"] * (groups is not None))
+
+
 def find_in(regions: DataFrame, pattern: str, keys: list[str], **flags: bool) -> DataFrame:
     """Matches inside each region (keys, start_byte, text) as a text of its own, in absolute bytes."""
     inner = find_all(regions.select(*keys, F.col("start_byte").alias("_base"), "text"), pattern, [*keys, "_base"], **flags)

@@ -3,13 +3,15 @@
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from corpusward.functions import text as t
 from corpusward.functions.digest import RECORD, framed_digest
 from corpusward.functions.globs import glob_regex
-from corpusward.functions.regexes import compiled, java_pattern, required_literal, stepping_pattern
+from corpusward.functions.regexes import compiled, java_pattern, required_literal, solid_pattern, stepping_pattern
 from corpusward.operators import detect, patterns
 from corpusward.operators.findings import add_identity
 
@@ -199,3 +201,50 @@ def test_first_match_is_the_first_of_all(spark):
     for pattern in ("b*", "b+", "b*$"):
         want = {r.path: (r.start_byte, r.end_byte, r.text) for r in patterns.find_all(df, pattern).where("ord = 0").collect()}
         assert {r.path: (r.start_byte, r.end_byte, r.text) for r in patterns.first_match(df, pattern).collect()} == want
+
+
+def one_by_one(pattern, text):
+    """Matches by one search after the other; an empty one next to the match before it does not count."""
+    find, at, last, found = regex.compile(stepping_pattern(pattern)), 0, -1, []
+    while at <= len(text) and (m := find.search(text, at)):
+        if m.start() == m.end() == last:
+            at += 1
+            continue
+        found.append(tuple(len(text[:k].encode()) for k in m.span()))
+        at = last = m.end()
+    return found
+
+
+def test_empty_matches_are_filled_in(spark):
+    """Random patterns that can match the empty text, as single searches find them; many need no step for each place."""
+    rng = random.Random(6)
+    texts = ["", "é", "aé😀b", "aabé", *["".join(rng.choice("aabbcdAB1. é😀\n") for _ in range(rng.randrange(1, 14))) for _ in range(8)]]
+    rows, want, n_solid = [], {}, 0
+    found = ["a*", "a*?", "(?:ab)*|c", "|a", "(a|b*)c?", "a?b?", "(?:a|bc){0,2}", "(?:a*)*", "a*(?:b|$)?", "\\p{Lu}*", "[^[:digit:]]*", "(?i)b*", "a{0}", "(?:)"]
+    while len(found) < 150:
+        if compiled(p := random_pattern(rng)).empty and not compiled(p).around:
+            found.append(p)
+    for k, p in enumerate(found):
+        n_solid += solid_pattern(stepping_pattern(p)) is not None
+        for i, t in enumerate(texts):
+            rows.append((f"{k}/{i}", t, stepping_pattern(p)))
+            want[f"{k}/{i}"] = one_by_one(p, t) if solid_pattern(stepping_pattern(p)) else None
+    got = {}
+    for r in patterns.stepped(spark.createDataFrame(rows, "path string, text string, p string"), F.col("p"), ["path"]).orderBy("path", "ord").collect():
+        own = got.setdefault(r.path, [])
+        assert r.ord == len(own) and r.text.encode() == texts[int(r.path.split("/")[1])].encode()[r.start_byte : r.end_byte]
+        own.append((r.start_byte, r.end_byte))
+    odd = {k: (found[int(k.split("/")[0])], texts[int(k.split("/")[1])], v, got.get(k, [])) for k, v in want.items() if v is not None and v != got.get(k, [])}
+    assert not odd and n_solid > 100
+
+
+def test_batches_of_matches_are_bounded():
+    """No batch holds the matches of all texts, or all of one long text; of first matches a text has one row."""
+    texts = pa.array(["ab" * 40_000 + "1" * 70_000 + "é"] + ["x" * 500] * 1000)
+    sizes = {}
+    for pattern in ("(?V1)[0-9]*", "(?V1)(?:[0-9]|(?![^\\n]))*"):
+        batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(1001))), texts, pa.array([pattern] * 1001)], ["path", "text", "_pattern"])
+        for first in (False, True):
+            sizes[pattern, first] = [b.num_rows for b in patterns._stepping(iter([batch]), ["path"], None, first)]
+    assert max(map(max, sizes.values())) <= 2 * patterns.STEPPED_ROWS
+    assert [sum(n) for n in sizes.values()] == [80_000 + 2 + 501 * 1000, 1001] * 2
