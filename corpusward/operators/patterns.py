@@ -299,7 +299,7 @@ def first_match(df: DataFrame, pattern: str, keys: list[str] = ["path"], text_co
     """(keys, start_byte, end_byte, text) of the first match of each text that has one."""
     c = compiled(pattern, **flags)
     if c.empty:
-        return stepped(df, F.lit(c.steps), keys, text_col).where("ord = 0").drop("ord")
+        return stepped(df, F.lit(c.steps), keys, text_col, first=True).drop("ord")
     java, text = c.java, F.col(text_col)
     hits = df.where(text.rlike(java))
     before = F.split(text, F.lit(java), 2)[0]

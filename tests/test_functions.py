@@ -248,3 +248,11 @@ def test_batches_of_matches_are_bounded():
             sizes[pattern, first] = [b.num_rows for b in patterns._stepping(iter([batch]), ["path"], None, first)]
     assert max(map(max, sizes.values())) <= 2 * patterns.STEPPED_ROWS
     assert [sum(n) for n in sizes.values()] == [80_000 + 2 + 501 * 1000, 1001] * 2
+
+
+def test_first_match_makes_no_other_rows(spark):
+    """What the tasks return is the result: no row of a later match leaves them to be filtered."""
+    df = spark.createDataFrame([("p", "abba" * 1000), ("q", "éabb"), ("r", "")], "path string, text string")
+    first = patterns.first_match(df, "b*")
+    assert "Filter" not in first._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, first.collect())) == [("p", 0, 0, ""), ("q", 0, 0, ""), ("r", 0, 0, "")]
