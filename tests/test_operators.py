@@ -1,12 +1,13 @@
 """Spans, detection, ledger, reports, fixtures and increments on small cases."""
 
+import hashlib
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusward.functions.digest import with_digest
+from corpusward.functions.digest import CONTEXT, with_digest
 from corpusward.operators import detect, findings, fixtures, ledger, markup, patterns, records, report, scope, spans
 from corpusward.plans import check, incremental
 from corpusward.sources import corpus as source
@@ -420,3 +421,16 @@ def test_calls_stop_beyond_their_limit(spark):
     found, errors = detect.detect_each_within(rules.where("rule_id in ('one', 'other')"), texts)
     assert [(r.rule_id, r.path) for r in errors.collect()] == [("one", "long")]
     assert [(r.rule_id, r.start_byte) for r in found.where("path = 'long'").collect()] == [("other", 1_999_999)]
+
+
+def test_context_digests_stream_in_the_order_of_paths(spark):
+    """As the pinned form says, over many files and several rules; no list of a rule's files is made."""
+    frame = lambda part: len(part.encode()).to_bytes(8, "big") + part.encode()
+    files = {r: [(f"{r}/é{k * 7919 % 30_011}.txt", f"sha256:{k:064x}") for k in range(n)] for r, n in (("r/a", 1), ("r/b", 30_000), ("r/c", 50))}
+    rows = [(r, *f) for r, own in files.items() for f in own]
+    members = spark.createDataFrame([*rows, ("r/b", "gone", None), ("r/d", "gone", None)], "rule_id string, path string, file_digest string")
+    want = {r: "sha256:" + hashlib.sha256(frame(CONTEXT) + b"".join(frame(p) + frame(d) for p, d in sorted(own, key=lambda f: f[0].encode()))).hexdigest() for r, own in files.items()}
+    got = findings.context_digests(members)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert dict(map(tuple, got.collect())) == want | {"r/d": None}
+    assert findings.context_digests(members.where("false")).count() == 0
