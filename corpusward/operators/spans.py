@@ -102,7 +102,9 @@ def innermost(inner: DataFrame, outer: DataFrame, keys: list[str] = ["path"]) ->
     from the bottom up and the enclosing span is found by bisection.
     """
     names = [f"_k{n}" for n in range(len(keys))]
-    every = _both(inner, outer, keys).repartition(*names).sortWithinPartitions(*names, "_at", "_mine", F.desc("_until"))
+    # Dealt by an expression of its own: where both sides are dealt by the keys already, the plan drops an equal
+    # exchange above their union, and then the sides' partitions are joined up unlike each other.
+    every = _both(inner, outer, keys).repartition(F.xxhash64(*names)).sortWithinPartitions(*names, "_at", "_mine", F.desc("_until"))
     row = every.schema["_row"].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,6 +171,25 @@ def test_sweeps_equal_all_pairs(spark, block):
         assert sorted((r._at, r.outer_start, -r.outer_end) for r in spans.innermost(inner, outer).collect()) == want
 
 
+def test_spans_of_a_file_meet_however_their_partitions_are_joined_up(spark):
+    """Sides that come dealt by their files, one with more bytes than the other, so that fewer of its partitions go together."""
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        page = F.concat(F.lit("<ul><li>"), F.repeat(F.lit('<a href="/x">é</a>'), 20), F.lit("</li></ul>"))
+        df = spark.range(1000).select(F.col("id").cast("string").alias("path"), page.alias("text"))
+        links, items = markup.elements(df, "a"), markup.elements(df, "li")
+        found = markup.match_in_context(links, items)
+        assert found.count() == found.where("outer_start = 4").count() == 20_000
+        assert spans.inside(links, items).count() == 20_000
+        assert spans.outside(links, items).count() == spans.without_inner(items, links).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_a_file_with_very_many_spans(spark):
     """Half a million spans each side of one file, all in one large span: pairs would be 2.5e11."""
     n = 500_000
