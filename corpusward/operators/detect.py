@@ -59,8 +59,13 @@ def pattern_errors(rules: DataFrame) -> DataFrame:
 
 
 def _rows(rules: DataFrame, *more: str) -> DataFrame:
-    """The sound rule rows with what evaluation needs and the columns ``more``, evaluated once."""
-    return _small(compile_rules(rules).where("problem is null").select("rule_id", "include_re", "exclude_re", "java", "steps", "empty", "needs", "around", "n_groups", *more).distinct())
+    """The sound rule rows with what evaluation needs and the columns ``more``, evaluated once.
+
+    ``alone`` says that a pattern has one scope, so whatever it finds is inside that.
+    """
+    rows = compile_rules(rules).where("problem is null").select("rule_id", "include_re", "exclude_re", "java", "steps", "empty", "needs", "around", "n_groups", *more).distinct()
+    scopes = F.collect_set(F.struct("include_re", "exclude_re")).over(Window.partitionBy("java"))
+    return _small(rows.withColumn("alone", F.size(scopes) == 1))
 
 
 def _texts(rows: DataFrame, corpus: DataFrame, stepping: bool, steps: str = "empty") -> DataFrame:
@@ -91,8 +96,9 @@ def _evaluated(rows: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def _fanned(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """``found`` for each rule row that has its pattern, inside the rule's scope."""
-    return found.join(rows.drop("steps", "empty", "needs", "around", "n_groups"), "java").where(in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re")))
+    """``found`` for each rule row that has its pattern, inside the rule's scope; the path is tested where a pattern has several scopes."""
+    both = found.join(rows.drop("steps", "empty", "needs", "around", "n_groups"), "java")
+    return both.where(F.col("alone") | in_scope(F.col("path"), F.col("include_re"), F.col("exclude_re"))).drop("alone")
 
 
 def _matches(rules: DataFrame, corpus: DataFrame, *more: str) -> DataFrame:

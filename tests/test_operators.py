@@ -453,3 +453,16 @@ def test_context_digests_stream_in_the_order_of_paths(spark):
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert dict(map(tuple, got.collect())) == want | {"r/d": None}
     assert findings.context_digests(members.where("false")).count() == 0
+
+
+def test_findings_of_a_pattern_fan_out_by_scope(spark):
+    """Patterns of one scope and of several, native and stepped, and a scope that is null."""
+    rows = [("r/one", "[0-9]*", "^a", "(?!)"), ("r/two", "x", "^a", "(?!)"), ("r/three", "x", "^b", "(?!)"), ("r/four", "y", "^", "^a"), ("r/five", "b*", "^a", "(?!)"), ("r/six", "b*", "^", "^a"), ("r/none", "z", None, "(?!)")]
+    rules = spark.createDataFrame([(i, "c", *r) for i, *r in rows], "rule_id string, code string, regex string, include_re string, exclude_re string")
+    found = detect.detect_each(rules, corpus(spark, a1="xyz", b1="xy", c1=None))
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.rule_id, r.path), []).append((r.start_byte, r.end_byte))
+    places = lambda n: [(k, k) for k in range(n + 1)]
+    assert {k: sorted(v) for k, v in got.items()} == {("r/one", "a1"): places(3), ("r/two", "a1"): [(0, 1)], ("r/three", "b1"): [(0, 1)], ("r/four", "b1"): [(1, 2)], ("r/five", "a1"): places(3), ("r/six", "b1"): places(2)}
+    assert {r.regex: r.alone for r in detect._rows(rules, "regex").collect()} == {"[0-9]*": True, "x": False, "y": True, "b*": False, "z": True}
